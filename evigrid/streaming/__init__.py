@@ -1,0 +1,5 @@
+"""No stream operator is offered: every supported input is a complete, frozen table.
+
+Row-level operators (``operators.project``, the predicates in ``operators.quality``) contain no action and
+no global state, so they also accept a streaming DataFrame.
+"""

@@ -16,6 +16,12 @@ def col(value: ColumnLike) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def micros(value: ColumnLike) -> Column:
+    """Microseconds since the epoch, for timestamps with and without a time zone."""
+    epoch = F.lit("1970-01-01").cast("timestamp_ntz")
+    return F.timestamp_diff("MICROSECOND", epoch, col(value).cast("timestamp_ntz"))
+
+
 def is_finite(value: ColumnLike) -> Column:
     """True for a present, finite number."""
     c = col(value).cast("double")

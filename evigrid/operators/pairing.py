@@ -131,16 +131,71 @@ def overlap_counts(
     )
 
 
-def either_match(
-    left: DataFrame, right: DataFrame, left_id: str, right_id: str, first: tuple[str, str], second: tuple[str, str],
-    second_applies: Column,
+def exposed(
+    left: DataFrame, history: DataFrame, identity: Sequence[str], first: str, second: str, second_applies: str
 ) -> DataFrame:
-    """``a.x = b.x or (second_applies and a.y = b.y)`` as two equi-joins; a disjunction alone would be a nested loop."""
-    one = left.join(right, F.col(first[0]) == F.col(first[1])).select(left_id, right_id)
-    two = left.join(right, F.col(second[0]) == F.col(second[1])).where(second_applies).select(left_id, right_id)
+    """Rows of ``left`` with a history row equal on ``first``, or equal on ``second`` where ``second_applies``.
+
+    The disjunction becomes two semi-joins, which stop at the first match, instead of a nested loop over pairs.
+    """
+    one = left.join(history.select(first).distinct(), first, "left_semi").select(*identity)
+    two = left.join(history.where(second_applies).select(second).distinct(), second, "left_semi").select(*identity)
     return one.unionByName(two).distinct()
 
 
+def alignment(df: DataFrame, arm: str, reference: str, keys: Sequence[str], target: str) -> DataFrame:
+    """Whether each arm has exactly the reference's keys with equal targets.
+
+    Counting matches against both sizes replaces a full outer join; keys are unique within an arm.
+    """
+    sizes = df.groupBy(arm).agg(F.count(F.lit(1)).alias("n_keys"))
+    ref = df.where(F.col(arm) == reference).select(*keys, F.col(target).alias("__t"))
+    same = df.join(ref, list(keys)).where(F.col(target).eqNullSafe(F.col("__t"))).groupBy(arm).agg(
+        F.count(F.lit(1)).alias("matched")
+    )
+    # one row
+    whole = F.broadcast(sizes.where(F.col(arm) == reference).select(F.col("n_keys").alias("reference_keys"), F.lit(1).alias("__one")))
+    joined = sizes.join(same, arm, "left").withColumn("__one", F.lit(1)).join(whole, "__one", "left")
+    matched = F.coalesce("matched", F.lit(0))
+    return joined.select(
+        arm, "n_keys", matched.alias("matched"),
+        F.coalesce((matched == F.col("n_keys")) & (matched == F.col("reference_keys")), F.lit(False)).alias("aligned"),
+    )
+
+
+def reference_lookup(
+    records: DataFrame, references: DataFrame, key: Sequence[str], metrics: Sequence[str], status: str,
+    coverage: str | None = None,
+) -> DataFrame:
+    """Self-join each record to its registered reference and state what the comparison is worth.
+
+    ``references`` is a small registered table ``(*key, ref_<key>, matched_coverage)``; a record without a row there
+    has no registered reference. Where ``matched_coverage`` is set, both evaluation sets must be the same.
+    """
+    ref_keys = [f"ref_{k}" for k in key]
+    other = records.select(
+        *[F.col(k).alias(f"ref_{k}") for k in key], F.col(status).alias("__rs"),
+        *[F.col(m).alias(f"reference_{m}") for m in metrics],
+        *([F.col(coverage).alias("__rc")] if coverage else [F.lit("").alias("__rc")]),
+    )
+    joined = records.join(references, list(key), "left").join(other, ref_keys, "left")
+    own = F.col(coverage) if coverage else F.lit("")
+    itself = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"ref_{k}") for k in key])
+    state = (
+        F.when(F.col(status) != "succeeded", "data_unavailable")
+        .when(F.col(ref_keys[0]).isNull(), "no_registered_reference")
+        .when(F.coalesce(F.col("__rs") != "succeeded", F.lit(True)), "reference_unavailable")
+        .when(F.coalesce("matched_coverage", F.lit(False)) & ~own.eqNullSafe(F.col("__rc")), "requires_coverage_matched_reference")
+        .when(itself, "reference")
+        .otherwise("exploratory_point_estimate")
+    )
+    comparable = state.isin("reference", "exploratory_point_estimate")
+    return joined.select(
+        *key, *ref_keys, state.alias("comparison_status"),
+        *[F.when(comparable, F.col(m) - F.col(f"reference_{m}")).alias(f"delta_{m}") for m in metrics],
+    )
+
+
 def ancestor_closure(edges: DataFrame, rank: Column, max_depth: int = 32) -> DataFrame:
     """Root, depth and strictest rank above every node of a parent chain.
 

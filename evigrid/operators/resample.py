@@ -40,7 +40,7 @@ def draw_rows(
     ).repartition(width, *keys, "slot", "__batch")
     first = F.col("__batch") * BATCH
     last = F.least(first + BATCH - 1, F.lit(draws - 1))
-    expanded = batches.select(*keys, "size", "slot", F.explode(F.sequence(first, last)).alias("draw"))
+    expanded = batches.select(*keys, "size", "slot", F.explode(F.sequence(first.cast("bigint"), last.cast("bigint"))).alias("draw"))
     named = [F.lit(stream), *(label if label is not None else keys), F.col("draw"), F.col("slot")]
     picked = expanded.select(*keys, "draw", hash_index(named, "size").alias("__pick"))
     table = slots.select(*keys, F.col("slot").alias("__pick"), *values)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evigrid.functions.scalars import seal
+from evigrid.functions.scalars import micros, seal
 
 DAY = 86400
 FORECAST_SIZE = 500
@@ -68,7 +68,7 @@ def ledger(spark: SparkSession, sf: str) -> DataFrame:
     return e.select(
         F.col("event_id").alias("attempt_id"),
         F.col("user_id").alias("cell_id"),
-        F.unix_micros("ts").alias("sequence"),
+        micros("ts").alias("sequence"),
         kind,
         F.when(kind == "click", "RESERVE").otherwise("SETTLE").alias("event_kind"),
         F.lit(500).cast("bigint").alias("reserved_ms"),
@@ -165,7 +165,7 @@ def steps(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select(
         "user_id",
         "event_id",
-        F.unix_micros("ts").alias("t_us"),
+        micros("ts").alias("t_us"),
         F.col("value").alias("speed"),
         (F.col("value") * F.cos(heading)).alias("dx"),
         (F.col("value") * F.sin(heading)).alias("dy"),
@@ -198,7 +198,7 @@ ELIGIBILITY = """eligibility as (
   select doc_id as sample_id, source as block_id, n_chars,
          list_filter([case when n_chars < 200 then 'metadata-short' end,
                       case when lang <> 'en' then 'temporal-lang' end,
-                      case when n_chars % 7 = 0 then 'coverage-len' end], x -> x is not null) as reasons
+                      case when n_chars % 7 = 0 then 'coverage-len' end], lambda x: x is not null) as reasons
   from documents)"""
 
 
@@ -233,7 +233,7 @@ def captures(spark: SparkSession, sf: str) -> DataFrame:
     """One scan: an order of before 1998 belongs to both captures."""
     o = table(spark, sf, "orders")
     both = F.when(
-        F.col("o_orderdate") < F.lit("1998-01-01").cast("timestamp"), F.array(F.lit("earlier"), F.lit("later"))
+        F.col("o_orderdate") < F.lit("1998-01-01").cast("timestamp_ntz"), F.array(F.lit("earlier"), F.lit("later"))
     ).otherwise(F.array(F.lit("later")))
     return o.select(
         F.explode(both).alias("capture"),

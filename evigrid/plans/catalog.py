@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from evigrid.plans import (  # noqa: F401 - importing registers the queries
+    audits,
     evidence,
+    ledgers,
+    replicates,
 )
 from evigrid.plans.registry import ORACLES, QUERIES, Query
 

@@ -316,11 +316,12 @@ WEIGHTED = f"""{CELLS},
 contrasts(comparison_id, reference, candidate, horizon, weight) as (values {CONTRAST_ROWS}),
 seeds as (select arm_id, horizon, block_id, avg(quantity) as v, string_agg(seed, ',' order by seed) as seeds
           from cells group by all having count(*) >= 3 and bool_and(status = 'SUCCEEDED')),
-diffs as (select k.comparison_id, c.block_id, sum(k.weight * (c.v - r.v)) as difference
+strata as (select comparison_id, count(*) as k from contrasts group by all),
+diffs as (select comparison_id, block_id, difference from (
+          select k.comparison_id, c.block_id, count(*) as k, sum(k.weight * (c.v - r.v)) as difference
           from contrasts k join seeds c on c.arm_id = k.candidate and c.horizon = k.horizon
           join seeds r on r.arm_id = k.reference and r.horizon = k.horizon and r.block_id = c.block_id and r.seeds = c.seeds
-          group by all
-          having count(*) = (select count(*) from contrasts z where z.comparison_id = k.comparison_id))"""
+          group by all) join strata using (comparison_id, k))"""
 
 
 @query(

@@ -7,6 +7,7 @@ from evigrid.plans import (  # noqa: F401 - importing registers the queries
     evidence,
     ledgers,
     replicates,
+    scores,
 )
 from evigrid.plans.registry import ORACLES, QUERIES, Query
 

@@ -60,9 +60,8 @@ def rank_bands(df: DataFrame, keys: Sequence[str], value: str, tie: str, bands:
     """Band ``min(bands-1, floor(bands*rank/size))`` with the zero-based rank of ``value``."""
     numbered = row_numbers(df, keys, [F.col(value), F.col(tie)], value_bin(value), "rank", total="size")
     zero = F.col("rank") - 1
-    return numbered.withColumn("rank", zero).withColumn(
-        "band", F.least(F.lit(bands - 1).cast("bigint"), F.floor(F.lit(bands) * zero / F.col("size")))
-    )
+    band = F.least(F.lit(bands - 1).cast("bigint"), F.floor(F.lit(bands) * zero / F.col("size")))
+    return numbered.withColumn("band", band).withColumn("rank", zero)
 
 
 def retry_chains(attempts: DataFrame, cell: Sequence[str], order: Sequence[Column], chunk: Column, failed: str) -> DataFrame:

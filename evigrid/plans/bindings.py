@@ -143,7 +143,7 @@ POINTS = f"""steps as (
          lag(epoch_us(ts)) over (partition by user_id order by ts, event_id) as prev_us
   from events),
 walk as (
-  select *, sum(case when prev_us is null or t_us - prev_us > {DAY} * 1000000 or t_us < prev_us then 1 else 0 end)
+  select *, sum(case when prev_us is null or t_us - prev_us > {DAY * 1000000} or t_us < prev_us then 1 else 0 end)
               over (partition by user_id order by t_us, event_id rows unbounded preceding) as seg,
          sum(dx) over (partition by user_id order by t_us, event_id rows unbounded preceding) as x,
          sum(dy) over (partition by user_id order by t_us, event_id rows unbounded preceding) as y

@@ -8,6 +8,8 @@ from evigrid.plans import (  # noqa: F401 - importing registers the queries
     ledgers,
     replicates,
     scores,
+    statistics,
+    tracks,
 )
 from evigrid.plans.registry import ORACLES, QUERIES, Query
 

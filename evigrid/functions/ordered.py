@@ -30,9 +30,8 @@ def running_sums(
 
     With ``totals`` the group totals are added as ``<name>_total``.
     """
-    staged = df.withColumn(CHUNK, chunk)
-    for name, expression in sums.items():
-        staged = staged.withColumn(f"__v_{name}", expression)
+    columns = [c for c in df.columns if c not in sums]
+    staged = df.select("*", chunk.alias(CHUNK), *[e.alias(f"__v_{n}") for n, e in sums.items()])
     level = staged.groupBy(*keys, CHUNK).agg(*[F.sum(f"__v_{n}").alias(f"__s_{n}") for n in sums])
     before = W.partitionBy(*keys).orderBy(CHUNK).rowsBetween(W.unboundedPreceding, -1)
     carry = level.select(
@@ -41,11 +40,12 @@ def running_sums(
         *[F.coalesce(F.sum(f"__s_{n}").over(before), F.lit(0)).alias(f"__c_{n}") for n in sums],
         *([F.sum(f"__s_{n}").over(W.partitionBy(*keys)).alias(f"{n}_total") for n in sums] if totals else []),
     )
-    joined = staged.join(carry, [*keys, CHUNK])
     inside = W.partitionBy(*keys, CHUNK).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    for name in sums:
-        joined = joined.withColumn(name, F.col(f"__c_{name}") + F.sum(f"__v_{name}").over(inside))
-    return joined.drop(CHUNK, *[f"__v_{n}" for n in sums], *[f"__c_{n}" for n in sums])
+    return staged.join(carry, [*keys, CHUNK]).select(
+        *columns,
+        *[(F.col(f"__c_{n}") + F.sum(f"__v_{n}").over(inside)).alias(n) for n in sums],
+        *([f"{n}_total" for n in sums] if totals else []),
+    )
 
 
 def row_numbers(
@@ -60,23 +60,18 @@ def previous(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], chunk: Column, columns: Mapping[str, str]
 ) -> DataFrame:
     """``lag(column, 1)`` in ``order`` within ``keys`` for each ``new name -> column``."""
-    staged = df.withColumn(CHUNK, chunk)
-    rank = F.struct(*order)
+    kept = [c for c in df.columns if c not in columns]
+    staged = df.select("*", chunk.alias(CHUNK))
     last = staged.groupBy(*keys, CHUNK).agg(
-        F.max_by(F.struct(*[F.col(c).alias(f"__l_{n}") for n, c in columns.items()]), rank).alias("__last")
-    )
-    carry = last.select(
-        *keys, CHUNK, F.lag("__last").over(W.partitionBy(*keys).orderBy(CHUNK)).alias("__carry")
+        F.max_by(F.struct(*[F.col(c).alias(f"__l_{n}") for n, c in columns.items()]), F.struct(*order)).alias("__last")
     )
-    joined = staged.join(carry, [*keys, CHUNK])
+    carry = last.select(*keys, CHUNK, F.lag("__last").over(W.partitionBy(*keys).orderBy(CHUNK)).alias("__carry"))
     inside = W.partitionBy(*keys, CHUNK).orderBy(*order)
     first = F.row_number().over(inside) == 1
-    for name, column in columns.items():
-        joined = joined.withColumn(
-            f"__n_{name}", F.when(first, F.col("__carry")[f"__l_{name}"]).otherwise(F.lag(column).over(inside))
-        )
-    drop = ["__carry", CHUNK]
-    joined = joined.drop(*drop)
-    for name in columns:
-        joined = joined.withColumn(name, F.col(f"__n_{name}")).drop(f"__n_{name}")
-    return joined
+    return staged.join(carry, [*keys, CHUNK]).select(
+        *kept,
+        *[
+            F.when(first, F.col("__carry")[f"__l_{name}"]).otherwise(F.lag(column).over(inside)).alias(name)
+            for name, column in columns.items()
+        ],
+    )

@@ -1,4 +1,4 @@
-"""Exact quantiles of groups of any size, under the three rules in use."""
+"""Exact quantiles of groups of any size, under the two rules in use."""
 
 from __future__ import annotations
 
@@ -23,29 +23,42 @@ def _ranks(p: float, rule: str) -> tuple[Column, Column, Column]:
     return rank, rank, F.lit(0.0)
 
 
+def _in_memory(df: DataFrame, keys: Sequence[str], value: str, probabilities: Mapping[str, float], rule: str) -> DataFrame:
+    if rule == "linear":
+        return df.groupBy(*keys).agg(*[F.percentile(value, F.lit(float(p))).alias(n) for n, p in probabilities.items()])
+    return df.groupBy(*keys).agg(
+        *[
+            F.expr(f"percentile_disc({max(p - 1e-12, 0.0)!r}) within group (order by {value})").alias(n)
+            for n, p in probabilities.items()
+        ]
+    )
+
+
 def exact_quantiles(
     df: DataFrame,
     keys: Sequence[str],
     value: str,
     probabilities: Mapping[str, float],
     rule: str = "linear",
-    weight: str | None = None,
+    bounded: bool = False,
 ) -> DataFrame:
     """One row per group with a column per requested quantile.
 
     ``rule`` is ``linear`` (interpolated) or ``rank`` (the ceil(p*n)-th order statistic, equal to the inverted
     distribution function). Equal values are counted before any shuffle, values are ordered inside narrow value
-    bins, and only the carry between bins is computed per group, so no task holds a whole group. ``weight`` is an
-    integer multiplicity.
+    bins, and only the carry between bins is computed per group, so no task holds a whole group.
+
+    ``bounded`` is for groups whose size has a proven limit (draws of a resample, particles of a forecast): Spark's
+    own aggregate then does it in one shuffle.
     """
+    if bounded:
+        return _in_memory(df, keys, value, probabilities, rule)
     counted = (
         df.where(F.col(value).isNotNull())
         .groupBy(*keys, F.col(value).alias("__x"))
-        .agg((F.sum(weight) if weight else F.count(F.lit(1))).cast("bigint").alias("__m"))
-    )
-    ranked = running_sums(
-        counted, keys, [F.col("__x").asc()], value_bin("__x"), {"__n": F.col("__m")}, totals=True
+        .agg(F.count(F.lit(1)).alias("__m"))
     )
+    ranked = running_sums(counted, keys, [F.col("__x").asc()], value_bin("__x"), {"__n": F.col("__m")}, totals=True)
     picks = []
     for name, p in probabilities.items():
         low, high, _ = _ranks(p, rule)

@@ -1 +1,4 @@
-"""Operators: functions from DataFrames to DataFrames. None of them runs an action."""
+"""Operators: functions from DataFrames to DataFrames.
+
+Operators are lazy except where a docstring says that a reduced intermediate is stored in the shared folder.
+"""

@@ -1,7 +1,8 @@
 """Scores of sampled forecasts.
 
 The long sample table has one row per ``(*keys, sample_idx)`` with position ``x, y`` and target ``tx, ty``. Every score
-is a composition of aggregates; nothing depends on how many particles a forecast has.
+is a composition of aggregates; nothing depends on how many particles a forecast has. ``bounded`` may be set where
+the number of particles per forecast has a proven limit, and saves shuffles.
 """
 
 from __future__ import annotations
@@ -151,17 +152,19 @@ def radii(samples: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     return samples.join(mean, list(keys)).select(*keys, distance("x", "y", "cx", "cy").alias("radius"))
 
 
-def centre_coverage(samples: DataFrame, level: float = 0.9, keys: Sequence[str] = KEYS) -> DataFrame:
+def centre_coverage(samples: DataFrame, level: float = 0.9, keys: Sequence[str] = KEYS, bounded: bool = False) -> DataFrame:
     """Target inside the interpolated ``level`` quantile of the radii."""
-    q = exact_quantiles(radii(samples, keys), keys, "radius", {"radius_q": level})
+    q = exact_quantiles(radii(samples, keys), keys, "radius", {"radius_q": level}, bounded=bounded)
     return centres(samples, keys).join(q, list(keys)).select(
         *keys, "target_radius", "radius_q", (F.col("target_radius") <= F.col("radius_q")).alias("covered")
     )
 
 
-def radial_disks(samples: DataFrame, levels: Mapping[str, float], keys: Sequence[str] = KEYS) -> DataFrame:
+def radial_disks(
+    samples: DataFrame, levels: Mapping[str, float], keys: Sequence[str] = KEYS, bounded: bool = False
+) -> DataFrame:
     """Disk per level with the ceil(q*N)-th smallest radius: area and coverage, long form."""
-    q = exact_quantiles(radii(samples, keys), keys, "radius", levels, rule="rank")
+    q = exact_quantiles(radii(samples, keys), keys, "radius", levels, rule="rank", bounded=bounded)
     rows = F.array(*[F.struct(F.lit(v).alias("level"), F.col(n).alias("radius")) for n, v in levels.items()])
     long = q.select(*keys, F.inline(rows))
     return centres(samples, keys).select(*keys, "target_radius").join(long, list(keys)).select(
@@ -171,11 +174,12 @@ def radial_disks(samples: DataFrame, levels: Mapping[str, float], keys: Sequence
 
 
 def endpoint_quantiles(
-    samples: DataFrame, probabilities: Mapping[str, float], last_slot: int, keys: Sequence[str] = ("method", "forecast_id")
+    samples: DataFrame, probabilities: Mapping[str, float], last_slot: int, keys: Sequence[str] = ("method", "forecast_id"),
+    bounded: bool = False,
 ) -> DataFrame:
     """Quantiles of particle endpoint error inside each forecast."""
     errors = samples.where(F.col("slot") == last_slot).select(*keys, distance("x", "y", "tx", "ty").alias("e"))
-    return exact_quantiles(errors, keys, "e", probabilities)
+    return exact_quantiles(errors, keys, "e", probabilities, bounded=bounded)
 
 
 def position_entropy(samples: DataFrame, half_width: float = 10000.0, cell: float = 250.0, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -190,11 +194,11 @@ def position_entropy(samples: DataFrame, half_width: float = 10000.0, cell: floa
     )
 
 
-def axis_intervals(samples: DataFrame, low: float = 0.05, high: float = 0.95, keys: Sequence[str] = KEYS) -> DataFrame:
+def axis_intervals(samples: DataFrame, low: float = 0.05, high: float = 0.95, keys: Sequence[str] = KEYS, bounded: bool = False) -> DataFrame:
     """Central interval per axis, whether it holds the target, and the area of the rectangle."""
     out = None
-    for axis, target in (("x", "tx"), ("y", "ty")):
-        q = exact_quantiles(samples, keys, axis, {f"{axis}_low": low, f"{axis}_high": high})
+    for axis in ("x", "y"):
+        q = exact_quantiles(samples, keys, axis, {f"{axis}_low": low, f"{axis}_high": high}, bounded=bounded)
         out = q if out is None else out.join(q, list(keys))
     mean = centres(samples, keys).select(*keys, "tx", "ty")
     out = out.join(mean, list(keys))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from evigrid.functions.fingerprint import element_digest, sequence_fingerprint
 from evigrid.functions.ordered import running_sums
-from evigrid.session import cut_lineage
+from evigrid.session import materialise
 
 
 def reference_and_candidates(df: DataFrame, arm: str = "arm_id", reference: str | None = None):
@@ -200,7 +200,8 @@ def ancestor_closure(edges: DataFrame, rank: Column, max_depth: int = 32) -> Dat
     """Root, depth and strictest rank above every node of a parent chain.
 
     Jumps double each round, so a chain of 32 takes five joins. ``resolved`` is false where no root is reached
-    within ``max_depth``: a cycle or a chain which is too long. Each round is checkpointed.
+    within ``max_depth``: a cycle or a chain which is too long. Each round is written to the shared folder, so the
+    plan does not grow.
     """
     node = edges.select(
         F.col("child").alias("node"), F.col("parent").alias("jump"), rank.alias("strictest"),
@@ -217,8 +218,10 @@ def ancestor_closure(edges: DataFrame, rank: Column, max_depth: int = 32) -> Dat
             "node", F.col("__next").alias("jump"), F.greatest("strictest", "__rank").alias("strictest"),
             (F.col("depth") + F.coalesce("__depth", F.lit(0))).alias("depth"), F.coalesce("__top", "top").alias("top"),
         )
-        node = cut_lineage(hop.unionByName(node.where(F.col("jump").isNull())))
+        node = materialise(hop.unionByName(node.where(F.col("jump").isNull())))
         reach *= 2
+        if node.where(F.col("jump").isNotNull()).isEmpty():
+            break
     resolved = F.col("jump").isNull() & (F.col("depth") <= max_depth)
     return node.select(
         "node", F.when(resolved, F.col("top")).alias("root"), F.when(resolved, F.col("depth")).alias("depth"),

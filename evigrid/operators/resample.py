@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from evigrid.functions.ordered import row_numbers
 from evigrid.functions.quantiles import exact_quantiles
 from evigrid.functions.scalars import ColumnLike, hash_index
+from evigrid.session import materialise
 
 BATCH = 50
+MEDIAN_LIMIT = 1_000_000
 
 
 def block_slots(units: DataFrame, keys: Sequence[str], unit: str, chunk: Column | None = None) -> DataFrame:
@@ -21,7 +23,8 @@ def block_slots(units: DataFrame, keys: Sequence[str], unit: str, chunk: Column
         # integers are cut into ranges of 4096 ids; text is cut on its first two characters
         chunk = F.floor(F.col(unit) / 4096) if kind in ("int", "bigint") else F.substring(F.col(unit), 1, 2)
     numbered = row_numbers(units, keys, [F.col(unit)], chunk, "slot", total="size")
-    return numbered.withColumn("slot", F.col("slot") - 1)
+    # one row per unit: stored, because draws read it as positions and as values
+    return materialise(numbered.withColumn("slot", F.col("slot") - 1))
 
 
 def draw_rows(
@@ -63,8 +66,15 @@ def bootstrap_medians(
     slots: DataFrame, keys: Sequence[str], values: Sequence[str], draws: int, stream: str,
     label: Sequence[ColumnLike] | None = None,
 ) -> DataFrame:
-    """Median of each value in each draw, exact for any number of units."""
+    """Median of each value in each draw, exact for any number of units.
+
+    The largest group is looked up first: up to a million units Spark's own percentile holds a draw in memory, beyond
+    that draws are ordered in pieces.
+    """
     rows = draw_rows(slots, keys, values, draws, stream, label)
+    largest = slots.agg(F.max("size")).first()[0] or 0
+    if largest <= MEDIAN_LIMIT:
+        return rows.groupBy(*keys, "draw").agg(*[F.percentile(v, F.lit(0.5)).alias(v) for v in values])
     out = None
     for v in values:
         part = exact_quantiles(rows, [*keys, "draw"], v, {v: 0.5})

@@ -6,10 +6,11 @@ from collections.abc import Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evigrid.functions.ordered import previous, running_sums
+from evigrid.functions.ordered import CHUNK, previous
 from evigrid.functions.scalars import ColumnLike, col
 
 EARTH_RADIUS_M = 6371000.0
@@ -26,17 +27,39 @@ def segment_points(
 ) -> DataFrame:
     """Split each track where time runs back or a gap is exceeded; add ``seg``, ``idx`` (0-based) and size ``n``.
 
-    The split is a running count of break flags over time chunks, so one long track is worked on by many tasks.
+    One long track is worked on by many tasks: breaks and running sums are found inside time chunks, and a row per
+    (track, chunk) carries the counts, and the break between two chunks, to the next. ``order`` begins with ``time``.
     """
-    linked = previous(points, [key], order, chunk, {"__before": time})
+    sums = dict(sums or {})
+    names = ["__breaks", "__at", *sums]
+    inside = W.partitionBy(key, CHUNK).orderBy(*order)
+    before = F.lag(time).over(inside)
     t = F.col(time)
-    breaks = F.col("__before").isNull() | (t - F.col("__before") > gap) | (t < F.col("__before"))
-    walked = running_sums(
-        linked, [key], order, chunk,
-        {"seg": breaks.cast("bigint"), "__at": F.lit(1).cast("bigint"), **(sums or {})},
-    ).drop("__before")
+    gone = F.coalesce((t - before > gap) | (t < before), F.lit(False)).cast("bigint")
+    staged = points.select("*", chunk.alias(CHUNK)).select(
+        "*", gone.alias("__v___breaks"), F.lit(1).cast("bigint").alias("__v___at"), *[e.alias(f"__v_{n}") for n, e in sums.items()]
+    )
+    level = staged.groupBy(key, CHUNK).agg(
+        F.min(time).alias("__first"), F.max(time).alias("__last"), *[F.sum(f"__v_{n}").alias(f"__s_{n}") for n in names]
+    )
+    ordered = W.partitionBy(key).orderBy(CHUNK)
+    last = F.lag("__last").over(ordered)
+    # the first chunk of a track opens its first segment
+    opens = F.coalesce(F.col("__first") - last > gap, F.lit(True)).cast("bigint")
+    earlier = ordered.rowsBetween(W.unboundedPreceding, -1)
+    carry = level.withColumn("__opens", opens).select(
+        key, CHUNK,
+        (F.coalesce(F.sum("__s___breaks").over(earlier), F.lit(0)) + F.sum("__opens").over(ordered)).alias("__c___breaks"),
+        *[F.coalesce(F.sum(f"__s_{n}").over(earlier), F.lit(0)).alias(f"__c_{n}") for n in names[1:]],
+    )
+    running = inside.rowsBetween(W.unboundedPreceding, 0)
+    walked = staged.join(carry, [key, CHUNK]).select(
+        *points.columns, *[(F.col(f"__c_{n}") + F.sum(f"__v_{n}").over(running)).alias(n) for n in names]
+    ).withColumnRenamed("__breaks", "seg")
     bounds = walked.groupBy(key, "seg").agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("n"))
-    return walked.join(bounds, [key, "seg"]).withColumn("idx", F.col("__at") - F.col("__first")).drop("__at", "__first")
+    return walked.join(bounds, [key, "seg"]).select(
+        *points.columns, "seg", *sums, (F.col("__at") - F.col("__first")).alias("idx"), "n"
+    )
 
 
 def clock_flags(points: DataFrame, key: str, order: Sequence[Column], chunk: Column, time: str, gap: int) -> DataFrame:

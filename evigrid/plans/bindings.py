@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evigrid.functions.scalars import micros, seal
+from evigrid.session import materialise
 
 DAY = 86400
 FORECAST_SIZE = 500
@@ -179,16 +180,19 @@ def points(spark: SparkSession, sf: str) -> DataFrame:
         steps(spark, sf), "user_id", [F.col("t_us"), F.col("event_id")], time_chunk(), "t_us", DAY * 1000000,
         {"x": F.col("dx"), "y": F.col("dy")},
     )
-    return walked.select(
-        "user_id",
-        F.concat_ws("-", "user_id", "seg").alias("segment_id"),
-        "event_id",
-        "t_us",
-        "speed",
-        F.round("x", 6).alias("x"),
-        F.round("y", 6).alias("y"),
-        "idx",
-        "n",
+    # every trajectory operator reads this table more than once, so it is stored like any refined corpus
+    return materialise(
+        walked.select(
+            "user_id",
+            F.concat_ws("-", "user_id", "seg").alias("segment_id"),
+            "event_id",
+            "t_us",
+            "speed",
+            F.round("x", 6).alias("x"),
+            F.round("y", 6).alias("y"),
+            "idx",
+            "n",
+        )
     )
 
 

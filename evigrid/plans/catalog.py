@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from evigrid.plans import (  # noqa: F401 - importing registers the queries
     audits,
+    documents,
     evidence,
     ledgers,
     replicates,

@@ -8,6 +8,7 @@ from evigrid.functions.scalars import relative_delta_pct
 from evigrid.operators import inference, pairing, rollup
 from evigrid.plans.bindings import CELLS, LEDGER, cells, ledger, table
 from evigrid.plans.registry import query
+from evigrid.session import materialise
 
 METRICS = ["error", "quantity"]
 
@@ -31,8 +32,13 @@ def blocks(spark, sf):
     return rollup.block_means(cells(spark, sf), METRICS)
 
 
+def stored_blocks(spark, sf):
+    """Block rows are what is left of the raw table; candidate, reference and resampling branches all read them."""
+    return materialise(blocks(spark, sf))
+
+
 def pairs(spark, sf):
-    return pairing.paired_blocks(blocks(spark, sf), METRICS)
+    return materialise(pairing.paired_blocks(stored_blocks(spark, sf), METRICS))
 
 
 @query(

@@ -12,6 +12,7 @@ from evigrid.plans.registry import query
 
 LEVELS = {"p50": 0.5, "p80": 0.8, "p90": 0.9, "p95": 0.95}
 WEIGHTS = [0.25] * 4
+# a forecast of the binding has at most 500 particles, so its groups are bounded
 G = "method, forecast_id, slot"
 
 CENTRES = f"""{SAMPLES},
@@ -95,12 +96,12 @@ def ens5_point_errors(spark, sf):
     from centres join q using ({G})""",
 )
 def ens6_centre_coverage(spark, sf):
-    out = ensemble.centre_coverage(samples(spark, sf))
+    out = ensemble.centre_coverage(samples(spark, sf), bounded=True)
     return out.withColumn("target_radius", F.round("target_radius", 6)).withColumn("radius_q", F.round("radius_q", 6))
 
 
 def disks(spark, sf):
-    return ensemble.radial_disks(samples(spark, sf), LEVELS)
+    return ensemble.radial_disks(samples(spark, sf), LEVELS, bounded=True)
 
 
 @query("ens7_radial_disks", f"with {DISKS} select {G}, level, round(radius, 6) as radius, round(area, 2) as area, covered from disks")
@@ -122,7 +123,7 @@ def ens8_cep50(spark, sf):
     select method, round(avg(q50), 6) as q50, round(avg(q90), 6) as q90, round(avg(q95), 6) as q95 from b group by method""",
 )
 def ens9_endpoint_quantiles(spark, sf):
-    q = ensemble.endpoint_quantiles(samples(spark, sf), {"q50": 0.5, "q90": 0.9, "q95": 0.95}, 3)
+    q = ensemble.endpoint_quantiles(samples(spark, sf), {"q50": 0.5, "q90": 0.9, "q95": 0.95}, 3, bounded=True)
     blocks = q.withColumn("block", F.substring_index("forecast_id", "-", 1))
     out = rollup.equal_weight_levels(blocks, [["method", "block"], ["method"]], ["q50", "q90", "q95"])
     return out.select("method", *[F.round(c, 6).alias(c) for c in ("q50", "q90", "q95")])
@@ -171,7 +172,7 @@ def ens12_position_entropy(spark, sf):
            round(avg((xh - xl) * (yh - yl)), 2) as area from q group by method, slot""",
 )
 def ens13_axis_intervals(spark, sf):
-    per = ensemble.axis_intervals(samples(spark, sf))
+    per = ensemble.axis_intervals(samples(spark, sf), bounded=True)
     return per.groupBy("method", "slot").agg(
         F.round(F.avg(F.col("x_inside").cast("int")), 8).alias("x_coverage"),
         F.round(F.avg(F.col("y_inside").cast("int")), 8).alias("y_coverage"), F.round(F.avg("area"), 2).alias("area"),
@@ -209,7 +210,7 @@ def ens14_horizon_bins_rescaled(spark, sf):
 def ens17_validity(spark, sf):
     s = samples(spark, sf)
     keys = ["method", "forecast_id"]
-    q = ensemble.endpoint_quantiles(s, {"q50": 0.5, "q90": 0.9}, 3)
+    q = ensemble.endpoint_quantiles(s, {"q50": 0.5, "q90": 0.9}, 3, bounded=True)
     c = ensemble.centres(s).groupBy(*keys).agg(
         F.max("particles").alias("particles"), F.count(F.lit(1)).alias("slots"), F.max("target_radius").alias("worst")
     )

@@ -1,8 +1,9 @@
-"""Session defaults and lineage cutting."""
+"""Session defaults, the shared scratch folder, and materialised intermediates."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,16 +20,34 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, **extra
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
+        # call-site capture costs a JVM round trip per column expression
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for key, value in extra.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared folder the cluster names; a temporary one only where none is set."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return df.checkpoint()
+_LOCAL: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``; a temporary one only where none is set, as in tests."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    key = spark.sparkContext.applicationId
+    if key not in _LOCAL:
+        _LOCAL[key] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return _LOCAL[key]
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Write an intermediate which several branches read into the shared folder and read it back.
+
+    Without this every branch would scan and shuffle the base table again, because column pruning makes the branches
+    differ and their exchanges are then not reused. A lost executor costs nothing: the files are on shared storage.
+    """
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/evigrid-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -74,8 +74,13 @@ def value_bin(value: ColumnLike, per_octave: int = 64) -> Column:
     group into pieces which can be sorted in different tasks.
     """
     c = col(value).cast("double")
-    level = F.floor(F.log2(F.abs(c)) * F.lit(float(per_octave))) + F.lit(1100 * per_octave)
-    return F.when(c == 0, F.lit(0)).otherwise(F.signum(c).cast("bigint") * level).cast("bigint")
+    # doubles span 2^-1074 to 2^1024; infinity takes the outermost bin, and NaN, which sorts last, the one after it
+    octave = F.least(F.log2(F.abs(c)), F.lit(1025.0))
+    level = F.floor(octave * F.lit(float(per_octave))) + F.lit(1100 * per_octave)
+    return (
+        F.when(c == 0, F.lit(0)).when(F.isnan(c), F.lit(2200 * per_octave))
+        .otherwise(F.signum(c).cast("bigint") * level).cast("bigint")
+    )
 
 
 def normal_cdf(value: ColumnLike) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -100,9 +101,12 @@ def gated_group_means(
     """Group summary which is unavailable as soon as one expected row is missing or failed.
 
     ``expected`` has one row per expected (group, item). Unique pairs make the join one-to-one, and nothing is
-    aggregated before the full grid is in view.
+    aggregated before the full grid is in view. An item may be null: a deterministic forecast has no seed.
     """
-    grid = expected.join(rows, [*group, *item], "left")
+    keys = [*group, *item]
+    right = rows.select(*[F.col(k).alias(f"__r_{k}") for k in keys], *[c for c in rows.columns if c not in expected.columns])
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys])
+    grid = expected.join(right, same, "left")
     counts = grid.groupBy(*group).agg(
         F.count(F.lit(1)).alias("expected_rows"),
         F.count(status).alias("available_rows"),

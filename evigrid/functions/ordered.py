@@ -16,6 +16,20 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 CHUNK = "__chunk"
+PIECE_ROWS = 5_000_000
+
+
+def piece_width(df: DataFrame, keys: Sequence[str], position: Column, widths: Sequence[int]) -> int:
+    """Widest of ``widths`` (falling) at which no piece of any key holds more than five million rows.
+
+    One scan with map-side counting at the widest setting decides in the usual case; a track which is much denser
+    than the rest makes the pieces narrower.
+    """
+    for width in widths[:-1]:
+        counts = df.groupBy(*keys, F.floor(position / F.lit(width)).alias(CHUNK)).agg(F.count(F.lit(1)).alias("n"))
+        if (counts.agg(F.max("n")).first()[0] or 0) <= PIECE_ROWS:
+            return width
+    return widths[-1]
 
 
 def running_sums(

@@ -9,10 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from evigrid.functions.fingerprint import element_digest, sequence_fingerprint
 from evigrid.functions.scalars import normal_cdf, normal_quantile
-from evigrid.operators.pairing import set_fingerprints
 from evigrid.operators.resample import block_slots, bootstrap_means, bootstrap_medians, order_statistics
-from evigrid.operators.rollup import SUCCEEDED, block_means
+from evigrid.operators.rollup import SUCCEEDED
+from evigrid.session import materialise
 
 # fixed values: two-sided 95 % normal quantile; float64 spacing at one
 Z95 = 1.959963984540054
@@ -90,19 +91,20 @@ class Policy:
         return [k for k, v in self.__dict__.items() if v is None and k not in optional]
 
 
-def quality_gates(cells: DataFrame, contrasts: DataFrame, policy: Policy) -> DataFrame:
-    """Per contrast: every successful cell of its arms and strata meets the registered diagnostics; unknown fails."""
-    rules = []
+def gates_met(policy: Policy) -> Column:
+    """A successful cell meets the registered diagnostics; an unknown diagnostic fails, other cells do not count."""
+    ok = F.lit(True)
     if policy.minimum_ess is not None:
-        rules.append(F.coalesce((F.col("ess") >= policy.minimum_ess) & (F.col("ess") >= 0), F.lit(False)))
+        ok = ok & F.coalesce((F.col("ess") >= policy.minimum_ess) & (F.col("ess") >= 0), F.lit(False))
     if policy.maximum_reference_error is not None:
         e = F.col("reference_error")
-        rules.append(F.coalesce((e <= policy.maximum_reference_error) & (e >= 0), F.lit(False)))
-    ok = F.lit(True)
-    for r in rules:
-        ok = ok & r
-    judged = cells.withColumn("__ok", ok | (F.col("status") != SUCCEEDED))
-    per_arm = judged.groupBy("arm_id", "horizon").agg(F.bool_and("__ok").alias("__ok"))
+        ok = ok & F.coalesce((e <= policy.maximum_reference_error) & (e >= 0), F.lit(False))
+    return ok | (F.col("status") != SUCCEEDED)
+
+
+def quality_gates(rows: DataFrame, contrasts: DataFrame, ok: Column) -> DataFrame:
+    """Per contrast: every row of its arms and strata is ok, and every arm and stratum has rows at all."""
+    per_arm = rows.groupBy("arm_id", "horizon").agg(F.bool_and(ok).alias("__ok"))
     sides = contrasts.select("comparison_id", "horizon", F.explode(F.array("reference", "candidate")).alias("arm_id"))
     return sides.join(per_arm, ["arm_id", "horizon"], "left").groupBy("comparison_id").agg(
         F.bool_and(F.coalesce("__ok", F.lit(True))).alias("gates_passed"),
@@ -110,24 +112,31 @@ def quality_gates(cells: DataFrame, contrasts: DataFrame, policy: Policy) -> Dat
     )
 
 
-def weighted_block_differences(cells: DataFrame, contrasts: DataFrame, policy: Policy) -> DataFrame:
+def policy_blocks(cells: DataFrame, policy: Policy) -> DataFrame:
+    """All a policy needs of the cells in one aggregate: block mean, completeness, seed set and gate verdict.
+
+    A cell is unique per (arm, stratum, block, seed), so the fingerprint of its rows is that of the seed set.
+    """
+    eligible = F.col("status") == SUCCEEDED
+    return cells.groupBy("arm_id", "horizon", "block_id").agg(
+        ((F.count_if(eligible) == F.count(F.lit(1))) & (F.count(F.lit(1)) >= policy.minimum_seeds)).alias("complete"),
+        F.avg(policy.metric).alias("v"), sequence_fingerprint(element_digest(F.lit(0), "seed")).alias("seeds"),
+        F.bool_and(gates_met(policy)).alias("gates"),
+    )
+
+
+def weighted_block_differences(blocks: DataFrame, contrasts: DataFrame, policy: Policy) -> DataFrame:
     """Weighted difference per contrast and block over blocks which are paired in every weighted stratum."""
-    blocks = block_means(cells, [policy.metric], minimum_seeds=policy.minimum_seeds).where("complete")
-    blocks = blocks.select("arm_id", "horizon", "block_id", F.col(policy.metric).alias("v"))
-    if policy.seed_pairing != "independent":
-        seeds = set_fingerprints(cells, ["arm_id", "horizon", "block_id"], "seed", "seeds")
-        blocks = blocks.join(seeds, ["arm_id", "horizon", "block_id"])
-    else:
-        blocks = blocks.withColumn("seeds", F.lit(""))
+    done = blocks.where("complete").select("arm_id", "horizon", "block_id", "v", "seeds")
     strata = contrasts.groupBy("comparison_id").agg(F.count(F.lit(1)).alias("strata"))
-    cand = contrasts.join(blocks.withColumnRenamed("arm_id", "candidate"), ["candidate", "horizon"])
+    cand = contrasts.join(done.withColumnRenamed("arm_id", "candidate"), ["candidate", "horizon"])
     ref = contrasts.select("comparison_id", "reference", "horizon").join(
-        blocks.select(F.col("arm_id").alias("reference"), "horizon", "block_id", F.col("v").alias("rv"), F.col("seeds").alias("rs")),
+        done.select(F.col("arm_id").alias("reference"), "horizon", "block_id", F.col("v").alias("rv"), F.col("seeds").alias("rs")),
         ["reference", "horizon"],
     )
-    paired = cand.join(ref.drop("reference"), ["comparison_id", "horizon", "block_id"]).where(
-        F.col("seeds") == F.col("rs")
-    )
+    paired = cand.join(ref.drop("reference"), ["comparison_id", "horizon", "block_id"])
+    if policy.seed_pairing != "independent":
+        paired = paired.where(F.col("seeds") == F.col("rs"))
     summed = paired.groupBy("comparison_id", "block_id").agg(
         F.sum(F.col("weight") * (F.col("v") - F.col("rv"))).alias("difference"), F.count(F.lit(1)).alias("k")
     )
@@ -137,7 +146,10 @@ def weighted_block_differences(cells: DataFrame, contrasts: DataFrame, policy: P
 
 
 def adjudicate(cells: DataFrame, contrasts: DataFrame, policy: Policy) -> DataFrame:
-    """Verdict per registered contrast. ``contrasts`` has one row per (comparison_id, horizon) with its weight."""
+    """Verdict per registered contrast. ``contrasts`` has one row per (comparison_id, horizon) with its weight.
+
+    Cells are read once; block rows and paired differences are stored, because several branches use them.
+    """
     family = contrasts.select("comparison_id", "reference", "candidate").distinct()
     if policy.unregistered():
         return family.select(
@@ -145,10 +157,13 @@ def adjudicate(cells: DataFrame, contrasts: DataFrame, policy: Policy) -> DataFr
             F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"),
             F.lit("NEEDS_PREREGISTRATION").alias("verdict"),
         )
-    gates = quality_gates(cells, contrasts, policy)
+    blocks = materialise(policy_blocks(cells, policy))
+    gates = quality_gates(blocks, contrasts, F.col("gates"))
     sign = -1.0 if policy.direction == "minimize" else 1.0
-    oriented = weighted_block_differences(cells, contrasts, policy).select(
-        "comparison_id", "block_id", (F.col("difference") * sign).alias("effect")
+    oriented = materialise(
+        weighted_block_differences(blocks, contrasts, policy).select(
+            "comparison_id", "block_id", (F.col("difference") * sign).alias("effect")
+        )
     )
     estimates = bootstrap_means(
         block_slots(oriented, ["comparison_id"], "block_id"), ["comparison_id"], ["effect"], policy.replicates, policy.seed

@@ -26,8 +26,22 @@ def paired_blocks(
     blocks: DataFrame, metrics: Sequence[str], keys: Sequence[str] = ("horizon", "block_id"),
     arm: str = "arm_id", reference: str | None = None,
 ) -> DataFrame:
-    """Candidate minus reference on blocks complete for both, inside one stratum."""
+    """Candidate minus reference on blocks complete for both, inside one stratum.
+
+    With a registered reference the arms of a block are brought together by one aggregate (a block has one row per
+    arm), so the blocks are computed once; the default reference needs a look at all arms first.
+    """
     complete = blocks.where("complete")
+    if reference is not None:
+        side = F.struct(F.col(arm).alias("arm"), *[F.col(m).cast("double").alias(m) for m in metrics])
+        here = F.col(arm) == reference
+        met = complete.groupBy(*keys).agg(
+            F.max(F.when(here, side)).alias("__ref"), F.collect_list(F.when(~here, side)).alias("__cands")
+        )
+        return met.where(F.col("__ref").isNotNull()).select(*keys, "__ref", F.explode("__cands").alias("__c")).select(
+            F.lit(reference).alias("reference"), F.col("__c.arm").alias("candidate"), *keys,
+            *[(F.col(f"__c.{m}") - F.col(f"__ref.{m}")).alias(m) for m in metrics],
+        )
     ref, cand = reference_and_candidates(complete, arm, reference)
     ref = ref.select(*keys, F.col(arm).alias("reference"), *[F.col(m).alias(f"__r_{m}") for m in metrics])
     return cand.join(ref, list(keys)).select(

@@ -117,14 +117,17 @@ def seal_mismatches(df: DataFrame, stored: str, columns: Sequence[str]) -> DataF
 FANOUT = 1024
 
 
-def bundle_hashes(files: DataFrame, keys: Sequence[str], path: str, digest: str, levels: int = 3) -> DataFrame:
+def bundle_hashes(
+    files: DataFrame, keys: Sequence[str], path: str, digest: str, prefix: int = 3, levels: int = 3
+) -> DataFrame:
     """Hash of the ordered file list of each bundle.
 
     Up to 1024 files it is the SHA-256 of the list written as compact JSON. A longer list is hashed as a tree of
-    1024-wide pieces, so no task ever holds more than one piece.
+    1024-wide pieces, so no task ever holds more than one piece. ``prefix`` is the length of path text which cuts
+    one huge list into ordered parts.
     """
     entry = F.concat(F.lit('{"path":"'), F.col(path), F.lit('","sha256":"'), F.col(digest), F.lit('"}'))
-    chunk = F.substring(F.col(path), 1, 3)
+    chunk = F.substring(F.col(path), 1, prefix)
     rows = row_numbers(files.select(*keys, path, entry.alias("__e")), keys, [F.col(path)], chunk, "__i")
     rows = rows.select(*keys, (F.col("__i") - 1).alias("__i"), "__e")
     for level in range(levels):

@@ -50,7 +50,7 @@ def rank_fraction_split(df: DataFrame, keys: Sequence[str], unit: str, salt: str
     hashed = df.withColumn("__h", F.sha2(F.concat(F.lit(salt), F.col(unit).cast("string")), 256))
     # a hash is uniform, so its first digits cut even one huge group into equal pieces
     numbered = row_numbers(
-        hashed, keys, [F.col("__h"), F.col(unit)], F.substring("__h", 1, 2), "rank", total="size"
+        hashed, keys, [F.col("__h"), F.col(unit)], F.substring("__h", 1, 4), "rank", total="size"
     )
     keep = F.bround(F.lit(fraction) * F.col("size"), 0)
     return numbered.withColumn("role", F.when(F.col("rank") <= keep, "train").otherwise("validation")).drop("__h")

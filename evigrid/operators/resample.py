@@ -14,6 +14,7 @@ from evigrid.session import materialise
 
 BATCH = 50
 MEDIAN_LIMIT = 1_000_000
+BROADCAST_ROWS = 200_000
 
 
 def block_slots(units: DataFrame, keys: Sequence[str], unit: str, chunk: Column | None = None) -> DataFrame:
@@ -34,9 +35,12 @@ def draw_rows(
     """One row per (group, draw, slot) with the values of the unit drawn there.
 
     Draws are handed out in batches before they are expanded, so the expansion is spread over all tasks even when
-    the unit table is small. The unit table is joined by index; Spark broadcasts it only below its size threshold.
+    the unit table is small. The unit table is joined by index. Spark does not see that the other side has grown by
+    the number of draws and might broadcast that one, so the strategy is stated: the unit table is broadcast when its
+    counted rows are few, otherwise both sides are sorted by index.
     """
     session = slots.sparkSession
+    small = slots.count() <= BROADCAST_ROWS
     width = int(session.conf.get("spark.sql.shuffle.partitions"))
     batches = slots.select(
         *keys, "size", "slot", F.explode(F.sequence(F.lit(0), F.lit((draws - 1) // BATCH))).alias("__batch")
@@ -47,6 +51,7 @@ def draw_rows(
     named = [F.lit(stream), *(label if label is not None else keys), F.col("draw"), F.col("slot")]
     picked = expanded.select(*keys, "draw", hash_index(named, "size").alias("__pick"))
     table = slots.select(*keys, F.col("slot").alias("__pick"), *values)
+    table = F.broadcast(table) if small else table.hint("merge")
     return picked.join(table, [*keys, "__pick"]).drop("__pick")
 
 

@@ -259,7 +259,7 @@ def dq19_identity_hash(spark, sf):
         seal("l_suppkey", "l_partkey").alias("digest"),
     )
     identity = F.concat(F.lit('{"runtime":"r1","source_bundle_sha256":"'), F.col("bundle_sha256"), F.lit('"}'))
-    return quality.bundle_hashes(files, ["l_suppkey"], "path", "digest").withColumn(
+    return quality.bundle_hashes(files, ["l_suppkey"], "path", "digest", prefix=9).withColumn(
         "identity_sha256", F.sha2(identity, 256)
     )
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evigrid.functions.ordered import piece_width
 from evigrid.functions.scalars import micros, seal
 from evigrid.session import materialise
 
@@ -176,9 +177,12 @@ def steps(spark: SparkSession, sf: str) -> DataFrame:
 def points(spark: SparkSession, sf: str) -> DataFrame:
     from evigrid.operators.trajectory import segment_points
 
+    tracks = steps(spark, sf)
+    widths = [seconds * 1000000 for seconds in (DAY, 3600, 60, 1)]
+    width = piece_width(tracks, ["user_id"], F.col("t_us"), widths)
     walked = segment_points(
-        steps(spark, sf), "user_id", [F.col("t_us"), F.col("event_id")], time_chunk(), "t_us", DAY * 1000000,
-        {"x": F.col("dx"), "y": F.col("dy")},
+        tracks, "user_id", [F.col("t_us"), F.col("event_id")], F.floor(F.col("t_us") / F.lit(width)), "t_us",
+        DAY * 1000000, {"x": F.col("dx"), "y": F.col("dy")},
     )
     # every trajectory operator reads this table more than once, so it is stored like any refined corpus
     return materialise(

@@ -38,7 +38,7 @@ def stored_blocks(spark, sf):
 
 
 def pairs(spark, sf):
-    return materialise(pairing.paired_blocks(stored_blocks(spark, sf), METRICS))
+    return materialise(pairing.paired_blocks(blocks(spark, sf), METRICS, reference="A"))
 
 
 @query(
@@ -335,7 +335,8 @@ diffs as (select comparison_id, block_id, difference from (
     f"with {WEIGHTED} select comparison_id, block_id, round(difference, 8) as difference from diffs",
 )
 def inf4_weighted_strata_difference(spark, sf):
-    return inference.weighted_block_differences(cells(spark, sf), contrasts(spark), POLICY).withColumn(
+    table_ = materialise(inference.policy_blocks(policy_cells(spark, sf), POLICY))
+    return inference.weighted_block_differences(table_, contrasts(spark), POLICY).withColumn(
         "difference", F.round("difference", 8)
     )
 
@@ -387,7 +388,7 @@ def inf5_adjudication(spark, sf):
 )
 def inf6_quality_gates(spark, sf):
     policy = inference.Policy(minimum_ess=3.0, maximum_reference_error=120000.0)
-    return inference.quality_gates(policy_cells(spark, sf), contrasts(spark), policy)
+    return inference.quality_gates(policy_cells(spark, sf), contrasts(spark), inference.gates_met(policy))
 
 
 @query(

@@ -18,9 +18,8 @@ def path_hits(points: DataFrame, path: str, region: Column, window: Column, time
 
 
 def with_total(df: DataFrame, weight: Column, name: str = "total") -> DataFrame:
-    """Add a grand total to every row. The total is one row, so its broadcast is bounded."""
-    total = df.agg(F.sum(weight).alias(name)).withColumn("__one", F.lit(1))
-    return df.withColumn("__one", F.lit(1)).join(F.broadcast(total), "__one", "left").drop("__one")
+    """Add a grand total to every row, as a scalar subquery."""
+    return df.withColumn(name, df.agg(F.sum(weight)).scalar())
 
 
 def soft_weight(rho: float, prior: Column) -> Column:
@@ -30,12 +29,12 @@ def soft_weight(rho: float, prior: Column) -> Column:
 
 def class_weights(paths: DataFrame, rho: float) -> DataFrame:
     """Weight per path: its class keeps its inner shape while presence gets its posterior share."""
-    counted = paths.agg(F.count_if("hit").alias("__h"), F.count(F.lit(1)).alias("__n")).withColumn("__one", F.lit(1))
-    joined = paths.withColumn("__one", F.lit(1)).join(F.broadcast(counted), "__one", "left")
+    counted = paths.agg(F.struct(F.count_if("hit").alias("__h"), F.count(F.lit(1)).alias("__n")).alias("c")).scalar()
+    joined = paths.withColumn("__c", counted).select("*", "__c.__h", "__c.__n").drop("__c")
     prior = F.col("__h") / F.col("__n")
     w = soft_weight(rho, prior)
     weight = F.when(F.col("hit"), w / F.col("__h")).otherwise((1 - w) / (F.col("__n") - F.col("__h")))
-    return joined.withColumn("prior", prior).withColumn("posterior", w).withColumn("weight", weight).drop("__one", "__h", "__n")
+    return joined.withColumn("prior", prior).withColumn("posterior", w).withColumn("weight", weight).drop("__h", "__n")
 
 
 def cell_mass(paths: DataFrame, size: float, weight: Column, keys: Sequence[str] = ()) -> DataFrame:

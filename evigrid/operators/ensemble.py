@@ -11,6 +11,7 @@ from collections.abc import Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,10 +27,14 @@ def distance(ax: str, ay: str, bx: str, by: str) -> Column:
     return F.hypot(F.col(ax) - F.col(bx), F.col(ay) - F.col(by))
 
 
-def energy_cyclic(samples: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+def energy_cyclic(samples: DataFrame, keys: Sequence[str] = KEYS, bounded: bool = False) -> DataFrame:
     """Energy score whose spread term pairs each sample with the one before it; the first is paired with the last."""
-    order, chunk = [F.col("sample_idx")], F.floor(F.col("sample_idx") / 65536)
-    linked = previous(samples, keys, order, chunk, {"__px": "x", "__py": "y"})
+    if bounded:
+        w = W.partitionBy(*keys).orderBy("sample_idx")
+        linked = samples.select("*", F.lag("x").over(w).alias("__px"), F.lag("y").over(w).alias("__py"))
+    else:
+        chunk = F.floor(F.col("sample_idx") / 65536)
+        linked = previous(samples, keys, [F.col("sample_idx")], chunk, {"__px": "x", "__py": "y"})
     ends = {f"__{tag}{c}": pick(c, "sample_idx") for tag, pick in (("a", F.min_by), ("z", F.max_by)) for c in ("x", "y")}
     summed = linked.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("particles"),
@@ -113,14 +118,18 @@ def path_energy(samples: DataFrame, weights: Sequence[float], keys: Sequence[str
     )
 
 
-def coordinate_crps(samples: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+def coordinate_crps(samples: DataFrame, keys: Sequence[str] = KEYS, bounded: bool = False) -> DataFrame:
     """CRPS per coordinate from ranks: the pair term is ``sum((2r-N-1)x) / (N(N-1))``, so no pairs are formed."""
     axes = F.array(
         F.struct(F.lit("east").alias("axis"), F.col("x").alias("v"), F.col("tx").alias("t")),
         F.struct(F.lit("north").alias("axis"), F.col("y").alias("v"), F.col("ty").alias("t")),
     )
     long = samples.select(*keys, F.inline(axes))
-    ranked = row_numbers(long, [*keys, "axis"], [F.col("v")], value_bin("v"), "r", total="n")
+    if bounded:
+        w = W.partitionBy(*keys, "axis")
+        ranked = long.select("*", F.row_number().over(w.orderBy("v")).alias("r"), F.count(F.lit(1)).over(w).alias("n"))
+    else:
+        ranked = row_numbers(long, [*keys, "axis"], [F.col("v")], value_bin("v"), "r", total="n")
     n = F.max("n")
     return ranked.groupBy(*keys, "axis").agg(
         n.alias("particles"),

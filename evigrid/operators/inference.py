@@ -303,10 +303,9 @@ def seed_counts(seed_effects: DataFrame, keys: Sequence[str], value: str, delta:
 
 def family_unavailable(df: DataFrame, family: Sequence[str], blocked: Column, keep: Column) -> DataFrame:
     """One missing or failed required score makes the whole family unavailable, before any other state."""
-    blocks = df.groupBy(*family).agg(F.bool_or(blocked).alias("__blocked"))
-    return df.join(blocks, list(family)).withColumn(
-        "state", F.when(F.col("__blocked"), "unavailable").otherwise(keep)
-    ).drop("__blocked")
+    # a family is a registered list of comparisons
+    any_blocked = F.bool_or(blocked).over(W.partitionBy(*family))
+    return df.withColumn("state", F.when(any_blocked, "unavailable").otherwise(keep))
 
 
 # fixed values: factor decision by leave-one-out state (first) and leave-one-in state (second)
@@ -434,14 +433,14 @@ def multilevel_estimate(levels: DataFrame, keys: Sequence[str]) -> DataFrame:
 def level_allocation(levels: DataFrame, keys: Sequence[str], level: str, budget_se: float) -> DataFrame:
     """Variance and cost ratios to the level below, and samples per level for a target error. Levels are few."""
     below = W.partitionBy(*keys).orderBy(level)
-    whole = levels.groupBy(*keys).agg(F.sum(F.sqrt(F.col("variance") * F.col("cost"))).alias("__root"))
     ratios = levels.select(
         "*",
+        F.sum(F.sqrt(F.col("variance") * F.col("cost"))).over(W.partitionBy(*keys)).alias("__root"),
         (F.col("variance") / F.nullif(F.lag("variance").over(below), F.lit(0.0))).alias("variance_ratio"),
         (F.col("cost") / F.nullif(F.lag("cost").over(below), F.lit(0.0))).alias("cost_ratio"),
     )
     norm = F.col("__root") / F.lit(budget_se * budget_se)
-    return ratios.join(whole, list(keys)).withColumn(
+    return ratios.withColumn(
         "samples", F.ceil(norm * F.sqrt(F.col("variance") / F.col("cost")))
     ).drop("__root")
 

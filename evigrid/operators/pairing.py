@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evigrid.functions.fingerprint import element_digest, sequence_fingerprint
@@ -17,9 +18,24 @@ def reference_and_candidates(df: DataFrame, arm: str = "arm_id", reference: str
     """Split by arm. Without a registered reference the smallest arm id is the reference."""
     if reference is not None:
         return df.where(F.col(arm) == reference), df.where(F.col(arm) != reference)
-    # one row, so the broadcast is bounded
-    smallest = F.broadcast(df.agg(F.min(arm).alias(arm)))
-    return df.join(smallest, arm, "left_semi"), df.join(smallest, arm, "left_anti")
+    smallest = df.agg(F.min(arm)).scalar()
+    return df.where(F.col(arm) == smallest), df.where(F.col(arm) != smallest)
+
+
+def arms_together(
+    df: DataFrame, keys: Sequence[str], arm: str, reference: str, columns: Sequence[str]
+) -> DataFrame:
+    """Reference and candidate rows of the same key side by side as structs ``ref`` and ``cand``, from one pass.
+
+    A key has one row per arm and arms are registered, so what one aggregate brings together is short; the input is
+    not read a second time as a self-join would.
+    """
+    side = F.struct(F.col(arm).alias("arm"), *[F.col(c) for c in columns])
+    here = F.col(arm) == reference
+    met = df.groupBy(*keys).agg(
+        F.max(F.when(here, side)).alias("ref"), F.collect_list(F.when(~here, side)).alias("__cands")
+    )
+    return met.where(F.col("ref").isNotNull()).select(*keys, "ref", F.explode("__cands").alias("cand"))
 
 
 def paired_blocks(
@@ -28,19 +44,14 @@ def paired_blocks(
 ) -> DataFrame:
     """Candidate minus reference on blocks complete for both, inside one stratum.
 
-    With a registered reference the arms of a block are brought together by one aggregate (a block has one row per
-    arm), so the blocks are computed once; the default reference needs a look at all arms first.
+    With a registered reference the blocks are computed once; the default reference needs a look at all arms first.
     """
     complete = blocks.where("complete")
     if reference is not None:
-        side = F.struct(F.col(arm).alias("arm"), *[F.col(m).cast("double").alias(m) for m in metrics])
-        here = F.col(arm) == reference
-        met = complete.groupBy(*keys).agg(
-            F.max(F.when(here, side)).alias("__ref"), F.collect_list(F.when(~here, side)).alias("__cands")
-        )
-        return met.where(F.col("__ref").isNotNull()).select(*keys, "__ref", F.explode("__cands").alias("__c")).select(
-            F.lit(reference).alias("reference"), F.col("__c.arm").alias("candidate"), *keys,
-            *[(F.col(f"__c.{m}") - F.col(f"__ref.{m}")).alias(m) for m in metrics],
+        met = arms_together(complete, keys, arm, reference, metrics)
+        return met.select(
+            F.lit(reference).alias("reference"), F.col("cand.arm").alias("candidate"), *keys,
+            *[(F.col(f"cand.{m}") - F.col(f"ref.{m}")).alias(m) for m in metrics],
         )
     ref, cand = reference_and_candidates(complete, arm, reference)
     ref = ref.select(*keys, F.col(arm).alias("reference"), *[F.col(m).alias(f"__r_{m}") for m in metrics])
@@ -150,30 +161,28 @@ def exposed(
 ) -> DataFrame:
     """Rows of ``left`` with a history row equal on ``first``, or equal on ``second`` where ``second_applies``.
 
-    The disjunction becomes two semi-joins, which stop at the first match, instead of a nested loop over pairs.
+    The disjunction becomes two joins to distinct keys, which never multiply rows, instead of a nested loop over pairs.
     """
-    one = left.join(history.select(first).distinct(), first, "left_semi").select(*identity)
-    two = left.join(history.where(second_applies).select(second).distinct(), second, "left_semi").select(*identity)
-    return one.unionByName(two).distinct()
+    one = history.select(first).distinct().withColumn("__one", F.lit(True))
+    two = history.where(second_applies).select(second).distinct().withColumn("__two", F.lit(True))
+    marked = left.join(one, first, "left").join(two, second, "left")
+    return marked.where(F.col("__one").isNotNull() | F.col("__two").isNotNull()).select(*identity)
 
 
 def alignment(df: DataFrame, arm: str, reference: str, keys: Sequence[str], target: str) -> DataFrame:
     """Whether each arm has exactly the reference's keys with equal targets.
 
-    Counting matches against both sizes replaces a full outer join; keys are unique within an arm.
+    A key gathers its few arms once; counting matches against both sizes replaces a full outer join per arm.
     """
-    sizes = df.groupBy(arm).agg(F.count(F.lit(1)).alias("n_keys"))
-    ref = df.where(F.col(arm) == reference).select(*keys, F.col(target).alias("__t"))
-    same = df.join(ref, list(keys)).where(F.col(target).eqNullSafe(F.col("__t"))).groupBy(arm).agg(
-        F.count(F.lit(1)).alias("matched")
-    )
-    # one row
-    whole = F.broadcast(sizes.where(F.col(arm) == reference).select(F.col("n_keys").alias("reference_keys"), F.lit(1).alias("__one")))
-    joined = sizes.join(same, arm, "left").withColumn("__one", F.lit(1)).join(whole, "__one", "left")
-    matched = F.coalesce("matched", F.lit(0))
-    return joined.select(
-        arm, "n_keys", matched.alias("matched"),
-        F.coalesce((matched == F.col("n_keys")) & (matched == F.col("reference_keys")), F.lit(False)).alias("aligned"),
+    side = F.struct(F.col(arm).alias("arm"), F.col(target).alias("target"))
+    met = df.groupBy(*keys).agg(F.max(F.when(F.col(arm) == reference, side)).alias("ref"), F.collect_list(side).alias("__arms"))
+    rows = met.select(F.explode("__arms").alias("a"), "ref")
+    same = F.col("ref").isNotNull() & F.col("a.target").eqNullSafe(F.col("ref.target"))
+    per = rows.groupBy(F.col("a.arm").alias(arm)).agg(F.count(F.lit(1)).alias("n_keys"), F.count_if(same).alias("matched"))
+    # one row per arm
+    wanted = F.max(F.when(F.col(arm) == reference, F.col("n_keys"))).over(W.partitionBy(F.lit(0)))
+    return per.withColumn(
+        "aligned", F.coalesce((F.col("matched") == F.col("n_keys")) & (F.col("matched") == wanted), F.lit(False))
     )
 
 

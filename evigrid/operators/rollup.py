@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evigrid.functions.quantiles import exact_quantiles
@@ -72,17 +73,19 @@ def disposition_counts(df: DataFrame, keys: Sequence[str], status: str = "status
 
 def with_denominator(counts: DataFrame, keys: Sequence[str], n: str = "n") -> DataFrame:
     """Rate of each disposition over all registered rows of its group."""
-    total = counts.groupBy(*keys).agg(F.sum(n).alias("denominator"))
-    return counts.join(total, list(keys)).withColumn("rate", F.col(n) / F.col("denominator"))
+    # one row per disposition, so the window holds an enumeration
+    total = F.sum(n).over(W.partitionBy(*keys))
+    return counts.withColumn("denominator", total).withColumn("rate", F.col(n) / F.col("denominator"))
 
 
-def collapse(df: DataFrame, keys: Sequence[str], column: str, name: str) -> DataFrame:
-    """One value, or ``mixed:a=2;b=1``. Works on value counts; ``column`` is an enumeration."""
+def collapse(df: DataFrame, keys: Sequence[str], column: str, name: str, total: str | None = None) -> DataFrame:
+    """One value, or ``mixed:a=2;b=1``; optionally the row count. Works on value counts; ``column`` is an enumeration."""
     counts = df.groupBy(*keys, F.col(column).alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
     parts = F.array_sort(F.collect_list(F.struct("__v", "__n")))
     text = F.array_join(F.transform(parts, lambda p: F.concat(p["__v"], F.lit("="), p["__n"].cast("string"))), ";")
     return counts.groupBy(*keys).agg(
-        F.when(F.count(F.lit(1)) == 1, F.max("__v")).otherwise(F.concat(F.lit("mixed:"), text)).alias(name)
+        F.when(F.count(F.lit(1)) == 1, F.max("__v")).otherwise(F.concat(F.lit("mixed:"), text)).alias(name),
+        *([F.sum("__n").alias(total)] if total else []),
     )
 
 
@@ -107,15 +110,19 @@ def gated_group_means(
     right = rows.select(*[F.col(k).alias(f"__r_{k}") for k in keys], *[c for c in rows.columns if c not in expected.columns])
     same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys])
     grid = expected.join(right, same, "left")
-    counts = grid.groupBy(*group).agg(
+    # counts travel up with the means, so the grid is read once
+    out = grid.groupBy(*levels[0]).agg(
         F.count(F.lit(1)).alias("expected_rows"),
         F.count(status).alias("available_rows"),
         F.count_if(F.col(status).isNull()).alias("missing_rows"),
         F.count_if(F.col(status) == success).alias("success_rows"),
+        *[F.avg(m).alias(m) for m in metrics],
     )
-    means = equal_weight_levels(grid, levels, metrics)
+    counts = ("expected_rows", "available_rows", "missing_rows", "success_rows")
+    for keys_up in levels[1:]:
+        out = out.groupBy(*keys_up).agg(*[F.sum(c).alias(c) for c in counts], *[F.avg(m).alias(m) for m in metrics])
     complete = F.col("success_rows") == F.col("expected_rows")
-    return counts.join(means, list(group)).select(
+    return out.select(
         *group, "expected_rows", "available_rows", "missing_rows", "success_rows",
         F.when(complete, "computed").otherwise("unavailable").alias("status"),
         *[F.when(complete, F.col(m)).alias(m) for m in metrics],

@@ -193,11 +193,11 @@ def unit(value: ColumnLike, length: ColumnLike) -> Column:
 def clipped_standardisation(df: DataFrame, keys: Sequence[str], columns: Sequence[str], train: Column, clip: float) -> DataFrame:
     """Centre and scale by training rows only, then clip."""
     stats = df.where(train).agg(
-        *[F.avg(c).alias(f"__m_{c}") for c in columns], *[F.stddev_samp(c).alias(f"__s_{c}") for c in columns]
-    ).withColumn("__one", F.lit(1))
-    # one row of statistics
-    joined = df.withColumn("__one", F.lit(1)).join(F.broadcast(stats), "__one", "left")
-    return joined.select(
+        F.struct(
+            *[F.avg(c).alias(f"__m_{c}") for c in columns], *[F.stddev_samp(c).alias(f"__s_{c}") for c in columns]
+        ).alias("s")
+    ).scalar()
+    return df.withColumn("__s", stats).select("*", "__s.*").select(
         *keys,
         *[
             F.greatest(F.lit(-clip), F.least(F.lit(clip), (F.col(c) - F.col(f"__m_{c}")) / F.nullif(F.col(f"__s_{c}"), F.lit(0.0)))).alias(c)

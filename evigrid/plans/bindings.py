@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evigrid.functions.ordered import piece_width
@@ -109,10 +110,11 @@ def samples(spark: SparkSession, sf: str) -> DataFrame:
         F.col("vec_id").alias("sample_idx"),
         F.slice("embedding", 1, 2 * SLOTS).alias("v"),
     )
-    target = e.groupBy("forecast_id").agg(
-        F.max("sample_idx").alias("target_id"), F.max_by("v", "sample_idx").alias("t")
-    )
-    pair = e.join(target, "forecast_id").where(F.col("sample_idx") != F.col("target_id"))
+    # a forecast is bounded, so its window is too; later groupings by forecast need no further exchange
+    whole = W.partitionBy("forecast_id")
+    pair = e.select(
+        "*", F.max("sample_idx").over(whole).alias("target_id"), F.max_by("v", "sample_idx").over(whole).alias("t")
+    ).where(F.col("sample_idx") != F.col("target_id"))
     points = F.array(
         *[
             F.struct(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from evigrid.functions.fingerprint import element_digest, sequence_fingerprint
 from evigrid.functions.scalars import relative_delta_pct
 from evigrid.operators import inference, pairing, rollup
 from evigrid.plans.bindings import CELLS, LEDGER, cells, ledger, table
@@ -50,9 +51,7 @@ def pairs(spark, sf):
     from per group by arm_id""",
 )
 def agg1_status_rollup(spark, sf):
-    df = cells(spark, sf)
-    total = df.groupBy("arm_id").agg(F.count(F.lit(1)).alias("executions"))
-    return rollup.collapse(df, ["arm_id"], "status", "run_status").join(total, "arm_id")
+    return rollup.collapse(cells(spark, sf), ["arm_id"], "status", "run_status", total="executions")
 
 
 @query(
@@ -210,13 +209,13 @@ def jon5_seed_paired_blocks(spark, sf):
     """Pairs blocks whose successful seeds are the same set on both sides."""
     keys = ["arm_id", "horizon", "block_id"]
     good = cells(spark, sf).where(F.col("status") == rollup.SUCCEEDED)
-    means = good.groupBy(*keys).agg(F.avg("quantity").alias("q"))
-    seeds = pairing.set_fingerprints(good, keys, "seed", "seeds")
-    both = means.join(seeds, keys)
-    ref, cand = pairing.reference_and_candidates(both, reference="A")
-    ref = ref.select("horizon", "block_id", "seeds", F.col("q").alias("rq"))
-    return cand.join(ref, ["horizon", "block_id", "seeds"]).select(
-        F.col("arm_id").alias("candidate"), "horizon", "block_id", F.round(F.col("q") - F.col("rq"), 8).alias("delta")
+    # a cell is unique per seed, so the fingerprint of the rows is that of the seed set
+    means = good.groupBy(*keys).agg(
+        F.avg("quantity").alias("q"), sequence_fingerprint(element_digest(F.lit(0), "seed")).alias("seeds")
+    )
+    met = pairing.arms_together(means, ["horizon", "block_id", "seeds"], "arm_id", "A", ["q"])
+    return met.select(
+        F.col("cand.arm").alias("candidate"), "horizon", "block_id", F.round(F.col("cand.q") - F.col("ref.q"), 8).alias("delta")
     )
 
 
@@ -238,14 +237,12 @@ def jon6_blocks_in_every_stratum(spark, sf):
 )
 def jon26_absent_arms(spark, sf):
     """Blocks of the registered arms which have no complete evidence, counted per arm and stratum."""
-    have = blocks(spark, sf)
-    grid = have.select("horizon", "block_id").distinct().withColumn(
-        "arm_id", F.explode(F.array(*[F.lit(a) for a in "ABNRX"]))
-    )
-    keys = ["arm_id", "horizon", "block_id"]
-    return grid.join(have.where("complete").select(*keys), keys, "left_anti").groupBy("arm_id", "horizon").agg(
-        F.count(F.lit(1)).alias("absent_blocks")
+    registered = F.array(*[F.lit(a) for a in "ABNRX"])
+    have = blocks(spark, sf).groupBy("horizon", "block_id").agg(
+        F.collect_set(F.when(F.col("complete"), F.col("arm_id"))).alias("arms")
     )
+    absent = have.select("horizon", F.explode(F.array_except(registered, F.col("arms"))).alias("arm_id"))
+    return absent.groupBy("arm_id", "horizon").agg(F.count(F.lit(1)).alias("absent_blocks"))
 
 
 INTERVAL = f"""{PAIRS},
@@ -399,10 +396,10 @@ def inf6_quality_gates(spark, sf):
         where r.arm_id = 'A' and r.complete and c.complete and c.arm_id <> 'A'""",
 )
 def prj16_relative_delta(spark, sf):
-    ref, cand = pairing.reference_and_candidates(blocks(spark, sf).where("complete"), reference="A")
-    ref = ref.select("horizon", "block_id", F.col("quantity").alias("rq"))
-    return cand.join(ref, ["horizon", "block_id"]).select(
-        "arm_id", "horizon", "block_id", F.round(relative_delta_pct("quantity", "rq"), 6).alias("delta_pct")
+    met = pairing.arms_together(blocks(spark, sf).where("complete"), ["horizon", "block_id"], "arm_id", "A", ["quantity"])
+    return met.select(
+        F.col("cand.arm").alias("arm_id"), "horizon", "block_id",
+        F.round(relative_delta_pct("cand.quantity", "ref.quantity"), 6).alias("delta_pct"),
     )
 
 
@@ -421,7 +418,7 @@ def snk5_claim_index(spark, sf):
     from evigrid.sources.sinks import claim_index
 
     all_cells = cells(spark, sf)
-    return claim_index(all_cells, rollup.block_means(all_cells, ["quantity"]), ["quantity"]).select(
+    return claim_index(all_cells, materialise(rollup.block_means(all_cells, ["quantity"])), ["quantity"]).select(
         "claim_id", "metric", F.round("value", 8).alias("value"), "evidence_status", "independent_n", "attempt_id"
     )
 

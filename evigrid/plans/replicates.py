@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from evigrid.functions.fingerprint import element_digest, sequence_fingerprint
 from evigrid.operators import pairing, rollup
 from evigrid.plans.bindings import CELLS, RECEIPTS, cells, receipts, table
 from evigrid.plans.registry import query
+from evigrid.session import materialise
 
 BASE = "Brand#1"
 
@@ -17,11 +19,10 @@ deltas as (select c.benchmark_id as candidate, c.seed, c.metric - r.metric as de
 
 def deltas(spark, sf):
     """Contrast joined to its two receipts, candidate and baseline role."""
-    all_receipts = receipts(spark, sf)
-    base = all_receipts.where(F.col("benchmark_id") == BASE).select("seed", F.col("metric").alias("bm"), F.col("n").alias("bn"))
-    cand = all_receipts.where(F.col("benchmark_id") != BASE).withColumnRenamed("benchmark_id", "candidate")
-    return cand.join(base, "seed").select(
-        "candidate", "seed", (F.col("metric") - F.col("bm")).alias("delta"), F.col("n").eqNullSafe(F.col("bn")).alias("same_protocol")
+    met = pairing.arms_together(receipts(spark, sf), ["seed"], "benchmark_id", BASE, ["metric", "n"])
+    return met.select(
+        F.col("cand.arm").alias("candidate"), "seed", (F.col("cand.metric") - F.col("ref.metric")).alias("delta"),
+        F.col("cand.n").eqNullSafe(F.col("ref.n")).alias("same_protocol"),
     )
 
 
@@ -48,9 +49,9 @@ REFERENCE_ROWS = ", ".join(f"('{a}', '{b}', {str(c).lower()})" for a, b, c in RE
            case when comparison_status in ('reference', 'exploratory_point_estimate') then round(metric - rm, 6) end as delta_metric from s""",
 )
 def jon1_reference_lookup(spark, sf):
-    base = receipts(spark, sf)
-    coverage = pairing.set_fingerprints(base, ["benchmark_id"], "seed", "coverage")
-    records = base.groupBy("benchmark_id").agg(F.avg("metric").alias("metric")).join(coverage, "benchmark_id").withColumn(
+    coverage = sequence_fingerprint(element_digest(F.lit(0), "seed"))
+    per = receipts(spark, sf).groupBy("benchmark_id").agg(F.avg("metric").alias("metric"), coverage.alias("coverage"))
+    records = materialise(per).withColumn(
         "run_status", F.when(F.col("benchmark_id").isin("Brand#3", "Brand#20"), "failed").otherwise("succeeded")
     )
     refs = spark.createDataFrame(REFERENCES, "benchmark_id string, ref_benchmark_id string, matched_coverage boolean")
@@ -81,14 +82,13 @@ def jon2_paired_alignment(spark, sf):
 )
 def jon3_coverage_matched_reference(spark, sf):
     good = cells(spark, sf).where((F.col("status") == rollup.SUCCEEDED) & (F.col("seed") == 7))
-    keys = ["arm_id", "horizon"]
-    prints = pairing.set_fingerprints(good, keys, "block_id", "blocks")
-    both = good.groupBy(*keys).agg(F.avg("quantity").alias("q")).join(prints, keys)
-    ref, cand = pairing.reference_and_candidates(both, reference="A")
-    ref = ref.select("horizon", F.col("blocks").alias("rb"), F.col("q").alias("rq"))
-    same = F.col("blocks") == F.col("rb")
-    return cand.join(ref, "horizon").select(
-        "arm_id", "horizon", same.alias("same_coverage"), F.when(same, F.round(F.col("q") - F.col("rq"), 8)).alias("delta")
+    prints = sequence_fingerprint(element_digest(F.lit(0), "block_id"))
+    both = good.groupBy("arm_id", "horizon").agg(F.avg("quantity").alias("q"), prints.alias("blocks"))
+    met = pairing.arms_together(both, ["horizon"], "arm_id", "A", ["q", "blocks"])
+    same = F.col("cand.blocks") == F.col("ref.blocks")
+    return met.select(
+        F.col("cand.arm").alias("arm_id"), "horizon", same.alias("same_coverage"),
+        F.when(same, F.round(F.col("cand.q") - F.col("ref.q"), 8)).alias("delta"),
     )
 
 
@@ -128,13 +128,12 @@ def jon9_uncertainty_join(spark, sf):
     from evigrid.functions.quantiles import exact_quantiles
     from evigrid.functions.scalars import close_to
 
-    d = deltas(spark, sf)
+    d = materialise(deltas(spark, sf))
     points = exact_quantiles(d, ["candidate"], "delta", {"point": 0.5, "ci_low": 0.1, "ci_high": 0.9})
     means = d.groupBy("candidate").agg(F.avg("delta").alias("mean_delta"))
-    per = receipts(spark, sf).groupBy("benchmark_id").agg(F.avg("metric").alias("m"))
-    ref, cand = pairing.reference_and_candidates(per, "benchmark_id", BASE)
-    roles = cand.select(F.col("benchmark_id").alias("candidate"), F.col("m").alias("cm"), F.lit(BASE).alias("baseline")).join(
-        ref.select(F.col("benchmark_id").alias("baseline"), F.col("m").alias("bm")), "baseline"
+    per = receipts(spark, sf).groupBy("benchmark_id").agg(F.avg("metric").alias("m")).withColumn("family", F.lit("all"))
+    roles = pairing.arms_together(per, ["family"], "benchmark_id", BASE, ["m"]).select(
+        F.col("cand.arm").alias("candidate"), F.col("cand.m").alias("cm"), F.col("ref.m").alias("bm")
     )
     delta = F.col("cm") - F.col("bm")
     return points.join(means, "candidate").join(roles, "candidate").select(

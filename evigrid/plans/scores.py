@@ -9,6 +9,7 @@ from evigrid.functions.scalars import micros, seal
 from evigrid.operators import ensemble, pairing, rollup
 from evigrid.plans.bindings import CELLS, SAMPLES, cells, samples, table
 from evigrid.plans.registry import query
+from evigrid.session import materialise
 
 LEVELS = {"p50": 0.5, "p80": 0.8, "p90": 0.9, "p95": 0.95}
 WEIGHTS = [0.25] * 4
@@ -42,7 +43,7 @@ def src13_parquet_samples(spark, sf):
 
 @query("ens1_energy_cyclic", f"with {CYCLIC} select {G}, particles, round(energy, 6) as energy from energy")
 def ens1_energy_cyclic(spark, sf):
-    return ensemble.energy_cyclic(samples(spark, sf)).withColumn("energy", F.round("energy", 6))
+    return ensemble.energy_cyclic(samples(spark, sf), bounded=True).withColumn("energy", F.round("energy", 6))
 
 
 @query(
@@ -76,7 +77,7 @@ def ens3_deterministic_energy(spark, sf):
     select {G}, axis, particles, round(acc - d / (particles * (particles - 1)), 6) as crps from m join p using ({G}, axis)""",
 )
 def ens4_coordinate_crps(spark, sf):
-    return ensemble.coordinate_crps(samples(spark, sf)).withColumn("crps", F.round("crps", 6))
+    return ensemble.coordinate_crps(samples(spark, sf), bounded=True).withColumn("crps", F.round("crps", 6))
 
 
 @query(
@@ -134,7 +135,7 @@ def ens9_endpoint_quantiles(spark, sf):
     f"with {CYCLIC} select method, forecast_id, round(sum(0.25 * energy), 6) as weighted_score from energy group by all",
 )
 def ens10_time_weighted(spark, sf):
-    e = ensemble.energy_cyclic(samples(spark, sf))
+    e = ensemble.energy_cyclic(samples(spark, sf), bounded=True)
     return ensemble.weighted_score(e, "energy", WEIGHTS, ["method", "forecast_id"]).withColumn(
         "weighted_score", F.round("weighted_score", 6)
     )
@@ -192,7 +193,7 @@ def ens13_axis_intervals(spark, sf):
 def ens14_horizon_bins_rescaled(spark, sf):
     s = samples(spark, sf)
     both = s.withColumn("phase", F.lit("before")).unionByName(ensemble.rescaled(s, 0.8).withColumn("phase", F.lit("after")))
-    e = ensemble.energy_cyclic(both, ("phase", *ensemble.KEYS))
+    e = ensemble.energy_cyclic(both, ("phase", *ensemble.KEYS), bounded=True)
     horizon = F.when(F.col("slot") < 2, "near").otherwise("far")
     return e.groupBy("phase", "method", horizon.alias("horizon")).agg(
         F.count(F.lit(1)).alias("scores"), F.round(F.avg("energy"), 6).alias("energy")
@@ -248,7 +249,7 @@ def jon11_score_target_hash_join(spark, sf):
     select method, slot, count(*) as blocks, round(avg(e), 6) as energy from b group by method, slot""",
 )
 def agg12_horizon_profile(spark, sf):
-    e = ensemble.energy_cyclic(samples(spark, sf)).withColumn("block", F.substring_index("forecast_id", "-", 1))
+    e = ensemble.energy_cyclic(samples(spark, sf), bounded=True).withColumn("block", F.substring_index("forecast_id", "-", 1))
     return e.groupBy("method", "slot", "block").agg(F.avg("energy").alias("e")).groupBy("method", "slot").agg(
         F.count(F.lit(1)).alias("blocks"), F.round(F.avg("e"), 6).alias("energy")
     )
@@ -347,7 +348,7 @@ def agg42_horizon_overview(spark, sf):
     from means join s using (method, slot) where level = 0.9""",
 )
 def agg43_metric_overview(spark, sf):
-    score = ensemble.energy_cyclic(samples(spark, sf)).groupBy("method", "slot").agg(F.avg("energy").alias("e"))
+    score = ensemble.energy_cyclic(samples(spark, sf), bounded=True).groupBy("method", "slot").agg(F.avg("energy").alias("e"))
     return coverage_means(spark, sf).where(F.col("level") == 0.9).join(score, ["method", "slot"]).select(
         "method", "slot", F.round("e", 6).alias("energy"), F.round("area", 2).alias("area"),
         F.round(100 * (F.col("coverage") - 0.9), 6).alias("coverage_points"),
@@ -360,19 +361,29 @@ pairwise as (select c.candidate, k.horizon, k.block_id from cells k join (values
              where status = 'SUCCEEDED' group by all having count(*) = 14)"""
 
 
-def joint_blocks(all_cells):
-    """Blocks with every configuration and seed successful (relational division by counting distinct pairs)."""
-    good = F.col("status") == rollup.SUCCEEDED
-    return pairing.complete_units(all_cells, ["horizon", "block_id"], ["arm_id", "seed"], 21, good)
+def complete_subsets(spark, sf):
+    """Complete blocks once per subset they belong to: jointly complete over all arms, and pairwise with the reference.
 
+    Seven seeds per arm and block are registered. The arms of a block meet in one aggregate, so cells are read once.
+    """
+    rows = rollup.block_means(cells(spark, sf), ["quantity"])
+    done = F.col("n_eligible") == 7
+    side = F.struct("arm_id", F.col("quantity").alias("score"))
+    met = rows.groupBy("horizon", "block_id").agg(F.collect_list(F.when(done, side)).alias("arms"))
 
-def pairwise_blocks(all_cells):
-    roles = all_cells.withColumn(
-        "candidate",
-        F.explode(F.when(F.col("arm_id") == "A", F.array(F.lit("N"), F.lit("R"))).otherwise(F.array("arm_id"))),
+    def has(name):
+        return F.exists("arms", lambda a: a["arm_id"] == name)
+
+    subsets = F.array_compact(
+        F.array(
+            F.when(F.size("arms") == 3, F.struct(F.lit("common").alias("subset"), F.array(F.lit("A"), F.lit("N"), F.lit("R")).alias("members"))),
+            *[
+                F.when(has("A") & has(c), F.struct(F.lit(f"pair-{c}").alias("subset"), F.array(F.lit("A"), F.lit(c)).alias("members")))
+                for c in ("N", "R")
+            ],
+        )
     )
-    good = F.col("status") == rollup.SUCCEEDED
-    return pairing.complete_units(roles, ["candidate", "horizon", "block_id"], ["arm_id", "seed"], 14, good)
+    return met.select("horizon", "block_id", "arms", F.inline(subsets))
 
 
 @query(
@@ -380,10 +391,8 @@ def pairwise_blocks(all_cells):
     f"with {COMPLETE} select 'joint' as subset, horizon, block_id from joint union all select candidate, horizon, block_id from pairwise",
 )
 def jon12_complete_blocks(spark, sf):
-    c = cells(spark, sf)
-    return joint_blocks(c).select(F.lit("joint").alias("subset"), "horizon", "block_id").unionByName(
-        pairwise_blocks(c).withColumnRenamed("candidate", "subset")
-    )
+    name = F.when(F.col("subset") == "common", "joint").otherwise(F.substring_index("subset", "-", -1))
+    return complete_subsets(spark, sf).select(name.alias("subset"), "horizon", "block_id")
 
 
 @query(
@@ -396,16 +405,11 @@ def jon12_complete_blocks(spark, sf):
     union all select subset, arm_id, horizon, blocks, round(score, 8) from pairs""",
 )
 def agg14_complete_case_profiles(spark, sf):
-    c = cells(spark, sf)
-    common = c.join(joint_blocks(c), ["horizon", "block_id"], "left_semi").withColumn("subset", F.lit("common"))
-    pair = c.join(pairwise_blocks(c), ["horizon", "block_id"]).where(
-        (F.col("arm_id") == "A") | (F.col("arm_id") == F.col("candidate"))
-    ).withColumn("subset", F.concat(F.lit("pair-"), "candidate"))
-    columns = ["subset", "arm_id", "horizon", "block_id", "quantity"]
-    rows = common.select(*columns).unionByName(pair.select(*columns))
-    # the seed count is the same in every complete block, so the two stacked means equal the plain mean
-    per_block = rows.groupBy("subset", "arm_id", "horizon", "block_id").agg(F.avg("quantity").alias("score"))
-    return per_block.groupBy("subset", "arm_id", "horizon").agg(
+    # every complete block has the same seeds, so the mean of block means equals the plain mean
+    rows = complete_subsets(spark, sf).select("subset", "horizon", "block_id", "members", F.inline("arms")).where(
+        F.array_contains("members", F.col("arm_id"))
+    )
+    return rows.groupBy("subset", "arm_id", "horizon").agg(
         F.count(F.lit(1)).alias("blocks"), F.round(F.avg("score"), 8).alias("score")
     )
 
@@ -426,9 +430,10 @@ def matched_targets(spark, sf):
     targets = e.groupBy("user_id").agg(F.min("t_us").alias("t0")).select("user_id", "t0", F.inline(rows)).select(
         "user_id", "slot", (F.col("t0") + F.col("d")).alias("nominal_us")
     )
-    return pairing.nearest_match(
+    # stored: its profile reads it several times
+    return materialise(pairing.nearest_match(
         targets, e, "user_id", "nominal_us", "t_us", 21600000000, ["user_id", "slot", "nominal_us"], ["event_id"]
-    )
+    ))
 
 
 @query("jon10_nearest_target", f"with {TARGETS} select user_id, slot, nominal_us, t_us, event_id from matched")

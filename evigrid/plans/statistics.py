@@ -11,6 +11,7 @@ from evigrid.plans.bindings import (
 )
 from evigrid.plans.evidence import BLOCKS, PAIRS, blocks, pairs
 from evigrid.plans.registry import query
+from evigrid.session import materialise
 
 SEGMENTS = f"""{BLOCKS},
 seg as (select c.arm_id as candidate, c.horizon, c.block_id, c.quantity as ce, r.quantity as re, (c.error > 38000)::int as cc, (r.error > 38000)::int as rc,
@@ -29,15 +30,11 @@ seg as (select c.arm_id as candidate, c.horizon, c.block_id, c.quantity as ce, r
     from d group by candidate, horizon""",
 )
 def inf1_segment_bootstrap(spark, sf):
-    done = blocks(spark, sf).where("complete")
-    ref, cand = pairing.reference_and_candidates(done, reference="A")
-    hit = (F.col("error") > 38000).cast("int")
-    ref = ref.select("horizon", "block_id", F.col("quantity").alias("re"), hit.alias("rc"), F.col("error").alias("rp"))
-    cand = cand.select(
-        F.col("arm_id").alias("candidate"), "horizon", "block_id", F.col("quantity").alias("ce"), hit.alias("cc"), F.col("error").alias("cp")
-    )
+    done = blocks(spark, sf).where("complete").withColumn("hit", (F.col("error") > 38000).cast("int"))
+    met = pairing.arms_together(done, ["horizon", "block_id"], "arm_id", "A", ["quantity", "hit", "error"])
+    sides = [F.col(f"{side}.{c}").alias(f"{side[0]}{n}") for side in ("cand", "ref") for c, n in (("quantity", "e"), ("hit", "c"), ("error", "p"))]
     out = inference.segment_bootstrap(
-        cand.join(ref, ["horizon", "block_id"]), ["candidate", "horizon"], "block_id",
+        met.select(F.col("cand.arm").alias("candidate"), "horizon", "block_id", *sides), ["candidate", "horizon"], "block_id",
         [("energy", "ce", "re"), ("coverage", "cc", "rc")], [("cep50", "cp", "rp")],
     )
     return out.select("candidate", "horizon", *[F.round(c, 5).alias(c) for c in out.columns if c not in ("candidate", "horizon")])
@@ -148,11 +145,10 @@ states as (select horizon, candidate, case when n >= 30 and high < -0.3 - 1e-9 a
 
 def states(spark, sf):
     c = cells(spark, sf).where(F.col("status") == rollup.SUCCEEDED)
-    ref, cand = pairing.reference_and_candidates(c, reference="A")
-    ref = ref.select("horizon", "block_id", "seed", F.col("quantity").alias("rq"))
-    per_seed = cand.join(ref, ["horizon", "block_id", "seed"]).groupBy(
-        F.col("arm_id").alias("candidate"), "horizon", "seed"
-    ).agg(F.avg(F.col("quantity") - F.col("rq")).alias("e"))
+    met = pairing.arms_together(c, ["horizon", "block_id", "seed"], "arm_id", "A", ["quantity"])
+    per_seed = met.groupBy(F.col("cand.arm").alias("candidate"), "horizon", "seed").agg(
+        F.avg(F.col("cand.quantity") - F.col("ref.quantity")).alias("e")
+    )
     counts = inference.seed_counts(per_seed, ["candidate", "horizon"], "e", 0.3, 1e-9)
     joined = holm(spark, sf).join(counts, ["candidate", "horizon"])
     state = inference.decision_state(0.3, F.lit(1e-9), F.col("n") >= 30)
@@ -201,11 +197,14 @@ def inf14_factor_decision(spark, sf):
         .otherwise("inconclusive")
     )
     raw = F.when(F.col("e") < -0.8, "beneficial").when(F.col("e") > 0.8, "harmful").otherwise("inconclusive")
-    judged = s.select("factor", "l_linestatus", state.alias("state"), raw.alias("raw"))
-    out = judged.where(F.col("l_linestatus") == "F").select("factor", F.col("state").alias("loo_state"), F.col("raw").alias("ro"))
-    inn = judged.where(F.col("l_linestatus") == "O").select("factor", F.col("state").alias("lio_state"), F.col("raw").alias("ri"))
+    def of(code, value):
+        return F.max(F.when(F.col("l_linestatus") == code, value))
+
+    wide = s.groupBy("factor").agg(
+        of("F", state).alias("loo_state"), of("O", state).alias("lio_state"), of("F", raw).alias("ro"), of("O", raw).alias("ri")
+    )
     decision = inference.factor_decision(F.col("loo_state"), F.col("lio_state"), F.col("ro"), F.col("ri"))
-    return out.join(inn, "factor").select("factor", "loo_state", "lio_state", decision.alias("decision"))
+    return wide.dropna().select("factor", "loo_state", "lio_state", decision.alias("decision"))
 
 
 @query("inf15_planning_power")
@@ -217,7 +216,9 @@ def inf15_planning_power(spark, sf):
 
 
 def moments(spark, sf):
-    return inference.merge_moments(inference.chunk_moments(draws(spark, sf), ["stream", "chunk"]), ["stream"])
+    # chunk statistics are saved; merging reads them twice
+    saved = materialise(inference.chunk_moments(draws(spark, sf), ["stream", "chunk"]))
+    return inference.merge_moments(saved, ["stream"])
 
 
 DIRECT = """direct as (select l_returnflag as stream, count(*) as n, count(*) filter (where l_quantity > 45) as hits, avg(l_quantity) as mean,
@@ -434,13 +435,14 @@ def agg32_capture_totals(spark, sf):
         from (select * from captures where capture = 'earlier') a full join (select * from captures where capture = 'later') b using (matrix, disposition)""",
 )
 def jon13_capture_join(spark, sf):
-    c = captures(spark, sf)
-    both = pairing.full_compare(
-        c.where(F.col("capture") == "earlier"), c.where(F.col("capture") == "later"), ["matrix", "disposition"], ["n"]
-    )
+    """Both captures meet per cell in one aggregate; a cell absent from one side stays with a null there."""
+    def side(name):
+        return F.max(F.when(F.col("capture") == name, F.col("n")))
+
+    both = captures(spark, sf).groupBy("matrix", "disposition").agg(side("earlier").alias("n_left"), side("later").alias("n_right"))
     return both.select(
         "matrix", "disposition", "n_left", "n_right",
-        (F.coalesce("n_right", F.lit(0)) - F.coalesce("n_left", F.lit(0))).alias("net"), (F.col("state") != "equal").alias("changed"),
+        (F.coalesce("n_right", F.lit(0)) - F.coalesce("n_left", F.lit(0))).alias("net"), (~F.col("n_left").eqNullSafe(F.col("n_right"))).alias("changed"),
     )
 
 
@@ -520,11 +522,12 @@ def agg35_availability_matrix(spark, sf):
     c = table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("family"), "o_orderstatus").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("o_totalprice") < 10000).alias("bad")
     )
-    gate = c.groupBy("family").agg(F.bool_or(F.col("bad") > 25).alias("blocked"))
-    wide = c.groupBy("family").pivot("o_orderstatus", ["F", "O", "P"]).agg(F.sum("n"))
-    return wide.join(gate, "family").select(
-        "family", *[F.coalesce(m, F.lit(0)).alias(m.lower()) for m in ("F", "O", "P")],
-        F.when(F.col("blocked"), "unavailable").otherwise("available").alias("state"),
+    def mode(code):
+        return F.coalesce(F.sum(F.when(F.col("o_orderstatus") == code, F.col("n"))), F.lit(0))
+
+    return c.groupBy("family").agg(
+        *[mode(m).alias(m.lower()) for m in ("F", "O", "P")],
+        F.when(F.bool_or(F.col("bad") > 25), "unavailable").otherwise("available").alias("state"),
     )
 
 

@@ -11,6 +11,7 @@ from evigrid.functions.scalars import micros, unit_interval_hash
 from evigrid.operators import conditioning, pairing, ranking, rollup, trajectory
 from evigrid.plans.bindings import DAY, ELIGIBILITY, POINTS, eligibility, points, table
 from evigrid.plans.registry import query
+from evigrid.session import materialise
 
 O = "(greatest(1, n // 2) - 1)"  # noqa: E741 - origin index in SQL
 ORIGINS = f"""{POINTS},
@@ -121,7 +122,7 @@ def agg39_clock_anomalies(spark, sf):
            (select sum(mass) from m z where z.l_returnflag = c.l_returnflag) as cumulative_total from c)""",
 )
 def win15_mass_order(spark, sf):
-    m = table(spark, sf, "lineitem").groupBy("l_returnflag", "l_suppkey").agg(F.sum("l_quantity").alias("mass"))
+    m = materialise(table(spark, sf, "lineitem").groupBy("l_returnflag", "l_suppkey").agg(F.sum("l_quantity").alias("mass")))
     return ranking.mass_order(m, ["l_returnflag"], "mass", ["l_suppkey"], 0.5)
 
 
@@ -500,10 +501,9 @@ def trj15_fit_error(spark, sf):
     select 'all' as fit, count(*) as n, round(avg(ex * ex / dt), 8) as qxx, round(avg(ex * ey / dt), 8) as qxy, round(avg(ey * ey / dt), 8) as qyy from e""",
 )
 def trj17_diffusion_moment(spark, sf):
-    moves = resampled(spark, sf).withColumn("fit", F.lit("all"))
-    drift = moves.groupBy("fit").agg(F.avg(F.col("dx") / F.col("dt")).alias("bx"), F.avg(F.col("dy") / F.col("dt")).alias("by"))
-    # one row per fit
-    joined = moves.join(F.broadcast(drift), "fit")
+    moves = materialise(resampled(spark, sf)).withColumn("fit", F.lit("all"))
+    rate = [F.avg(F.col(c) / F.col("dt")).alias(n) for c, n in (("dx", "bx"), ("dy", "by"))]
+    joined = moves.withColumn("b", moves.agg(F.struct(*rate).alias("b")).scalar()).select("*", "b.*")
     ex, ey = F.col("dx") - F.col("bx") * F.col("dt"), F.col("dy") - F.col("by") * F.col("dt")
     out = trajectory.diffusion_moment(joined, ["fit"], ex, ey, F.col("dt"))
     return out.select("fit", "n", *[F.round(c, 8).alias(c) for c in ("qxx", "qxy", "qyy")])
@@ -546,7 +546,9 @@ def paths(spark, sf):
     start = p.where(F.col("idx") == 0).select("segment_id", F.col("t_us").alias("__t0"))
     rel = p.join(start, "segment_id").withColumn("t_rel", (F.col("t_us") - F.col("__t0")) / 1e6)
     region = F.col("x").between(20, 200) & F.col("y").between(-50, 150)
-    return conditioning.path_hits(rel, "segment_id", region, F.col("t_rel").between(3600, 400000), "t_rel", "x", "y", "idx")
+    hits = conditioning.path_hits(rel, "segment_id", region, F.col("t_rel").between(3600, 400000), "t_rel", "x", "y", "idx")
+    # one row per path: every map reads it for cells and for totals
+    return materialise(hits)
 
 
 @query("evd1_region_hits", f"with {PATHS} select segment_id, hit, first_hit, end_x, end_y, end_inside from paths")

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from evigrid.functions.ordered import previous, row_numbers
 from evigrid.functions.quantiles import exact_quantiles
 from evigrid.functions.scalars import value_bin
+from evigrid.session import materialise
 
 KEYS = ("method", "forecast_id", "slot")
 TILE = 512
@@ -57,7 +58,8 @@ def pair_distance_sums(samples: DataFrame, keys: Sequence[str], vector: Column,
     sized = samples.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("__tiles"))
     dealt = samples.select(*keys, vector.alias("__v"), F.xxhash64("sample_idx").alias("__h")).join(sized, list(keys))
     dealt = dealt.withColumn("__tile", F.pmod("__h", F.col("__tiles").cast("bigint")).cast("int"))
-    tiles = dealt.groupBy(*keys, "__tiles", "__tile").agg(F.flatten(F.collect_list("__v")).alias("__p"))
+    # stored, because every tile is read as the left and as the right side
+    tiles = materialise(dealt.groupBy(*keys, "__tiles", "__tile").agg(F.flatten(F.collect_list("__v")).alias("__p")))
     left = tiles.select(
         *keys, F.col("__tile").alias("__a"),
         F.explode(F.sequence(F.col("__tile"), F.col("__tiles") - 1)).alias("__b"), F.col("__p").alias("__pa"),

@@ -205,9 +205,9 @@ def agg36_window_spans(spark, sf):
 def agg37_window_speed(spark, sf):
     """Median speed per window, then quartiles in which every window counts once."""
     med = exact_quantiles(points(spark, sf), ["segment_id"], "speed", {"v": 0.5}).withColumn("all", F.lit("all"))
+    med = materialise(med)
     five = rollup.five_numbers(med, ["all"], "v")
-    counts = med.groupBy("all").agg(F.count(F.lit(1)).alias("windows"))
-    return counts.join(five, "all").select("windows", *[F.round(c, 8).alias(c) for c in ("minimum", "q1", "median", "q3", "maximum")])
+    return five.withColumn("windows", med.agg(F.count(F.lit(1))).scalar()).select("windows", *[F.round(c, 8).alias(c) for c in ("minimum", "q1", "median", "q3", "maximum")])
 
 
 @query(
@@ -226,8 +226,8 @@ def agg38_prefix_spans(spark, sf):
         F.round(F.avg("span"), 4).alias("span_mean"), F.round(F.min("gap"), 6).alias("gap_min"), F.round(F.max("gap"), 6).alias("gap_max"),
         F.round(F.avg("gap"), 4).alias("gap_mean"),
     )
-    med = exact_quantiles(s, ["one"], "span", {"span_median": 0.5}).withColumn("span_median", F.round("span_median", 6))
-    return stats.join(med, "one").drop("one")
+    med = exact_quantiles(s, ["one"], "span", {"span_median": 0.5}).select(F.round("span_median", 6))
+    return stats.withColumn("span_median", med.scalar()).drop("one")
 
 
 @query(

@@ -167,10 +167,14 @@ def forbidden_suffixes(df: DataFrame, keys: Sequence[str], path: str, suffixes:
     return df.select(*keys, suffix.alias("suffix")).where(F.col("suffix").isin(list(suffixes)))
 
 
+JSON_STRING = r'"(?:[^"\\]|\\.)*"(?:\s*:)?'
+
+
 def forbidden_fields(df: DataFrame, keys: Sequence[str], document: str, fields: Sequence[str]) -> DataFrame:
-    """Forbidden keys at the top level and one level down of JSON text; deeper levels by applying it again."""
-    top = F.json_object_keys(document)
-    return df.select(*keys, F.explode(F.array_intersect(top, F.array(*[F.lit(f) for f in fields]))).alias("field"))
+    """Forbidden keys at any depth of JSON text: strings are read from left to right, those before a colon are keys."""
+    strings = F.regexp_extract_all(F.col(document), F.lit(JSON_STRING), F.lit(0))
+    names = F.transform(F.filter(strings, lambda m: m.endswith(":")), lambda m: F.regexp_extract(m, r'^"(.*)"\s*:$', 1))
+    return df.select(*keys, F.explode(F.array_intersect(names, F.array(*[F.lit(f) for f in fields]))).alias("field"))
 
 
 def text_profile(df: DataFrame, keys: Sequence[str], text: str, limits: Mapping[str, int]) -> DataFrame:

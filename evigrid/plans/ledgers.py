@@ -27,7 +27,8 @@ costs as (
 
 def day_cells(spark, sf):
     """Finer cells, one per user and day, so some of them are complete."""
-    day = F.dayofmonth(F.timestamp_micros("sequence"))
+    # days since the epoch, so the session time zone plays no part
+    day = F.dayofmonth(F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col("sequence") / 86400000000).cast("int")))
     return ledger(spark, sf).withColumn("cell_id", F.col("cell_id") * 100 + day)
 
 

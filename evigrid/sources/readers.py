@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -94,7 +95,8 @@ def read_sharded(
     copies = index.groupBy(relative.alias("path")).agg(F.max("sha256").alias("sha256"), F.count(F.lit(1)).alias("copies"))
     checked = copies.withColumn("escapes", F.col("path").startswith("/") | F.col("path").rlike(r"(^|/)\.\.(/|$)"))
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).where(F.col("length") <= size_limit)
-    base = root.rstrip("/") + "/"
+    # listings may spell the scheme of the root differently
+    base = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:/*", "", root).strip("/") + "/"
     found = files.select(
         F.substring_index("path", base, -1).alias("path"), F.sha2("content", 256).alias("found"), F.decode("content", "UTF-8").alias("text")
     )

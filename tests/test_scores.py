@@ -180,3 +180,13 @@ def test_sensitive_text_names_the_line(spark):
     df = spark.createDataFrame([(1, text), (2, "nothing")], "id int, text string")
     got = {(r["id"], r["line"], r["rule"]) for r in quality.sensitive_lines(df, ["id"], "text").collect()}
     assert got == {(1, 2, "workstation path"), (1, 3, "common access token"), (1, 4, "private key")}
+
+
+def test_forbidden_fields_at_any_depth(spark):
+    rows = [
+        (1, '{"a": {"hostname": 1}}'), (2, '{"a": [{"b": {"latitude" : 2}}]}'), (3, '{"a": "hostname"}'),
+        (4, '{"note": "x \\"hostname\\": y"}'), (5, '{"hostname": "latitude"}'),
+    ]
+    df = spark.createDataFrame(rows, "id int, doc string")
+    got = sorted((r["id"], r["field"]) for r in quality.forbidden_fields(df, ["id"], "doc", ["hostname", "latitude"]).collect())
+    assert got == [(1, "hostname"), (2, "latitude"), (5, "hostname")]

@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from evigrid.functions.fingerprint import element_digest, sequence_fingerprint
 from evigrid.functions.ordered import running_sums
 from evigrid.session import materialise
 
@@ -60,15 +59,6 @@ def paired_blocks(
     )
 
 
-def set_fingerprints(df: DataFrame, keys: Sequence[str], member: str, name: str) -> DataFrame:
-    """Fingerprint of the set of ``member`` values per group, without gathering the set."""
-    return (
-        df.select(*keys, member).distinct()
-        .groupBy(*keys)
-        .agg(sequence_fingerprint(element_digest(F.lit(0), member)).alias(name))
-    )
-
-
 def complete_units(
     df: DataFrame, unit: Sequence[str], member: Sequence[str], required: int, good: Column | None = None
 ) -> DataFrame:

@@ -14,15 +14,6 @@ from evigrid.functions.quantiles import exact_quantiles
 SUCCEEDED = "SUCCEEDED"
 
 
-def count_of(condition: Column) -> Column:
-    return F.count_if(condition)
-
-
-def all_or_null(expression: Column, complete: Column) -> Column:
-    """A summary only where it is complete; a mean over the successful part is never shown."""
-    return F.when(complete, expression)
-
-
 def block_means(
     cells: DataFrame, metrics: Sequence[str], keys: Sequence[str] = ("arm_id", "horizon", "block_id"),
     minimum_seeds: int = 1, eligible: Column | None = None,

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from evigrid.functions.fingerprint import element_digest, sequence_fingerprint
 from evigrid.functions.ordered import CHUNK, previous
 from evigrid.functions.scalars import ColumnLike, col
 
@@ -170,6 +171,19 @@ def normal_number(value: ColumnLike) -> Column:
     return F.when(F.isnan(c), "NaN").when(c == 0, "0.0").otherwise(c.cast("string"))
 
 
+def track_fingerprints(
+    points: DataFrame, keys: Sequence[str], index: str, columns: Sequence[str], clock: str | None = None
+) -> DataFrame:
+    """Fingerprint of each whole track: coordinates in order, and the clock where it is asked for.
+
+    Equal tracks have equal fingerprints; positions combine on the map side, so no track is gathered.
+    """
+    parts = [normal_number(c) for c in columns] + ([F.col(clock).cast("string")] if clock else [])
+    return points.groupBy(*keys).agg(
+        sequence_fingerprint(element_digest(index, F.concat_ws(",", *parts))).alias("fingerprint")
+    )
+
+
 def resampled_transitions(points: DataFrame, tau: int, chunk_buckets: int = 64) -> DataFrame:
     """First point of each ``tau``-wide time bucket per segment, and the steps between consecutive ones."""
     bucketed = points.withColumn("bucket", F.floor(F.col("t_us") / F.lit(tau)))

@@ -290,6 +290,20 @@ def trj4_sequence_fingerprint(spark, sf):
     return turns.groupBy("conv_id").agg(sequence_fingerprint(element_digest("turn", "content")).alias("fingerprint"))
 
 
+@query(
+    "trj4_equal_tracks",
+    """with s as (select l_orderkey, string_agg(l_linenumber || ':' || l_quantity, ',' order by l_linenumber, l_quantity) as f, min(l_linestatus) as role from lineitem group by l_orderkey),
+    g as (select f, role, count(*) as n from s group by all), p as (select f, sum(n)::bigint as a, sum(n * (n - 1) // 2)::bigint as w from g group by f)
+    select count(*) filter (where a > 1) as repeated_sequences, sum(w)::bigint as pairs_within, sum(a * (a - 1) // 2 - w)::bigint as pairs_across from p""",
+)
+def trj4_equal_tracks(spark, sf):
+    """Whole-sequence fingerprints of numeric tracks and the pairs of equal ones within and across roles."""
+    li = table(spark, sf, "lineitem")
+    roles = li.groupBy("l_orderkey").agg(F.min("l_linestatus").alias("role"))
+    tracks = trajectory.track_fingerprints(li, ["l_orderkey"], "l_linenumber", ["l_quantity"]).join(roles, "l_orderkey")
+    return pairing.equal_pair_counts(tracks, "role")
+
+
 @query(
     "trj3_recording_block",
     "select doc_id, sha256(text || chr(0) || source || chr(0)) as block from documents",

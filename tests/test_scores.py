@@ -190,3 +190,12 @@ def test_forbidden_fields_at_any_depth(spark):
     df = spark.createDataFrame(rows, "id int, doc string")
     got = sorted((r["id"], r["field"]) for r in quality.forbidden_fields(df, ["id"], "doc", ["hostname", "latitude"]).collect())
     assert got == [(1, "hostname"), (2, "latitude"), (5, "hostname")]
+
+
+def test_track_fingerprints_ignore_signed_zero_but_not_order(spark):
+    nan = float("nan")
+    rows = [("a", 0, 0.0), ("a", 1, nan), ("b", 0, -0.0), ("b", 1, nan), ("c", 0, nan), ("c", 1, 0.0)]
+    df = spark.createDataFrame(rows, "s string, i int, v double").withColumn("t", F.col("i") + F.when(F.col("s") == "b", 5).otherwise(0))
+    plain = dict(trajectory.track_fingerprints(df, ["s"], "i", ["v"]).collect())
+    timed = dict(trajectory.track_fingerprints(df, ["s"], "i", ["v"], "t").collect())
+    assert plain["a"] == plain["b"] != plain["c"] and timed["a"] != timed["b"]

@@ -50,9 +50,9 @@ def read_records(spark: SparkSession, path: str, multi_line: bool = True, schema
     """One record per file, a list of records, or ``{"records": [...]}``: all give one row per record."""
     wrapped = f"{schema}, records array<{_struct(schema)}>"
     raw = spark.read.schema(wrapped).option("multiLine", multi_line).option("recursiveFileLookup", True).json(path)
-    plain = raw.where(F.col("records").isNull()).drop("records")
-    listed = raw.where(F.col("records").isNotNull()).select(F.inline("records"))
-    return plain.unionByName(listed)
+    own = F.array(F.struct(*[F.col(f"`{c}`") for c in raw.columns if c != "records"]))
+    # files are parsed once, whichever form they have
+    return raw.select(F.inline(F.coalesce("records", own)))
 
 
 def explode_predictions(df: DataFrame, keys: Sequence[str], predictions: str = "predictions") -> DataFrame:

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import shutil
+import tempfile
 from collections.abc import Callable, Iterator, Sequence
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 EMPTY_SHA256 = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
 
@@ -25,14 +30,34 @@ def whole_text(text_col: str = "text") -> Column:
     return F.coalesce(F.col(text_col).cast("string"), F.lit(""))
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors through Spark, once per application: workers import it wherever they run."""
+    application = spark.sparkContext.applicationId
+    if application not in _SHIPPED:
+        package = Path(__file__).resolve().parents[1]
+        folder = tempfile.mkdtemp(prefix="spark-package-")
+        shutil.copytree(
+            package, Path(folder, "all", package.name), ignore=lambda _, names: [n for n in names if n == "__pycache__"]
+        )
+        spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/{package.name}", "zip", f"{folder}/all"))
+        _SHIPPED.add(application)
+
+
+def arrow_schema(spark: SparkSession, ddl: str) -> tuple[StructType, pa.Schema]:
+    """A DDL string as Spark's schema and as Arrow's."""
+    schema = spark.createDataFrame([], ddl).schema
+    return schema, to_arrow_schema(schema)
+
+
 def map_batches(
     df: DataFrame, function: Callable[[pa.RecordBatch], dict[str, Sequence] | None], schema: str
 ) -> DataFrame:
     """``mapInArrow`` with one dictionary of columns per input batch; ``schema`` is a DDL string."""
-    spark_schema = df.sparkSession.createDataFrame([], schema).schema
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    arrow = to_arrow_schema(spark_schema)
+    ship(df.sparkSession)
+    spark_schema, arrow = arrow_schema(df.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evigrid.llm.common import id_and_text, map_batches
+from evigrid.llm.common import id_and_text, map_batches, ship
 
 BUCKETS = 1 << 18
 TRAIN_ROWS = 16_000
@@ -141,6 +141,8 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, shar
     )
     rows = found.select("text", "quality", order.alias("at"), F.pmod(order, F.lit(shards)).cast("int").alias("shard"))
 
+    ship(docs.sparkSession)
+
     def fit(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["at", "text"], kind="stable")
         model = ftrl([(features(t), q) for t, q in zip(frame["text"], frame["quality"], strict=True)])
@@ -176,6 +178,8 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Da
     """The documents which the classifier does not reject, with all their columns."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    ship(docs.sparkSession)
+
     @F.pandas_udf("double")
     def rate(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: score_text(shared.value, t or ""))

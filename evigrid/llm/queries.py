@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evigrid.llm import bpe, decontaminate, quality, simhash
+from evigrid.llm import bpe, decontaminate, html_text, language_model, pii, quality, secrets, simhash, spotsigs, substrings
 from evigrid.llm.common import table
+from evigrid.session import materialise
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -98,3 +99,67 @@ def tokenizer_path() -> str:
 @query("op9_bpe_round_trip")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path(), outputs=("digests",))
+
+
+@query("op8_secret_scan")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # a document's source is the owner, its source and language stand for a repository
+    found = secrets.scan(
+        table(spark, sf_dir, "documents"), owner=F.col("source"), repository=F.concat_ws("/", "source", "lang")
+    )
+    base = F.filter("spans", lambda s: s["base"])
+
+    def count(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint")
+
+    return found.select(
+        "doc_id",
+        *[count(kind).alias(f"n_{kind}") for kind in ("assign", "access", "hex")],
+        F.sha2(secrets.written(base), 256).alias("base_sha256"),
+        secrets.written(F.col("spans")).alias("spans"),
+        F.size(F.filter("spans", lambda s: s["verdict"] == "live")).cast("bigint").alias("n_live"),
+        F.size(F.filter("spans", lambda s: s["verdict"] == "example")).cast("bigint").alias("n_example"),
+    )
+
+
+@query("op10_spotsigs_fingerprints")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.fingerprints_with_next(table(spark, sf_dir, "documents"))
+
+
+@query("op1_html_main_text")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+@query("op5_cross_entropy_difference")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels")
+    good = labels.where((F.col("quality") == 1) & (F.col("toxic") == 0)).select("doc_id").distinct()
+    # read twice, joined once
+    marked = materialise(language_model.marked(docs, good))
+    models = language_model.fit(marked, F.col("is_target"))
+    return language_model.score(marked, models, F.col("is_target"))
+
+
+@query("op6_personal_data")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+
+    def count(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint")
+
+    return found.select(
+        "doc_id",
+        *[count(kind.name).alias(f"n_{kind.name}") for kind in pii.KINDS[: pii.BASE]],
+        F.sha2(secrets.written(base), 256).alias("base_sha256"),
+        secrets.written(F.col("spans")).alias("spans"),
+    )
+
+
+@query("op3_suffix_array_dedup")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.remove_repeats(table(spark, sf_dir, "documents"), with_kept=False)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")

@@ -159,18 +159,22 @@ def contamination(
     broadcast_windows: int = BROADCAST_WINDOWS,
     id_col: str = "doc_id",
     text_col: str = "text",
-    with_text: bool = False,
+    with_row: bool = False,
 ) -> DataFrame:
     """Per document: ``doc_id, n_words, n_hit, items`` (ids of occurring items, as text), ``spans`` (hit words, by number).
 
-    ``with_text`` keeps the text beside the result. The number of windows decides the way they reach the documents,
+    ``with_row`` keeps the whole document beside the result, as the structure ``document``. The number of windows decides the way they reach the documents,
     not the rows.
     """
     windows = item_windows(benchmark, width)
     head = windows.limit(broadcast_windows + 1).collect()
     source = id_and_text(docs, id_col, text_col)
+    if with_row:
+        source = docs.select(
+            F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text"), F.struct("*").alias("document")
+        )
     if len(head) > broadcast_windows:
-        return _joined(source, windows, width, with_text)
+        return _joined(source, windows, with_row)
     shared = docs.sparkSession.sparkContext.broadcast(build_index([(r.item, r.n, r.window) for r in head]))
 
     def mark(batch: pa.RecordBatch) -> dict:
@@ -185,15 +189,15 @@ def contamination(
             "items": [sorted(items) for _, _, items in found],
             "spans": [[{"start": s, "end": e} for s, e in spans] for _, spans, _ in found],
         }
-        if with_text:
-            out["text"] = batch.column("text")
+        if with_row:
+            out["document"] = batch.column("document")
         return out
 
-    kind = source.schema["doc_id"].dataType.simpleString()
-    return map_batches(source, mark, f"doc_id {kind}, {'text string, ' if with_text else ''}{_RESULT}")
+    carried = "".join(f"{n} {source.schema[n].dataType.simpleString()}, " for n in ("doc_id", "document") if n in source.columns)
+    return map_batches(source, mark, carried + _RESULT)
 
 
-def _joined(source: DataFrame, windows: DataFrame, width: int, with_text: bool) -> DataFrame:
+def _joined(source: DataFrame, windows: DataFrame, with_row: bool) -> DataFrame:
     """The way for a test set too large to send to every task: windows of both sides meet in a shuffled join."""
     lengths = [r.n for r in windows.select("n").distinct().collect()]
     base = materialise(source.withColumn("row", F.monotonically_increasing_id()))
@@ -251,7 +255,7 @@ def _joined(source: DataFrame, windows: DataFrame, width: int, with_text: bool)
     n_hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, s: a + (s["end"] - s["start"]).cast("bigint"))
     return out.select(
         "doc_id",
-        *(["text"] if with_text else []),
+        *(["document"] if with_row else []),
         "n_words",
         F.coalesce(n_hit, F.lit(0)).alias("n_hit"),
         F.coalesce("items", F.expr("cast(array() as array<string>)")).alias("items"),
@@ -264,8 +268,13 @@ def is_contaminated(share: int = 20):
     return (F.col("n_hit") > 0) & (F.lit(share) * F.col("n_hit") >= F.col("n_words"))
 
 
-def remove_spans(marked: DataFrame) -> DataFrame:
-    """``text`` of a ``contamination(..., with_text=True)`` table without its hit words and what separates them.
+def clean(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: int = 20) -> DataFrame:
+    """The documents that are not contaminated, with all their columns."""
+    return contamination(docs, benchmark, width, with_row=True).where(~is_contaminated(share)).select("document.*")
+
+
+def remove_spans(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
+    """``doc_id`` and ``text`` of all documents, without their hit words and what separates these.
 
     A removed run leaves one space between what stands before and behind it.
     """
@@ -288,5 +297,8 @@ def remove_spans(marked: DataFrame) -> DataFrame:
             texts.append(text.decode())
         return {"doc_id": batch.column("doc_id"), "text": texts}
 
+    marked = contamination(docs, benchmark, width, with_row=True)
     kind = marked.schema["doc_id"].dataType.simpleString()
-    return map_batches(marked.select("doc_id", "text", "spans"), strip, f"doc_id {kind}, text string")
+    return map_batches(
+        marked.select("doc_id", whole_text("document.text").alias("text"), "spans"), strip, f"doc_id {kind}, text string"
+    )

@@ -241,8 +241,14 @@ def find(docs: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_c
     gathered = shown.groupBy("row").agg(
         F.array_sort(F.collect_list(F.struct("start", "kind", "end", "probability"))).alias("s")
     )
-    spans = F.transform(
+    # an added span inside a base one says nothing new
+    base = F.filter("s", lambda s: s["kind"] < BASE)
+    apart = F.filter(
         "s",
+        lambda s: (s["kind"] < BASE) | ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])),
+    )
+    spans = F.transform(
+        apart,
         lambda s: F.struct(
             names[s["kind"]].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), (s["kind"] < BASE).alias("base"),
             s["probability"].alias("probability"),

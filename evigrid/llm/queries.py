@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evigrid.llm import bpe, decontaminate, html_text, language_model, pii, quality, secrets, simhash, spotsigs, substrings
+from evigrid.llm import bpe, decontaminate, html_text, language_model, pii, quality, secret_scan, simhash, spotsigs, substrings
 from evigrid.llm.common import table
 from evigrid.session import materialise
 
@@ -104,7 +104,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_secret_scan")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     # a document's source is the owner, its source and language stand for a repository
-    found = secrets.scan(
+    found = secret_scan.scan(
         table(spark, sf_dir, "documents"), owner=F.col("source"), repository=F.concat_ws("/", "source", "lang")
     )
     base = F.filter("spans", lambda s: s["base"])
@@ -115,8 +115,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id",
         *[count(kind).alias(f"n_{kind}") for kind in ("assign", "access", "hex")],
-        F.sha2(secrets.written(base), 256).alias("base_sha256"),
-        secrets.written(F.col("spans")).alias("spans"),
+        F.sha2(secret_scan.written(base), 256).alias("base_sha256"),
+        secret_scan.written(F.col("spans")).alias("spans"),
         F.size(F.filter("spans", lambda s: s["verdict"] == "live")).cast("bigint").alias("n_live"),
         F.size(F.filter("spans", lambda s: s["verdict"] == "example")).cast("bigint").alias("n_example"),
     )
@@ -154,8 +154,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id",
         *[count(kind.name).alias(f"n_{kind.name}") for kind in pii.KINDS[: pii.BASE]],
-        F.sha2(secrets.written(base), 256).alias("base_sha256"),
-        secrets.written(F.col("spans")).alias("spans"),
+        F.sha2(secret_scan.written(base), 256).alias("base_sha256"),
+        secret_scan.written(F.col("spans")).alias("spans"),
     )
 
 

@@ -15,6 +15,7 @@ repeated documents each get their row; offsets count code points, the end is exc
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
 import pyarrow as pa
 import xxhash
@@ -137,25 +138,44 @@ def written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """The documents with every candidate span of the text replaced by ``mark``; other columns as they are.
+def redact(
+    docs: DataFrame, owner: Sequence[str] = ("source",), repository: Sequence[str] = ("source", "lang"), mark: str = "[SECRET]"
+) -> DataFrame:
+    """The documents with every reported span of their text replaced by ``mark``; spans which overlap become one mark.
 
-    Used where a secret must not stay, whoever else holds it: overlapping spans become one mark.
+    ``owner`` and ``repository`` name the columns that make them up. ``n_chars``, where there is one, follows the text; other
+    columns stay as they are.
     """
-
+    numbered = materialise(docs.select(F.struct("*").alias("document"), F.monotonically_increasing_id().alias("number")))
+    view = numbered.select(
+        F.col("number").alias("doc_id"),
+        F.col("document.text").alias("text"),
+        F.concat_ws("/", *[F.col("document")[c] for c in owner]).alias("owner"),
+        F.concat_ws("/", *[F.col("document")[c] for c in repository]).alias("repository"),
+    )
+    found = scan(view, owner=F.col("owner"), repository=F.col("repository")).where(F.size("spans") > 0)
+    spans = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+    met = numbered.join(
+        materialise(found.select(F.col("doc_id").alias("number"), spans.alias("spans"))), "number", "left"
+    )
     ship(docs.sparkSession)
 
     @F.pandas_udf("string")
-    def clean(texts):
-        return texts.map(lambda t: t if t is None else _cleaned(t, mark))
+    def clean(texts, lists):
+        return texts.combine(lists, lambda t, s: t if t is None or s is None else _cleaned(t, s, mark))
 
-    return docs.withColumn(text_col, clean(F.col(text_col)))
+    text = F.when(F.col("spans").isNull(), F.col("document.text")).otherwise(clean(F.col("document.text"), F.col("spans")))
+    changed = {"text": text}
+    if "n_chars" in docs.columns:
+        kept = F.col("document.n_chars")
+        changed["n_chars"] = F.when(F.col("spans").isNull(), kept).otherwise(F.length(text)).cast(docs.schema["n_chars"].dataType)
+    return met.select(*[changed.get(c, F.col("document")[c]).alias(c) for c in docs.columns])
 
 
-def _cleaned(text: str, mark: str) -> str:
+def _cleaned(text: str, spans, mark: str) -> str:
     out, last = [], 0
-    for _, start, end, _ in candidates(text):
-        if start >= last:
-            out += [text[last:start], mark]
-        last = max(last, end)
-    return "".join([*out, text[last:]]) if out else text
+    for span in spans:
+        if span["start"] >= last:
+            out += [text[last : span["start"]], mark]
+        last = max(last, span["end"])
+    return "".join([*out, text[last:]])

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evigrid.llm.common import binary_column, id_and_text, map_batches
+from evigrid.llm.common import binary_column, id_and_text, map_batches, ship
 from evigrid.llm.components import smallest_labels
 from evigrid.session import materialise
 
@@ -112,20 +112,41 @@ def links(points: DataFrame) -> DataFrame:
     )
 
 
+def classes(points: DataFrame) -> DataFrame:
+    """``fp``, ``label`` (one of the fingerprints of its class) and ``component_id`` for a table of distinct fingerprints
+    with the ``smallest`` id of each.
+    """
+    labels = smallest_labels(materialise(links(points.select("fp"))))
+    named = materialise(
+        points.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "smallest", F.coalesce("label", "fp").alias("label"))
+    )
+    smallest = materialise(named.groupBy("label").agg(F.min("smallest").alias("component_id")))
+    return materialise(named.select("fp", "label").join(smallest, "label").select("fp", "label", "component_id"))
+
+
 def near_duplicates(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``doc_id``, ``fp`` and ``component_id``, the smallest id that its links reach."""
     marked = materialise(fingerprints(docs, width, id_col, text_col))
-    points = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("smallest")))
-    pairs = materialise(links(points.select("fp")))
-    labels = smallest_labels(pairs)
-    # the class takes the smallest id of its fingerprints
-    grouped = points.join(labels, points.fp == labels.node, "left").select(
-        "fp", "smallest", F.coalesce("label", "fp").alias("label")
+    found = classes(materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("smallest"))))
+    return marked.join(found, "fp").select("doc_id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """One document of each class, with all its columns: the smallest id, of repeated ids any one."""
+    ship(docs.sparkSession)
+
+    @F.pandas_udf("bigint")
+    def marks(texts):
+        return texts.map(lambda t: _signed(fingerprint((t or "").encode(), width)))
+
+    stored = materialise(
+        docs.select(F.struct("*").alias("document"), marks("text").alias("fp"), F.monotonically_increasing_id().alias("row"))
     )
-    named = materialise(grouped)
-    smallest = named.groupBy("label").agg(F.min("smallest").alias("component_id"))
-    classes = materialise(named.select("fp", "label").join(materialise(smallest), "label").select("fp", "component_id"))
-    return marked.join(classes, "fp").select("doc_id", "fp", "component_id")
+    slim = stored.select("fp", "row", F.col("document.doc_id").alias("doc_id"))
+    found = classes(materialise(slim.groupBy("fp").agg(F.min("doc_id").alias("smallest"))))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
+    best = slim.join(found, "fp").groupBy("label").agg(F.min(order).alias("first")).select(F.col("first.row").alias("row"))
+    return stored.join(best, "row", "left_semi").select("document.*")
 
 
 def as_hex(fp: str = "fp") -> Column:

@@ -3,8 +3,9 @@
 A window ``partition by key`` sorts each key inside one task. When one key can hold a third of a table that task
 never ends. Every helper here takes a ``chunk`` column, monotone in the requested order, and works in two levels:
 rows are ordered inside ``(key, chunk)`` in parallel, and the carry between chunks is computed on one row per
-``(key, chunk)``. The join which brings the carry back and the window share one exchange. Keys and chunk must not
-be null. Results equal those of the plain window.
+``(key, chunk)``. The join which brings the carry back and the window share one exchange: both use one struct of keys and chunk,
+in which nulls are values like any other, so no row with a null key or chunk is lost. A null chunk comes first. Results equal
+those of the plain window.
 """
 
 from __future__ import annotations
@@ -16,6 +17,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 CHUNK = "__chunk"
+#: keys and chunk as one struct: equal structs may hold nulls
+AT = "__where"
+PIECE = "__piece"
 PIECE_ROWS = 5_000_000
 
 
@@ -32,6 +36,38 @@ def piece_width(df: DataFrame, keys: Sequence[str], position: Column, widths: Se
     return widths[-1]
 
 
+def place(keys: Sequence[str], chunk: Column) -> Column:
+    """Keys and chunk of a row as the struct ``__where``."""
+    return F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], chunk.alias(CHUNK)).alias(AT)
+
+
+def within(keys: Sequence[str]) -> list[Column]:
+    """The keys inside ``__where``, for windows over the carry."""
+    return [F.col(AT)[f"k{i}"] for i in range(len(keys))]
+
+
+def quantile_edges(df: DataFrame, value: str, pieces: int = 256) -> Column:
+    """Values that cut ``df`` into pieces of about equal size, as a scalar subquery: nothing runs before the query does."""
+    shares = [i / pieces for i in range(1, pieces)]
+    return df.agg(F.percentile_approx(F.col(value).cast("double"), shares, 4 * pieces)).scalar()
+
+
+def with_piece(df: DataFrame, value: str, tie: str | None = None) -> DataFrame:
+    """Add ``__piece``, monotone in ``value`` and then ``tie``, cut where the data are: neither an offset nor the range of
+    values matters. A value so frequent that it is an edge is a piece of its own, which the numeric ``tie`` cuts again.
+    """
+    edges = [quantile_edges(df, value).alias("__edges"), *([quantile_edges(df, tie).alias("__ties")] if tie else [])]
+    v = F.col(value).cast("double")
+    below = F.size(F.filter("__edges", lambda e: e < v))
+    if tie is None:
+        return df.select("*", *edges).select(*df.columns, F.struct(v.isNotNull().alias("known"), below.alias("below")).alias(PIECE))
+    # an unknown value is one of the values that may be frequent
+    is_edge = v.isNull() | F.coalesce(F.array_contains("__edges", v), F.lit(False))
+    inner = F.when(is_edge, F.size(F.filter("__ties", lambda e: e <= F.col(tie).cast("double")))).otherwise(0)
+    piece = F.struct(v.isNotNull().alias("known"), below.alias("below"), is_edge.alias("edge"), inner.alias("tie"))
+    return df.select("*", *edges).select(*df.columns, piece.alias(PIECE))
+
+
 def running_sums(
     df: DataFrame,
     keys: Sequence[str],
@@ -45,19 +81,19 @@ def running_sums(
     With ``totals`` the group totals are added as ``<name>_total``.
     """
     columns = [c for c in df.columns if c not in sums]
-    staged = df.select("*", chunk.alias(CHUNK), *[e.alias(f"__v_{n}") for n, e in sums.items()])
-    level = staged.groupBy(*keys, CHUNK).agg(*[F.sum(f"__v_{n}").alias(f"__s_{n}") for n in sums])
-    before = W.partitionBy(*keys).orderBy(CHUNK).rowsBetween(W.unboundedPreceding, -1)
+    staged = df.select("*", place(keys, chunk), *[e.alias(f"__v_{n}") for n, e in sums.items()])
+    level = staged.groupBy(AT).agg(*[F.sum(f"__v_{n}").alias(f"__s_{n}") for n in sums])
+    group = W.partitionBy(*within(keys))
+    before = group.orderBy(F.col(AT)[CHUNK]).rowsBetween(W.unboundedPreceding, -1)
     carry = level.select(
-        *keys,
-        CHUNK,
+        AT,
         *[F.coalesce(F.sum(f"__s_{n}").over(before), F.lit(0)).alias(f"__c_{n}") for n in sums],
-        *([F.sum(f"__s_{n}").over(W.partitionBy(*keys)).alias(f"{n}_total") for n in sums] if totals else []),
+        *([F.sum(f"__s_{n}").over(group).alias(f"{n}_total") for n in sums] if totals else []),
     )
-    inside = W.partitionBy(*keys, CHUNK).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    return staged.join(carry, [*keys, CHUNK]).select(
+    inside = W.partitionBy(AT).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    return staged.join(carry, AT).select(
         *columns,
-        *[(F.col(f"__c_{n}") + F.sum(f"__v_{n}").over(inside)).alias(n) for n in sums],
+        *[(F.col(f"__c_{n}") + F.coalesce(F.sum(f"__v_{n}").over(inside), F.lit(0))).alias(n) for n in sums],
         *([f"{n}_total" for n in sums] if totals else []),
     )
 
@@ -75,14 +111,15 @@ def previous(
 ) -> DataFrame:
     """``lag(column, 1)`` in ``order`` within ``keys`` for each ``new name -> column``."""
     kept = [c for c in df.columns if c not in columns]
-    staged = df.select("*", chunk.alias(CHUNK))
-    last = staged.groupBy(*keys, CHUNK).agg(
+    staged = df.select("*", place(keys, chunk))
+    # a struct is never null, so the last row of a chunk is found whatever it holds
+    last = staged.groupBy(AT).agg(
         F.max_by(F.struct(*[F.col(c).alias(f"__l_{n}") for n, c in columns.items()]), F.struct(*order)).alias("__last")
     )
-    carry = last.select(*keys, CHUNK, F.lag("__last").over(W.partitionBy(*keys).orderBy(CHUNK)).alias("__carry"))
-    inside = W.partitionBy(*keys, CHUNK).orderBy(*order)
+    carry = last.select(AT, F.lag("__last").over(W.partitionBy(*within(keys)).orderBy(F.col(AT)[CHUNK])).alias("__carry"))
+    inside = W.partitionBy(AT).orderBy(*order)
     first = F.row_number().over(inside) == 1
-    return staged.join(carry, [*keys, CHUNK]).select(
+    return staged.join(carry, AT).select(
         *kept,
         *[
             F.when(first, F.col("__carry")[f"__l_{name}"]).otherwise(F.lag(column).over(inside)).alias(name)

@@ -7,8 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evigrid.functions.ordered import running_sums
-from evigrid.functions.scalars import value_bin
+from evigrid.functions.ordered import PIECE, running_sums, with_piece
 
 
 def _ranks(p: float, rule: str) -> tuple[Column, Column, Column]:
@@ -53,17 +52,16 @@ def exact_quantiles(
     """
     if bounded:
         return _in_memory(df, keys, value, probabilities, rule)
-    counted = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).alias("__x"))
-        .agg(F.count(F.lit(1)).alias("__m"))
+    # nulls count nothing, but keep a group of nulls in the result
+    counted = df.groupBy(*keys, F.col(value).alias("__x")).agg(F.count(value).alias("__m"))
+    ranked = running_sums(
+        with_piece(counted, "__x"), keys, [F.col("__x").asc()], F.col(PIECE), {"__n": F.col("__m")}, totals=True
     )
-    ranked = running_sums(counted, keys, [F.col("__x").asc()], value_bin("__x"), {"__n": F.col("__m")}, totals=True)
     picks = []
     for name, p in probabilities.items():
         low, high, _ = _ranks(p, rule)
         for tag, rank in (("lo", low), ("hi", high)):
-            hit = (F.col("__n") >= rank) & (F.col("__n") - F.col("__m") < rank)
+            hit = (F.col("__m") > 0) & (F.col("__n") >= rank) & (F.col("__n") - F.col("__m") < rank)
             picks.append(F.max(F.when(hit, F.col("__x"))).alias(f"__{tag}_{name}"))
     picked = ranked.groupBy(*keys).agg(F.max("__n_total").alias("__n_total"), *picks)
     out = []

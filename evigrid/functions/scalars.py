@@ -68,22 +68,6 @@ def hash_index(parts: Sequence[ColumnLike], size: ColumnLike) -> Column:
     return F.coalesce(F.conv(digits, 16, 10).cast("bigint") % col(size), F.lit(0).cast("bigint"))
 
 
-def value_bin(value: ColumnLike, per_octave: int = 256) -> Column:
-    """Order-preserving integer bin of a double.
-
-    Equal-ratio bins, so one heavily populated range still spreads over many bins. Used to cut a large ordered
-    group into pieces which can be sorted in different tasks.
-    """
-    c = col(value).cast("double")
-    # doubles span 2^-1074 to 2^1024; infinity takes the outermost bin, and NaN, which sorts last, the one after it
-    octave = F.least(F.log2(F.abs(c)), F.lit(1025.0))
-    level = F.floor(octave * F.lit(float(per_octave))) + F.lit(1100 * per_octave)
-    return (
-        F.when(c == 0, F.lit(0)).when(F.isnan(c), F.lit(2200 * per_octave))
-        .otherwise(F.signum(c).cast("bigint") * level).cast("bigint")
-    )
-
-
 def normal_cdf(value: ColumnLike) -> Column:
     """Normal distribution function; Spark has no built-in one."""
 

@@ -15,9 +15,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evigrid.functions.ordered import previous, row_numbers
+from evigrid.functions.ordered import PIECE, previous, row_numbers, with_piece
 from evigrid.functions.quantiles import exact_quantiles
-from evigrid.functions.scalars import value_bin
 from evigrid.session import materialise
 
 KEYS = ("method", "forecast_id", "slot")
@@ -131,7 +130,7 @@ def coordinate_crps(samples: DataFrame, keys: Sequence[str] = KEYS, bounded: boo
         w = W.partitionBy(*keys, "axis")
         ranked = long.select("*", F.row_number().over(w.orderBy("v")).alias("r"), F.count(F.lit(1)).over(w).alias("n"))
     else:
-        ranked = row_numbers(long, [*keys, "axis"], [F.col("v")], value_bin("v"), "r", total="n")
+        ranked = row_numbers(with_piece(long, "v"), [*keys, "axis"], [F.col("v")], F.col(PIECE), "r", total="n")
     n = F.max("n")
     return ranked.groupBy(*keys, "axis").agg(
         n.alias("particles"),

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evigrid.functions.fingerprint import element_digest, sequence_fingerprint
-from evigrid.functions.ordered import CHUNK, previous
+from evigrid.functions.ordered import AT, CHUNK, place, previous, within
 from evigrid.functions.scalars import ColumnLike, col
 
 EARTH_RADIUS_M = 6371000.0
@@ -33,32 +33,34 @@ def segment_points(
     """
     sums = dict(sums or {})
     names = ["__breaks", "__at", *sums]
-    inside = W.partitionBy(key, CHUNK).orderBy(*order)
+    inside = W.partitionBy(AT).orderBy(*order)
     before = F.lag(time).over(inside)
     t = F.col(time)
     gone = F.coalesce((t - before > gap) | (t < before), F.lit(False)).cast("bigint")
-    staged = points.select("*", chunk.alias(CHUNK)).select(
+    staged = points.select("*", place([key], chunk)).select(
         "*", gone.alias("__v___breaks"), F.lit(1).cast("bigint").alias("__v___at"), *[e.alias(f"__v_{n}") for n, e in sums.items()]
     )
-    level = staged.groupBy(key, CHUNK).agg(
+    level = staged.groupBy(AT).agg(
         F.min(time).alias("__first"), F.max(time).alias("__last"), *[F.sum(f"__v_{n}").alias(f"__s_{n}") for n in names]
     )
-    ordered = W.partitionBy(key).orderBy(CHUNK)
+    ordered = W.partitionBy(*within([key])).orderBy(F.col(AT)[CHUNK])
     last = F.lag("__last").over(ordered)
     # the first chunk of a track opens its first segment
-    opens = F.coalesce(F.col("__first") - last > gap, F.lit(True)).cast("bigint")
+    opens = F.coalesce(F.col("__first") - last > gap, F.row_number().over(ordered) == 1).cast("bigint")
     earlier = ordered.rowsBetween(W.unboundedPreceding, -1)
     carry = level.withColumn("__opens", opens).select(
-        key, CHUNK,
+        AT,
         (F.coalesce(F.sum("__s___breaks").over(earlier), F.lit(0)) + F.sum("__opens").over(ordered)).alias("__c___breaks"),
         *[F.coalesce(F.sum(f"__s_{n}").over(earlier), F.lit(0)).alias(f"__c_{n}") for n in names[1:]],
     )
     running = inside.rowsBetween(W.unboundedPreceding, 0)
-    walked = staged.join(carry, [key, CHUNK]).select(
-        *points.columns, *[(F.col(f"__c_{n}") + F.sum(f"__v_{n}").over(running)).alias(n) for n in names]
+    walked = staged.join(carry, AT).select(
+        *points.columns, *[(F.col(f"__c_{n}") + F.coalesce(F.sum(f"__v_{n}").over(running), F.lit(0))).alias(n) for n in names]
     ).withColumnRenamed("__breaks", "seg")
-    bounds = walked.groupBy(key, "seg").agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("n"))
-    return walked.join(bounds, [key, "seg"]).select(
+    # as a struct, a null track keeps its segments too
+    placed = walked.select("*", place([key], F.col("seg")))
+    bounds = placed.groupBy(AT).agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("n"))
+    return placed.join(bounds, AT).select(
         *points.columns, "seg", *sums, (F.col("__at") - F.col("__first")).alias("idx"), "n"
     )
 

@@ -592,9 +592,10 @@ def set6_subset(spark, sf):
 @query("win5_sink_order", "select c_custkey, row_number() over (order by c_acctbal, c_custkey) as position from customer")
 def win5_sink_order(spark, sf):
     """Global order at the sink: a range exchange gives ordered partitions, and their sizes give the positions."""
-    from evigrid.functions.ordered import row_numbers
-    from evigrid.functions.scalars import value_bin
+    from evigrid.functions.ordered import PIECE, row_numbers, with_piece
 
     c = table(spark, sf, "customer").select("c_custkey", "c_acctbal")
-    numbered = row_numbers(c, [], [F.col("c_acctbal"), F.col("c_custkey")], value_bin("c_acctbal"), "position")
+    numbered = row_numbers(
+        with_piece(c, "c_acctbal", "c_custkey"), [], [F.col("c_acctbal"), F.col("c_custkey")], F.col(PIECE), "position"
+    )
     return numbered.orderBy("c_acctbal", "c_custkey").select("c_custkey", "position")

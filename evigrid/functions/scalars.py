@@ -63,7 +63,8 @@ def unit_interval_hash(salt: str, value: ColumnLike) -> Column:
 
 def hash_index(parts: Sequence[ColumnLike], size: ColumnLike) -> Column:
     """Deterministic index in ``0..size-1`` named by the text of ``parts``: no generator state to share or replay."""
-    digits = F.substring(F.md5(F.concat_ws(":", *[col(p).cast("string") for p in parts])), 1, 8)
+    # 15 digits, the most an int64 holds: groups of any size are drawn evenly
+    digits = F.substring(F.md5(F.concat_ws(":", *[col(p).cast("string") for p in parts])), 1, 15)
     # never null, so a join on the index needs no null check, which would compute the hash a second time
     return F.coalesce(F.conv(digits, 16, 10).cast("bigint") % col(size), F.lit(0).cast("bigint"))
 

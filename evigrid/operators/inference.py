@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evigrid.functions.fingerprint import element_digest, sequence_fingerprint
-from evigrid.functions.scalars import normal_cdf, normal_quantile
-from evigrid.operators.resample import block_slots, bootstrap_means, bootstrap_medians, order_statistics
-from evigrid.operators.rollup import SUCCEEDED
+from evigrid.functions.scalars import is_finite, normal_cdf, normal_quantile
+from evigrid.operators.resample import block_slots, bootstrap_both, bootstrap_means, order_statistics
+from evigrid.operators.rollup import SUCCEEDED, whole_mean
 from evigrid.session import materialise
 
 # fixed values: two-sided 95 % normal quantile; float64 spacing at one
@@ -51,27 +52,34 @@ def segment_bootstrap(
 ) -> DataFrame:
     """Paired bootstrap of mean and median differences with interpolated percentile ends.
 
-    Entries are ``(name, candidate column, reference column)``. Medians are taken per side and then subtracted.
+    Entries are ``(name, candidate column, reference column)``. Medians are taken per side and then subtracted. All come
+    out of one set of draws. A metric has no interval as soon as one unit of the key lacks a finite value of it.
     """
-    columns = [c for _, a, b in (*means, *medians) for c in (a, b)]
+    columns = list(dict.fromkeys(c for _, a, b in (*means, *medians) for c in (a, b)))
     slots = block_slots(segments.select(*keys, unit, *columns), keys, unit)
-    flat_means = [c for _, a, b in means for c in (a, b)]
-    flat_medians = [c for _, a, b in medians for c in (a, b)]
-    mean_draws = bootstrap_means(slots, keys, flat_means, draws, stream)
-    median_draws = bootstrap_medians(slots, keys, flat_medians, draws, stream)
-    deltas = mean_draws.join(median_draws, [*keys, "draw"])
-    names = [(n, a, b) for n, a, b in (*means, *medians)]
-    ends = [
-        F.percentile(F.col(a) - F.col(b), F.lit(p)).alias(f"{n}_{tag}")
-        for n, a, b in names
-        for p, tag in ((0.025, "low"), (0.975, "high"))
-    ]
-    return deltas.groupBy(*keys).agg(*ends)
+    drawn = bootstrap_both(
+        slots, keys, [c for _, a, b in means for c in (a, b)], [c for _, a, b in medians for c in (a, b)], draws, stream
+    )
+    ends = []
+    for n, a, b in (*means, *medians):
+        lacking = F.max(f"__lacks_{n}")
+        for p, tag in ((0.025, "low"), (0.975, "high")):
+            ends.append(F.when(lacking == 0, F.percentile(F.col(a) - F.col(b), F.lit(p))).alias(f"{n}_{tag}"))
+    lacks = slots.groupBy(*[F.col(k).alias(f"__k_{k}") for k in keys]).agg(
+        *[F.count_if(~(is_finite(a) & is_finite(b))).alias(f"__lacks_{n}") for n, a, b in (*means, *medians)]
+    )
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys]) if keys else F.lit(True)
+    return drawn.join(lacks, same).groupBy(*keys).agg(*ends)
+
+
+# fixed values: the registered words for how seeds of the two arms are paired
+INDEPENDENT_PAIRING = ("independent", "independent-within-block")
+IDENTICAL_PAIRING = ("identical", "identical-within-block")
 
 
 @dataclass(frozen=True)
 class Policy:
-    """Frozen comparison policy. A field left at None was never registered."""
+    """Frozen comparison policy. A field left at None was never registered; an unknown pairing word is refused."""
 
     metric: str | None = None
     direction: str | None = None
@@ -86,6 +94,10 @@ class Policy:
     minimum_ess: float | None = None
     maximum_reference_error: float | None = None
 
+    def __post_init__(self) -> None:
+        if self.seed_pairing is not None and self.seed_pairing not in INDEPENDENT_PAIRING + IDENTICAL_PAIRING:
+            raise ValueError(f"seed pairing {self.seed_pairing!r} is not a registered word")
+
     def unregistered(self) -> list[str]:
         optional = {"minimum_ess", "maximum_reference_error"}
         return [k for k, v in self.__dict__.items() if v is None and k not in optional]
@@ -112,15 +124,16 @@ def quality_gates(rows: DataFrame, contrasts: DataFrame, ok: Column) -> DataFram
     )
 
 
-def policy_blocks(cells: DataFrame, policy: Policy) -> DataFrame:
+def policy_blocks(cells: DataFrame, policy: Policy, eligible: Column | None = None) -> DataFrame:
     """All a policy needs of the cells in one aggregate: block mean, completeness, seed set and gate verdict.
 
-    A cell is unique per (arm, stratum, block, seed), so the fingerprint of its rows is that of the seed set.
+    ``eligible`` admits a cell (default: it succeeded). A block in which a cell lacks the metric is incomplete. A cell is unique per (arm, stratum, block, seed), so the fingerprint of its rows is that of the seed set.
     """
-    eligible = F.col("status") == SUCCEEDED
+    admitted = eligible if eligible is not None else F.col("status") == SUCCEEDED
+    good = admitted & is_finite(policy.metric)
     return cells.groupBy("arm_id", "horizon", "block_id").agg(
-        ((F.count_if(eligible) == F.count(F.lit(1))) & (F.count(F.lit(1)) >= policy.minimum_seeds)).alias("complete"),
-        F.avg(policy.metric).alias("v"), sequence_fingerprint(element_digest(F.lit(0), "seed")).alias("seeds"),
+        ((F.count_if(good) == F.count(F.lit(1))) & (F.count(F.lit(1)) >= policy.minimum_seeds)).alias("complete"),
+        whole_mean(policy.metric).alias("v"), sequence_fingerprint(element_digest(F.lit(0), "seed")).alias("seeds"),
         F.bool_and(gates_met(policy)).alias("gates"),
     )
 
@@ -135,7 +148,7 @@ def weighted_block_differences(blocks: DataFrame, contrasts: DataFrame, policy:
         ["reference", "horizon"],
     )
     paired = cand.join(ref.drop("reference"), ["comparison_id", "horizon", "block_id"])
-    if policy.seed_pairing != "independent":
+    if policy.seed_pairing not in INDEPENDENT_PAIRING:
         paired = paired.where(F.col("seeds") == F.col("rs"))
     summed = paired.groupBy("comparison_id", "block_id").agg(
         F.sum(F.col("weight") * (F.col("v") - F.col("rv"))).alias("difference"), F.count(F.lit(1)).alias("k")
@@ -145,7 +158,7 @@ def weighted_block_differences(blocks: DataFrame, contrasts: DataFrame, policy:
     )
 
 
-def adjudicate(cells: DataFrame, contrasts: DataFrame, policy: Policy) -> DataFrame:
+def adjudicate(cells: DataFrame, contrasts: DataFrame, policy: Policy, eligible: Column | None = None) -> DataFrame:
     """Verdict per registered contrast. ``contrasts`` has one row per (comparison_id, horizon) with its weight.
 
     Cells are read once; block rows and paired differences are stored, because several branches use them.
@@ -157,7 +170,7 @@ def adjudicate(cells: DataFrame, contrasts: DataFrame, policy: Policy) -> DataFr
             F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"),
             F.lit("NEEDS_PREREGISTRATION").alias("verdict"),
         )
-    blocks = materialise(policy_blocks(cells, policy))
+    blocks = materialise(policy_blocks(cells, policy, eligible))
     gates = quality_gates(blocks, contrasts, F.col("gates"))
     sign = -1.0 if policy.direction == "minimize" else 1.0
     oriented = materialise(
@@ -352,18 +365,48 @@ def planning(df: DataFrame, sd: str, n: str, margin: float, m: int, alpha: float
 # --- estimators from sampler output -----------------------------------------------------------------------------
 
 
+BAND = 256
+
+
 def chunk_moments(draws: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Saved sufficient statistics of one chunk of sampler output."""
-    lw, hit = F.col("log_weight"), F.col("hit")
-    peak = draws.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(hit).alias("hits"), F.avg("x").alias("mean"),
-        (F.var_pop("x") * F.count(F.lit(1))).alias("m2"),
-        F.max(lw).alias("max_log_w"),
-        F.log(F.sum(F.exp(lw))).alias("log_w"), F.log(F.sum(F.exp(2 * lw))).alias("log_w2"),
-        F.log(F.sum(F.when(hit, F.exp(lw)))).alias("log_event"),
-        F.log(F.sum(F.when(hit, F.exp(2 * lw)))).alias("log_event2"),
-    )
-    return peak
+    """Saved sufficient statistics of one chunk of sampler output.
+
+    Weights are summed in bands of their logarithm, each shifted by its own band, so neither very small nor very large ones
+    vanish or overflow. A null weight makes the weight statistics null: the chunk is then not usable, not merely smaller.
+    """
+    lw, hit, band = F.col("log_weight").cast("double"), F.col("hit"), F.col("__band")
+    unknown = lw.isNull() | F.isnan(lw)
+    banded = draws.withColumn("__band", F.when(F.abs(lw) < 1e15, F.floor(lw / BAND).cast("bigint")).otherwise(0))
+    shifted = F.when(lw == float("-inf"), F.lit(float("-inf"))).otherwise(lw - band * BAND)
+    parts = banded.groupBy(*keys, "__band").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(hit).alias("hits"), F.count_if(unknown).alias("unknown"),
+        F.avg("x").alias("mean"), (F.var_pop("x") * F.count("x")).alias("m2"), F.count("x").alias("known"), F.max(lw).alias("top"),
+        F.sum(F.exp(shifted)).alias("w"), F.sum(F.exp(2 * shifted)).alias("w2"),
+        F.sum(F.when(hit, F.exp(shifted))).alias("e"), F.sum(F.when(hit, F.exp(2 * shifted))).alias("e2"),
+    )
+    # a chunk has a handful of bands
+    whole = parts.groupBy(*keys).agg(
+        F.sum("n").alias("n"), F.sum("hits").alias("hits"), F.sum("unknown").alias("__unknown"), F.max("top").alias("max_log_w"),
+        F.try_divide(F.sum(F.col("mean") * F.col("known")), F.sum("known")).alias("mean"),
+        F.collect_list(F.struct(band.alias("band"), "mean", "m2", "known", "w", "w2", "e", "e2")).alias("__parts"),
+    )
+
+    def log_sum(field: str, power: int) -> Column:
+        some = F.filter("__parts", lambda p: p[field] > 0)
+        top = F.array_max(F.transform(some, lambda p: p["band"]))
+        total = F.aggregate(
+            some, F.lit(0.0), lambda a, p: a + p[field] * F.exp((p["band"] - top).cast("double") * (BAND * power))
+        )
+        return F.when((F.col("__unknown") == 0) & (F.size(some) > 0), top * (BAND * power) + F.log(total))
+
+    m2 = F.aggregate(
+        F.filter("__parts", lambda p: p["known"] > 0), F.lit(0.0),
+        lambda a, p: a + p["m2"] + p["known"] * F.pow(p["mean"] - F.col("mean"), F.lit(2.0)),
+    )
+    return whole.select(
+        *keys, "n", "hits", "mean", m2.alias("m2"), "max_log_w", log_sum("w", 1).alias("log_w"), log_sum("w2", 2).alias("log_w2"),
+        log_sum("e", 1).alias("log_event"), log_sum("e2", 2).alias("log_event2"),
+    )
 
 
 def merge_moments(chunks: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -380,12 +423,20 @@ def merge_moments(chunks: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.sum("n").alias("n"), F.sum("hits").alias("hits"), F.max("mean").alias("mean"),
         F.sum(F.col("m2") + F.col("n") * F.pow(F.col("__chunk_mean") - F.col("mean"), F.lit(2.0))).alias("m2"),
         F.max("max_log_w").alias("max_log_w"),
-        *[(F.max(f"__max_{c}") + F.log(F.sum(F.exp(F.col(c) - F.col(f"__max_{c}"))))).alias(c) for c in logs],
+        *[
+            # a chunk without weights would leave them out of the total while its draws still count
+            F.when(
+                F.count_if(F.col(c).isNull() & (F.col("hits") > 0 if "event" in c else F.col("n") > 0)) == 0,
+                F.max(f"__max_{c}") + F.log(F.sum(F.exp(F.col(c) - F.col(f"__max_{c}")))),
+            ).alias(c)
+            for c in logs
+        ],
     )
 
 
 def mean_interval(moments: DataFrame) -> DataFrame:
-    se = F.sqrt(F.col("m2") / (F.col("n") - 1) / F.col("n"))
+    # one draw has no error
+    se = F.sqrt(F.try_divide(F.try_divide(F.col("m2"), F.col("n") - 1), F.col("n")))
     return moments.withColumn("se", se).withColumn("low", F.col("mean") - Z95 * se).withColumn(
         "high", F.col("mean") + Z95 * se
     )
@@ -405,13 +456,15 @@ def importance_estimate(moments: DataFrame) -> DataFrame:
     n = F.col("n").cast("double")
     estimate = F.when(F.col("hits") > 0, F.exp(F.col("log_event") - F.log(n))).otherwise(F.lit(0.0))
     second = F.when(F.col("hits") > 0, F.exp(F.col("log_event2") - F.log(n))).otherwise(F.lit(0.0))
-    variance = F.greatest(F.lit(0.0), (second - estimate * estimate) * n / (n - 1))
+    spread = F.try_divide((second - estimate * estimate) * n, n - 1)
+    variance = F.when(spread.isNotNull(), F.greatest(F.lit(0.0), spread))
     ess = F.exp(2 * F.col("log_w") - F.col("log_w2"))
     se = F.when(F.col("hits") > 0, F.sqrt(variance / n))
     return moments.select(
         "*", estimate.alias("estimate"), se.alias("se"), ess.alias("ess"),
         (estimate - Z95 * se).alias("low"), (estimate + Z95 * se).alias("high"),
-        F.when(F.col("hits") == 0, "INSUFFICIENT_EVENTS").when(ess < 2, "LOW_ESS").otherwise(SUCCEEDED).alias("state"),
+        F.when(ess.isNull(), "UNAVAILABLE").when(F.col("hits") == 0, "INSUFFICIENT_EVENTS").when(ess < 2, "LOW_ESS")
+        .otherwise(SUCCEEDED).alias("state"),
     )
 
 
@@ -431,17 +484,22 @@ def multilevel_estimate(levels: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def level_allocation(levels: DataFrame, keys: Sequence[str], level: str, budget_se: float) -> DataFrame:
-    """Variance and cost ratios to the level below, and samples per level for a target error. Levels are few."""
+    """Variance and cost ratios to the level below, and samples per level, two at least, for a target error. Levels are few.
+
+    The first level is an estimate of its own, so variances of differences are compared from the third level on.
+    """
     below = W.partitionBy(*keys).orderBy(level)
     ratios = levels.select(
         "*",
         F.sum(F.sqrt(F.col("variance") * F.col("cost"))).over(W.partitionBy(*keys)).alias("__root"),
-        (F.col("variance") / F.nullif(F.lag("variance").over(below), F.lit(0.0))).alias("variance_ratio"),
+        F.when(F.row_number().over(below) > 2, F.col("variance") / F.nullif(F.lag("variance").over(below), F.lit(0.0)))
+        .alias("variance_ratio"),
         (F.col("cost") / F.nullif(F.lag("cost").over(below), F.lit(0.0))).alias("cost_ratio"),
     )
     norm = F.col("__root") / F.lit(budget_se * budget_se)
     return ratios.withColumn(
-        "samples", F.ceil(norm * F.sqrt(F.col("variance") / F.col("cost")))
+        "samples",
+        F.when(F.col("cost") > 0, F.greatest(F.lit(2), F.ceil(norm * F.sqrt(F.try_divide("variance", "cost"))))),
     ).drop("__root")
 
 

@@ -198,7 +198,7 @@ def reference_lookup(
         F.when(F.col(status) != "succeeded", "data_unavailable")
         .when(F.col(ref_keys[0]).isNull(), "no_registered_reference")
         .when(F.coalesce(F.col("__rs") != "succeeded", F.lit(True)), "reference_unavailable")
-        .when(F.coalesce("matched_coverage", F.lit(False)) & ~own.eqNullSafe(F.col("__rc")), "requires_coverage_matched_reference")
+        .when(F.coalesce("matched_coverage", F.lit(False)) & ~F.coalesce(own == F.col("__rc"), F.lit(False)), "requires_coverage_matched_reference")
         .when(itself, "reference")
         .otherwise("exploratory_point_estimate")
     )
@@ -213,29 +213,30 @@ def ancestor_closure(edges: DataFrame, rank: Column, max_depth: int = 32) -> Dat
     """Root, depth and strictest rank above every node of a parent chain.
 
     Jumps double each round, so a chain of 32 takes five joins. ``resolved`` is false where no root is reached
-    within ``max_depth``: a cycle or a chain which is too long. Each round is written to the shared folder, so the
+    within ``max_depth`` (a cycle or a chain which is too long) and where a parent has no row of its own. Each round is written to the shared folder, so the
     plan does not grow.
     """
     node = edges.select(
         F.col("child").alias("node"), F.col("parent").alias("jump"), rank.alias("strictest"),
         F.when(F.col("parent").isNull(), 0).otherwise(1).cast("bigint").alias("depth"),
-        F.coalesce("parent", "child").alias("top"),
+        F.coalesce("parent", "child").alias("top"), F.lit(False).alias("dangling"),
     )
     reach = 1
     while reach <= max_depth:
         step = node.select(
             F.col("node").alias("jump"), F.col("jump").alias("__next"), F.col("strictest").alias("__rank"),
-            F.col("depth").alias("__depth"), F.col("top").alias("__top"),
+            F.col("depth").alias("__depth"), F.col("top").alias("__top"), F.col("dangling").alias("__dangling"),
         )
         hop = node.where(F.col("jump").isNotNull()).join(step, "jump", "left").select(
             "node", F.col("__next").alias("jump"), F.greatest("strictest", "__rank").alias("strictest"),
             (F.col("depth") + F.coalesce("__depth", F.lit(0))).alias("depth"), F.coalesce("__top", "top").alias("top"),
+            (F.col("dangling") | F.coalesce("__dangling", F.lit(True))).alias("dangling"),
         )
         node = materialise(hop.unionByName(node.where(F.col("jump").isNull())))
         reach *= 2
         if node.where(F.col("jump").isNotNull()).isEmpty():
             break
-    resolved = F.col("jump").isNull() & (F.col("depth") <= max_depth)
+    resolved = F.col("jump").isNull() & ~F.col("dangling") & (F.col("depth") <= max_depth)
     return node.select(
         "node", F.when(resolved, F.col("top")).alias("root"), F.when(resolved, F.col("depth")).alias("depth"),
         F.when(resolved, F.col("strictest")).alias("strictest"), resolved.alias("resolved"),

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evigrid.functions.ordered import previous, row_numbers
+from evigrid.functions.ordered import previous
 from evigrid.functions.scalars import ColumnLike, close_to, col, is_finite, seal
 from evigrid.operators.pairing import full_compare
 
@@ -114,29 +114,16 @@ def seal_mismatches(df: DataFrame, stored: str, columns: Sequence[str]) -> DataF
     return df.where(~F.col(stored).eqNullSafe(seal(*columns)))
 
 
-FANOUT = 1024
+def bundle_hashes(files: DataFrame, keys: Sequence[str], path: str, digest: str) -> DataFrame:
+    """SHA-256 of the ordered file list of each bundle, written as compact JSON: one definition at every size.
 
-
-def bundle_hashes(
-    files: DataFrame, keys: Sequence[str], path: str, digest: str, prefix: int = 3, levels: int = 3
-) -> DataFrame:
-    """Hash of the ordered file list of each bundle.
-
-    Up to 1024 files it is the SHA-256 of the list written as compact JSON. A longer list is hashed as a tree of
-    1024-wide pieces, so no task ever holds more than one piece. ``prefix`` is the length of path text which cuts
-    one huge list into ordered parts.
+    A bundle is the list of a code base's source files, which one task holds. Sets without such a bound have
+    ``fingerprint.sequence_fingerprint``, whose sums combine before the shuffle.
     """
     entry = F.concat(F.lit('{"path":"'), F.col(path), F.lit('","sha256":"'), F.col(digest), F.lit('"}'))
-    chunk = F.substring(F.col(path), 1, prefix)
-    rows = row_numbers(files.select(*keys, path, entry.alias("__e")), keys, [F.col(path)], chunk, "__i")
-    rows = rows.select(*keys, (F.col("__i") - 1).alias("__i"), "__e")
-    for level in range(levels):
-        rows = rows.withColumn("__g", F.floor(F.col("__i") / FANOUT))
-        ordered = F.transform(F.array_sort(F.collect_list(F.struct("__i", "__e"))), lambda s: s["__e"])
-        text = F.concat(F.lit("["), F.array_join(ordered, ","), F.lit("]"))
-        value = F.sha2(text, 256) if level == 0 else F.when(F.count(F.lit(1)) == 1, F.max("__e")).otherwise(F.sha2(text, 256))
-        rows = rows.groupBy(*keys, "__g").agg(value.alias("__e")).withColumnRenamed("__g", "__i")
-    return rows.select(*keys, F.col("__e").alias("bundle_sha256"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct(F.col(path).alias("p"), entry.alias("e")))), lambda s: s["e"])
+    text = F.concat(F.lit("["), F.array_join(ordered, ","), F.lit("]"))
+    return files.groupBy(*keys).agg(F.sha2(text, 256).alias("bundle_sha256"))
 
 
 # fixed values: patterns of text which must not be released, and file types which must not be
@@ -149,17 +136,30 @@ FORBIDDEN_SUFFIXES = [".parquet", ".npy", ".npz", ".pt", ".pth", ".ckpt", ".zip"
 
 
 def sensitive_lines(df: DataFrame, keys: Sequence[str], text: str, patterns: Mapping[str, str] = SENSITIVE) -> DataFrame:
-    """Every (row, line, rule) hit over whole texts.
+    """Every (row, line, rule) hit over whole texts; a hit which spans lines counts for the line it begins in.
 
-    Texts without any hit are dropped before they are split into lines.
+    A rule looks at the whole text once: where it hits, the line breaks before each hit are counted.
     """
-    any_hit = None
-    for p in patterns.values():
-        hit = F.col(text).rlike(p)
-        any_hit = hit if any_hit is None else any_hit | hit
-    lines = df.where(any_hit).select(*keys, F.posexplode(F.split(text, "\n")).alias("__i", "__line"))
-    rules = F.array_compact(F.array(*[F.when(F.col("__line").rlike(p), F.lit(n)) for n, p in patterns.items()]))
-    return lines.select(*keys, (F.col("__i") + 1).cast("bigint").alias("line"), F.explode(rules).alias("rule"))
+
+    def breaks(part: Column) -> Column:
+        return F.length(part) - F.length(F.replace(part, F.lit("\n"), F.lit("")))
+
+    def lines(pattern: str) -> Column:
+        both = F.arrays_zip(
+            F.split(text, pattern, -1).alias("piece"), F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0)).alias("hit")
+        )
+        start = F.struct(F.lit(1).cast("bigint").alias("line"), F.expr("cast(array() as array<bigint>)").alias("found"))
+        walked = F.aggregate(
+            F.filter(both, lambda b: b["hit"].isNotNull()), start,
+            lambda a, b: F.struct(
+                (a["line"] + breaks(b["piece"]) + breaks(b["hit"])).cast("bigint").alias("line"),
+                F.concat(a["found"], F.array((a["line"] + breaks(b["piece"])).cast("bigint"))).alias("found"),
+            ),
+        )
+        return F.when(F.col(text).rlike(pattern), F.array_distinct(walked["found"]))
+
+    rules = F.array(*[F.struct(F.lit(n).alias("rule"), lines(p).alias("found")) for n, p in patterns.items()])
+    return df.select(*keys, F.inline(rules)).select(*keys, F.explode("found").alias("line"), "rule")
 
 
 def forbidden_suffixes(df: DataFrame, keys: Sequence[str], path: str, suffixes: Sequence[str]) -> DataFrame:

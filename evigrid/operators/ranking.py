@@ -13,13 +13,23 @@ from evigrid.functions.ordered import PIECE, previous, row_numbers, running_sums
 from evigrid.functions.scalars import unit_interval_hash
 
 
-def first_success(history: DataFrame, cell: Sequence[str], order: str, attempt: str, success: Column) -> DataFrame:
-    """First and last successful attempt of each cell; only the first may be selected. An aggregate, not a sort."""
-    good = history.where(success)
-    picked = good.groupBy(*cell).agg(
-        F.min_by(attempt, order).alias("first_success"), F.max_by(attempt, order).alias("last_success"),
-        F.count(F.lit(1)).alias("successes"),
-    )
+def first_success(
+    history: DataFrame, cell: Sequence[str], order: str, attempt: str, success: Column, selected: Column | None = None
+) -> DataFrame:
+    """First and last successful attempt of each cell; only the first may be selected. An aggregate, not a sort.
+
+    ``selected`` marks the attempts that were used; ``only_first_used`` then tells whether they are just the first success.
+    Without it the last success is taken as the one used.
+    """
+    good = F.when(success, F.col(order))
+    used = [] if selected is None else [F.min(F.when(selected, F.col(attempt))).alias("used"), F.count_if(selected).alias("uses")]
+    picked = history.groupBy(*cell).agg(
+        F.min_by(attempt, good).alias("first_success"), F.max_by(attempt, good).alias("last_success"),
+        F.count_if(success).alias("successes"), *used,
+    ).where(F.col("successes") > 0)
+    if selected is not None:
+        first = (F.col("uses") == 1) & (F.col("used") == F.col("first_success"))
+        return picked.withColumn("only_first_used", F.coalesce(first, F.lit(False)))
     return picked.withColumn("only_first_used", F.col("first_success") == F.col("last_success"))
 
 

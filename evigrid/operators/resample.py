@@ -6,24 +6,26 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from evigrid.functions.ordered import row_numbers
-from evigrid.functions.quantiles import exact_quantiles
+from evigrid.functions.ordered import PIECE, row_numbers, text_range, with_piece
 from evigrid.functions.scalars import ColumnLike, hash_index
 from evigrid.session import materialise
 
 BATCH = 50
-MEDIAN_LIMIT = 1_000_000
-BROADCAST_ROWS = 200_000
+#: stored bytes of a unit table up to which it is sent to every task; beyond, both sides are sorted by index
+BROADCAST_BYTES = 8 * 1024 * 1024
 
 
 def block_slots(units: DataFrame, keys: Sequence[str], unit: str, chunk: Column | None = None) -> DataFrame:
     """Number the units of each group 0..B-1 in order of their id and add the group size."""
-    kind = dict(units.dtypes)[unit]
-    if chunk is None:
-        # integers are cut into ranges of 4096 ids; text is cut on its first two characters
-        chunk = F.floor(F.col(unit) / 4096) if kind in ("int", "bigint") else F.substring(F.col(unit), 1, 2)
-    numbered = row_numbers(units, keys, [F.col(unit)], chunk, "slot", total="size")
+    if chunk is not None:
+        numbered = row_numbers(units, keys, [F.col(unit)], chunk, "slot", total="size")
+    elif isinstance(units.schema[unit].dataType, T.NumericType):
+        # ranges are cut where the ids are
+        numbered = row_numbers(with_piece(units, unit), keys, [F.col(unit)], F.col(PIECE), "slot", total="size").drop(PIECE)
+    else:
+        numbered = row_numbers(units, keys, [F.col(unit)], text_range(units, unit), "slot", total="size")
     # one row per unit: stored, because draws read it as positions and as values
     return materialise(numbered.withColumn("slot", F.col("slot") - 1))
 
@@ -37,10 +39,10 @@ def draw_rows(
     Draws are handed out in batches before they are expanded, so the expansion is spread over all tasks even when
     the unit table is small. The unit table is joined by index. Spark does not see that the other side has grown by
     the number of draws and might broadcast that one, so the strategy is stated: the unit table is broadcast when its
-    counted rows are few, otherwise both sides are sorted by index.
+    stored size, which the scan knows without a job, is small; otherwise both sides are sorted by index. The rows are the same.
     """
     session = slots.sparkSession
-    small = slots.count() <= BROADCAST_ROWS
+    small = int(slots._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= BROADCAST_BYTES
     width = int(session.conf.get("spark.sql.shuffle.partitions"))
     batches = slots.select(
         *keys, "size", "slot", F.explode(F.sequence(F.lit(0), F.lit((draws - 1) // BATCH))).alias("__batch")
@@ -67,24 +69,17 @@ def bootstrap_means(
     return rows.groupBy(*keys, "draw").agg(*out)
 
 
-def bootstrap_medians(
-    slots: DataFrame, keys: Sequence[str], values: Sequence[str], draws: int, stream: str,
+def bootstrap_both(
+    slots: DataFrame, keys: Sequence[str], means: Sequence[str], medians: Sequence[str], draws: int, stream: str,
     label: Sequence[ColumnLike] | None = None,
 ) -> DataFrame:
-    """Median of each value in each draw, exact for any number of units.
-
-    The largest group is looked up first: up to a million units Spark's own percentile holds a draw in memory, beyond
-    that draws are ordered in pieces.
+    """Means and medians of one set of draws. A median keeps the distinct values of one draw of one key in memory, which
+    the number of registered units bounds.
     """
-    rows = draw_rows(slots, keys, values, draws, stream, label)
-    largest = slots.agg(F.max("size")).first()[0] or 0
-    if largest <= MEDIAN_LIMIT:
-        return rows.groupBy(*keys, "draw").agg(*[F.percentile(v, F.lit(0.5)).alias(v) for v in values])
-    out = None
-    for v in values:
-        part = exact_quantiles(rows, [*keys, "draw"], v, {v: 0.5})
-        out = part if out is None else out.join(part, [*keys, "draw"])
-    return out
+    rows = draw_rows(slots, keys, list(dict.fromkeys([*means, *medians])), draws, stream, label)
+    return rows.groupBy(*keys, "draw").agg(
+        *[F.avg(v).alias(v) for v in means], *[F.percentile(v, F.lit(0.5)).alias(v) for v in medians]
+    )
 
 
 def order_statistics(

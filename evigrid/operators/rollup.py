@@ -10,17 +10,24 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evigrid.functions.quantiles import exact_quantiles
+from evigrid.functions.scalars import is_finite
 
 SUCCEEDED = "SUCCEEDED"
 
 
+def whole_mean(metric: str) -> Column:
+    """Mean of a metric over a group, null unless every row has a finite value."""
+    return F.when(F.count_if(is_finite(metric)) == F.count(F.lit(1)), F.avg(metric)).alias(metric)
+
+
 def block_means(
     cells: DataFrame, metrics: Sequence[str], keys: Sequence[str] = ("arm_id", "horizon", "block_id"),
     minimum_seeds: int = 1, eligible: Column | None = None,
 ) -> DataFrame:
     """Seeds averaged inside a block; one ineligible or missing seed makes the whole block incomplete.
 
-    Block sums combine on the map side, so a block with very many repeats stays one small partial row per task.
+    ``eligible`` admits a cell (default: it succeeded); pass ``project.comparison_eligible`` where outputs are qualified. A
+    metric is null as soon as one of the block's cells has no finite value of it. Block sums combine on the map side, so a block with very many repeats stays one small partial row per task.
     """
     ok = eligible if eligible is not None else F.col("status") == SUCCEEDED
     return (
@@ -28,7 +35,7 @@ def block_means(
         .agg(
             F.count(F.lit(1)).alias("n_cells"),
             F.count_if(ok).alias("n_eligible"),
-            *[F.avg(m).alias(m) for m in metrics],
+            *[whole_mean(m) for m in metrics],
         )
         .withColumn("complete", (F.col("n_eligible") == F.col("n_cells")) & (F.col("n_cells") >= minimum_seeds))
         .select(
@@ -39,13 +46,16 @@ def block_means(
 
 
 def arm_means(blocks: DataFrame, metrics: Sequence[str], keys: Sequence[str] = ("arm_id", "horizon")) -> DataFrame:
-    """Complete blocks averaged with equal weight; incomplete blocks stay in the counts."""
+    """Complete blocks averaged with equal weight; incomplete blocks stay in the counts.
+
+    A metric which a complete block lacks is null for the arm: nothing is averaged over fewer blocks than counted.
+    """
     return blocks.groupBy(*keys).agg(
         F.sum("n_cells").alias("expected_cells"),
         F.sum("n_eligible").alias("eligible_cells"),
         F.count(F.lit(1)).alias("expected_blocks"),
         F.count_if("complete").alias("independent_n"),
-        *[F.avg(m).alias(m) for m in metrics],
+        *[F.when(F.count_if(F.col("complete") & F.col(m).isNull()) == 0, F.avg(m)).alias(m) for m in metrics],
     ).withColumn(
         "status", F.when(F.col("independent_n") == F.col("expected_blocks"), "complete").otherwise("incomplete")
     )
@@ -92,7 +102,7 @@ def gated_group_means(
     rows: DataFrame, expected: DataFrame, group: Sequence[str], item: Sequence[str], levels: Sequence[Sequence[str]],
     metrics: Sequence[str], status: str = "status", success: str = "success",
 ) -> DataFrame:
-    """Group summary which is unavailable as soon as one expected row is missing or failed.
+    """Group summary which is unavailable as soon as one expected row is missing or failed, or lacks the metric.
 
     ``expected`` has one row per expected (group, item). Unique pairs make the join one-to-one, and nothing is
     aggregated before the full grid is in view. An item may be null: a deterministic forecast has no seed.
@@ -107,11 +117,11 @@ def gated_group_means(
         F.count(status).alias("available_rows"),
         F.count_if(F.col(status).isNull()).alias("missing_rows"),
         F.count_if(F.col(status) == success).alias("success_rows"),
-        *[F.avg(m).alias(m) for m in metrics],
+        *[whole_mean(m) for m in metrics],
     )
     counts = ("expected_rows", "available_rows", "missing_rows", "success_rows")
     for keys_up in levels[1:]:
-        out = out.groupBy(*keys_up).agg(*[F.sum(c).alias(c) for c in counts], *[F.avg(m).alias(m) for m in metrics])
+        out = out.groupBy(*keys_up).agg(*[F.sum(c).alias(c) for c in counts], *[whole_mean(m) for m in metrics])
     complete = F.col("success_rows") == F.col("expected_rows")
     return out.select(
         *group, "expected_rows", "available_rows", "missing_rows", "success_rows",
@@ -169,9 +179,29 @@ def charge(events: DataFrame) -> DataFrame:
     )
 
 
-def cell_costs(history: DataFrame, events: DataFrame, cell: str = "cell_id") -> DataFrame:
-    """Cost of each cell over all its attempts; an attempt without an event leaves the charge unknown."""
-    priced = charge(events).select("attempt_id", "settled", "elapsed_ms", "reserved_ms", "charged_ms")
+def latest_events(events: DataFrame, order: str | None = None) -> DataFrame:
+    """One event per attempt: the last by ``order``; without one a settlement stands above its reservation."""
+    rank = F.struct(*([F.col(order)] if order else []), F.col("settled"))
+    rest = [c for c in events.columns if c != "attempt_id"]
+    return events.groupBy("attempt_id").agg(F.max_by(F.struct(*rest), rank).alias("__e")).select("attempt_id", "__e.*")
+
+
+def ledger_violations(history: DataFrame, events: DataFrame) -> DataFrame:
+    """``attempt_id``, ``violation``: attempts settled more than once, and events of attempts the history does not know."""
+    settled = events.groupBy("attempt_id").agg(F.count_if("settled").alias("settlements"))
+    known = history.select("attempt_id", F.lit(True).alias("known")).distinct()
+    state = F.when(F.col("known").isNull(), "foreign_attempt").when(F.col("settlements") > 1, "duplicate_settlement")
+    return settled.join(known, "attempt_id", "left").select("attempt_id", state.alias("violation")).where(
+        F.col("violation").isNotNull()
+    )
+
+
+def cell_costs(history: DataFrame, events: DataFrame, cell: str = "cell_id", order: str | None = None) -> DataFrame:
+    """Cost of each cell over all its attempts; an attempt without an event leaves the charge unknown.
+
+    An attempt counts once, by its latest event, however many events it has.
+    """
+    priced = charge(latest_events(events, order)).select("attempt_id", "settled", "elapsed_ms", "reserved_ms", "charged_ms")
     joined = history.select(cell, "attempt_id").join(priced, "attempt_id", "left")
     missing = F.col("settled").isNull()
     unknown = F.col("settled") & F.col("elapsed_ms").isNull()

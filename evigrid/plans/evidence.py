@@ -142,16 +142,21 @@ def agg7_three_level_mean(spark, sf):
 
 @query(
     "agg8_gated_group_summary",
-    f"""with {CELLS} select arm_id, horizon, block_id, cast(7 as bigint) as expected_rows, count(*) as available_rows,
-        7 - count(*) as missing_rows, count(*) filter (where status = 'SUCCEEDED') as success_rows,
+    f"""with {CELLS}, g as (select arm_id, horizon, s_suppkey as block_id, seed from supplier,
+             (select unnest(['A', 'N', 'R']) as arm_id), (select unnest(['F', 'O']) as horizon), (select unnest(range(1, 8)) as seed))
+        select arm_id, horizon, block_id, count(*) as expected_rows, count(status) as available_rows,
+        count(*) - count(status) as missing_rows, count(*) filter (where status = 'SUCCEEDED') as success_rows,
         case when count(*) filter (where status = 'SUCCEEDED') = 7 then 'computed' else 'unavailable' end as status,
         case when count(*) filter (where status = 'SUCCEEDED') = 7 then round(avg(quantity), 8) end as quantity
-        from cells group by arm_id, horizon, block_id""",
+        from g left join cells using (arm_id, horizon, block_id, seed) group by arm_id, horizon, block_id""",
 )
 def agg8_gated_group_summary(spark, sf):
     rows = cells(spark, sf).select("arm_id", "horizon", "block_id", "seed", "status", "quantity")
     group = ["arm_id", "horizon", "block_id"]
-    expected = rows.select(*group).distinct().select(
+    # the registered grid: a block that no row mentions is missing all the same
+    expected = table(spark, sf, "supplier").select(
+        F.explode(F.array(*[F.lit(a) for a in "ANR"])).alias("arm_id"), F.col("s_suppkey").alias("block_id")
+    ).select("*", F.explode(F.array(F.lit("F"), F.lit("O"))).alias("horizon")).select(
         *group, F.explode(F.array(*[F.lit(s) for s in range(1, 8)])).alias("seed")
     )
     return rollup.gated_group_means(
@@ -251,7 +256,7 @@ long as (select candidate, horizon, block_id, 'error' as metric, error as d from
 slots as (select *, row_number() over (partition by candidate, horizon, metric order by block_id) - 1 as slot,
           count(*) over (partition by candidate, horizon, metric) as b from long),
 picks as (select candidate, horizon, metric, draw,
-          cast('0x' || substr(md5(concat_ws(':', 's1', candidate, horizon, draw, slot)), 1, 8) as bigint) % b as pick
+          cast('0x' || substr(md5(concat_ws(':', 's1', candidate, horizon, draw, slot)), 1, 15) as bigint) % b as pick
           from slots cross join (select unnest(range(1000)) as draw)),
 estimates as (select candidate, horizon, metric, draw, avg(d) as e
               from picks join slots using (candidate, horizon, metric) where slots.slot = picks.pick group by all),
@@ -283,7 +288,7 @@ def inf3_paired_block_interval(spark, sf):
     slots as (select candidate, horizon, count(*) over (partition by candidate, horizon) as b,
               row_number() over (partition by candidate, horizon order by block_id) - 1 as slot from pairs)
     select candidate, horizon, draw,
-           sum(cast('0x' || substr(md5(concat_ws(':', 's2', candidate, horizon, draw, slot)), 1, 8) as bigint) % b)::bigint
+           sum(cast('0x' || substr(md5(concat_ws(':', 's2', candidate, horizon, draw, slot)), 1, 15) as bigint) % b)::bigint
            as index_sum
     from slots cross join (select unnest(range(200)) as draw) group by all""",
 )
@@ -348,7 +353,7 @@ def policy_cells(spark, sf):
     slots as (select comparison_id, -difference as d, count(*) over (partition by comparison_id) as b,
               row_number() over (partition by comparison_id order by block_id) - 1 as slot from diffs),
     picks as (select comparison_id, draw,
-              cast('0x' || substr(md5(concat_ws(':', 'p1', comparison_id, draw, slot)), 1, 8) as bigint) % b as pick
+              cast('0x' || substr(md5(concat_ws(':', 'p1', comparison_id, draw, slot)), 1, 15) as bigint) % b as pick
               from slots cross join (select unnest(range(1000)) as draw)),
     estimates as (select comparison_id, draw, avg(d) as e from picks join slots using (comparison_id)
                   where slots.slot = picks.pick group by all),

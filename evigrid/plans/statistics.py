@@ -22,7 +22,7 @@ seg as (select c.arm_id as candidate, c.horizon, c.block_id, c.quantity as ce, r
     "inf1_segment_bootstrap",
     f"""with {SEGMENTS}, slots as (select *, row_number() over (partition by candidate, horizon order by block_id) - 1 as slot,
           count(*) over (partition by candidate, horizon) as b from seg),
-    picks as (select candidate, horizon, draw, cast('0x' || substr(md5(concat_ws(':', 's1', candidate, horizon, draw, slot)), 1, 8) as bigint) % b as pick
+    picks as (select candidate, horizon, draw, cast('0x' || substr(md5(concat_ws(':', 's1', candidate, horizon, draw, slot)), 1, 15) as bigint) % b as pick
               from slots cross join (select unnest(range(1000)) as draw)),
     d as (select candidate, horizon, draw, avg(ce) - avg(re) as energy, avg(cc) - avg(rc) as coverage, median(cp) - median(rp) as cep50
           from picks join slots using (candidate, horizon) where slots.slot = picks.pick group by all)
@@ -69,7 +69,7 @@ def student_sql(stream: str, name: str) -> str:
     return f"""{name}_slots as (select candidate, horizon, quantity as v, count(*) over w as b, row_number() over (partition by candidate, horizon order by block_id) - 1 as slot
            from pairs window w as (partition by candidate, horizon)),
 {name}_obs as (select candidate, horizon, count(*) as n, avg(quantity) as delta, stddev_samp(quantity) / sqrt(count(*)) as se from pairs group by all),
-{name}_picks as (select candidate, horizon, draw, cast('0x' || substr(md5(concat_ws(':', '{stream}', horizon, draw, slot)), 1, 8) as bigint) % b as pick
+{name}_picks as (select candidate, horizon, draw, cast('0x' || substr(md5(concat_ws(':', '{stream}', horizon, draw, slot)), 1, 15) as bigint) % b as pick
            from {name}_slots cross join (select unnest(range({DRAWS})) as draw)),
 {name}_star as (select candidate, horizon, draw, avg(v) as m, stddev_samp(v) / sqrt(count(*)) as s
            from {name}_picks p join {name}_slots k using (candidate, horizon) where k.slot = p.pick group by all),
@@ -215,9 +215,10 @@ def inf15_planning_power(spark, sf):
     return inference.planning(sd, "sd", "n", 0.3, 2)
 
 
-def moments(spark, sf):
+def moments(spark, sf, shift=None):
+    taken = draws(spark, sf) if shift is None else draws(spark, sf).withColumn("log_weight", F.col("log_weight") + shift)
     # chunk statistics are saved; merging reads them twice
-    saved = materialise(inference.chunk_moments(draws(spark, sf), ["stream", "chunk"]))
+    saved = materialise(inference.chunk_moments(taken, ["stream", "chunk"]))
     return inference.merge_moments(saved, ["stream"])
 
 
@@ -264,11 +265,14 @@ def inf18_importance_estimate(spark, sf):
 
 @query(
     "inf19_mergeable_moments",
-    f"""with {DIRECT} select stream, n, hits, round(mean, 8) as mean, round(m2, 2) as m2, round(ln(w), 8) as log_w, round(ln(w2), 8) as log_w2,
-        round(ln(we), 8) as log_event, round(ln(we2), 8) as log_event2 from direct""",
+    f"""with {DIRECT}, s as (select *, case stream when 'A' then -800 when 'R' then 800 else 0 end as shift from direct)
+    select stream, n, hits, round(mean, 8) as mean, round(m2, 2) as m2, round(ln(w) + shift, 8) as log_w, round(ln(w2) + 2 * shift, 8) as log_w2,
+        round(ln(we) + shift, 8) as log_event, round(ln(we2) + 2 * shift, 8) as log_event2 from s""",
 )
 def inf19_mergeable_moments(spark, sf):
-    return moments(spark, sf).select(
+    """Log weights around -800 and 800, whose exponentials do not fit a double."""
+    shift = F.when(F.col("stream") == "A", -800).when(F.col("stream") == "R", 800).otherwise(0)
+    return moments(spark, sf, shift).select(
         "stream", "n", "hits", F.round("mean", 8).alias("mean"), F.round("m2", 2).alias("m2"),
         *[F.round(c, 8).alias(c) for c in ("log_w", "log_w2", "log_event", "log_event2")],
     )
@@ -299,8 +303,8 @@ def inf20_multilevel_estimate(spark, sf):
 @query(
     "inf21_level_allocation",
     f"""with {LEVELS}, r as (select stream, sum(sqrt(variance * cost)) as root from lv group by stream)
-    select stream, level, round(variance / lag(variance) over w, 8) as variance_ratio, round(cost / lag(cost) over w, 8) as cost_ratio,
-           ceil(root / 0.0001 * sqrt(variance / cost))::bigint as samples from lv join r using (stream) window w as (partition by stream order by level)""",
+    select stream, level, case when row_number() over w > 2 then round(variance / lag(variance) over w, 8) end as variance_ratio, round(cost / lag(cost) over w, 8) as cost_ratio,
+           greatest(2, ceil(root / 0.0001 * sqrt(variance / cost)))::bigint as samples from lv join r using (stream) window w as (partition by stream order by level)""",
 )
 def inf21_level_allocation(spark, sf):
     return inference.level_allocation(levels(spark, sf), ["stream"], "level", 0.01).select(
@@ -450,7 +454,7 @@ def jon13_capture_join(spark, sf):
     "agg33_geography_stages",
     """with c as (select r_name as area, n_name as country, c_mktsegment as block, count(*) as released, count(*) filter (where c_acctbal > 0) as positive,
           count(*) filter (where c_acctbal > 3000) as supported from customer join nation on n_nationkey = c_nationkey join region on r_regionkey = n_regionkey group by all)
-    select coalesce(area, 'all') as area, coalesce(country, 'all') as country, sum(released)::bigint as released, sum(positive)::bigint as positive,
+    select case when grouping(area) = 1 then 'all' else area end as area, case when grouping(country) = 1 then 'all' else country end as country, sum(released)::bigint as released, sum(positive)::bigint as positive,
            sum(supported)::bigint as supported, count(distinct block) as blocks, count(distinct block) filter (where supported > 0) as supported_blocks
     from c group by grouping sets ((area, country), (area), ())""",
 )
@@ -461,13 +465,21 @@ def agg33_geography_stages(spark, sf):
     small = table(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey"), F.col("c_mktsegment").alias("block")).agg(
         F.count(F.lit(1)).alias("released"), F.count_if(bal > 0).alias("positive"), F.count_if(bal > 3000).alias("supported")
     )
-    named = small.join(n, "n_nationkey").join(r, F.col("n_regionkey") == F.col("r_regionkey"))
-    out = named.rollup(F.col("r_name").alias("area"), F.col("n_name").alias("country")).agg(
+    named = small.join(n, "n_nationkey").join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(
+        F.col("r_name").alias("area"), F.col("n_name").alias("country"), "block", "released", "positive", "supported"
+    )
+    out = named.rollup("area", "country").agg(
         *[F.sum(c).alias(c) for c in ("released", "positive", "supported")], F.count_distinct("block").alias("blocks"),
         F.count_distinct(F.when(F.col("supported") > 0, F.col("block"))).alias("supported_blocks"),
+        F.grouping("area").alias("all_areas"), F.grouping("country").alias("all_countries"),
     )
+
+    def shown(name: str, is_total: str):
+        # a total is known by its grouping: an unknown name stays null
+        return F.when(F.col(is_total) == 1, "all").otherwise(F.col(name)).alias(name)
+
     return out.select(
-        F.coalesce("area", F.lit("all")).alias("area"), F.coalesce("country", F.lit("all")).alias("country"),
+        shown("area", "all_areas"), shown("country", "all_countries"),
         "released", "positive", "supported", "blocks", "supported_blocks",
     )
 

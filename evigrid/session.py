@@ -32,10 +32,16 @@ _LOCAL: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; a temporary one only where none is set, as in tests."""
+    """The folder the cluster names in ``spark.checkpoint.dir``; a temporary one only in local mode, as in tests.
+
+    On a cluster every executor would write a temporary folder to its own disk, so a missing setting is an error there.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    master = spark.conf.get("spark.master", "")
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that all executors share (master {master})")
     key = spark.sparkContext.applicationId
     if key not in _LOCAL:
         _LOCAL[key] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")

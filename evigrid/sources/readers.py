@@ -72,16 +72,23 @@ def read_bundle(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, D
 
 
 def read_pinned(spark: SparkSession, path: str, size_limit: int, sha256: str | None = None) -> DataFrame:
-    """Files with their size and hash verdict and their content as a parsed document.
+    """Every file with its size, its state (``ok``, ``changed`` or ``oversized``), its hash and its parsed document.
 
-    ``document`` is null where the text repeats a key or holds NaN. Oversized files are never loaded: the filter on
-    length is pushed into the scan.
+    ``document`` is null where the text repeats a key or holds NaN. Oversized files are listed, but never loaded: the
+    filter on length is pushed into the scan, and their row reads no content.
     """
-    files = spark.read.format("binaryFile").load(path).where(F.col("length") <= size_limit)
-    text = F.decode("content", "UTF-8")
+    files = spark.read.format("binaryFile").load(path)
     digest = F.sha2("content", 256)
-    expected = F.lit(sha256) if sha256 else digest
-    return files.select("path", "length", digest.alias("sha256"), (digest == expected).alias("pinned"), F.try_parse_json(text).alias("document"))
+    pinned = digest == (F.lit(sha256) if sha256 else digest)
+    within = files.where(F.col("length") <= size_limit).select(
+        "path", "length", digest.alias("sha256"), pinned.alias("pinned"), F.when(pinned, "ok").otherwise("changed").alias("state"),
+        F.try_parse_json(F.decode("content", "UTF-8")).alias("document"),
+    )
+    over = files.where(F.col("length") > size_limit).select(
+        "path", "length", F.lit(None).cast("string").alias("sha256"), F.lit(False).alias("pinned"), F.lit("oversized").alias("state"),
+        F.lit(None).cast("variant").alias("document"),
+    )
+    return within.unionByName(over)
 
 
 def read_sharded(
@@ -89,21 +96,24 @@ def read_sharded(
 ) -> tuple[DataFrame, DataFrame]:
     """Rows of the shards an index names, and the index entries which are refused.
 
-    ``index`` has ``path, sha256``. Refused are paths which leave the root, repeat, are absent, too large or changed.
+    ``index`` has ``path, sha256``. Refused are paths which leave the root or are not plain (a drive, a backslash, an empty
+    part), repeat, are absent, oversized or changed.
     """
     relative = F.regexp_replace("path", "^\\./", "")
     copies = index.groupBy(relative.alias("path")).agg(F.max("sha256").alias("sha256"), F.count(F.lit(1)).alias("copies"))
-    checked = copies.withColumn("escapes", F.col("path").startswith("/") | F.col("path").rlike(r"(^|/)\.\.(/|$)"))
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).where(F.col("length") <= size_limit)
+    checked = copies.withColumn("escapes", F.col("path").startswith("/") | F.col("path").rlike(r"(^|/)\.\.(/|$)|[:\\]|//|^$"))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     # listings may spell the scheme of the root differently
     base = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:/*", "", root).strip("/") + "/"
-    found = files.select(
-        F.substring_index("path", base, -1).alias("path"), F.sha2("content", 256).alias("found"), F.decode("content", "UTF-8").alias("text")
+    name = F.substring_index("path", base, -1).alias("path")
+    listed = files.select(name, (F.col("length") > size_limit).alias("oversized"))
+    found = files.where(F.col("length") <= size_limit).select(
+        name, F.sha2("content", 256).alias("found"), F.decode("content", "UTF-8").alias("text")
     )
-    joined = checked.join(found, "path", "left")
+    joined = checked.join(listed, "path", "left").join(found, "path", "left")
     state = (
-        F.when(F.col("escapes"), "escapes_root").when(F.col("copies") > 1, "duplicate").when(F.col("found").isNull(), "absent")
-        .when(F.col("found") != F.col("sha256"), "changed").otherwise("ok")
+        F.when(F.col("escapes"), "escapes_root").when(F.col("copies") > 1, "duplicate").when(F.col("oversized").isNull(), "absent")
+        .when(F.col("oversized"), "oversized").when(F.col("found") != F.col("sha256"), "changed").otherwise("ok")
     )
     tagged = joined.withColumn("state", state)
     rows = tagged.where(F.col("state") == "ok").select("path", F.explode(F.from_json("text", f"array<{_struct(schema)}>")).alias("r"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -57,12 +58,14 @@ def write_package(df: DataFrame, path: str) -> bool:
 
 
 def file_manifest(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
-    """Name, size and content hash of every written file, read back in parallel."""
+    """Name relative to ``root``, size and content hash of every written file, read back in parallel."""
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
     )
+    # listings may spell the scheme of the root differently
+    base = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:/*", "", root).strip("/") + "/"
     return files.select(
-        F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), F.col("length").alias("bytes"),
+        F.substring_index("path", base, -1).alias("name"), F.col("length").alias("bytes"),
         F.sha2("content", 256).alias("sha256"),
     )
 

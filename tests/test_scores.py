@@ -154,9 +154,9 @@ def test_retry_chains(spark):
 
 def test_long_bundles_are_hashed_as_trees(spark):
     files = spark.range(3000).select(F.lit("b").alias("k"), F.format_string("f%06d", "id").alias("p"), F.md5(F.col("id").cast("string")).alias("d"))
-    one = quality.bundle_hashes(files, ["k"], "p", "d", prefix=5).first()["bundle_sha256"]
-    again = quality.bundle_hashes(files.repartition(5), ["k"], "p", "d", prefix=4).first()["bundle_sha256"]
-    changed = quality.bundle_hashes(files.withColumn("d", F.when(F.col("p") == "f002999", "x").otherwise(F.col("d"))), ["k"], "p", "d", prefix=5)
+    one = quality.bundle_hashes(files, ["k"], "p", "d").first()["bundle_sha256"]
+    again = quality.bundle_hashes(files.repartition(5), ["k"], "p", "d").first()["bundle_sha256"]
+    changed = quality.bundle_hashes(files.withColumn("d", F.when(F.col("p") == "f002999", "x").otherwise(F.col("d"))), ["k"], "p", "d")
     assert one == again and one != changed.first()["bundle_sha256"]
 
 

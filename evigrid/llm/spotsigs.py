@@ -6,6 +6,11 @@ start of the text, and, so that prose without common words is covered too, conte
 document's set, and a digest of the sorted set is its fingerprint. Likeness is the Jaccard similarity of two sets; with a
 threshold, set lengths alone rule a pair out where min/max is under it.
 
+``search`` finds the documents near a stated set of queries. Query sets are partitioned by set length, so that only the partition of a
+document's own length and its neighbours can hold a match; inside a partition an inverted index over each query's rarest
+signatures (as many as any match must share one of) names the candidates, and Jaccard similarity is counted for those whose
+lengths allow it.
+
 Every document is also compared with the next one and with its edited text (its second half replaced by the beginning of the next
 document). "Next" needs the order of all ids: ids alone give range edges, texts go once to their range and are walked there in order, and
 the first document of a range is sent to the range before it as well.
@@ -26,8 +31,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evigrid.llm.common import arrow_schema, id_and_text, ship
+from evigrid.llm.common import arrow_schema, id_and_text, map_batches, ship
 from evigrid.llm.decontaminate import words
+from evigrid.session import materialise
 
 #: common words of English, French, German and Spanish prose: fixed values
 ANCHORS = frozenset(
@@ -101,6 +107,96 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
+QUERY_BLOCK = 20_000
+
+
+def partition_of(size: int, threshold: float) -> int:
+    """Length partition: sets that are alike by ``threshold`` lie in the same partition or in neighbouring ones."""
+    return int(np.floor(np.log(size) / -np.log(threshold) + 1e-9))
+
+
+def build_index(sets: list[np.ndarray], threshold: float) -> dict[int, dict[int, list[int]]]:
+    """Length partition -> signature -> query numbers, over the rarest signatures of each query."""
+    values, counts = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.empty(0), np.empty(0))
+    index: dict[int, dict[int, list[int]]] = {}
+    for number, found in enumerate(sets):
+        if not len(found):
+            continue
+        rarity = counts[np.searchsorted(values, found)]
+        # whatever is alike shares ceil(t*n) signatures, so one of any n - ceil(t*n) + 1
+        needed = len(found) - int(np.ceil(threshold * len(found) - 1e-9)) + 1
+        part = index.setdefault(partition_of(len(found), threshold), {})
+        for signature in found[np.argsort(rarity, kind="stable")[:needed]].tolist():
+            part.setdefault(signature, []).append(number)
+    return index
+
+
+def matches(
+    found: np.ndarray, sets: list[np.ndarray], index: dict[int, dict[int, list[int]]], threshold: float
+) -> list[tuple[int, float]]:
+    """Query numbers whose set is alike by ``threshold``, with the likeness."""
+    if not len(found):
+        return []
+    own = partition_of(len(found), threshold)
+    signatures_ = found.tolist()
+    candidates = {
+        number
+        for part in (own - 1, own, own + 1)
+        if part in index
+        for signature in signatures_
+        for number in index[part].get(signature, ())
+    }
+    pairs = ((number, likeness(found, sets[number], threshold)) for number in sorted(candidates))
+    return [(number, value) for number, value in pairs if value >= threshold]
+
+
+def search(docs: DataFrame, queries: DataFrame, threshold: float = 0.8, block: int = QUERY_BLOCK) -> DataFrame:
+    """``doc_id``, ``query_id``, ``likeness`` for every document near a query (itself included, if it is one).
+
+    Equal query texts are one set; the sets go to every task in blocks of a stated size, and each block's pass reads all
+    documents once. Wordless texts match nothing.
+    """
+    ship(docs.sparkSession)
+    source = id_and_text(docs)
+    kind = source.schema["doc_id"].dataType.simpleString()
+
+    def sign(batch: pa.RecordBatch) -> dict:
+        found = [signatures(t) for t in batch.column("text").to_pylist()]
+        return {
+            "doc_id": batch.column("doc_id"), "fingerprint": [digest(f) for f in found],
+            "signatures": [f.view(np.int64) for f in found],
+        }
+
+    signed = materialise(map_batches(id_and_text(queries), sign, f"doc_id {kind}, fingerprint string, signatures array<bigint>"))
+    distinct = signed.where(F.size("signatures") > 0).groupBy("fingerprint").agg(F.first("signatures").alias("signatures"))
+    blocks = max(1, -(-distinct.count() // block))
+    cut = materialise(distinct.withColumn("block", F.pmod(F.xxhash64("fingerprint"), F.lit(blocks))))
+    out = None
+    for number in range(blocks):
+        # about ``block`` sets: bounded by the parameter
+        rows = cut.where(F.col("block") == number).collect()
+        sets = [np.array(r.signatures, dtype=np.int64).view(np.uint64) for r in rows]
+        shared = docs.sparkSession.sparkContext.broadcast(([r.fingerprint for r in rows], sets, build_index(sets, threshold)))
+
+        def look(batch: pa.RecordBatch, shared=shared) -> dict:
+            names, sets, index = shared.value
+            rows = [
+                (i, names[k], value)
+                for i, text in enumerate(batch.column("text").to_pylist())
+                for k, value in matches(signatures(text), sets, index, threshold)
+            ]
+            taken = pa.array([i for i, _, _ in rows], type=pa.int64())
+            return {
+                "doc_id": batch.column("doc_id").take(taken), "fingerprint": [f for _, f, _ in rows],
+                "likeness": [v for _, _, v in rows],
+            }
+
+        part = map_batches(source, look, f"doc_id {kind}, fingerprint string, likeness double")
+        out = part if out is None else out.unionByName(part)
+    members = signed.select(F.col("doc_id").alias("query_id"), "fingerprint")
+    return out.join(members, "fingerprint").select("doc_id", "query_id", "likeness")
+
+
 def _in_order(source: DataFrame, pieces: int) -> DataFrame:
     """``doc_id``, ``text`` with ``piece`` (a range of ids) and ``carry`` (a copy of the next range's first row)."""
     ranged = source.select("doc_id").repartitionByRange(pieces, F.col("doc_id").asc_nulls_first())

@@ -164,3 +164,17 @@ def test_likeness(make_docs):
     assert len(single) == 1 and single[0].near_next == 1.0
     empties = spotsigs.fingerprints_with_next(make_docs([(1, None), (2, "")])).collect()
     assert {r.near_next for r in empties} == {1.0} and len({r.fingerprint for r in empties}) == 1
+
+
+@pytest.mark.parametrize(("threshold", "block"), [(0.8, 20_000), (0.4, 5)])
+def test_search_finds_all_that_brute_force_finds(docs, rows, threshold, block):
+    sets = [(i, spotsigs.signatures(t or "")) for i, t in rows]
+    queries = docs.where("doc_id % 2 = 0")
+    expected = collections.Counter(
+        (str(a), str(b), round(spotsigs.likeness(x, y), 9))
+        for a, x in sets for b, y in sets
+        if b is not None and b % 2 == 0 and len(x) and len(y) and spotsigs.likeness(x, y) >= threshold
+    )
+    got = spotsigs.search(docs, queries, threshold, block).collect()
+    assert collections.Counter((str(r.doc_id), str(r.query_id), round(r.likeness, 9)) for r in got) == expected
+    assert spotsigs.search(docs, queries.limit(0)).count() == 0

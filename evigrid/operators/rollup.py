@@ -219,6 +219,29 @@ def cell_costs(history: DataFrame, events: DataFrame, cell: str = "cell_id", ord
     )
 
 
+def attempt_cost_states(ledger: DataFrame, is_event: Column) -> DataFrame:
+    """``missing``, ``pending``, ``unknown`` or ``measured`` per attempt of a table that holds attempts and, where ``is_event``,
+    their cost events. A settled event stands above a reservation of the same attempt.
+    """
+    event = F.when(is_event, F.struct("settled", "elapsed_ms"))
+    last = ledger.groupBy("attempt_id").agg(F.max(event).alias("e"))
+    state = (
+        F.when(F.col("e.settled").isNull(), "missing").when(~F.col("e.settled"), "pending")
+        .when(F.col("e.elapsed_ms").isNull(), "unknown").otherwise("measured")
+    )
+    return last.select("attempt_id", state.alias("cost_state"))
+
+
+def weighting_guard(cells: DataFrame, keys: Sequence[str], block: str, metric: str, tolerance: float = 1e-12) -> DataFrame:
+    """Mean of block means beside the pooled mean, and whether block sizes make them differ: one must not stand for the other."""
+    blocks = cells.groupBy(*keys, block).agg(F.sum(metric).alias("__s"), F.count(metric).alias("__n"))
+    out = blocks.groupBy(*keys).agg(
+        F.avg(F.try_divide("__s", "__n")).alias("block_mean"), F.try_divide(F.sum("__s"), F.sum("__n")).alias("pooled_mean"),
+        F.count_if(F.col("__n") > 0).alias("blocks"), F.sum("__n").alias("rows"),
+    )
+    return out.withColumn("differs", F.abs(F.col("block_mean") - F.col("pooled_mean")) > tolerance)
+
+
 def poisoned_total(value: str, name: str) -> Column:
     """A sum which is unknown as soon as one part is unknown."""
     return F.when(F.count(value) == F.count(F.lit(1)), F.sum(value)).alias(name)

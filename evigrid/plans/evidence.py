@@ -164,6 +164,18 @@ def agg8_gated_group_summary(spark, sf):
     ).withColumn("quantity", F.round("quantity", 8))
 
 
+@query(
+    "ens16_weighting_guard",
+    """with b as (select l_returnflag as arm_id, l_suppkey, sum(l_quantity) as s, count(l_quantity) as n from lineitem group by all)
+    select arm_id, round(avg(s / n), 8) as block_mean, round(sum(s) / sum(n), 8) as pooled_mean, count(*) as blocks, sum(n)::bigint as rows,
+           abs(avg(s / n) - sum(s) / sum(n)) > 1e-9 as differs from b group by arm_id""",
+)
+def ens16_weighting_guard(spark, sf):
+    rows = table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("arm_id"), "l_suppkey", "l_quantity")
+    out = rollup.weighting_guard(rows, ["arm_id"], "l_suppkey", "l_quantity", 1e-9)
+    return out.withColumn("block_mean", F.round("block_mean", 8)).withColumn("pooled_mean", F.round("pooled_mean", 8))
+
+
 @query(
     "agg9_per_stratum",
     f"""with {CELLS}, d as (select *, '{{"horizon":"' || horizon || '","scenario":"' || lower(arm_id) || '"}}' as dims

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from evigrid.functions.ordered import previous, row_numbers
+from evigrid.functions.ordered import PIECE, previous, row_numbers, with_piece
 from evigrid.operators import pairing, ranking, rollup
 from evigrid.plans.bindings import EDGES, LEDGER, edges, ledger, table, time_chunk
 from evigrid.plans.registry import query
+from evigrid.session import materialise
 
 COSTS = f"""{LEDGER},
 priced as (select *, case when not settled then 0 else coalesce(elapsed_ms, reserved_ms) end as charged_ms from ledger
@@ -101,13 +102,8 @@ def agg26_shared_source_cost(spark, sf):
         from ledger h left join (select * from ledger where event_type <> 'error') e using (attempt_id)""",
 )
 def jon16_attempt_cost_join(spark, sf):
-    history = ledger(spark, sf)
-    events = history.where(F.col("event_type") != "error").select("attempt_id", "settled", "elapsed_ms")
-    state = (
-        F.when(F.col("settled").isNull(), "missing").when(~F.col("settled"), "pending")
-        .when(F.col("elapsed_ms").isNull(), "unknown").otherwise("measured")
-    )
-    return history.select("attempt_id").join(events, "attempt_id", "left").select("attempt_id", state.alias("cost_state"))
+    """Attempts and their events are rows of one table here, so they meet in one aggregate and the table is read once."""
+    return rollup.attempt_cost_states(ledger(spark, sf), F.col("event_type") != "error")
 
 
 @query(
@@ -119,18 +115,21 @@ def jon16_attempt_cost_join(spark, sf):
     from h join s using (attempt_id) join o using (attempt_id)""",
 )
 def jon17_observation_settlement_order(spark, sf):
-    base = ledger(spark, sf)
+    """Both positions and the observation are attributes of one attempt: the second position is taken of the first one's rows."""
+    base = ledger(spark, sf).select(
+        "cell_id", "attempt_id", "sequence", F.coalesce("settled", F.lit(False)).alias("settled"), "wall_ns",
+        F.col("peak_bytes").isNotNull().alias("observed"),
+    )
     history = row_numbers(
-        base.select("cell_id", "attempt_id", "sequence"), ["cell_id"], [F.col("sequence"), F.col("attempt_id")],
-        time_chunk("sequence"), "history_position",
+        base, ["cell_id"], [F.col("sequence"), F.col("attempt_id")], time_chunk("sequence"), "history_position"
     ).drop("sequence")
     settled = row_numbers(
-        base.where("settled").select("cell_id", "attempt_id"), ["cell_id"], [F.col("attempt_id")],
-        F.floor(F.col("attempt_id") / 100000), "settlement_position",
-    ).drop("cell_id")
-    observed = base.where(F.col("peak_bytes").isNotNull()).select("attempt_id", "wall_ns")
-    return history.join(settled, "attempt_id").join(observed, "attempt_id").withColumn(
-        "in_order", F.col("history_position") == F.col("settlement_position")
+        with_piece(materialise(history.where("settled")), "attempt_id"), ["cell_id"], [F.col("attempt_id")], F.col(PIECE),
+        "settlement_position",
+    )
+    return settled.where("observed").select(
+        "cell_id", "attempt_id", "history_position", "settlement_position", "wall_ns",
+        (F.col("history_position") == F.col("settlement_position")).alias("in_order"),
     )
 
 
@@ -197,13 +196,14 @@ def jon20_exposure_history(spark, sf):
     from p c join ledger q on q.attempt_id = c.parent_attempt_id""",
 )
 def jon21_retry_parent(spark, sf):
-    base = ledger(spark, sf).select("attempt_id", "cell_id", "state", "sequence")
+    """The parent is the row before, so its state comes along with its id."""
     children = previous(
-        base, ["cell_id"], [F.col("sequence"), F.col("attempt_id")], time_chunk("sequence"), {"parent_attempt_id": "attempt_id"}
-    ).select("attempt_id", "parent_attempt_id")
-    parents = base.select(F.col("attempt_id").alias("parent_attempt_id"), F.col("state").alias("parent_state"))
-    return children.join(parents, "parent_attempt_id").select(
-        "attempt_id", "parent_attempt_id", "parent_state", (F.col("parent_state") == "FAILED").alias("valid_retry")
+        ledger(spark, sf).select("attempt_id", "cell_id", "state", "sequence"), ["cell_id"],
+        [F.col("sequence"), F.col("attempt_id")], time_chunk("sequence"),
+        {"parent_attempt_id": "attempt_id", "parent_state": "state"},
+    )
+    return children.where(F.col("parent_attempt_id").isNotNull()).select(
+        F.col("attempt_id"), "parent_attempt_id", "parent_state", (F.col("parent_state") == "FAILED").alias("valid_retry")
     )
 
 

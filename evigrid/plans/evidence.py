@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from evigrid.functions.fingerprint import element_digest, sequence_fingerprint
 from evigrid.functions.scalars import relative_delta_pct
-from evigrid.operators import inference, pairing, rollup
+from evigrid.operators import inference, pairing, rollup, summaries
 from evigrid.plans.bindings import CELLS, LEDGER, cells, ledger, table
 from evigrid.plans.registry import query
 from evigrid.session import materialise
@@ -62,15 +62,11 @@ def agg1_status_rollup(spark, sf):
        from orders join lineitem on l_orderkey = o_orderkey group by o_orderkey""",
 )
 def agg2_mechanism_status(spark, sf):
-    gates = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
-        F.bool_and(F.col("l_quantity") > 5).alias("all_passed")
-    )
-    status = (
-        F.when(F.col("o_orderstatus") == "P", "not_run").when(F.col("all_passed"), "passed").otherwise("failed")
-    )
-    return table(spark, sf, "orders").join(gates, "o_orderkey").select(
-        F.col("o_orderkey").alias("record_id"), status.alias("mechanism_status")
-    )
+    records = table(spark, sf, "orders").withColumnRenamed("o_orderkey", "record_id")
+    gates = table(spark, sf, "lineitem").withColumnRenamed("l_orderkey", "record_id")
+    return summaries.gate_status(
+        records, gates, "record_id", F.col("l_quantity") > 5, F.col("o_orderstatus") == "P"
+    ).withColumnRenamed("status", "mechanism_status")
 
 
 @query(
@@ -199,10 +195,8 @@ def agg9_per_stratum(spark, sf):
         count(*) filter (where quantity < 0) as candidate_lower from pairs group by all""",
 )
 def agg13_candidate_minus_reference(spark, sf):
-    return pairs(spark, sf).groupBy("candidate", "horizon").agg(
-        F.count(F.lit(1)).alias("blocks"), F.round(F.avg("quantity"), 8).alias("mean_delta"),
-        F.count_if(F.col("quantity") < 0).alias("candidate_lower"),
-    )
+    out = summaries.delta_summary(pairs(spark, sf), ["candidate", "horizon"], "quantity")
+    return out.withColumn("mean_delta", F.round("mean_delta", 8))
 
 
 @query(
@@ -450,12 +444,4 @@ def snk5_claim_index(spark, sf):
     from c group by all""",
 )
 def agg27_attempt_and_cell_counts(spark, sf):
-    per_cell = ledger(spark, sf).groupBy("cell_id").agg(
-        F.count(F.lit(1)).alias("attempts"), F.count_if(F.col("state") == "SUCCEEDED").alias("ok"),
-        F.count_if(F.col("state") == "FAILED").alias("bad"), F.bool_and(F.col("state") != "RUNNING").alias("done"),
-    )
-    return per_cell.groupBy((F.col("cell_id") % 5).alias("family")).agg(
-        F.count(F.lit(1)).alias("expected_cells"), F.count_if(F.col("ok") > 0).alias("successful_cells"),
-        F.sum("attempts").alias("observed_attempts"), F.sum("ok").alias("successful_attempts"),
-        F.sum("bad").alias("failed_attempts"), F.bool_and("done").alias("complete_history"),
-    )
+    return summaries.attempt_and_cell_counts(ledger(spark, sf), "cell_id", F.col("cell_id") % 5, "state")
\ No newline at end of file

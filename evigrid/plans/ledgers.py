@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evigrid.functions.ordered import PIECE, previous, row_numbers, with_piece
-from evigrid.operators import pairing, ranking, rollup
+from evigrid.operators import pairing, ranking, rollup, summaries
 from evigrid.plans.bindings import EDGES, LEDGER, edges, ledger, table, time_chunk
 from evigrid.plans.registry import query
 from evigrid.session import materialise
@@ -88,11 +88,8 @@ def agg25_resource_rollup(spark, sf):
 )
 def agg26_shared_source_cost(spark, sf):
     """A shared source is charged once; users who disagree about it leave its cost unknown."""
-    same = F.min("o_orderstatus") == F.max("o_orderstatus")
-    return table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("source_id")).agg(
-        F.count(F.lit(1)).alias("uses"), (~same).alias("conflict"),
-        F.when(same, F.floor(F.min("o_totalprice"))).alias("charged_ms"),
-    )
+    uses = table(spark, sf, "orders").withColumnRenamed("o_custkey", "source_id")
+    return summaries.shared_source_cost(uses, "source_id", "o_orderstatus", F.floor("o_totalprice"))
 
 
 @query(
@@ -135,25 +132,15 @@ def jon17_observation_settlement_order(spark, sf):
 
 @query(
     "jon18_exact_cover",
-    """with b as (select l_orderkey, count(*) as n from lineitem where l_linenumber = 1 group by all)
+    """with b as (select l_orderkey, count(*) as n from lineitem group by all)
        select coalesce(o_orderkey, l_orderkey) as cell_id, coalesce(n, 0) as packages,
               case when o_orderkey is null then 'not_executable' when n is null then 'uncovered' when n > 1 then 'duplicate' else 'covered' end as state
        from (select o_orderkey from orders where o_orderstatus <> 'P') full join b on l_orderkey = o_orderkey""",
 )
 def jon18_exact_cover(spark, sf):
-    cells = table(spark, sf, "orders").where(F.col("o_orderstatus") != "P").select(
-        F.col("o_orderkey").alias("cell_id"), F.lit(True).alias("executable")
-    )
-    bound = table(spark, sf, "lineitem").where(F.col("l_linenumber") == 1).groupBy(F.col("l_orderkey").alias("cell_id")).agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    state = (
-        F.when(F.col("executable").isNull(), "not_executable").when(F.col("n").isNull(), "uncovered")
-        .when(F.col("n") > 1, "duplicate").otherwise("covered")
-    )
-    return cells.join(bound, "cell_id", "full_outer").select(
-        "cell_id", F.coalesce("n", F.lit(0)).alias("packages"), state.alias("state")
-    )
+    cells = table(spark, sf, "orders").where(F.col("o_orderstatus") != "P").select(F.col("o_orderkey").alias("cell_id"))
+    packages = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("cell_id"))
+    return summaries.exact_cover(cells, packages, "cell_id")
 
 
 @query(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evigrid.functions.fingerprint import element_digest, sequence_fingerprint
-from evigrid.operators import pairing, rollup
+from evigrid.operators import pairing, rollup, summaries
 from evigrid.plans.bindings import CELLS, RECEIPTS, cells, receipts, table
 from evigrid.plans.registry import query
 from evigrid.session import materialise
@@ -94,15 +94,13 @@ def jon3_coverage_matched_reference(spark, sf):
 
 @query(
     "jon7_replicate_alignment",
-    f"""with {CELLS} select arm_id, horizon, block_id, count(*) filter (where seed in (1, 2, 3)) as replicates,
-        count(*) filter (where seed in (1, 2, 3) and status = 'SUCCEEDED') = 3 as aligned from cells group by arm_id, horizon, block_id""",
+    f"""with {CELLS} select arm_id, horizon, block_id, count(*) as replicates,
+        count(*) = 7 and count(*) filter (where status = 'SUCCEEDED') = 7 as aligned from cells group by arm_id, horizon, block_id""",
 )
 def jon7_replicate_alignment(spark, sf):
-    """Three replicates side by side without a three-way join: one union keyed by replicate, one aggregate."""
-    replicate = F.col("seed").isin(1, 2, 3)
-    return cells(spark, sf).groupBy("arm_id", "horizon", "block_id").agg(
-        F.count_if(replicate).alias("replicates"),
-        (F.count_if(replicate & (F.col("status") == rollup.SUCCEEDED)) == 3).alias("aligned"),
+    """All registered replicates side by side without a join per replicate."""
+    return summaries.replicate_alignment(
+        cells(spark, sf), ["arm_id", "horizon", "block_id"], "seed", range(1, 8), F.col("status") == rollup.SUCCEEDED
     )
 
 
@@ -177,9 +175,7 @@ def agg11_seed_directions(spark, sf):
 )
 def agg28_arg_min(spark, sf):
     g = table(spark, sf, "part").groupBy("p_type", "p_brand").agg(F.avg("p_retailprice").alias("s"))
-    return g.groupBy("p_type").agg(
-        F.min_by("p_brand", F.struct("s", "p_brand")).alias("best"), F.round(F.min("s"), 6).alias("score")
-    )
+    return summaries.best_by(g, ["p_type"], "p_brand", "s").withColumn("score", F.round("score", 6))
 
 
 @query(

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from evigrid.functions.quantiles import exact_quantiles
 from evigrid.functions.scalars import micros, seal
-from evigrid.operators import ensemble, pairing, rollup
+from evigrid.operators import ensemble, pairing, rollup, summaries
 from evigrid.plans.bindings import CELLS, SAMPLES, cells, samples, table
 from evigrid.plans.registry import query
 from evigrid.session import materialise
@@ -295,8 +295,8 @@ means as (select method, slot, level, avg(covered_seeds / seeds) as coverage, av
 
 def coverage_means(spark, sf):
     """Seeds inside a block, then blocks, with equal weight; the area is a mean of areas."""
-    return containment(spark, sf).groupBy("method", "slot", "level").agg(
-        F.avg(F.col("covered_seeds") / F.col("seeds")).alias("coverage"), F.avg("area").alias("area"), F.avg("radius").alias("radius")
+    return summaries.containment_means(
+        containment(spark, sf), ["method", "slot", "level"], "covered_seeds", "seeds", ["area", "radius"]
     )
 
 
@@ -318,11 +318,8 @@ def agg18_coverage_means(spark, sf):
         count(*) filter (where coverage > level + 1e-12) as above from means group by slot, level""",
 )
 def agg19_coverage_envelope(spark, sf):
-    gap = F.col("coverage") - F.col("level")
-    return coverage_means(spark, sf).groupBy("slot", "level").agg(
-        F.round(F.min("coverage"), 8).alias("lowest"), F.round(F.max("coverage"), 8).alias("highest"),
-        F.count_if(gap < -1e-12).alias("below"), F.count_if(F.abs(gap) <= 1e-12).alias("equal"), F.count_if(gap > 1e-12).alias("above"),
-    )
+    out = summaries.coverage_envelope(coverage_means(spark, sf), ["slot", "level"], "level")
+    return out.withColumn("lowest", F.round("lowest", 8)).withColumn("highest", F.round("highest", 8))
 
 
 @query(
@@ -333,12 +330,9 @@ def agg19_coverage_envelope(spark, sf):
 )
 def agg42_horizon_overview(spark, sf):
     at = coverage_means(spark, sf).where(F.col("level") == 0.9)
-    last = F.col("slot") == 3
-    return at.groupBy("method").agg(
-        *[F.round(F.max(F.when(F.col("slot") == i, F.col("coverage"))), 8).alias(f"coverage_{i}") for i in range(4)],
-        F.round(F.min(F.when(last, F.col("coverage"))), 8).alias("last_low"),
-        F.bool_and(F.when(last, F.col("coverage") < 0.9)).alias("last_below_nominal"),
-    )
+    out = summaries.horizon_overview(at, ["method"], "slot", range(4), 0.9)
+    rounded = {c: F.round(c, 8) for c in out.columns if c.startswith("coverage_") or c == "last_low"}
+    return out.withColumns(rounded)
 
 
 @query(

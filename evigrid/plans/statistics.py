@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evigrid.functions.quantiles import exact_quantiles
-from evigrid.operators import inference, pairing, ranking, rollup
+from evigrid.operators import inference, pairing, ranking, rollup, summaries
 from evigrid.plans.bindings import (
     CAPTURES, CELLS, ELIGIBILITY, LEDGER, TRIALS, captures, cells, draws, eligibility, ledger, table, trials,
 )
@@ -55,10 +55,7 @@ def inf2_bootstrap_status(spark, sf):
     kept = c.where(~((F.col("arm_id") == "R") & (F.col("status") == "FAILED"))).withColumn("target", F.lit(0))
     aligned = pairing.alignment(kept, "arm_id", "A", ["horizon", "block_id", "seed"], "target")
     energy = c.groupBy("arm_id").agg(F.bool_and(F.col("status") == rollup.SUCCEEDED).alias("energy"))
-    state = (
-        F.when(F.col("arm_id") == "A", "reference").when(~F.col("aligned"), "segment_alignment_failed")
-        .when(F.col("energy"), "complete").otherwise("partial_closed_energy_not_resampled")
-    )
+    state = summaries.bootstrap_status(F.col("arm_id") == "A", F.lit(True), F.col("aligned"), F.col("energy"))
     return aligned.join(energy, "arm_id").select("arm_id", state.alias("bootstrap_status"))
 
 
@@ -390,14 +387,10 @@ def win4_leave_one_out(spark, sf):
 )
 def agg30_runtime_conditions(spark, sf):
     t = trials(spark, sf).where(F.col("kind") != "warmup")
-    ok = F.col("status") == "success"
-    counts = t.groupBy("subject", "kind").agg(F.count_if(ok).alias("successes"), F.count_if(~ok).alias("failures"))
-    q = exact_quantiles(t.where(ok), ["subject", "kind"], "end_to_end_ms", {"p50": 0.5, "p95": 0.95})
-    enough = F.col("successes") >= 5
-    return counts.join(q, ["subject", "kind"], "left").select(
-        "subject", "kind", "successes", "failures", F.when(enough, "computed").otherwise("unavailable").alias("state"),
-        F.when(enough, F.round("p50", 6)).alias("p50"), F.when(enough, F.round("p95", 6)).alias("p95"),
+    out = summaries.runtime_conditions(
+        t, ["subject", "kind"], F.col("status") == "success", "end_to_end_ms", {"p50": 0.5, "p95": 0.95}, 5
     )
+    return out.withColumn("p50", F.round("p50", 6)).withColumn("p95", F.round("p95", 6))
 
 
 @query(
@@ -406,10 +399,8 @@ def agg30_runtime_conditions(spark, sf):
         sum(elapsed_ms)::bigint as total_ms, round(sum(elapsed_ms) / count(elapsed_ms), 8) as mean_ms from ledger group by all""",
 )
 def agg31_kernel_cost(spark, sf):
-    return ledger(spark, sf).groupBy((F.col("cell_id") % 15).alias("kernel")).agg(
-        F.count(F.lit(1)).alias("planned"), F.count("elapsed_ms").alias("recorded"), F.count_if(F.col("elapsed_ms").isNull()).alias("missing"),
-        F.sum("elapsed_ms").alias("total_ms"), F.round(F.avg("elapsed_ms"), 8).alias("mean_ms"),
-    )
+    out = summaries.recorded_cost(ledger(spark, sf), [(F.col("cell_id") % 15).alias("kernel")], "elapsed_ms")
+    return out.withColumn("mean_ms", F.round("mean_ms", 8))
 
 
 @query(
@@ -420,17 +411,7 @@ def agg31_kernel_cost(spark, sf):
         from captures group by rollup (matrix, disposition)""",
 )
 def agg32_capture_totals(spark, sf):
-    def side(name):
-        return F.coalesce(F.sum(F.when(F.col("capture") == name, F.col("n"))), F.lit(0))
-
-    out = captures(spark, sf).rollup("matrix", "disposition").agg(
-        F.grouping("matrix").alias("gm"), F.grouping("disposition").alias("gd"), side("earlier").alias("earlier"), side("later").alias("later")
-    )
-    return out.select(
-        F.when(F.col("gm") == 1, "all").otherwise(F.col("matrix")).alias("matrix"),
-        F.when(F.col("gd") == 1, "all").otherwise(F.col("disposition")).alias("disposition"),
-        "earlier", "later", (F.col("later") - F.col("earlier")).alias("net"),
-    )
+    return summaries.capture_totals(captures(spark, sf), ["matrix", "disposition"], "capture", "n", "earlier", "later")
 
 
 @query(
@@ -439,15 +420,7 @@ def agg32_capture_totals(spark, sf):
         from (select * from captures where capture = 'earlier') a full join (select * from captures where capture = 'later') b using (matrix, disposition)""",
 )
 def jon13_capture_join(spark, sf):
-    """Both captures meet per cell in one aggregate; a cell absent from one side stays with a null there."""
-    def side(name):
-        return F.max(F.when(F.col("capture") == name, F.col("n")))
-
-    both = captures(spark, sf).groupBy("matrix", "disposition").agg(side("earlier").alias("n_left"), side("later").alias("n_right"))
-    return both.select(
-        "matrix", "disposition", "n_left", "n_right",
-        (F.coalesce("n_right", F.lit(0)) - F.coalesce("n_left", F.lit(0))).alias("net"), (~F.col("n_left").eqNullSafe(F.col("n_right"))).alias("changed"),
-    )
+    return summaries.capture_join(captures(spark, sf), ["matrix", "disposition"], "capture", "n", "earlier", "later")
 
 
 @query(
@@ -511,17 +484,10 @@ def agg33_display_rule(spark, sf):
            case when n >= 290 then 'computed' else 'unavailable' end as state from k left join m using (class)""",
 )
 def agg34_environment_means(spark, sf):
-    classes = spark.createDataFrame(
-        [(c,) for c in ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY", "UNKNOWN")], "class string"
-    )
-    m = table(spark, sf, "customer").groupBy(F.col("c_mktsegment").alias("class")).agg(
-        F.count(F.lit(1)).alias("n"), F.avg("c_acctbal").alias("v")
-    )
-    enough = F.coalesce(F.col("n") >= 290, F.lit(False))
-    return classes.join(m, "class", "left").select(
-        "class", F.coalesce("n", F.lit(0)).alias("windows"), F.when(enough, F.round("v", 6)).alias("mean"),
-        F.when(enough, "computed").otherwise("unavailable").alias("state"),
-    )
+    names = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY", "UNKNOWN")
+    classes = spark.createDataFrame([(c,) for c in names], "class string")
+    customers = table(spark, sf, "customer").withColumnRenamed("c_mktsegment", "class")
+    return summaries.class_means(classes, customers, "class", "c_acctbal", 290).withColumn("mean", F.round("mean", 6))
 
 
 @query(
@@ -531,16 +497,9 @@ def agg34_environment_means(spark, sf):
            coalesce(sum(n) filter (where mode = 'P'), 0)::bigint as p, case when bool_or(bad > 25) then 'unavailable' else 'available' end as state from c group by family""",
 )
 def agg35_availability_matrix(spark, sf):
-    c = table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("family"), "o_orderstatus").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("o_totalprice") < 10000).alias("bad")
-    )
-    def mode(code):
-        return F.coalesce(F.sum(F.when(F.col("o_orderstatus") == code, F.col("n"))), F.lit(0))
-
-    return c.groupBy("family").agg(
-        *[mode(m).alias(m.lower()) for m in ("F", "O", "P")],
-        F.when(F.bool_or(F.col("bad") > 25), "unavailable").otherwise("available").alias("state"),
-    )
+    orders = table(spark, sf, "orders").withColumnRenamed("o_orderpriority", "family")
+    modes = {"F": "f", "O": "o", "P": "p"}
+    return summaries.availability_matrix(orders, "family", "o_orderstatus", modes, F.col("o_totalprice") < 10000, 25)
 
 
 @query(
@@ -551,11 +510,9 @@ def agg35_availability_matrix(spark, sf):
     from w where a is not null and b is not null and c is not null group by all""",
 )
 def agg41_paired_variance_ratio(spark, sf):
-    arms = cells(spark, sf).where(F.col("status") == rollup.SUCCEEDED).groupBy("horizon", "block_id", "seed").pivot("arm_id", ["A", "N", "R"]).agg(
-        F.max("quantity")
-    ).dropna()
-    ratio = F.var_samp(F.col("A") - F.col("R")) / F.nullif(F.var_samp(F.col("N") - F.col("R")), F.lit(0.0))
-    return arms.groupBy("horizon", "block_id").agg(F.count(F.lit(1)).alias("seeds"), F.round(ratio, 8).alias("ratio"))
+    good = cells(spark, sf).where(F.col("status") == rollup.SUCCEEDED)
+    out = summaries.paired_variance_ratio(good, ["horizon", "block_id"], "seed", "arm_id", "quantity", "A", "N", "R")
+    return out.withColumn("ratio", F.round("ratio", 8))
 
 
 @query(
@@ -566,7 +523,8 @@ def agg41_paired_variance_ratio(spark, sf):
 )
 def agg44_verification_tally(spark, sf):
     s = F.col("state")
-    return ledger(spark, sf).groupBy((F.col("cell_id") % 15).alias("study")).agg(
-        F.count(F.lit(1)).alias("expected"), F.count_if((s == "SUCCEEDED") & (F.col("wall_ns") > 20000)).alias("verified"),
-        F.count_if(s == "SUCCEEDED").alias("passed"), F.count_if(s == "FAILED").alias("failed"), F.count_if(s == "RUNNING").alias("not_completed"),
-    )
+    states = {
+        "verified": (s == "SUCCEEDED") & (F.col("wall_ns") > 20000), "passed": s == "SUCCEEDED", "failed": s == "FAILED",
+        "not_completed": s == "RUNNING",
+    }
+    return summaries.tally(ledger(spark, sf), [(F.col("cell_id") % 15).alias("study")], states)
\ No newline at end of file

@@ -62,8 +62,11 @@ def tokens(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def marked(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The documents with ``is_target``, true where the id is in ``ids`` (distinct, not null)."""
-    wanted = ids.select(F.col(id_col).alias("target_id"), F.lit(True).alias("is_target"))
+    """The documents with ``is_target``, true where the id is in ``ids`` (distinct, not null).
+
+    The list of ids grows with the corpus, so it is never broadcast: both sides are sorted at every size.
+    """
+    wanted = ids.select(F.col(id_col).alias("target_id"), F.lit(True).alias("is_target")).hint("merge")
     return docs.join(wanted, F.col(id_col) == F.col("target_id"), "left").drop("target_id")
 
 

@@ -79,11 +79,11 @@ def src1_run_records(spark, sf):
 @query(
     "src2_prediction_samples",
     """select vec_id, 'seg' || label as segment_id, s.i::integer as sample_idx, round(embedding[2 * s.i + 1]::double, 6) as x, round(embedding[2 * s.i + 2]::double, 6) as y
-       from embeddings cross join (select unnest([0, 1, 2]) as i) s""",
+       from embeddings cross join (select unnest(range(32)) as i) s""",
 )
 def src2_prediction_samples(spark, sf):
     path = fresh(spark)
-    sample = [F.array(F.col("embedding")[2 * i].cast("double"), F.col("embedding")[2 * i + 1].cast("double")) for i in range(3)]
+    sample = [F.array(F.col("embedding")[2 * i].cast("double"), F.col("embedding")[2 * i + 1].cast("double")) for i in range(32)]
     document = F.array(
         F.struct(F.concat(F.lit("seg"), "label").alias("segment_id"), sample[0].alias("target"), F.array(*sample).alias("samples"))
     )
@@ -107,8 +107,7 @@ def src3_evidence_bundle(spark, sf):
     table(spark, sf, "supplier").select(
         F.col("s_suppkey").cast("string").alias("study_id"), F.array(F.struct(*ident)).alias("expected_cells"), F.array(cell).alias("cells")
     ).write.json(path)
-    raw = spark.read.schema(readers.BUNDLE).json(path)
-    expected, observed = raw.select("study_id", F.inline("expected_cells")), raw.select("study_id", F.inline("cells"))
+    _, expected, observed = readers.read_bundle(spark, path, multi_line=False)
     return expected.join(observed.select("study_id", "cell_hash", "metrics"), ["study_id", "cell_hash"]).select(
         "study_id", "cell_hash", "arm_id", "block_id", F.round(F.col("metrics")["loss"], 6).alias("loss")
     )
@@ -140,30 +139,49 @@ def src4_sharded_scan(spark, sf):
 )
 def src5_unique_versions(spark, sf):
     items = table(spark, sf, "orders").where(F.col("o_orderstatus") == "F").select(F.col("o_custkey").alias("work_id"), F.md5(F.lit("v1")).alias("digest"))
+    path = fresh(spark)
+    items.write.json(path)
     bound = table(spark, sf, "customer").select(F.col("c_custkey").alias("work_id"), F.md5(F.lit("v1")).alias("digest"))
-    return readers.unique_versions(items, bound, "work_id", "digest").drop("digest")
+    return readers.unique_versions(readers.read_work_items(spark, path), bound, "work_id", "digest").drop("digest")
 
 
 @query(
     "src6_strict_json",
-    "select event_id, case when value >= 1 then json_extract_string(props, '$.k')::integer end as k, value >= 1 as accepted from events",
+    """with g as (select (s_suppkey % 25)::integer as part, count(*) as n from supplier group by all)
+    select part, case when part = 7 then 'oversized' else 'ok' end as state, case when part <> 7 and part % 5 <> 1 then n end as n,
+           part <> 7 and part % 5 <> 1 as accepted from g""",
 )
 def src6_strict_json(spark, sf):
-    """Documents which repeat a key are refused; the usual parser would keep the last value."""
-    e = table(spark, sf, "events")
-    text = F.when(F.col("value") < 1, F.concat(F.substring_index("props", "}", 1), F.lit(', "k": 1}'))).otherwise(F.col("props"))
-    parsed = e.select("event_id", F.try_parse_json(text).alias("document"))
-    return parsed.select(
-        "event_id", F.try_variant_get("document", "$.k", "int").alias("k"), F.col("document").isNotNull().alias("accepted")
+    """One document per group of suppliers. One that repeats a key is refused (the usual parser would keep the last value), and
+    one that is too large is listed, but not read.
+    """
+    path = fresh(spark)
+    groups = table(spark, sf, "supplier").groupBy((F.col("s_suppkey") % 25).cast("int").alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    again = F.when(F.col("part") % 5 == 1, F.lit(', "n": 0')).otherwise(F.lit(""))
+    filler = F.when(F.col("part") == 7, F.repeat(F.lit(" "), 5000)).otherwise(F.lit(""))
+    text = F.concat(F.lit('{"n": '), F.col("n").cast("string"), again, F.lit("}"), filler)
+    groups.repartition("part").select("part", text.alias("value")).write.partitionBy("part").text(path)
+    found = readers.read_pinned(spark, f"{path}/part=*", 4096)
+    return found.select(
+        F.regexp_extract("path", r"part=(\d+)/", 1).cast("int").alias("part"), "state",
+        F.try_variant_get("document", "$.n", "bigint").alias("n"), F.col("document").isNotNull().alias("accepted"),
     )
 
 
-@query("src7_compressed_transport", "select event_type as status, count(*) as rows, round(sum(value), 4) as total from events group by all")
+@query(
+    "src7_compressed_transport",
+    "select event_type as status, count(*) as rows, round(sum(value), 4) as total, true as kept, false as kept_by_fewer from events group by all",
+)
 def src7_compressed_transport(spark, sf):
+    """Read only under a contract of rows and decoded bytes; a contract of one row less is broken."""
     path = fresh(spark)
-    table(spark, sf, "events").select("event_id", "event_type", "value").write.option("compression", "gzip").json(path)
+    e = table(spark, sf, "events").select("event_id", "event_type", "value")
+    e.write.option("compression", "gzip").json(path)
+    promised = e.count()
+    kept = [readers.transport_contract(spark, path, rows, 200 * promised).select("kept").scalar() for rows in (promised, promised - 1)]
     back = readers.read_compressed(spark, path, "event_id bigint, event_type string, value double")
-    return back.groupBy(F.col("event_type").alias("status")).agg(F.count(F.lit(1)).alias("rows"), F.round(F.sum("value"), 4).alias("total"))
+    out = back.groupBy(F.col("event_type").alias("status")).agg(F.count(F.lit(1)).alias("rows"), F.round(F.sum("value"), 4).alias("total"))
+    return out.select("*", kept[0].alias("kept"), kept[1].alias("kept_by_fewer"))
 
 
 @query("src8_csv_scan", f"with {RECEIPTS} select benchmark_id, seed, round(metric, 4) as metric, case when n > 1 then n end as n from receipts")
@@ -179,8 +197,15 @@ def src8_csv_scan(spark, sf):
     "select d.source as batch_id, d.doc_id as seed, case when quality = 1 then 'ok' when quality = 0 then 'weak' end as status, quality is not null as present from documents d left join labels l using (doc_id)",
 )
 def src9_batch_manifest(spark, sf):
-    """Each document row is a manifest entry; the labels are the summaries it must find."""
-    manifest = table(spark, sf, "documents").select(F.col("source").alias("batch_id"), F.array(F.struct(F.col("doc_id").alias("seed"))).alias("replicates"))
+    """Manifest documents of at most some hundred replicates each; the labels are the summaries they must find."""
+    path = fresh(spark)
+    entries = table(spark, sf, "documents").select(F.col("source").alias("batch_id"), "doc_id")
+    # a source of any size is split over documents by its ids
+    listed = entries.groupBy("batch_id", F.floor(F.col("doc_id") / 256).alias("part")).agg(
+        F.collect_list(F.struct(F.col("doc_id").alias("seed"))).alias("replicates")
+    )
+    listed.drop("part").write.json(path)
+    manifest = readers.read_manifest(spark, path)
     summaries = table(spark, sf, "labels").select(F.col("doc_id").alias("seed"), F.when(F.col("quality") == 1, "ok").otherwise("weak").alias("status"))
     return readers.replicate_inputs(manifest, summaries)
 
@@ -223,7 +248,9 @@ def src11_test_report(spark, sf):
     f"with {CELLS} select distinct arm_id, horizon, block_id from cells where arm_id not in ('R', 'Z')",
 )
 def src12_scope_policy(spark, sf):
-    policy = spark.createDataFrame([(["R", "Z"],)], "approved_excluded_arms array<string>")
+    path = fresh(spark)
+    spark.createDataFrame([('{"approved_excluded_arms": ["R", "Z"]}',)], "value string").coalesce(1).write.text(path)
+    policy = readers.read_policy(spark, path)
     grid = cells(spark, sf).select("arm_id", "horizon", "block_id").distinct()
     return readers.expected_grid(policy, grid)
 
@@ -262,15 +289,20 @@ def snk3_write_once_package(spark, sf):
 
 @query(
     "snk4_output_manifest",
-    "select 'captures' as \"table\", count(*) as rows, true as hashed from (select distinct o_orderdate < timestamp '1998-01-01' as e, o_orderpriority, o_orderstatus from orders union all select distinct null, o_orderpriority, o_orderstatus from orders) where e is distinct from false",
+    """with k as (select o_orderkey % 4 as part, count(*) as n from orders group by all)
+    select 'part=' || part as folder, n as rows, true as hashed, (select count(*) from orders) as total from k""",
 )
 def snk4_output_manifest(spark, sf):
+    """A row per written file: its hash, its bytes, its rows; beside it the rows of the table."""
     path = fresh(spark)
-    out = materialise(captures(spark, sf))
-    out.write.json(path)
-    files = sinks.file_manifest(spark, path, "part-*").agg(F.bool_and((F.length("sha256") == 64) & (F.col("bytes") > 0)).alias("hashed"))
-    counts = sinks.table_manifest({"captures": spark.read.schema(out.schema).json(path)})
-    return counts.withColumn("hashed", files.scalar())
+    orders = table(spark, sf, "orders").select((F.col("o_orderkey") % 4).alias("part"), "o_orderkey")
+    orders.repartition(4, "part").write.partitionBy("part").json(path)
+    files = sinks.rows_per_file(spark, path, sinks.file_manifest(spark, path, "part-*"))
+    total = sinks.table_manifest({"orders": spark.read.json(path)}).select("rows").scalar()
+    return files.select(
+        F.substring_index("name", "/", 1).alias("folder"), "rows", ((F.length("sha256") == 64) & (F.col("bytes") > 0)).alias("hashed"),
+        total.alias("total"),
+    )
 
 
 @query("snk6_summary_document", "select 'study-1' as study_id, event_type as status, count(*) as n, (select count(*) from events) as total from events group by all")

@@ -64,9 +64,9 @@ def explode_predictions(df: DataFrame, keys: Sequence[str], predictions: str = "
     ).select(*keys, "segment_id", "tx", "ty", "sample_idx", F.col("__s")[0].alias("x"), F.col("__s")[1].alias("y"))
 
 
-def read_bundle(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Header, expected cells and cells of an evidence bundle."""
-    raw = spark.read.schema(BUNDLE).option("multiLine", True).json(path)
+def read_bundle(spark: SparkSession, path: str, multi_line: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Header, expected cells and cells of evidence bundles, one per file or (``multi_line`` false) one per line."""
+    raw = spark.read.schema(BUNDLE).option("multiLine", multi_line).json(path)
     header = raw.drop("expected_cells", "cells")
     return header, raw.select("study_id", F.inline("expected_cells")), raw.select("study_id", F.inline("cells"))
 
@@ -120,6 +120,11 @@ def read_sharded(
     return rows.select("path", "r.*"), tagged.where(F.col("state") != "ok").select("path", "state")
 
 
+def read_work_items(spark: SparkSession, path: str) -> DataFrame:
+    """Cached work items: ``work_id``, ``digest`` of every item document below ``path``."""
+    return spark.read.schema("work_id bigint, digest string").option("recursiveFileLookup", True).json(path)
+
+
 def unique_versions(items: DataFrame, bindings: DataFrame, work_id: str, digest: str) -> DataFrame:
     """Cached work items which match a binding exactly once; others are tagged."""
     matched = bindings.join(items.select(work_id, digest, F.lit(True).alias("__hit")), [work_id, digest], "left")
@@ -134,6 +139,15 @@ def read_compressed(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("pathGlobFilter", "*.json.gz").json(path)
 
 
+def transport_contract(spark: SparkSession, path: str, rows: int, decoded_limit: int) -> DataFrame:
+    """One row: rows and decoded bytes of a compressed transport, and whether both keep their contract. The text is not parsed."""
+    lines = spark.read.option("pathGlobFilter", "*.json.gz").text(path)
+    found = lines.agg(
+        F.count(F.lit(1)).alias("found"), F.coalesce(F.sum(F.octet_length("value") + 1), F.lit(0)).alias("decoded_bytes")
+    )
+    return found.select("*", ((F.col("found") == rows) & (F.col("decoded_bytes") <= decoded_limit)).alias("kept"))
+
+
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """CSV with header and fixed types; empty text is null."""
     return spark.read.schema(schema).option("header", True).option("nullValue", "").option("mode", "FAILFAST").csv(path)
@@ -146,6 +160,16 @@ def row_contract(df: DataFrame, expected: int) -> DataFrame:
     )
 
 
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """Batch manifests: ``batch_id`` and the list of replicates each names."""
+    return spark.read.schema("batch_id string, replicates array<struct<seed:bigint>>").json(path)
+
+
+def read_policy(spark: SparkSession, path: str) -> DataFrame:
+    """A scope policy document."""
+    return spark.read.schema("approved_excluded_arms array<string>").option("multiLine", True).json(path)
+
+
 def replicate_inputs(manifest: DataFrame, summaries: DataFrame) -> DataFrame:
     """Replicates a batch manifest names, joined to their summaries by seed; absent summaries stay visible."""
     listed = manifest.select("batch_id", F.inline("replicates"))

@@ -70,6 +70,14 @@ def file_manifest(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     )
 
 
+def rows_per_file(spark: SparkSession, root: str, files: DataFrame) -> DataFrame:
+    """A file manifest of line-based files with the number of rows of each; a file without rows has zero."""
+    base = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:/*", "", root).strip("/") + "/"
+    lines = spark.read.option("recursiveFileLookup", True).text(root)
+    counted = lines.groupBy(F.substring_index(F.col("_metadata.file_path"), base, -1).alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    return files.join(counted, "name", "left").select(*files.columns, F.coalesce("n", F.lit(0)).alias("rows"))
+
+
 def table_manifest(tables: Mapping[str, DataFrame]) -> DataFrame:
     """Row count per output table."""
     out = None

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from evigrid.functions.ordered import running_sums
+from evigrid.functions.ordered import PIECE, running_sums, with_piece
 from evigrid.session import materialise
 
 
@@ -114,13 +114,13 @@ def nearest_match(
 
 
 def overlap_counts(
-    left: DataFrame, right: DataFrame, left_id: str, left_span: tuple[str, str], right_span: tuple[str, str], width: int
+    left: DataFrame, right: DataFrame, left_id: str, left_span: tuple[str, str], right_span: tuple[str, str]
 ) -> DataFrame:
     """How many right spans overlap each left span (``a.start < b.end and b.start < a.end``).
 
     Equals the spans begun before the left end minus those over by the left start, so the answer comes from running
-    counts over one ordered timeline and no pair is produced. Right spans must have positive length. ``width`` is the
-    length of the time pieces which are ordered in parallel.
+    counts over one ordered timeline and no pair is produced. Right spans must have positive length. The timeline is cut
+    where its marks are, so a dense hour spreads over many tasks and the carry has one row per piece.
     """
     a0, a1 = left_span
     b0, b1 = right_span
@@ -137,7 +137,7 @@ def overlap_counts(
         marks(right, F.lit(None).cast(kind_of), [(b0, "start", 1), (b1, "end", 1)])
     )
     counted = running_sums(
-        timeline, [], [F.col("t"), F.col("o")], F.floor(F.col("t") / F.lit(width)),
+        with_piece(timeline, "t", "o"), [], [F.col("t"), F.col("o")], F.col(PIECE),
         {"begun": (F.col("kind") == "start").cast("bigint"), "over": (F.col("kind") == "end").cast("bigint")},
     )
     return counted.where(F.col("kind").isin("read_end", "read_start")).groupBy(left_id).agg(

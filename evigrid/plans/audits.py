@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from evigrid.functions.ordered import PIECE, with_piece
 from evigrid.functions.scalars import micros, seal
 from evigrid.operators import pairing, quality
 from evigrid.plans.bindings import (
-    CAPTURES, CELLS, GATES, LEDGER, RECEIPTS, captures, cells, gates, ledger, receipts, table, time_chunk,
+    CAPTURES, CELLS, GATES, LEDGER, RECEIPTS, captures, cells, gates, ledger, receipts, table,
 )
 from evigrid.plans.registry import query
 
@@ -162,8 +163,8 @@ def dq11_denominator_reconciliation(spark, sf):
 def dq12_strictly_ordered(spark, sf):
     e = table(spark, sf, "events").select("user_id", "event_id", micros("ts").alias("t_us"), "value")
     return quality.not_increasing(
-        e, ["user_id"], [F.col("t_us"), F.col("event_id")], time_chunk(), "value"
-    ).drop("t_us")
+        with_piece(e, "t_us", "event_id"), ["user_id"], [F.col("t_us"), F.col("event_id")], F.col(PIECE), "value"
+    ).drop("t_us", PIECE)
 
 
 @query(

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from evigrid.functions.ordered import PIECE, previous, row_numbers, with_piece
 from evigrid.operators import pairing, ranking, rollup, summaries
-from evigrid.plans.bindings import EDGES, LEDGER, edges, ledger, table, time_chunk
+from evigrid.plans.bindings import EDGES, LEDGER, edges, ledger, table
 from evigrid.plans.registry import query
 from evigrid.session import materialise
 
@@ -118,8 +118,9 @@ def jon17_observation_settlement_order(spark, sf):
         F.col("peak_bytes").isNotNull().alias("observed"),
     )
     history = row_numbers(
-        base, ["cell_id"], [F.col("sequence"), F.col("attempt_id")], time_chunk("sequence"), "history_position"
-    ).drop("sequence")
+        with_piece(base, "sequence", "attempt_id"), ["cell_id"], [F.col("sequence"), F.col("attempt_id")], F.col(PIECE),
+        "history_position",
+    ).drop("sequence", PIECE)
     settled = row_numbers(
         with_piece(materialise(history.where("settled")), "attempt_id"), ["cell_id"], [F.col("attempt_id")], F.col(PIECE),
         "settlement_position",
@@ -185,8 +186,8 @@ def jon20_exposure_history(spark, sf):
 def jon21_retry_parent(spark, sf):
     """The parent is the row before, so its state comes along with its id."""
     children = previous(
-        ledger(spark, sf).select("attempt_id", "cell_id", "state", "sequence"), ["cell_id"],
-        [F.col("sequence"), F.col("attempt_id")], time_chunk("sequence"),
+        with_piece(ledger(spark, sf).select("attempt_id", "cell_id", "state", "sequence"), "sequence", "attempt_id"), ["cell_id"],
+        [F.col("sequence"), F.col("attempt_id")], F.col(PIECE),
         {"parent_attempt_id": "attempt_id", "parent_state": "state"},
     )
     return children.where(F.col("parent_attempt_id").isNotNull()).select(
@@ -236,5 +237,5 @@ def win13_retry_chains(spark, sf):
         "cell_id", "attempt_id", "sequence", (F.col("state") == "FAILED").alias("failed")
     )
     return ranking.retry_chains(
-        attempts, ["cell_id"], [F.col("sequence"), F.col("attempt_id")], time_chunk("sequence"), "failed"
+        with_piece(attempts, "sequence", "attempt_id"), ["cell_id"], [F.col("sequence"), F.col("attempt_id")], F.col(PIECE), "failed"
     )

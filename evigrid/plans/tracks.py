@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evigrid.functions.fingerprint import element_digest, sequence_fingerprint
-from evigrid.functions.ordered import previous
+from evigrid.functions.ordered import PIECE, previous, with_piece
 from evigrid.functions.quantiles import exact_quantiles
 from evigrid.functions.scalars import micros, unit_interval_hash
 from evigrid.operators import conditioning, pairing, ranking, rollup, trajectory
@@ -90,7 +90,8 @@ flags as (select user_id, event_id, coalesce(step = 0, false) as duplicate, coal
 
 def flags(spark, sf):
     e = table(spark, sf, "events").select("user_id", "event_id", micros("ts").alias("t_us"))
-    return trajectory.clock_flags(e, "user_id", [F.col("event_id")], F.floor(F.col("event_id") / 100000), "t_us", DAY * 1000000)
+    cut = with_piece(e, "event_id")
+    return trajectory.clock_flags(cut, "user_id", [F.col("event_id")], F.col(PIECE), "t_us", DAY * 1000000).drop(PIECE)
 
 
 @query("win14_clock_flags", f"with {FLAGS} select * from flags")
@@ -252,7 +253,7 @@ def jon23_interval_overlaps(spark, sf):
         "event_id", F.col("t").alias("a0"), (F.col("t") + F.round(F.col("value") * 1000000).cast("bigint")).alias("a1")
     )
     sleeps = e.where(F.col("event_type") == "error").select(F.col("t").alias("b0"), (F.col("t") + 3600000000).alias("b1"))
-    return pairing.overlap_counts(spans, sleeps, "event_id", ("a0", "a1"), ("b0", "b1"), 3600000000)
+    return pairing.overlap_counts(spans, sleeps, "event_id", ("a0", "a1"), ("b0", "b1"))
 
 
 @query(

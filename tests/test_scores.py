@@ -110,7 +110,7 @@ def test_overlap_counts_equal_pairs(spark):
     got = dict(
         pairing.overlap_counts(
             spark.createDataFrame(left, "id bigint, a0 bigint, a1 bigint"), spark.createDataFrame(right, "b0 bigint, b1 bigint"),
-            "id", ("a0", "a1"), ("b0", "b1"), 50,
+            "id", ("a0", "a1"), ("b0", "b1"),
         ).collect()
     )
     for i, a0, a1 in left:

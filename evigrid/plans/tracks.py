@@ -135,8 +135,11 @@ TEMPORAL_SQL = "len(list_filter(reasons, lambda x: x like 'temporal%' or x like
 
 @query(
     "agg21_selection_funnel",
-    f"""with {ELIGIBILITY}, s as (select block_id, true as released, {STAGE_SQL} as metadata_complete, {TEMPORAL_SQL} as temporal_support, len(reasons) = 0 as joint_validity from eligibility),
-    l as (select block_id, unnest(['released', 'metadata_complete', 'temporal_support', 'joint_validity']) as stage, unnest([released, metadata_complete, temporal_support, joint_validity]) as ok from s)
+    f"""with {ELIGIBILITY}, p as (select block_id, min(sample_id) as sample_id from eligibility where len(reasons) = 0 group by block_id order by sha256('order-v1' || block_id), block_id limit 12),
+    s as (select e.block_id, true as released, {STAGE_SQL} as metadata_complete, {TEMPORAL_SQL} as temporal_support, len(reasons) = 0 as joint_validity,
+          len(reasons) = 0 and p.sample_id is not null as selected_primary from eligibility e left join p on p.block_id = e.block_id and p.sample_id = e.sample_id),
+    l as (select block_id, unnest(['released', 'metadata_complete', 'temporal_support', 'joint_validity', 'selected_primary']) as stage,
+          unnest([released, metadata_complete, temporal_support, joint_validity, selected_primary]) as ok from s)
     select stage, count(*) filter (where ok) as windows, count(distinct block_id) filter (where ok) as blocks from l group by stage""",
 )
 def agg21_selection_funnel(spark, sf):
@@ -147,8 +150,16 @@ def agg21_selection_funnel(spark, sf):
         "released": F.lit(True), "metadata_complete": none_of("metadata-short"),
         "temporal_support": none_of("metadata-short", "temporal-lang"),
         "joint_validity": none_of("metadata-short", "temporal-lang", "coverage-len"),
+        "selected_primary": F.col("selected"),
     }
-    return rollup.stage_counts(eligibility(spark, sf), stages, "block_id")
+    windows = eligibility(spark, sf)
+    # the outcome-blind choice: twelve rows at most, one window of each chosen block
+    chosen = ranking.hash_ordered_selection(windows.where(F.size("reasons") == 0), "block_id", "sample_id", "order-v1", 12, 4)
+    picked = F.broadcast(chosen.select("block_id", "sample_id", F.lit(True).alias("__chosen")))
+    marked = windows.join(picked, ["block_id", "sample_id"], "left").withColumn(
+        "selected", (F.size("reasons") == 0) & F.coalesce("__chosen", F.lit(False))
+    )
+    return rollup.stage_counts(marked, stages, "block_id")
 
 
 @query(

@@ -133,7 +133,7 @@ def policy_blocks(cells: DataFrame, policy: Policy, eligible: Column | None = No
     good = admitted & is_finite(policy.metric)
     return cells.groupBy("arm_id", "horizon", "block_id").agg(
         ((F.count_if(good) == F.count(F.lit(1))) & (F.count(F.lit(1)) >= policy.minimum_seeds)).alias("complete"),
-        whole_mean(policy.metric).alias("v"), sequence_fingerprint(element_digest(F.lit(0), "seed")).alias("seeds"),
+        F.count(F.lit(1)).alias("n_cells"), F.count_if(admitted).alias("n_eligible"), whole_mean(policy.metric).alias("v"), sequence_fingerprint(element_digest(F.lit(0), "seed")).alias("seeds"),
         F.bool_and(gates_met(policy)).alias("gates"),
     )
 
@@ -158,9 +158,31 @@ def weighted_block_differences(blocks: DataFrame, contrasts: DataFrame, policy:
     )
 
 
-def adjudicate(cells: DataFrame, contrasts: DataFrame, policy: Policy, eligible: Column | None = None) -> DataFrame:
+def contrast_counts(blocks: DataFrame, contrasts: DataFrame, costs: DataFrame | None = None) -> DataFrame:
+    """Cells expected and eligible on both sides of each contrast and, from ``costs`` (``arm_id, horizon, charged_ms``), their
+    cost, which is unknown as soon as one side's is.
+    """
+    sides = contrasts.select("comparison_id", "horizon", F.explode(F.array("reference", "candidate")).alias("arm_id")).distinct()
+    per_arm = blocks.groupBy("arm_id", "horizon").agg(F.sum("n_cells").alias("n_cells"), F.sum("n_eligible").alias("n_eligible"))
+    met = sides.join(per_arm, ["arm_id", "horizon"], "left")
+    total = F.lit(None).cast("bigint")
+    if costs is not None:
+        met = met.join(costs.select("arm_id", "horizon", "charged_ms"), ["arm_id", "horizon"], "left")
+        total = F.when(F.count("charged_ms") == F.count(F.lit(1)), F.sum("charged_ms"))
+    return met.groupBy("comparison_id").agg(
+        F.coalesce(F.sum("n_cells"), F.lit(0)).alias("expected_cells"), F.coalesce(F.sum("n_eligible"), F.lit(0)).alias("eligible_cells"),
+        (total if costs is not None else F.max(total)).alias("charged_ms"),
+    )
+
+
+def adjudicate(
+    cells: DataFrame, contrasts: DataFrame, policy: Policy, eligible: Column | None = None, costs: DataFrame | None = None
+) -> DataFrame:
     """Verdict per registered contrast. ``contrasts`` has one row per (comparison_id, horizon) with its weight.
 
+    The record also holds the difference in the metric's own direction, the confidence of the interval after the multiplicity
+    rule, cells expected and eligible, and the cost of both sides (null without ``costs`` or where a part is unknown).
+
     Cells are read once; block rows and paired differences are stored, because several branches use them.
     """
     family = contrasts.select("comparison_id", "reference", "candidate").distinct()
@@ -192,7 +214,7 @@ def adjudicate(cells: DataFrame, contrasts: DataFrame, policy: Policy, eligible:
     )
     joined = (
         members.join(gates, "comparison_id", "left").join(points, "comparison_id", "left")
-        .join(sorted_draws, "comparison_id", "left")
+        .join(sorted_draws, "comparison_id", "left").join(contrast_counts(blocks, contrasts, costs), "comparison_id", "left")
         .withColumn("independent_n", F.coalesce("independent_n", F.lit(0)))
     )
     applicable = F.col("gates_passed") & F.col("available")
@@ -210,6 +232,9 @@ def adjudicate(cells: DataFrame, contrasts: DataFrame, policy: Policy, eligible:
         F.when(ready, F.col("effect")).alias("effect"),
         F.when(ready, percentile(tail)).alias("low"),
         F.when(ready, percentile(1 - tail)).alias("high"),
+        F.when(ready, F.col("effect") * sign).alias("candidate_minus_reference"),
+        F.when(ready, 1 - F.lit(1 - policy.confidence) / divisor).alias("interval_confidence"),
+        "expected_cells", "eligible_cells", "charged_ms",
         F.when(~applicable, "INAPPLICABLE").when(~ready, "INSUFFICIENT_DATA").alias("__state"),
     )
     threshold = policy.practical_threshold

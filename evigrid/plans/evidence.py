@@ -370,20 +370,27 @@ def policy_cells(spark, sf):
                  bool_and(exists (select 1 from cells where arm_id = k.candidate and horizon = k.horizon)) as available,
                  bool_and(not exists (select 1 from cells where arm_id in (k.candidate, k.reference) and horizon = k.horizon
                                       and status = 'SUCCEEDED' and quantity < 1.0)) as gates
-               from contrasts k group by all)
-    select comparison_id, case when available and gates then coalesce(n, 0) else 0 end as independent_n,
+               from contrasts k group by all),
+    sides as (select distinct comparison_id, horizon, unnest([reference, candidate]) as arm_id from contrasts),
+    counts as (select comparison_id, count(c.arm_id) as expected_cells, count(*) filter (where c.status = 'SUCCEEDED') as eligible_cells
+               from sides left join cells c using (arm_id, horizon) group by all)
+    select comparison_id, expected_cells, eligible_cells,
+           case when available and gates and n >= 5 then round(-effect, 6) end as candidate_minus_reference,
+           case when available and gates and n >= 5 then round(1 - 0.05::double / 4, 12) end as interval_confidence,
+           case when available and gates then coalesce(n, 0) else 0 end as independent_n,
            case when available and gates and n >= 5 then round(effect, 6) end as effect,
            case when available and gates and n >= 5 then round(low, 6) end as low,
            case when available and gates and n >= 5 then round(high, 6) end as high,
            case when not (available and gates) then 'INAPPLICABLE' when coalesce(n, 0) < 5 then 'INSUFFICIENT_DATA'
                 when low > 0.05 then 'GAIN' when high <= 0.05 then 'NO_GAIN' else 'STATISTICALLY_UNCERTAIN' end as verdict
-    from family left join points using (comparison_id) left join ends using (comparison_id)""",
+    from family left join points using (comparison_id) left join ends using (comparison_id) join counts using (comparison_id)""",
 )
 def inf5_adjudication(spark, sf):
     out = inference.adjudicate(policy_cells(spark, sf), contrasts(spark), POLICY)
     return out.select(
-        "comparison_id", "independent_n", *[F.round(c, 6).alias(c) for c in ("effect", "low", "high")], "verdict"
-    )
+        "comparison_id", "independent_n", *[F.round(c, 6).alias(c) for c in ("effect", "low", "high", "candidate_minus_reference")],
+        F.round("interval_confidence", 12).alias("interval_confidence"), "expected_cells", "eligible_cells", "verdict",
+    )
 
 
 @query(

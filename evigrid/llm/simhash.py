@@ -20,6 +20,8 @@ class of nulls only has a null component_id); an empty table gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -34,6 +36,26 @@ WIDTH = 3
 SEED = 42
 RADIUS = 2
 BITS = 64
+#: near copies of the pipeline: bag-of-words families of the search, shingle width and similarity of the verification
+FAMILIES = 8
+VERIFIED_WIDTH = 5
+SIMILARITY = 0.8
+_NO_SHINGLES = np.empty(0, dtype=np.uint64)
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_SEEDS = [np.uint64(xxhash.xxh64_intdigest(b"family %d" % i) | 1) for i in range(64)]
+
+
+class _Words(dict):
+    """Hashes of recent words; emptied when it grows over a limit."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= 200_000:
+            self.clear()
+        code = self[word] = xxhash.xxh3_64_intdigest(word)
+        return code
+
+
+_WORDS = _Words()
 
 
 def fingerprint(text: bytes, width: int = WIDTH) -> int:
@@ -81,34 +103,34 @@ def _signed(value: int) -> int:
     return value - (1 << 64) if value >= 1 << 63 else value
 
 
-def links(points: DataFrame) -> DataFrame:
-    """Links ``a``, ``b`` between the distinct fingerprints in column ``fp`` that differ in one or two bits.
+def links(points: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Links ``a``, ``b`` between the distinct fingerprints in column ``fp`` that differ in one or two bits, within ``by``.
 
     Not every such pair is a row, but any two such fingerprints are joined through one smaller fingerprint that is
     within the radius of both or equal to one of them, so the components are those of all pairs.
     """
     masks = covering_masks()
     tables = F.array(*[F.struct(F.lit(i).alias("table"), F.lit(_signed(m)).alias("mask")) for i, m in enumerate(masks)])
-    keyed = points.select("fp", F.explode(tables).alias("t")).select(
-        "fp", F.col("t.table").alias("table"), F.col("fp").bitwiseAND(F.col("t.mask")).alias("key")
+    keyed = points.select(*by, "fp", F.explode(tables).alias("t")).select(
+        *by, "fp", F.col("t.table").alias("table"), F.col("fp").bitwiseAND(F.col("t.mask")).alias("key")
     )
     # a bucket with one member has no pair in its table
     shared = materialise(
-        keyed.groupBy("table", "key").agg(F.min("fp").alias("low"), F.max("fp").alias("high"))
-        .where(F.col("low") != F.col("high")).select("table", "key")
+        keyed.groupBy(*by, "table", "key").agg(F.min("fp").alias("low"), F.max("fp").alias("high"))
+        .where(F.col("low") != F.col("high")).select(*by, "table", "key")
     )
-    members = keyed.join(shared, ["table", "key"]).select("table", "fp")
+    members = keyed.join(shared, [*by, "table", "key"]).select(*by, "table", "fp")
     free: Column = F.lit(None)
     for i, mask in enumerate(masks):
         flips = [0, *[1 << b for b in range(BITS) if not mask >> b & 1]]
         free = F.when(F.col("table") == i, F.array(*[F.lit(_signed(x)) for x in flips])).otherwise(free)
-    written = members.select("table", "fp", F.explode(free).alias("flip")).select(
-        "table", "fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("near")
+    written = members.select(*by, "table", "fp", F.explode(free).alias("flip")).select(
+        *by, "table", "fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("near")
     )
     # at most one writer per unkept bit and one more: the list is bounded
-    groups = written.groupBy("table", "near").agg(F.collect_set("fp").alias("fps")).where(F.size("fps") > 1)
+    groups = written.groupBy(*by, "table", "near").agg(F.collect_set("fp").alias("fps")).where(F.size("fps") > 1)
     return (
-        groups.select(F.array_min("fps").alias("b"), F.explode("fps").alias("a")).where(F.col("a") != F.col("b")).distinct()
+        groups.select(*by, F.array_min("fps").alias("b"), F.explode("fps").alias("a")).where(F.col("a") != F.col("b")).distinct()
     )
 
 
@@ -131,8 +153,80 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
     return marked.join(found, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """One document of each class, with all its columns: the smallest id, of repeated ids any one."""
+def word_fingerprints(text: bytes, families: int = FAMILIES) -> list[int]:
+    """Signed 64-bit SimHashes of the bag of words, one per hash family."""
+    found = text.lower().split()
+    if not found:
+        return [0] * families
+    codes = np.fromiter(map(_WORDS.__getitem__, found), dtype=np.uint64, count=len(found))
+    values, counts = np.unique(codes, return_counts=True)
+    weights = counts.astype(np.float32)
+    out = np.empty(families, dtype=np.uint64)
+    for family in range(families):
+        mixed = (values ^ _SEEDS[family]) * _ODD
+        mixed = (mixed ^ (mixed >> np.uint64(31))) * _SEEDS[family]
+        bits = np.unpackbits((mixed ^ (mixed >> np.uint64(29))).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        out[family] = np.packbits(2 * (weights @ bits.astype(np.float32)) > len(found), bitorder="little").view(np.uint64)[0]
+    return out.view(np.int64).tolist()
+
+
+def shingle_set(text: bytes, width: int = VERIFIED_WIDTH) -> np.ndarray:
+    """Sorted distinct hashes of the ``width``-word shingles."""
+    found = text.lower().split()
+    spans = (b" ".join(found[i : i + width]) for i in range(max(1, len(found) - width + 1)))
+    return np.unique(np.fromiter((xxhash.xxh3_64_intdigest(s) for s in spans), dtype=np.uint64)) if found else _NO_SHINGLES
+
+
+def verified_links(texts: DataFrame, similarity: float = SIMILARITY, families: int = FAMILIES) -> DataFrame:
+    """Links ``a``, ``b`` between ``row`` numbers of different texts (``row``, ``text``) whose five-word similarity is 0.8 or more.
+
+    Candidates are texts whose bag-of-words SimHash is within two bits in at least one of several families, found by the
+    same covering search; a candidate becomes a link only after the Jaccard similarity of the two shingle sets is counted.
+    """
+
+    def mark(batch: pa.RecordBatch) -> dict:
+        return {"row": batch.column("row"), "fps": [word_fingerprints(t, families) for t in binary_column(batch, "text")]}
+
+    marked = map_batches(texts.select("row", "text"), mark, "row bigint, fps array<bigint>")
+    points = materialise(marked.select("row", F.posexplode("fps").alias("family", "fp")))
+    least = materialise(points.groupBy("family", "fp").agg(F.min("row").alias("rep")))
+    near = materialise(links(least.select("family", "fp"), ["family"]))
+    reps = near.join(least.withColumnRenamed("fp", "a").withColumnRenamed("rep", "x"), ["family", "a"]).join(
+        least.withColumnRenamed("fp", "b").withColumnRenamed("rep", "y"), ["family", "b"]
+    )
+    same = points.join(least, ["family", "fp"]).where(F.col("row") != F.col("rep"))
+    pairs = reps.select("x", "y").unionByName(same.select(F.col("row").alias("x"), F.col("rep").alias("y")))
+    candidates = materialise(
+        pairs.where(F.col("x") != F.col("y")).select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
+    )
+
+    def sign(batch: pa.RecordBatch) -> dict:
+        return {"row": batch.column("row"), "shingles": [shingle_set(t).tobytes() for t in binary_column(batch, "text")]}
+
+    wanted = candidates.select(F.col("x").alias("row")).union(candidates.select("y")).distinct()
+    sets = materialise(map_batches(texts.select("row", "text").join(wanted, "row", "left_semi"), sign, "row bigint, shingles binary"))
+    met = candidates.join(sets.select(F.col("row").alias("x"), F.col("shingles").alias("sx")), "x").join(
+        sets.select(F.col("row").alias("y"), F.col("shingles").alias("sy")), "y"
+    )
+
+    def verify(batch: pa.RecordBatch) -> dict:
+        kept = []
+        for left, right in zip(batch.column("sx").to_pylist(), batch.column("sy").to_pylist(), strict=True):
+            one, two = np.frombuffer(left, dtype=np.uint64), np.frombuffer(right, dtype=np.uint64)
+            common = len(np.intersect1d(one, two, assume_unique=True))
+            total = len(one) + len(two) - common
+            kept.append(total > 0 and common >= similarity * total)
+        return {"a": batch.column("x"), "b": batch.column("y"), "kept": kept}
+
+    return map_batches(met, verify, "a bigint, b bigint, kept boolean").where("kept").select("a", "b")
+
+
+def keep_one(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
+    """One document of each class, with all its columns: the smallest id, of repeated ids any one.
+
+    Classes join documents whose fingerprints are linked, and documents that ``verified_links`` joins: at 64 bits, two bits
+    are far above a similarity of 0.8, and looser near copies show in the bags of words.
+    """
     ship(docs.sparkSession)
 
     @F.pandas_udf("bigint")
@@ -140,13 +234,27 @@ def keep_one(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         return texts.map(lambda t: _signed(fingerprint((t or "").encode(), width)))
 
     stored = materialise(
-        docs.select(F.struct("*").alias("document"), marks("text").alias("fp"), F.monotonically_increasing_id().alias("row"))
+        docs.select(
+            F.struct("*").alias("document"), marks("text").alias("fp"), F.monotonically_increasing_id().alias("row"),
+            F.md5(F.coalesce("text", F.lit(""))).alias("content"),
+        )
     )
-    slim = stored.select("fp", "row", F.col("document.doc_id").alias("doc_id"))
+    slim = stored.select("fp", "row", "content", F.col("document.doc_id").alias("doc_id"))
     found = classes(materialise(slim.groupBy("fp").agg(F.min("doc_id").alias("smallest"))))
+    placed = materialise(slim.join(found, "fp").select("row", "doc_id", "content", "label"))
+    # copies are one text: the search sees each once
+    firsts = placed.groupBy("content").agg(F.min("row").alias("row")).select("row")
+    texts = materialise(
+        stored.select("row", F.coalesce("document.text", F.lit("")).alias("text")).join(firsts, "row", "left_semi")
+    )
+    pairs = materialise(verified_links(texts, similarity))
+    names = placed.select("row", "label")
+    met = pairs.join(names.toDF("a", "la"), "a").join(names.toDF("b", "lb"), "b").where(F.col("la") != F.col("lb"))
+    wider = smallest_labels(materialise(met.select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()))
+    joined = placed.join(wider.toDF("node", "wide"), F.col("label") == F.col("node"), "left")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
-    best = slim.join(found, "fp").groupBy("label").agg(F.min(order).alias("first")).select(F.col("first.row").alias("row"))
-    return stored.join(best, "row", "left_semi").select("document.*")
+    best = joined.groupBy(F.coalesce("wide", "label").alias("class")).agg(F.min(order).alias("first"))
+    return stored.join(best.select(F.col("first.row").alias("row")), "row", "left_semi").select("document.*")
 
 
 def as_hex(fp: str = "fp") -> Column:

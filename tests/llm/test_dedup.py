@@ -8,6 +8,7 @@ import re
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from evigrid.llm import components, simhash, spotsigs, substrings, suffixes
 
@@ -74,8 +75,11 @@ def test_links_of_dense_and_chained_fingerprints(spark):
 def test_one_of_each_class_stays(docs, rows):
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
-    plain_classes([(i, plain_fingerprint(t)) for i, t in rows])
-    assert kept.count() == plain_classes.count
+    expected = plain_classes([(i, plain_fingerprint(t)) for i, t in rows])
+    # looser near copies may join classes, and every pair of kept documents is apart by the fingerprints
+    fps = [plain_fingerprint(r.text) for r in kept.collect()]
+    assert 0 < len(fps) <= plain_classes.count and len(expected) >= len(fps)
+    assert all((a ^ b).bit_count() > 2 for a, b in itertools.combinations(fps, 2))
     assert sum(r.text == rows[6][1] for r in kept.collect()) <= 1
 
 
@@ -178,3 +182,32 @@ def test_search_finds_all_that_brute_force_finds(docs, rows, threshold, block):
     got = spotsigs.search(docs, queries, threshold, block).collect()
     assert collections.Counter((str(r.doc_id), str(r.query_id), round(r.likeness, 9)) for r in got) == expected
     assert spotsigs.search(docs, queries.limit(0)).count() == 0
+
+
+def test_verified_links(make_docs):
+    """Near copies with a few changed words are found, and nothing under the similarity."""
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(2000)]
+    texts = []
+    for _ in range(40):
+        base = [rng.choice(words) for _ in range(rng.randint(120, 300))]
+        texts.append(" ".join(base))
+        for changed in (1, 2, 3, 25):
+            copy = list(base)
+            for _ in range(changed):
+                copy[rng.randrange(len(copy))] = rng.choice(words)
+            texts.append(" ".join(copy))
+    texts += ["", "one", "a b c d", "a b c d e"]
+    frame = make_docs(list(enumerate(texts))).select(F.col("doc_id").alias("row"), "text")
+    got = {(r.a, r.b) for r in simhash.verified_links(frame).collect()}
+    sets = [set(simhash.shingle_set(t.encode()).tolist()) for t in texts]
+
+    def similar(a, b):
+        return bool(sets[a] | sets[b]) and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+
+    assert all(similar(a, b) for a, b in got)
+    linked = {x for pair in got for x in pair}
+    wanted = {x for a, b in itertools.combinations(range(len(texts)), 2) if similar(a, b) for x in (a, b)}
+    assert linked <= wanted and len(linked) >= 0.9 * len(wanted)
+    kept = simhash.keep_one(make_docs(list(enumerate(texts)))).count()
+    assert 80 <= kept <= len(texts) - 0.9 * 80

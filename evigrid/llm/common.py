@@ -30,6 +30,9 @@ def whole_text(text_col: str = "text") -> Column:
     return F.coalesce(F.col(text_col).cast("string"), F.lit(""))
 
 
+#: rows that a worker handles at a time
+SLICE = 512
+
 _SHIPPED: set[str] = set()
 
 
@@ -53,21 +56,20 @@ def arrow_schema(spark: SparkSession, ddl: str) -> tuple[StructType, pa.Schema]:
 
 
 def map_batches(
-    df: DataFrame, function: Callable[[pa.RecordBatch], dict[str, Sequence] | None], schema: str
+    df: DataFrame, function: Callable[[pa.RecordBatch], dict[str, Sequence]], schema: str
 ) -> DataFrame:
-    """``mapInArrow`` with one dictionary of columns per input batch; ``schema`` is a DDL string."""
+    """``mapInArrow`` with one dictionary of columns per slice of a batch; ``schema`` is a DDL string.
+
+    A batch of Spark may hold ten thousand documents; slices keep what a worker makes of them small.
+    """
     ship(df.sparkSession)
     spark_schema, arrow = arrow_schema(df.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            columns = function(batch)
-            if columns is not None:
-                yield pa.RecordBatch.from_arrays(
-                    [_array(columns[f.name], f.type) for f in arrow], schema=arrow
-                )
+            for start in range(0, batch.num_rows, SLICE):
+                columns = function(batch.slice(start, SLICE))
+                yield pa.RecordBatch.from_arrays([_array(columns[f.name], f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, spark_schema)
 

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterable
 from typing import NamedTuple
 
 import numpy as np
@@ -54,7 +55,7 @@ class _Codes(dict):
     """Codes of recent runs; emptied when it grows over a limit, so memory stays bounded."""
 
     def __missing__(self, run: str) -> int:
-        if len(self) >= 400_000:
+        if len(self) >= 200_000:
             self.clear()
         code = self[run] = _code(run)
         return code
@@ -88,7 +89,7 @@ class Model(NamedTuple):
     intercept: float
 
 
-def ftrl(rows: list[tuple[np.ndarray, int]], epochs: int = EPOCHS) -> Model:
+def ftrl(rows: Iterable[tuple[np.ndarray, int]], epochs: int = EPOCHS) -> Model:
     """FTRL-proximal with per-coordinate rates over (bucket numbers, label) rows, in the order given."""
     z = np.zeros(BUCKETS + 1)
     n = np.zeros(BUCKETS + 1)
@@ -96,7 +97,8 @@ def ftrl(rows: list[tuple[np.ndarray, int]], epochs: int = EPOCHS) -> Model:
     for found, label in rows:
         index, count = np.unique(found, return_counts=True)
         value = count * (SCALE / max(1, len(found)))
-        compact.append((np.append(index, BUCKETS), np.append(value, 1.0), label))
+        # 32 bits are plenty for buckets and frequencies, and all rows of a shard stay in memory
+        compact.append((np.append(index, BUCKETS).astype(np.int32), np.append(value, 1.0).astype(np.float32), label))
     for _ in range(epochs):
         for index, value, label in compact:
             zi, ni = z[index], n[index]
@@ -145,10 +147,12 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, shar
 
     def fit(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["at", "text"], kind="stable")
-        model = ftrl([(features(t), q) for t, q in zip(frame["text"], frame["quality"], strict=True)])
+        model = ftrl((features(t), q) for t, q in zip(frame["text"], frame["quality"], strict=True))
         return pd.DataFrame({"rows": [len(frame)], "weights": [model.weights.tobytes()], "intercept": [model.intercept]})
 
-    fitted = rows.groupBy("shard").applyInPandas(fit, "rows bigint, weights binary, intercept double").collect()
+    # a task per shard: hashing few numbers would put several into one
+    dealt = rows.repartitionByRange(shards, "shard")
+    fitted = dealt.groupBy("shard").applyInPandas(fit, "rows bigint, weights binary, intercept double").collect()
     total = sum(r.rows for r in fitted)
     if not total:
         return Model(np.zeros(BUCKETS, dtype=np.float32), 0.0)

@@ -8,9 +8,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evigrid.functions.fingerprint import element_digest, sequence_fingerprint
-from evigrid.functions.ordered import previous, row_numbers, running_sums
+from evigrid.functions.ordered import PIECE, previous, row_numbers, running_sums, with_piece
 from evigrid.functions.quantiles import exact_quantiles
-from evigrid.functions.scalars import close_to, normal_cdf, normal_quantile, relative_delta_pct, value_bin
+from evigrid.functions.scalars import close_to, normal_cdf, normal_quantile, relative_delta_pct
 
 
 @pytest.fixture(scope="module")
@@ -39,10 +39,10 @@ def test_chunked_order_equals_plain_window(skewed):
     assert lagged.select("k", "id", "pt", "pv").exceptAll(plain).isEmpty()
 
 
-def test_value_bins_keep_order(skewed):
-    rows = skewed.select("v", value_bin("v").alias("b")).distinct().orderBy("v").collect()
-    assert all(a["b"] <= b["b"] for a, b in zip(rows, rows[1:], strict=False))
-    assert len({r["b"] for r in rows}) > 100
+def test_pieces_keep_order(skewed):
+    rows = with_piece(skewed, "v", "id").select("v", "id", PIECE).orderBy("v", "id").collect()
+    assert all(a[PIECE] <= b[PIECE] for a, b in zip(rows, rows[1:], strict=False))
+    assert len({r[PIECE] for r in rows}) > 100
 
 
 @pytest.mark.parametrize("rule", ["linear", "rank"])

@@ -23,6 +23,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -37,9 +38,10 @@ SEED = 42
 RADIUS = 2
 BITS = 64
 #: near copies of the pipeline: bag-of-words families of the search, shingle width and similarity of the verification
-FAMILIES = 8
+FAMILIES = 6
 VERIFIED_WIDTH = 5
 SIMILARITY = 0.8
+SLOTS = 1 << 20
 _NO_SHINGLES = np.empty(0, dtype=np.uint64)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _SEEDS = [np.uint64(xxhash.xxh64_intdigest(b"family %d" % i) | 1) for i in range(64)]
@@ -177,37 +179,42 @@ def shingle_set(text: bytes, width: int = VERIFIED_WIDTH) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh3_64_intdigest(s) for s in spans), dtype=np.uint64)) if found else _NO_SHINGLES
 
 
-def verified_links(texts: DataFrame, similarity: float = SIMILARITY, families: int = FAMILIES) -> DataFrame:
-    """Links ``a``, ``b`` between ``row`` numbers of different texts (``row``, ``text``) whose five-word similarity is 0.8 or more.
+def _slots(numbers: Column) -> Column:
+    return F.pmod(F.xxhash64(numbers), F.lit(SLOTS)).cast("int")
 
-    Candidates are texts whose bag-of-words SimHash is within two bits in at least one of several families, found by the
-    same covering search; a candidate becomes a link only after the Jaccard similarity of the two shingle sets is counted.
-    """
 
-    def mark(batch: pa.RecordBatch) -> dict:
-        return {"row": batch.column("row"), "fps": [word_fingerprints(t, families) for t in binary_column(batch, "text")]}
+def verified_links(texts: DataFrame, firsts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Links ``a``, ``b`` between ``row`` numbers of different texts whose five-word similarity is 0.8 or more.
 
-    marked = map_batches(texts.select("row", "text"), mark, "row bigint, fps array<bigint>")
-    points = materialise(marked.select("row", F.posexplode("fps").alias("family", "fp")))
+    ``texts`` is a stored table of ``row``, ``text`` and ``fps`` (bag-of-words SimHashes, one per family), ``firsts`` names one row
+    of each different text. Candidates are texts within two bits in at least one family, found by the same covering search; a
+    candidate becomes a link only after the Jaccard similarity of the two shingle sets is counted. Texts are not shuffled:
+    a bitmap of a fixed number of slots tells each task which of its rows may be candidates, and only their shingle sets move.
+    """
+    points = materialise(texts.select("row", "fps").join(firsts, "row", "left_semi").select("row", F.posexplode("fps").alias("family", "fp")))
     least = materialise(points.groupBy("family", "fp").agg(F.min("row").alias("rep")))
     near = materialise(links(least.select("family", "fp"), ["family"]))
-    reps = near.join(least.withColumnRenamed("fp", "a").withColumnRenamed("rep", "x"), ["family", "a"]).join(
-        least.withColumnRenamed("fp", "b").withColumnRenamed("rep", "y"), ["family", "b"]
-    )
+    reps = near.join(least.toDF("family", "a", "x"), ["family", "a"]).join(least.toDF("family", "b", "y"), ["family", "b"])
     same = points.join(least, ["family", "fp"]).where(F.col("row") != F.col("rep"))
     pairs = reps.select("x", "y").unionByName(same.select(F.col("row").alias("x"), F.col("rep").alias("y")))
     candidates = materialise(
         pairs.where(F.col("x") != F.col("y")).select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
     )
+    wanted = materialise(candidates.select(F.col("x").alias("row")).union(candidates.select("y")).distinct())
+    # at most SLOTS numbers, whatever the input
+    bitmap = np.zeros(SLOTS, dtype=bool)
+    bitmap[[r.slot for r in wanted.select(_slots(F.col("row")).alias("slot")).distinct().collect()]] = True
+    shared = texts.sparkSession.sparkContext.broadcast(bitmap)
 
     def sign(batch: pa.RecordBatch) -> dict:
-        return {"row": batch.column("row"), "shingles": [shingle_set(t).tobytes() for t in binary_column(batch, "text")]}
+        taken = pa.array(np.nonzero(shared.value[batch.column("slot").to_numpy(zero_copy_only=False)])[0])
+        chosen = batch.take(taken)
+        sets = [shingle_set(t).tobytes() for t in binary_column(chosen, "text")]
+        return {"row": chosen.column("row"), "shingles": sets}
 
-    wanted = candidates.select(F.col("x").alias("row")).union(candidates.select("y")).distinct()
-    sets = materialise(map_batches(texts.select("row", "text").join(wanted, "row", "left_semi"), sign, "row bigint, shingles binary"))
-    met = candidates.join(sets.select(F.col("row").alias("x"), F.col("shingles").alias("sx")), "x").join(
-        sets.select(F.col("row").alias("y"), F.col("shingles").alias("sy")), "y"
-    )
+    signed = map_batches(texts.select("row", "text", _slots(F.col("row")).alias("slot")), sign, "row bigint, shingles binary")
+    sets = materialise(signed.join(wanted, "row", "left_semi"))
+    met = candidates.join(sets.toDF("x", "sx"), "x").join(sets.toDF("y", "sy"), "y")
 
     def verify(batch: pa.RecordBatch) -> dict:
         kept = []
@@ -221,7 +228,7 @@ def verified_links(texts: DataFrame, similarity: float = SIMILARITY, families: i
     return map_batches(met, verify, "a bigint, b bigint, kept boolean").where("kept").select("a", "b")
 
 
-def keep_one(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
+def keep_one(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, families: int = FAMILIES) -> DataFrame:
     """One document of each class, with all its columns: the smallest id, of repeated ids any one.
 
     Classes join documents whose fingerprints are linked, and documents that ``verified_links`` joins: at 64 bits, two bits
@@ -229,25 +236,25 @@ def keep_one(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY
     """
     ship(docs.sparkSession)
 
-    @F.pandas_udf("bigint")
-    def marks(texts):
-        return texts.map(lambda t: _signed(fingerprint((t or "").encode(), width)))
+    @F.pandas_udf("struct<fp:bigint,fps:array<bigint>>")
+    def marks(texts: pd.Series) -> pd.DataFrame:
+        data = [(t or "").encode() for t in texts]
+        return pd.DataFrame(
+            {"fp": [_signed(fingerprint(t, width)) for t in data], "fps": [word_fingerprints(t, families) for t in data]}
+        )
 
-    stored = materialise(
-        docs.select(
-            F.struct("*").alias("document"), marks("text").alias("fp"), F.monotonically_increasing_id().alias("row"),
-            F.md5(F.coalesce("text", F.lit(""))).alias("content"),
-        )
-    )
+    marked = docs.select(
+        F.struct("*").alias("document"), marks("text").alias("m"), F.monotonically_increasing_id().alias("row"),
+        F.md5(F.coalesce("text", F.lit(""))).alias("content"),
+    )
+    stored = materialise(marked.select("document", "m.fp", "m.fps", "row", "content"))
     slim = stored.select("fp", "row", "content", F.col("document.doc_id").alias("doc_id"))
     found = classes(materialise(slim.groupBy("fp").agg(F.min("doc_id").alias("smallest"))))
     placed = materialise(slim.join(found, "fp").select("row", "doc_id", "content", "label"))
     # copies are one text: the search sees each once
     firsts = placed.groupBy("content").agg(F.min("row").alias("row")).select("row")
-    texts = materialise(
-        stored.select("row", F.coalesce("document.text", F.lit("")).alias("text")).join(firsts, "row", "left_semi")
-    )
-    pairs = materialise(verified_links(texts, similarity))
+    texts = stored.select("row", F.coalesce("document.text", F.lit("")).alias("text"), "fps")
+    pairs = materialise(verified_links(texts, firsts, similarity))
     names = placed.select("row", "label")
     met = pairs.join(names.toDF("a", "la"), "a").join(names.toDF("b", "lb"), "b").where(F.col("la") != F.col("lb"))
     wider = smallest_labels(materialise(met.select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()))

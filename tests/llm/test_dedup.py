@@ -8,7 +8,6 @@ import re
 
 import pytest
 import xxhash
-from pyspark.sql import functions as F
 
 from evigrid.llm import components, simhash, spotsigs, substrings, suffixes
 
@@ -184,7 +183,7 @@ def test_search_finds_all_that_brute_force_finds(docs, rows, threshold, block):
     assert spotsigs.search(docs, queries.limit(0)).count() == 0
 
 
-def test_verified_links(make_docs):
+def test_verified_links(spark, make_docs):
     """Near copies with a few changed words are found, and nothing under the similarity."""
     rng = random.Random(6)
     words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(2000)]
@@ -198,8 +197,9 @@ def test_verified_links(make_docs):
                 copy[rng.randrange(len(copy))] = rng.choice(words)
             texts.append(" ".join(copy))
     texts += ["", "one", "a b c d", "a b c d e"]
-    frame = make_docs(list(enumerate(texts))).select(F.col("doc_id").alias("row"), "text")
-    got = {(r.a, r.b) for r in simhash.verified_links(frame).collect()}
+    marked = [(i, t, simhash.word_fingerprints(t.encode())) for i, t in enumerate(texts)]
+    frame = spark.createDataFrame(marked, "row bigint, text string, fps array<bigint>")
+    got = {(r.a, r.b) for r in simhash.verified_links(frame, frame.select("row")).collect()}
     sets = [set(simhash.shingle_set(t.encode()).tolist()) for t in texts]
 
     def similar(a, b):

@@ -38,10 +38,13 @@ SEED = 42
 RADIUS = 2
 BITS = 64
 #: near copies of the pipeline: bag-of-words families of the search, shingle width and similarity of the verification
-FAMILIES = 6
+FAMILIES = 4
 VERIFIED_WIDTH = 5
 SIMILARITY = 0.8
 SLOTS = 1 << 20
+#: smallest hashes kept of a shingle set, and how far an estimate may lie under the similarity
+SKETCH = 64
+SLACK = 0.25
 _NO_SHINGLES = np.empty(0, dtype=np.uint64)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _SEEDS = [np.uint64(xxhash.xxh64_intdigest(b"family %d" % i) | 1) for i in range(64)]
@@ -209,12 +212,34 @@ def verified_links(texts: DataFrame, firsts: DataFrame, similarity: float = SIMI
     def sign(batch: pa.RecordBatch) -> dict:
         taken = pa.array(np.nonzero(shared.value[batch.column("slot").to_numpy(zero_copy_only=False)])[0])
         chosen = batch.take(taken)
-        sets = [shingle_set(t).tobytes() for t in binary_column(chosen, "text")]
-        return {"row": chosen.column("row"), "shingles": sets}
-
-    signed = map_batches(texts.select("row", "text", _slots(F.col("row")).alias("slot")), sign, "row bigint, shingles binary")
+        sets = [shingle_set(t) for t in binary_column(chosen, "text")]
+        # the smallest hashes of a set: two sets' sketches tell how alike they can be
+        return {
+            "row": chosen.column("row"), "n": [len(x) for x in sets], "sketch": [x[:SKETCH].tobytes() for x in sets],
+            "shingles": [x.tobytes() for x in sets],
+        }
+
+    signed = map_batches(
+        texts.select("row", "text", _slots(F.col("row")).alias("slot")), sign, "row bigint, n bigint, sketch binary, shingles binary"
+    )
     sets = materialise(signed.join(wanted, "row", "left_semi"))
-    met = candidates.join(sets.toDF("x", "sx"), "x").join(sets.toDF("y", "sy"), "y")
+    small = sets.select("row", "n", "sketch")
+    rough = candidates.join(small.toDF("x", "nx", "kx"), "x").join(small.toDF("y", "ny", "ky"), "y").where(
+        F.least("nx", "ny") >= similarity * F.greatest("nx", "ny")
+    )
+
+    def estimate(batch: pa.RecordBatch) -> dict:
+        kept = []
+        for left, right in zip(batch.column("kx").to_pylist(), batch.column("ky").to_pylist(), strict=True):
+            one, two = np.frombuffer(left, dtype=np.uint64), np.frombuffer(right, dtype=np.uint64)
+            joined = np.union1d(one, two)[:SKETCH]
+            common = len(np.intersect1d(np.intersect1d(one, two, assume_unique=True), joined, assume_unique=True))
+            kept.append(len(joined) > 0 and common >= (similarity - SLACK) * len(joined))
+        return {"x": batch.column("x"), "y": batch.column("y"), "kept": kept}
+
+    likely = materialise(map_batches(rough, estimate, "x bigint, y bigint, kept boolean").where("kept").drop("kept"))
+    whole = sets.select("row", "shingles")
+    met = likely.join(whole.toDF("x", "sx"), "x").join(whole.toDF("y", "sy"), "y")
 
     def verify(batch: pa.RecordBatch) -> dict:
         kept = []
@@ -228,12 +253,15 @@ def verified_links(texts: DataFrame, firsts: DataFrame, similarity: float = SIMI
     return map_batches(met, verify, "a bigint, b bigint, kept boolean").where("kept").select("a", "b")
 
 
-def keep_one(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, families: int = FAMILIES) -> DataFrame:
+def keep_one(docs: DataFrame, width: int = WIDTH, similarity: float | None = SIMILARITY, families: int = FAMILIES) -> DataFrame:
     """One document of each class, with all its columns: the smallest id, of repeated ids any one.
 
     Classes join documents whose fingerprints are linked, and documents that ``verified_links`` joins: at 64 bits, two bits
-    are far above a similarity of 0.8, and looser near copies show in the bags of words.
+    are far above a similarity of 0.8, and looser near copies show in the bags of words. Without ``similarity`` only the
+    fingerprints count.
     """
+    if similarity is None:
+        families = 0
     ship(docs.sparkSession)
 
     @F.pandas_udf("struct<fp:bigint,fps:array<bigint>>")
@@ -251,17 +279,26 @@ def keep_one(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY
     slim = stored.select("fp", "row", "content", F.col("document.doc_id").alias("doc_id"))
     found = classes(materialise(slim.groupBy("fp").agg(F.min("doc_id").alias("smallest"))))
     placed = materialise(slim.join(found, "fp").select("row", "doc_id", "content", "label"))
-    # copies are one text: the search sees each once
-    firsts = placed.groupBy("content").agg(F.min("row").alias("row")).select("row")
-    texts = stored.select("row", F.coalesce("document.text", F.lit("")).alias("text"), "fps")
-    pairs = materialise(verified_links(texts, firsts, similarity))
-    names = placed.select("row", "label")
-    met = pairs.join(names.toDF("a", "la"), "a").join(names.toDF("b", "lb"), "b").where(F.col("la") != F.col("lb"))
-    wider = smallest_labels(materialise(met.select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()))
-    joined = placed.join(wider.toDF("node", "wide"), F.col("label") == F.col("node"), "left")
+    joined = placed.withColumn("class", F.col("label"))
+    if similarity is not None:
+        # copies are one text: the search sees each once
+        firsts = placed.groupBy("content").agg(F.min("row").alias("row")).select("row")
+        texts = stored.select("row", F.coalesce("document.text", F.lit("")).alias("text"), "fps")
+        pairs = materialise(verified_links(texts, firsts, similarity))
+        names = placed.select("row", "label")
+        met = pairs.join(names.toDF("a", "la"), "a").join(names.toDF("b", "lb"), "b").where(F.col("la") != F.col("lb"))
+        wider = smallest_labels(materialise(met.select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()))
+        joined = placed.join(wider.toDF("node", "wide"), F.col("label") == F.col("node"), "left").withColumn(
+            "class", F.coalesce("wide", "label")
+        )
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
-    best = joined.groupBy(F.coalesce("wide", "label").alias("class")).agg(F.min(order).alias("first"))
-    return stored.join(best.select(F.col("first.row").alias("row")), "row", "left_semi").select("document.*")
+    best = joined.groupBy("class").agg(F.min(order).alias("first")).select(F.col("first.row").alias("row"))
+    dropped = materialise(placed.select("row").join(best, "row", "left_anti"))
+    # slots of dropped rows, at most SLOTS: rows in other slots stay without a shuffle of their texts
+    slots = F.broadcast(materialise(dropped.select(_slots(F.col("row")).alias("slot")).distinct()))
+    slotted = stored.withColumn("slot", _slots(F.col("row")))
+    unsure = slotted.join(slots, "slot", "left_semi").join(dropped, "row", "left_anti")
+    return slotted.join(slots, "slot", "left_anti").select("document.*").unionByName(unsure.select("document.*"))
 
 
 def as_hex(fp: str = "fp") -> Column:

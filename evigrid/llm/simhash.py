@@ -37,7 +37,10 @@ WIDTH = 3
 SEED = 42
 RADIUS = 2
 BITS = 64
-#: near copies of the pipeline: bag-of-words families of the search, shingle width and similarity of the verification
+#: near copies of the pipeline: MinHash bands of the search and rows of each, shingle width and similarity of the verification;
+#: a pair of similarity s shares a band with probability 1 - (1 - s**BAND_ROWS)**BANDS, 0.9996 at 0.8
+BANDS = 20
+BAND_ROWS = 5
 FAMILIES = 4
 VERIFIED_WIDTH = 5
 SIMILARITY = 0.8
@@ -47,6 +50,7 @@ SKETCH = 64
 SLACK = 0.25
 _NO_SHINGLES = np.empty(0, dtype=np.uint64)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+_MIXERS = np.array([xxhash.xxh64_intdigest(b"row %d" % i) | 1 for i in range(BANDS * BAND_ROWS)], dtype=np.uint64)
 _SEEDS = [np.uint64(xxhash.xxh64_intdigest(b"family %d" % i) | 1) for i in range(64)]
 
 
@@ -182,6 +186,20 @@ def shingle_set(text: bytes, width: int = VERIFIED_WIDTH) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh3_64_intdigest(s) for s in spans), dtype=np.uint64)) if found else _NO_SHINGLES
 
 
+def bands(shingles: np.ndarray) -> list[int]:
+    """A signed 64-bit key per MinHash band; none for an empty set."""
+    if not len(shingles):
+        return []
+    least = np.empty(len(_MIXERS), dtype=np.uint64)
+    for i, mixer in enumerate(_MIXERS):
+        mixed = (shingles ^ mixer) * _ODD
+        mixed = (mixed ^ (mixed >> np.uint64(32))) * mixer
+        least[i] = (mixed ^ (mixed >> np.uint64(29))).min()
+    rows = least.reshape(BANDS, BAND_ROWS)
+    keys = [xxhash.xxh3_64_intdigest(row.tobytes(), band) for band, row in enumerate(rows)]
+    return np.array(keys, dtype=np.uint64).view(np.int64).tolist()
+
+
 def _slots(numbers: Column) -> Column:
     return F.pmod(F.xxhash64(numbers), F.lit(SLOTS)).cast("int")
 
@@ -189,20 +207,20 @@ def _slots(numbers: Column) -> Column:
 def verified_links(texts: DataFrame, firsts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Links ``a``, ``b`` between ``row`` numbers of different texts whose five-word similarity is 0.8 or more.
 
-    ``texts`` is a stored table of ``row``, ``text`` and ``fps`` (bag-of-words SimHashes, one per family), ``firsts`` names one row
-    of each different text. Candidates are texts within two bits in at least one family, found by the same covering search; a
-    candidate becomes a link only after the Jaccard similarity of the two shingle sets is counted. Texts are not shuffled:
-    a bitmap of a fixed number of slots tells each task which of its rows may be candidates, and only their shingle sets move.
+    ``texts`` is a stored table of ``row`` and ``text``, ``firsts`` names one row of each different text. Candidates are texts that
+    share a MinHash band of their shingle sets; a candidate becomes a link only after the Jaccard similarity of the two
+    sets is counted. Texts are not shuffled: a bitmap of a fixed number of slots tells each task which of its rows may be
+    candidates, and only their shingle sets move.
     """
-    points = materialise(texts.select("row", "fps").join(firsts, "row", "left_semi").select("row", F.posexplode("fps").alias("family", "fp")))
-    least = materialise(points.groupBy("family", "fp").agg(F.min("row").alias("rep")))
-    near = materialise(links(least.select("family", "fp"), ["family"]))
-    reps = near.join(least.toDF("family", "a", "x"), ["family", "a"]).join(least.toDF("family", "b", "y"), ["family", "b"])
-    same = points.join(least, ["family", "fp"]).where(F.col("row") != F.col("rep"))
-    pairs = reps.select("x", "y").unionByName(same.select(F.col("row").alias("x"), F.col("rep").alias("y")))
-    candidates = materialise(
-        pairs.where(F.col("x") != F.col("y")).select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
-    )
+
+    def cut(batch: pa.RecordBatch) -> dict:
+        return {"row": batch.column("row"), "keys": [bands(shingle_set(t)) for t in binary_column(batch, "text")]}
+
+    keyed = map_batches(texts.select("row", "text"), cut, "row bigint, keys array<bigint>")
+    points = materialise(keyed.join(firsts, "row", "left_semi")).select("row", F.explode("keys").alias("bucket"))
+    least = points.groupBy("bucket").agg(F.min("row").alias("rep"), F.max("row").alias("last")).where("rep < last")
+    pairs = points.join(least, "bucket").select(F.col("row").alias("x"), F.col("rep").alias("y"))
+    candidates = materialise(pairs.where(F.col("x") != F.col("y")).distinct())
     wanted = materialise(candidates.select(F.col("x").alias("row")).union(candidates.select("y")).distinct())
     # at most SLOTS numbers, whatever the input
     bitmap = np.zeros(SLOTS, dtype=bool)
@@ -253,29 +271,24 @@ def verified_links(texts: DataFrame, firsts: DataFrame, similarity: float = SIMI
     return map_batches(met, verify, "a bigint, b bigint, kept boolean").where("kept").select("a", "b")
 
 
-def keep_one(docs: DataFrame, width: int = WIDTH, similarity: float | None = SIMILARITY, families: int = FAMILIES) -> DataFrame:
+def keep_one(docs: DataFrame, width: int = WIDTH, similarity: float | None = SIMILARITY) -> DataFrame:
     """One document of each class, with all its columns: the smallest id, of repeated ids any one.
 
     Classes join documents whose fingerprints are linked, and documents that ``verified_links`` joins: at 64 bits, two bits
-    are far above a similarity of 0.8, and looser near copies show in the bags of words. Without ``similarity`` only the
-    fingerprints count.
+    are far above a similarity of 0.8, and looser near copies share shingles. Without ``similarity`` only the fingerprints count.
     """
-    if similarity is None:
-        families = 0
     ship(docs.sparkSession)
 
-    @F.pandas_udf("struct<fp:bigint,fps:array<bigint>>")
-    def marks(texts: pd.Series) -> pd.DataFrame:
-        data = [(t or "").encode() for t in texts]
-        return pd.DataFrame(
-            {"fp": [_signed(fingerprint(t, width)) for t in data], "fps": [word_fingerprints(t, families) for t in data]}
-        )
+    @F.pandas_udf("bigint")
+    def marks(texts: pd.Series) -> pd.Series:
+        return pd.Series([_signed(fingerprint((t or "").encode(), width)) for t in texts], dtype="int64")
 
-    marked = docs.select(
-        F.struct("*").alias("document"), marks("text").alias("m"), F.monotonically_increasing_id().alias("row"),
-        F.md5(F.coalesce("text", F.lit(""))).alias("content"),
+    stored = materialise(
+        docs.select(
+            F.struct("*").alias("document"), marks("text").alias("fp"), F.monotonically_increasing_id().alias("row"),
+            F.md5(F.coalesce("text", F.lit(""))).alias("content"),
+        )
     )
-    stored = materialise(marked.select("document", "m.fp", "m.fps", "row", "content"))
     slim = stored.select("fp", "row", "content", F.col("document.doc_id").alias("doc_id"))
     found = classes(materialise(slim.groupBy("fp").agg(F.min("doc_id").alias("smallest"))))
     placed = materialise(slim.join(found, "fp").select("row", "doc_id", "content", "label"))
@@ -283,7 +296,7 @@ def keep_one(docs: DataFrame, width: int = WIDTH, similarity: float | None = SIM
     if similarity is not None:
         # copies are one text: the search sees each once
         firsts = placed.groupBy("content").agg(F.min("row").alias("row")).select("row")
-        texts = stored.select("row", F.coalesce("document.text", F.lit("")).alias("text"), "fps")
+        texts = stored.select("row", F.coalesce("document.text", F.lit("")).alias("text"))
         pairs = materialise(verified_links(texts, firsts, similarity))
         names = placed.select("row", "label")
         met = pairs.join(names.toDF("a", "la"), "a").join(names.toDF("b", "lb"), "b").where(F.col("la") != F.col("lb"))

@@ -211,3 +211,27 @@ def test_verified_links(spark, make_docs):
     assert linked <= wanted and len(linked) >= 0.9 * len(wanted)
     kept = simhash.keep_one(make_docs(list(enumerate(texts)))).count()
     assert 80 <= kept <= len(texts) - 0.9 * 80
+
+
+def similar_pairs(texts, similarity=0.8):
+    sets = [set(simhash.shingle_set(t.encode()).tolist()) for t in texts]
+    return {
+        (b, a) for a, b in itertools.combinations(range(len(texts)), 2)
+        if sets[a] | sets[b] and len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b])
+    }
+
+
+@pytest.mark.parametrize("edit", ["cut", "appended"])
+def test_copies_with_one_contiguous_edit_are_found(spark, edit):
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(2000)]
+    texts = []
+    for _ in range(60):
+        base = [rng.choice(words) for _ in range(rng.randint(120, 300))]
+        more = [rng.choice(words) for _ in range(len(base) * 18 // 100)]
+        texts += [" ".join(base), " ".join(base + more if edit == "appended" else base[: len(base) * 83 // 100])]
+    marked = [(i, t, simhash.word_fingerprints(t.encode())) for i, t in enumerate(texts)]
+    frame = spark.createDataFrame(marked, "row bigint, text string, fps array<bigint>")
+    got = {(r.a, r.b) for r in simhash.verified_links(frame, frame.select("row")).collect()}
+    wanted = similar_pairs(texts)
+    assert len(wanted) >= 55 and got <= wanted and len(got) >= 0.98 * len(wanted)

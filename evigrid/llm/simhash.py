@@ -41,6 +41,8 @@ BITS = 64
 #: a pair of similarity s shares a band with probability 1 - (1 - s**BAND_ROWS)**BANDS, 0.9996 at 0.8
 BANDS = 20
 BAND_ROWS = 5
+#: rounds in which each unresolved bucket compares all its members with one of them, before all that is left is compared
+STAR_ROUNDS = 2
 FAMILIES = 4
 VERIFIED_WIDTH = 5
 SIMILARITY = 0.8
@@ -211,6 +213,11 @@ def verified_links(texts: DataFrame, firsts: DataFrame, similarity: float = SIMI
     share a MinHash band of their shingle sets; a candidate becomes a link only after the Jaccard similarity of the two
     sets is counted. Texts are not shuffled: a bitmap of a fixed number of slots tells each task which of its rows may be
     candidates, and only their shingle sets move.
+
+    Not every link is a row, but the components are those of all candidates that reach the similarity. In a star round each
+    bucket compares its members with one of them: first the one with the most neighbours in its buckets, then the one with
+    the most links, which is the original among its copies. Buckets within one component are settled; in the others all
+    pairs between different components follow, so an outlier in the middle of a star loses nothing.
     """
 
     def cut(batch: pa.RecordBatch) -> dict:
@@ -218,10 +225,51 @@ def verified_links(texts: DataFrame, firsts: DataFrame, similarity: float = SIMI
 
     keyed = map_batches(texts.select("row", "text"), cut, "row bigint, keys array<bigint>")
     points = materialise(keyed.join(firsts, "row", "left_semi")).select("row", F.explode("keys").alias("bucket"))
-    least = points.groupBy("bucket").agg(F.min("row").alias("rep"), F.max("row").alias("last")).where("rep < last")
-    pairs = points.join(least, "bucket").select(F.col("row").alias("x"), F.col("rep").alias("y"))
-    candidates = materialise(pairs.where(F.col("x") != F.col("y")).distinct())
-    wanted = materialise(candidates.select(F.col("x").alias("row")).union(candidates.select("y")).distinct())
+    shared = points.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    members = materialise(points.join(shared, "bucket"))
+    weights = members.groupBy("row").agg(F.sum("size").alias("weight"))
+    sets = _candidate_sets(texts, materialise(weights.select("row")))
+
+    live = members.select("bucket", "row", F.col("row").alias("label"))
+    found: DataFrame | None = None
+    tested: DataFrame | None = None
+    used: DataFrame | None = None
+    for last in [False] * STAR_ROUNDS + [True]:
+        if last:
+            pairs = live.toDF("bucket", "x", "lx").join(live.toDF("bucket", "y", "ly"), "bucket").where("lx < ly")
+        else:
+            free = live if used is None else live.join(used, ["bucket", "row"], "left_anti")
+            rank = F.struct(F.coalesce("weight", F.lit(0)).alias("weight"), F.xxhash64("row", "bucket").alias("h"), "row", "label")
+            hubs = materialise(
+                free.join(weights, "row", "left").groupBy("bucket").agg(F.max(rank).alias("hub")).select("bucket", "hub.row", "hub.label")
+            )
+            used = hubs.select("bucket", "row") if used is None else used.unionByName(hubs.select("bucket", "row"))
+            pairs = live.toDF("bucket", "x", "lx").join(hubs.toDF("bucket", "y", "ly"), "bucket").where("lx <> ly")
+        candidates = pairs.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
+        if tested is not None:
+            candidates = candidates.join(tested, ["x", "y"], "left_anti")
+        candidates = materialise(candidates)
+        tested = candidates if tested is None else tested.unionByName(candidates)
+        kept = materialise(_similar(candidates, sets, similarity))
+        found = kept if found is None else found.unionByName(kept)
+        if last:
+            break
+        labels = smallest_labels(found)
+        placed = members.select("bucket", "row").join(labels.toDF("row", "wide"), "row", "left").select(
+            "bucket", "row", F.coalesce("wide", "row").alias("label")
+        )
+        placed = materialise(placed)
+        open_buckets = placed.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+        live = materialise(placed.join(open_buckets.select("bucket"), "bucket", "left_semi"))
+        if live.isEmpty():
+            break
+        ends = found.select(F.col("a").alias("row")).unionAll(found.select("b"))
+        weights = materialise(ends.groupBy("row").agg(F.count("*").alias("weight")))
+    return found
+
+
+def _candidate_sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``row``, ``n``, ``sketch`` and ``shingles`` of the wanted rows, stored."""
     # at most SLOTS numbers, whatever the input
     bitmap = np.zeros(SLOTS, dtype=bool)
     bitmap[[r.slot for r in wanted.select(_slots(F.col("row")).alias("slot")).distinct().collect()]] = True
@@ -240,7 +288,11 @@ def verified_links(texts: DataFrame, firsts: DataFrame, similarity: float = SIMI
     signed = map_batches(
         texts.select("row", "text", _slots(F.col("row")).alias("slot")), sign, "row bigint, n bigint, sketch binary, shingles binary"
     )
-    sets = materialise(signed.join(wanted, "row", "left_semi"))
+    return materialise(signed.join(wanted, "row", "left_semi"))
+
+
+def _similar(candidates: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The candidates ``x``, ``y`` whose sets reach the similarity, as ``a``, ``b``."""
     small = sets.select("row", "n", "sketch")
     rough = candidates.join(small.toDF("x", "nx", "kx"), "x").join(small.toDF("y", "ny", "ky"), "y").where(
         F.least("nx", "ny") >= similarity * F.greatest("nx", "ny")
@@ -297,7 +349,7 @@ def keep_one(docs: DataFrame, width: int = WIDTH, similarity: float | None = SIM
         # copies are one text: the search sees each once
         firsts = placed.groupBy("content").agg(F.min("row").alias("row")).select("row")
         texts = stored.select("row", F.coalesce("document.text", F.lit("")).alias("text"))
-        pairs = materialise(verified_links(texts, firsts, similarity))
+        pairs = verified_links(texts, firsts, similarity)
         names = placed.select("row", "label")
         met = pairs.join(names.toDF("a", "la"), "a").join(names.toDF("b", "lb"), "b").where(F.col("la") != F.col("lb"))
         wider = smallest_labels(materialise(met.select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()))

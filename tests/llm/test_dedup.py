@@ -235,3 +235,24 @@ def test_copies_with_one_contiguous_edit_are_found(spark, edit):
     got = {(r.a, r.b) for r in simhash.verified_links(frame, frame.select("row")).collect()}
     wanted = similar_pairs(texts)
     assert len(wanted) >= 55 and got <= wanted and len(got) >= 0.98 * len(wanted)
+
+
+def test_an_outlying_smallest_row_loses_no_component(spark):
+    """Copies that are alike only through their original, which has the largest row number."""
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(2000)]
+    texts = []
+    for _ in range(6):
+        base = [rng.choice(words) for _ in range(300)]
+        for k in range(11):  # six changed words each, far apart and elsewhere in each copy
+            copy = list(base)
+            for at in range(6):
+                copy[at * 50 + 4 * k] += "x"
+            texts.append(" ".join(copy))
+        texts.append(" ".join(base))
+    frame = spark.createDataFrame([(i, t, simhash.word_fingerprints(t.encode())) for i, t in enumerate(texts)], "row bigint, text string, fps array<bigint>")
+    wanted = similar_pairs(texts)
+    # no copy is linked to another but those through the original
+    assert wanted == {(i // 12 * 12 + 11, i) for i in range(len(texts)) if i % 12 != 11}
+    got = {(r.a, r.b) for r in simhash.verified_links(frame, frame.select("row")).collect()}
+    assert got == wanted

@@ -1,21 +1,24 @@
 """Cross-entropy difference of two matched n-gram models.
 
-A target model and a background model are counted over the corpus with the same vocabulary and the same n-gram table: words
-and word pairs, each hashed into a fixed number of buckets. A pair's probability is interpolated with the word's, and the word's
-with a uniform one, so both models give every token a finite loss. A document's score is its mean loss under the background
+A target model and a background model are counted over the corpus with the same vocabulary: words and word pairs, each under a
+64-bit hash of its own. A pair's probability is interpolated with the word's, and the word's with a uniform one over the
+words of the corpus, so both models give every token a finite loss. A document's score is its mean loss under the background
 model minus its mean loss under the target model, over all its tokens: higher means closer to the target.
 
-Counting runs over all documents. A task adds up its own documents and sends one row per bucket that it has seen; rows
-grow with the corpus until all buckets are filled, the summed table never holds more than ``PAIRS + WORDS`` rows, which is the proven
-size of what every task gets for scoring.
+Counting runs over all documents, and the counts are a Spark table with a row per different pair: it grows with the corpus, and
+no task or driver holds it. Documents meet it as rows, one per different pair of a document, so a pair of nearly every
+document has as many rows as there are documents at most; they are joined by sorting, where the planner splits hot keys.
+
+``fit`` and ``score`` hash words and pairs into ``WORDS`` and ``PAIRS`` buckets instead, for corpora of a few MB whose table fits a
+task. The query uses ``differences``.
 
 Losses leave out the counts of the document that is scored.
 
 The target is whatever a boolean column marks (in the query: documents labelled good and not toxic); null marks are
 background. Every document belongs to the background.
 
-Defined cases: null, empty and wordless texts have no token and score 0.0 with null losses; without any target text both models
-are uniform plus background and every score is the same constant shift; repeated documents are counted and scored each.
+Defined cases: null, empty and wordless texts have no token and score 0.0 with null losses; without any target text the
+target model is uniform; repeated documents are counted and scored each.
 """
 
 from __future__ import annotations
@@ -29,8 +32,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evigrid.llm.common import binary_column, map_batches, ship, whole_text
+from evigrid.llm.common import SLICE, arrow_schema, binary_column, map_batches, ship, whole_text
 from evigrid.llm.decontaminate import words
+from evigrid.session import materialise
 
 WORDS = 1 << 18
 PAIRS = 1 << 20
@@ -50,15 +54,20 @@ class _Codes(dict):
 _CODES = _Codes()
 
 
+def codes(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit codes of each token's word, of its pair and of the word before it (the begin mark first)."""
+    found = words(text)
+    word = np.fromiter(map(_CODES.__getitem__, found), dtype=np.uint64, count=len(found))
+    before = np.concatenate([np.array([_BEGIN], dtype=np.uint64), word[:-1]]) if len(word) else word
+    mixed = before * np.uint64(0x9E3779B97F4A7C15) ^ word * np.uint64(0xC2B2AE3D27D4EB4F)
+    return word, mixed ^ (mixed >> np.uint64(32)), before
+
+
 def tokens(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word buckets, pair buckets (from ``WORDS`` on) and the word bucket before each token (the begin mark first)."""
-    found = words(text)
-    codes = np.fromiter(map(_CODES.__getitem__, found), dtype=np.uint64, count=len(found))
-    before = np.concatenate([np.array([_BEGIN], dtype=np.uint64), codes[:-1]]) if len(codes) else codes
-    mixed = before * np.uint64(0x9E3779B97F4A7C15) ^ codes * np.uint64(0xC2B2AE3D27D4EB4F)
-    word = (codes % np.uint64(WORDS)).astype(np.int64)
-    pair = ((mixed ^ (mixed >> np.uint64(32))) % np.uint64(PAIRS)).astype(np.int64) + WORDS
-    return word, pair, (before % np.uint64(WORDS)).astype(np.int64)
+    word, pair, before = codes(text)
+    bucket = (pair % np.uint64(PAIRS)).astype(np.int64) + WORDS
+    return (word % np.uint64(WORDS)).astype(np.int64), bucket, (before % np.uint64(WORDS)).astype(np.int64)
 
 
 def marked(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -165,3 +174,98 @@ def score(docs: DataFrame, models: Models, target: Column, id_col: str = "doc_id
     return map_batches(
         source, run, f"doc_id {kind}, n_tokens bigint, target_loss double, background_loss double, score double"
     )
+
+
+def pair_counts(texts: DataFrame) -> DataFrame:
+    """``pair``, ``word``, ``before`` and the ``background`` and ``target`` counts of all texts (``text``, ``target``)."""
+    ship(texts.sparkSession)
+    kind, schema = arrow_schema(texts.sparkSession, "pair bigint, word bigint, before bigint, background bigint, target bigint")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(at, SLICE)
+                parts = [codes(t) for t in binary_column(batch, "text")]
+                wanted = np.repeat(batch.column("target").to_numpy(zero_copy_only=False), [len(p[0]) for p in parts])
+                word, pair, before = (np.concatenate([p[i] for p in parts]).view(np.int64) for i in range(3))
+                pairs, first, place, times = np.unique(pair, return_index=True, return_inverse=True, return_counts=True)
+                target = np.bincount(place, weights=wanted, minlength=len(pairs)).astype(np.int64)
+                columns = [pairs, word[first], before[first], times, target]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=schema)
+
+    return texts.select("text", "target").mapInArrow(run, kind).groupBy("pair").agg(
+        F.first("word").alias("word"), F.first("before").alias("before"), F.sum("background").alias("background"),
+        F.sum("target").alias("target"),
+    )
+
+
+def _document_pairs(texts: DataFrame) -> DataFrame:
+    """A row per document and different pair: how often the document holds the pair, its context and its word, and its tokens."""
+    ddl = "row bigint, pair bigint, is_target boolean, own_pair int, own_context int, own_word int, n int"
+    kind, schema = arrow_schema(texts.sparkSession, ddl)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            marks = zip(batch.column("row").to_pylist(), batch.column("target").to_pylist(), strict=True)
+            for text, (row, wanted) in zip(binary_column(batch, "text"), marks, strict=True):
+                word, pair, before = codes(text)
+                own_word, own_pair, own_context = own_counts(word, pair, before)
+                pairs, first = np.unique(pair, return_index=True)
+                size = len(pairs)
+                if not size:
+                    continue
+                columns = [
+                    np.full(size, row), pairs.view(np.int64), np.full(size, wanted), own_pair[first],
+                    own_context[first], own_word[first], np.full(size, len(word)),
+                ]
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    return texts.select("row", "text", "target").mapInArrow(run, kind)
+
+
+def differences(docs: DataFrame, target: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per document: ``doc_id``, ``n_tokens``, ``target_loss``, ``background_loss`` (means), ``score``, from exact counts.
+
+    A document is judged by models without its own counts, so being part of the target or not is no advantage in itself.
+    """
+    stored = materialise(
+        docs.select(
+            F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text"),
+            F.coalesce(target, F.lit(False)).alias("target"),
+        )
+    )
+    pairs = materialise(pair_counts(stored))
+    # every token is the word of one pair, and the begin mark is the context of a text's first
+    begin = F.lit(_BEGIN)
+    sums = [F.sum("background").alias("background"), F.sum("target").alias("target")]
+    counted = pairs.groupBy("word").agg(*sums)
+    starts = pairs.where(F.col("before") == begin).groupBy(F.col("before").alias("word")).agg(*sums)
+    single = materialise(counted.unionByName(starts))
+    names = [F.sum(n).cast("double").alias(n) for n in ("background", "target")]
+    totals = single.agg(*names, F.sum(F.when(F.col("word") != begin, 1)).alias("words")).first()
+    known = pairs.toDF("pair", "word", "before", "pair_background", "pair_target").join(
+        single.toDF("word", "word_background", "word_target"), "word"
+    )
+    known = known.join(single.toDF("before", "context_background", "context_target"), "before").drop("word", "before")
+    met = _document_pairs(stored).join(known.hint("merge"), "pair")
+
+    def loss(model: str, total: float, left_out: Column) -> Column:
+        def rest(name: str) -> Column:
+            return F.col(f"{name}_{model}") - F.when(left_out, F.col(f"own_{name}")).otherwise(0)
+
+        tokens_left = F.lit(total) - F.when(left_out, F.col("n") + 1).otherwise(0)
+        after = F.when(rest("context") > 0, F.least(rest("pair") / rest("context"), F.lit(1.0))).otherwise(0.0)
+        word = F.when(tokens_left > 0, rest("word") / tokens_left).otherwise(0.0)
+        uniform = (1 - PAIR_WEIGHT - WORD_WEIGHT) / (totals.words or 1)
+        return F.sum(-F.log(PAIR_WEIGHT * after + WORD_WEIGHT * word + uniform) * F.col("own_pair"))
+
+    judged = met.groupBy("row").agg(
+        F.sum("own_pair").alias("n"),
+        loss("target", totals.target or 0.0, F.col("is_target")).alias("t"),
+        loss("background", totals.background or 0.0, F.lit(True)).alias("b"),
+    )
+    return stored.select("row", "doc_id").join(judged, "row", "left").select(
+        "doc_id", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_tokens"), (F.col("t") / F.col("n")).alias("target_loss"),
+        (F.col("b") / F.col("n")).alias("background_loss"),
+        F.coalesce((F.col("b") - F.col("t")) / F.col("n"), F.lit(0.0)).alias("score"),
+    )

@@ -137,10 +137,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels")
     good = labels.where((F.col("quality") == 1) & (F.col("toxic") == 0)).select("doc_id").distinct()
-    # read twice, joined once
-    marked = materialise(language_model.marked(docs, good))
-    models = language_model.fit(marked, F.col("is_target"))
-    return language_model.score(marked, models, F.col("is_target"))
+    return language_model.differences(language_model.marked(docs, good), F.col("is_target"))
 
 
 @query("op6_personal_data")

@@ -1,10 +1,14 @@
 """Quality classifier, language models, HTML extraction, pipeline."""
 
+import collections
+import itertools
+import math
 import random
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from evigrid.llm import html_text, language_model, quality, queries
@@ -61,6 +65,54 @@ def test_language_model_prefers_its_target(make_docs, spark):
     assert language_model.own_counts(word, pair, before)[0].sum() >= len(word)
 
 
+def test_cross_entropy_difference_counts_every_word_and_pair(spark):
+    """Losses of the query from exact counts; hashed into a fixed number of buckets, pairs of sf0.01 collide."""
+    docs = table(spark, SF, "documents").select("doc_id", "text").collect()
+    labels = table(spark, SF, "labels").where("quality = 1 and toxic = 0").select("doc_id").collect()
+    target = {r.doc_id for r in labels}
+    found = {r.doc_id: language_model.words((r.text or "").encode()) for r in docs}
+    assert len(found) == len(docs)
+    counts = []
+    for ids in (set(found), target & set(found)):
+        pairs = collections.Counter(p for i in ids for p in itertools.pairwise([None, *found[i]]))
+        words = collections.Counter(w for i in ids if found[i] for w in [None, *found[i]])
+        counts.append((pairs, words, sum(words.values())))
+    size = len(counts[0][1]) - 1
+
+    def loss(model, text, left_out):
+        pairs, words, total = model
+        own = collections.Counter(itertools.pairwise([None, *text])), collections.Counter([None, *text])
+        pair, word, less = (own[0], own[1], len(text) + 1) if left_out else ({}, {}, 0)
+        out = 0.0
+        for before, w in itertools.pairwise([None, *text]):
+            context = words[before] - word.get(before, 0)
+            after = min((pairs[before, w] - pair.get((before, w), 0)) / context, 1.0) if context > 0 else 0.0
+            single = (words[w] - word.get(w, 0)) / (total - less)
+            uniform = (1 - language_model.PAIR_WEIGHT - language_model.WORD_WEIGHT) / size
+            out -= math.log(language_model.PAIR_WEIGHT * after + language_model.WORD_WEIGHT * single + uniform)
+        return out / len(text)
+
+    got = queries.QUERIES["op5_cross_entropy_difference"](spark, SF).collect()
+    assert len(got) == len(docs)
+    for r in got:
+        text = found[r.doc_id]
+        assert r.n_tokens == len(text)
+        if text:
+            assert r.background_loss == pytest.approx(loss(counts[0], text, True))
+            assert r.target_loss == pytest.approx(loss(counts[1], text, r.doc_id in target))
+            assert r.score == pytest.approx(r.background_loss - r.target_loss)
+
+
+def test_differences_of_awkward_texts(spark, docs, rows, no_docs):
+    marked = language_model.marked(docs, spark.createDataFrame([(10,), (50,)], "doc_id bigint"))
+    scored = language_model.differences(marked, marked["is_target"]).collect()
+    assert len(scored) == len(rows)
+    assert all(r.score == 0.0 and r.target_loss is None for r in scored if not r.n_tokens)
+    assert {1, 2, 3, 5} <= {r.doc_id for r in scored if not r.n_tokens}
+    assert language_model.differences(no_docs, F.lit(None).cast("boolean")).count() == 0
+    assert language_model.differences(docs, F.lit(False)).count() == len(rows)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{x:1}</style></head><body>
 <header><h2>Site name</h2><a href=/>home</a></header><nav><ul><li><a href=a>A</a><li><a href=b>B</a></ul></nav>
 <div class="cookie-notice">We use cookies, all of them, and more.</div>

@@ -81,13 +81,30 @@ def jon2_paired_alignment(spark, sf):
     from f c join f r on r.horizon = c.horizon and r.arm_id = 'A' where c.arm_id <> 'A'""",
 )
 def jon3_coverage_matched_reference(spark, sf):
-    good = cells(spark, sf).where((F.col("status") == rollup.SUCCEEDED) & (F.col("seed") == 7))
+    return coverage_matched(cells(spark, sf).where(F.col("seed") == 7), ["horizon"])
+
+
+@query(
+    "jon3_coverage_matched_reference_by_seed",
+    f"""with {CELLS}, f as (select arm_id, horizon, seed, string_agg(distinct block_id, ',' order by block_id) as blocks, avg(quantity) as q
+                           from cells where status = 'SUCCEEDED' group by all)
+    select c.arm_id, c.horizon, c.seed, c.blocks = r.blocks as same_coverage,
+           case when c.blocks = r.blocks then round(c.q - r.q, 8) end as delta
+    from f c join f r on r.horizon = c.horizon and r.seed = c.seed and r.arm_id = 'A' where c.arm_id <> 'A'""",
+)
+def jon3_coverage_matched_reference_by_seed(spark, sf):
+    """The comparison for every seed; ``jon3_coverage_matched_reference`` is its part of seed 7."""
+    return coverage_matched(cells(spark, sf), ["horizon", "seed"])
+
+
+def coverage_matched(c, keys):
+    good = c.where(F.col("status") == rollup.SUCCEEDED)
     prints = sequence_fingerprint(element_digest(F.lit(0), "block_id"))
-    both = good.groupBy("arm_id", "horizon").agg(F.avg("quantity").alias("q"), prints.alias("blocks"))
-    met = pairing.arms_together(both, ["horizon"], "arm_id", "A", ["q", "blocks"])
+    both = good.groupBy("arm_id", *keys).agg(F.avg("quantity").alias("q"), prints.alias("blocks"))
+    met = pairing.arms_together(both, keys, "arm_id", "A", ["q", "blocks"])
     same = F.col("cand.blocks") == F.col("ref.blocks")
     return met.select(
-        F.col("cand.arm").alias("arm_id"), "horizon", same.alias("same_coverage"),
+        F.col("cand.arm").alias("arm_id"), *keys, same.alias("same_coverage"),
         F.when(same, F.round(F.col("cand.q") - F.col("ref.q"), 8)).alias("delta"),
     )
 

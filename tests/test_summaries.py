@@ -237,3 +237,13 @@ def test_one_median_for_every_number_of_units(spark):
     assert sorted(r.slot for r in slots.collect()) == list(range(9)) and slots.first()["size"] == 9
     drawn = resample.bootstrap_both(slots, ["k"], [], ["v"], 30, "s")
     assert drawn.count() == 30 and all(0 <= r.v <= 64 for r in drawn.collect())
+
+
+def test_coverage_is_compared_for_every_seed(spark):
+    from evigrid.plans import catalog
+
+    sf = "/root/testdata/sf0.001"
+    rows = catalog.queries()["jon3_coverage_matched_reference_by_seed"](spark, sf).collect()
+    assert {r.seed for r in rows} == set(range(1, 8))
+    seventh = sorted((r.arm_id, r.horizon, r.same_coverage, r.delta) for r in rows if r.seed == 7)
+    assert seventh == sorted(map(tuple, catalog.queries()["jon3_coverage_matched_reference"](spark, sf).collect()))

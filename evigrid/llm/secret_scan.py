@@ -1,7 +1,7 @@
 """Secret scans with corpus-wide ownership frequency.
 
 Patterns give candidate spans in every whole text. The digest of each candidate's value is counted over the whole corpus by distinct
-owners and repositories: a value which many owners hold is a copied example, one which stays with an owner looks live. Base
+owners and repositories: a value in three or more of both is a copied example, one which stays with fewer looks live. Base
 spans (``assign``, ``access``, ``hex``) are always reported, with that verdict beside them; spans of the further kinds
 (``pem``, ``bearer``, ``prefixed``, ``login``) are added where the verdict is ``live``.
 
@@ -28,8 +28,9 @@ from evigrid.session import materialise
 #: base kinds first, then the added ones: the order of equal starts
 KINDS = ("assign", "access", "hex", "pem", "bearer", "prefixed", "login")
 BASE = 3
-#: values with at most so many owners look live
-LIVE_OWNERS = 1
+#: values with at most so many owners, or at most so many repositories, look live: more of both means widely copied
+LIVE_OWNERS = 2
+LIVE_REPOSITORIES = 2
 
 _ASSIGN = re.compile(
     r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE
@@ -72,6 +73,7 @@ def scan(
     owner: Column | None = None,
     repository: Column | None = None,
     live_owners: int = LIVE_OWNERS,
+    live_repositories: int = LIVE_REPOSITORIES,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -112,7 +114,8 @@ def scan(
             F.col("end"),
             F.col("owners"),
             F.col("repositories"),
-            F.when(F.col("owners") <= live_owners, "live").otherwise("example").alias("verdict"),
+            F.when((F.col("owners") <= live_owners) | (F.col("repositories") <= live_repositories), "live")
+            .otherwise("example").alias("verdict"),
         ).alias("s"),
     )
     shown = judged.where((F.col("s.kind") < BASE) | (F.col("s.verdict") == "live"))

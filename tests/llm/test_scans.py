@@ -206,3 +206,12 @@ def test_open_joins():
         opened += sum(o for _, o in pieces)
         assert bpe.join_tree(c, [(bpe.encode_text(c, p), o) for p, o in pieces]) == library.encode(run, add_special_tokens=False).ids
     assert opened > 1000
+
+
+def test_two_copies_of_a_key_are_no_example(make_docs):
+    key = "-----BEGIN PRIVATE KEY-----\n" + "QUJD" * 20 + "\n-----END PRIVATE KEY-----"
+    # make_docs deals ids to three sources: the first key has two owners, the second three
+    texts = [(0, f"a {key} b"), (1, f"c {key} d"), *[(3 + i, f"e {key.replace('QUJD', 'REVG')} f") for i in range(3)]]
+    out = {r.doc_id: r.text for r in secret_scan.redact(make_docs(texts)).collect()}
+    assert out[0] == "a [SECRET] b" and out[1] == "c [SECRET] d"
+    assert [out[3 + i] for i in range(3)] == [t for _, t in texts[2:]]

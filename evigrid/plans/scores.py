@@ -41,6 +41,14 @@ def src13_parquet_samples(spark, sf):
     )
 
 
+@query("src13_parquet_samples_whole", f"with {SAMPLES} select {G}, sample_idx, round(x, 6) as x, round(y, 6) as y from samples")
+def src13_parquet_samples_whole(spark, sf):
+    """The whole dump; ``src13_parquet_samples`` reads one segment of it."""
+    return samples(spark, sf).select(
+        "method", "forecast_id", "slot", "sample_idx", F.round("x", 6).alias("x"), F.round("y", 6).alias("y")
+    )
+
+
 @query("ens1_energy_cyclic", f"with {CYCLIC} select {G}, particles, round(energy, 6) as energy from energy")
 def ens1_energy_cyclic(spark, sf):
     return ensemble.energy_cyclic(samples(spark, sf), bounded=True).withColumn("energy", F.round("energy", 6))

@@ -247,3 +247,13 @@ def test_coverage_is_compared_for_every_seed(spark):
     assert {r.seed for r in rows} == set(range(1, 8))
     seventh = sorted((r.arm_id, r.horizon, r.same_coverage, r.delta) for r in rows if r.seed == 7)
     assert seventh == sorted(map(tuple, catalog.queries()["jon3_coverage_matched_reference"](spark, sf).collect()))
+
+
+def test_whole_sample_dump_holds_every_slot_and_method(spark):
+    from evigrid.plans import catalog
+
+    sf = "/root/testdata/sf0.001"
+    whole = catalog.queries()["src13_parquet_samples_whole"](spark, sf)
+    assert whole.select("slot", "method").distinct().count() == 8
+    one = catalog.queries()["src13_parquet_samples"](spark, sf).collect()
+    assert sorted(map(tuple, whole.where("slot = 3 and method = 'raw'").collect())) == sorted(map(tuple, one))

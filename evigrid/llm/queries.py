@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evigrid.llm import bpe, decontaminate, html_text, language_model, pii, quality, secret_scan, simhash, spotsigs, substrings
+from evigrid.llm import alignment, bpe, decontaminate, embeddings, html_text, language_model, periodic, pii, quality
+from evigrid.llm import secret_scan, simhash, spotsigs, substrings
 from evigrid.llm.common import table
 from evigrid.session import materialise
 
@@ -160,3 +161,50 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substrings.remove_repeats(table(spark, sf_dir, "documents"), with_kept=False)
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query("op11_token_alignment")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents")
+    return alignment.align_documents(docs, tokenizer_path(), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def periodic_texts(docs: DataFrame) -> DataFrame:
+    """``doc_id`` and the words of each text joined by spaces, in one of ten documents (by CRC-32 of the id) repeated from word a on
+    with period p, as the query of the runs asks.
+    """
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    h = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(1))
+    one = docs.select("doc_id", "text", h.alias("h")).withColumn("w", F.when(F.col("h") % 10 == 0, words))
+    n, g = F.size("w"), F.floor(F.col("h") / 10)
+    a = (g % n).cast("int")
+    placed = one.withColumn("a", F.when(n > 0, a)).withColumn("p", F.when(n > 0, (1 + F.floor((n - F.col("a")) / (3 + g % 8))).cast("int")))
+    times = F.ceil((n - F.col("a")) / F.col("p")).cast("int")
+    again = F.flatten(F.array_repeat(F.slice("w", F.col("a") + 1, F.col("p")), times))
+    whole = F.slice(F.concat(F.slice("w", F.lit(1), F.col("a")), again), F.lit(1), n)
+    return placed.select("doc_id", F.when(n > 0, F.array_join(whole, " ")).otherwise(F.col("text")).alias("text"))
+
+
+@query("op13_periodic_runs")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.find_runs(periodic_texts(table(spark, sf_dir, "documents")), outputs=("runs", "digests"))
+    first = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("less"), r["start"].alias("start"), r["period"].alias("period"))))
+    best = found.withColumn("best", first)
+    length, period = (-F.col("best.less")).cast("bigint"), F.col("best.period").cast("bigint")
+    return best.select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        F.col("best.start").cast("bigint").alias("start"),
+        length.alias("length"),
+        period.alias("period"),
+        F.floor(F.lit(1000) * length / period).cast("bigint").alias("exponent_milli"),
+        "runs_sha256",
+        "collapsed_sha256",
+    )
+
+
+@query("op12_embedding_near_duplicates")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))

@@ -1,6 +1,6 @@
 """Near-duplicate embeddings: random-hyperplane signs in several tables, exact cosines, connected components.
 
-Each vector gets a sketch, one sign bit per random hyperplane. Table t of ``tables`` keys a vector by the t-th group of ``width`` bits. ``width`` grows
+Each vector gets a sketch, one sign bit per random hyperplane. Table t of ``tables`` keys a vector by ``width`` of these bits. ``width`` grows
 with the logarithm of the number of vectors, so a bucket keeps about ``bucket_rows`` of them, and ``tables`` follows from it: a pair exactly at
 the threshold meets in no table with a probability of at most ``miss``; closer pairs are missed far more rarely. A pair belongs to the first table it
 meets in, so nothing is counted twice and no pairs are stored.
@@ -44,6 +44,8 @@ MISS_BITS = 1e-6
 SEED = 42
 ROWS_AT_A_TIME = 512
 _WORD = 64
+#: most words of a sketch; beyond them the keys of the tables share bits
+MOST_WORDS = 8
 
 
 class Plan(NamedTuple):
@@ -56,23 +58,51 @@ class Plan(NamedTuple):
     all_bits: int
 
 
+def _differing(bits: int, share: float) -> np.ndarray:
+    """Probability of each number of differing bits."""
+    d = np.arange(bits + 1)
+    fold = np.array([math.lgamma(bits + 1) - math.lgamma(i + 1) - math.lgamma(bits - i + 1) for i in d])
+    return np.exp(fold + d * math.log(share) + (bits - d) * math.log1p(-share))
+
+
 def _most_bits(bits: int, share: float, miss: float) -> int:
     """Smallest number of differing bits that a pair exceeds with a probability of at most ``miss``."""
-    left = 1.0
-    for d in range(bits + 1):
-        left -= math.comb(bits, d) * share**d * (1 - share) ** (bits - d)
-        if left <= miss:
-            return d
-    return bits
+    return int(np.nonzero(1 - np.cumsum(_differing(bits, share)) <= miss)[0][0])
+
+
+def missed(p: Plan, share: float) -> float:
+    """Probability that a pair whose signs differ with probability ``share`` meets in no table."""
+    bits = p.words * _WORD
+    if p.width * p.tables <= bits:
+        return (1 - (1 - share) ** p.width) ** p.tables
+    # keys are drawn from one pool of bits: a pair that differs in d of them meets in a table if all drawn bits are among the others
+    d = np.arange(bits + 1)
+    meet = np.ones(bits + 1)
+    for i in range(p.width):
+        meet *= np.maximum(bits - d - i, 0) / (bits - i)
+    return float((_differing(bits, share) * (1 - meet) ** p.tables).sum())
 
 
 def plan(rows: int, threshold: float = THRESHOLD, bucket_rows: int = BUCKET_ROWS, miss: float = MISS) -> Plan:
     share = math.acos(threshold) / math.pi
-    width = max(1, math.ceil(math.log2(max(2, rows) / bucket_rows))) if rows > bucket_rows else 1
-    meet = (1 - share) ** width
-    tables = max(1, math.ceil(math.log(miss) / math.log1p(-meet)))
-    words = max(2, -(-width * tables // _WORD))
-    return Plan(width, tables, words, _most_bits(_WORD, share, MISS_BITS), _most_bits(words * _WORD, share, MISS_BITS))
+    width = max(1, math.ceil(math.log2(rows / bucket_rows))) if rows > bucket_rows else 1
+    tables = 1
+    while True:
+        words = min(MOST_WORDS, max(2, -(-width * tables // _WORD)))
+        found = Plan(width, tables, words, 0, 0)
+        if missed(found, share) <= miss:
+            break
+        tables += 1
+    return found._replace(first_bits=_most_bits(_WORD, share, MISS_BITS), all_bits=_most_bits(words * _WORD, share, MISS_BITS))
+
+
+@functools.lru_cache(maxsize=8)
+def _places(width: int, tables: int, bits: int) -> np.ndarray:
+    """Bits of each table's key: bits of its own as long as they last, else drawn from the sketch."""
+    if width * tables <= bits:
+        return np.arange(width * tables).reshape(tables, width)
+    rng = np.random.default_rng(SEED)
+    return np.stack([rng.choice(bits, width, replace=False) for _ in range(tables)])
 
 
 @functools.lru_cache(maxsize=8)
@@ -89,7 +119,7 @@ def units(vectors: np.ndarray) -> np.ndarray:
 
 def keys_of(sketches: np.ndarray, p: Plan) -> np.ndarray:
     """Keys of each table, from sketches as rows of bytes."""
-    bits = np.unpackbits(sketches, axis=1, bitorder="little")[:, : p.width * p.tables].reshape(-1, p.tables, p.width)
+    bits = np.unpackbits(sketches, axis=1, bitorder="little")[:, _places(p.width, p.tables, p.words * _WORD)]
     return bits.astype(np.int64) @ (1 << np.arange(p.width, dtype=np.int64))
 
 

@@ -296,8 +296,15 @@ def test_embedding_tables_without_links(spark):
 
 
 def test_embedding_plan_meets_at_the_threshold():
+    share = math.acos(0.9) / math.pi
     for rows in (10, 5_000, 1_000_000, 10**9):
         p = embeddings.plan(rows)
-        meet = (1 - math.acos(0.9) / math.pi) ** p.width
-        assert (1 - meet) ** p.tables <= embeddings.MISS
+        assert embeddings.missed(p, share) <= embeddings.MISS
         assert rows / 2**p.width <= embeddings.BUCKET_ROWS
+    # keys that share bits, by trial
+    p = embeddings.Plan(12, 60, 2, 0, 0)
+    rng = np.random.default_rng(3)
+    signs = rng.integers(0, 2, (4_000, 128), dtype=np.uint8)
+    one = embeddings.keys_of(np.packbits(signs, axis=1, bitorder="little"), p)
+    two = embeddings.keys_of(np.packbits(signs ^ (rng.random(signs.shape) < share), axis=1, bitorder="little"), p)
+    assert abs((~(one == two).any(axis=1)).mean() - embeddings.missed(p, share)) < 0.02

@@ -6,7 +6,8 @@ A text is cut into words ``[^\\x20\\x09-\\x0D]+``. A *run* is a stretch of words
 Periods are searched by octave: for P = 1, 2, 4, ... the periods P <= p < 2P. A document is cut into tiles, one for each boundary b
 that is a multiple of 2P: the words from b - 2P to b + 4P. A run of such a period spans [b, b + p] for some boundary, and its part in
 that tile is at least 2p long. A tile is solved on its own: two Z-functions at the boundary, of the right side and of the reversed
-left side, say how far a shift by p agrees to both sides, for all periods of the octave at once. Only primitive periods give a fragment.
+left side, say how far a shift by p agrees to both sides, for all periods of the octave at once. Only primitive periods give a fragment, and
+only stretches that are long enough or reach the edge of their tile.
 Tiles are tried only where half a period agrees on one side of the boundary, which a rolling hash of the whole batch tells (equal
 words always have equal hashes, so none is missed).
 
@@ -84,7 +85,11 @@ def solve_tile(word: Sequence[int], left: int, octave: int, at: int) -> list[Fra
     for p in range(octave, reach + 1):
         after = ahead[p] if p < right else 0
         back = behind[left + 1 + reach - p]
-        if back + after >= p and not any(ahead[q] >= p - q for q in _parts(p)):
+        if back + after < p or any(ahead[q] >= p - q for q in _parts(p)):
+            continue
+        # a stretch that ends inside the tile is whole: shorter than a run, it is none
+        whole = (back < left or back == at) and p + after < right
+        if not whole or back + p + after >= max(LEAST_WORDS, LEAST_PERIODS * p):
             out.append((p, at - back, at + p + after))
     return out
 

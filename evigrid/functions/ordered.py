@@ -16,11 +16,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from evigrid.session import materialise
+
 CHUNK = "__chunk"
 #: keys and chunk as one struct: equal structs may hold nulls
 AT = "__where"
 PIECE = "__piece"
 PIECE_ROWS = 5_000_000
+#: ranges that ``with_piece`` cuts at least
+PIECES = 256
 
 
 def piece_width(df: DataFrame, keys: Sequence[str], position: Column, widths: Sequence[int]) -> int:
@@ -46,26 +50,19 @@ def within(keys: Sequence[str]) -> list[Column]:
     return [F.col(AT)[f"k{i}"] for i in range(len(keys))]
 
 
-def quantile_edges(df: DataFrame, value: str, pieces: int = 256) -> Column:
-    """Values that cut ``df`` into pieces of about equal size, as a scalar subquery: nothing runs before the query does."""
-    shares = [i / pieces for i in range(1, pieces)]
-    return df.agg(F.percentile_approx(F.col(value).cast("double"), shares, 4 * pieces)).scalar()
-
+def with_piece(df: DataFrame, value: str, tie: str | None = None, pieces: int = PIECES) -> DataFrame:
+    """``df``, stored, with ``__piece``, monotone in ``value`` and then ``tie``, cut where the data are: neither an offset nor the range of
+    values matters, and a frequent value is cut again by ``tie``. Null comes first.
 
-def with_piece(df: DataFrame, value: str, tie: str | None = None) -> DataFrame:
-    """Add ``__piece``, monotone in ``value`` and then ``tie``, cut where the data are: neither an offset nor the range of
-    values matters. A value so frequent that it is an edge is a piece of its own, which the numeric ``tie`` cuts again.
+    The pieces are the partitions of one range exchange: Spark samples the order columns, each row moves once, and the partition's
+    number is the piece. The result is stored, so whoever orders within the pieces and whoever adds up their totals read the same rows and
+    neither reads ``df`` again. At least ``pieces`` ranges are cut, as many as the session shuffles to if that is more.
     """
-    edges = [quantile_edges(df, value).alias("__edges"), *([quantile_edges(df, tie).alias("__ties")] if tie else [])]
-    v = F.col(value).cast("double")
-    below = F.size(F.filter("__edges", lambda e: e < v))
-    if tie is None:
-        return df.select("*", *edges).select(*df.columns, F.struct(v.isNotNull().alias("known"), below.alias("below")).alias(PIECE))
-    # an unknown value is one of the values that may be frequent
-    is_edge = v.isNull() | F.coalesce(F.array_contains("__edges", v), F.lit(False))
-    inner = F.when(is_edge, F.size(F.filter("__ties", lambda e: e <= F.col(tie).cast("double")))).otherwise(0)
-    piece = F.struct(v.isNotNull().alias("known"), below.alias("below"), is_edge.alias("edge"), inner.alias("tie"))
-    return df.select("*", *edges).select(*df.columns, piece.alias(PIECE))
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.col(c).asc_nulls_first() for c in (value, tie) if c is not None]
+    ranged = df.repartitionByRange(max(pieces, tasks), *order).withColumn(PIECE, F.spark_partition_id())
+    # fewer files than pieces; a partition keeps its number
+    return materialise(ranged.coalesce(tasks))
 
 
 def text_range(df: DataFrame, column: str, pieces: int = 64) -> Column:

@@ -65,16 +65,6 @@ def with_piece(df: DataFrame, value: str, tie: str | None = None, pieces: int =
     return materialise(ranged.coalesce(tasks))
 
 
-def text_range(df: DataFrame, column: str, pieces: int = 64) -> Column:
-    """Number of the range of a text column that holds a row. The range edges are looked up first: one narrow exchange,
-    and ``pieces`` values for the driver.
-    """
-    ranged = df.select(column).where(F.col(column).isNotNull()).repartitionByRange(pieces, column)
-    lows = ranged.groupBy(F.spark_partition_id()).agg(F.min(column).alias("low")).collect()
-    edges = F.array(*[F.lit(low) for low in sorted(r.low for r in lows)]).cast("array<string>")
-    return F.size(F.filter(edges, lambda e: e <= F.col(column)))
-
-
 def running_sums(
     df: DataFrame,
     keys: Sequence[str],

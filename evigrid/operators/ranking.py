@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from evigrid.functions.ordered import PIECE, previous, row_numbers, running_sums, with_piece
 from evigrid.functions.scalars import unit_interval_hash
@@ -67,14 +66,9 @@ def rank_fraction_split(df: DataFrame, keys: Sequence[str], unit: str, salt: str
     return numbered.withColumn("role", F.when(F.col("rank") <= keep, "train").otherwise("validation")).drop("__h")
 
 
-def _numeric(df: DataFrame, column: str) -> str | None:
-    """A tie-break column that edges can cut; equal values stay together under another one."""
-    return column if isinstance(df.schema[column].dataType, T.NumericType) else None
-
-
 def rank_bands(df: DataFrame, keys: Sequence[str], value: str, tie: str, bands: int) -> DataFrame:
     """Band ``min(bands-1, floor(bands*rank/size))`` with the zero-based rank of ``value``."""
-    cut = with_piece(df, value, _numeric(df, tie))
+    cut = with_piece(df, value, tie)
     numbered = row_numbers(cut, keys, [F.col(value), F.col(tie)], F.col(PIECE), "rank", total="size").drop(PIECE)
     zero = F.col("rank") - 1
     band = F.least(F.lit(bands - 1).cast("bigint"), F.floor(F.lit(bands) * zero / F.col("size")))
@@ -95,7 +89,7 @@ def mass_order(cells: DataFrame, keys: Sequence[str], mass: str, ties: Sequence[
     """Cells by falling mass with rank, running mass and whether the cell is needed to reach ``share`` of the total."""
     order = [F.col(mass).desc(), *[F.col(t) for t in ties]]
     falling = cells.withColumn("__fall", -F.col(mass).cast("double"))
-    cut = with_piece(falling, "__fall", _numeric(cells, ties[0]) if ties else None)
+    cut = with_piece(falling, "__fall", ties[0] if ties else None)
     # as in the order, an unknown mass comes last
     chunk = F.struct(F.col(mass).isNull().alias("unknown"), F.col(PIECE).alias("piece"))
     ranked = running_sums(

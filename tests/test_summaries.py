@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from evigrid.functions.ordered import PIECE, previous, row_numbers, running_sums, text_range, with_piece
+from evigrid.functions.ordered import PIECE, previous, row_numbers, running_sums, with_piece
 from evigrid.functions.quantiles import exact_quantiles
 from evigrid.operators import inference, pairing, quality, ranking, resample, rollup, summaries, trajectory
 from evigrid.session import shared_folder
@@ -72,9 +72,9 @@ def test_ranks_of_tied_values(offset_values):
 
 def test_text_ranges_are_monotone(spark):
     df = spark.createDataFrame([(f"block-{i:05d}",) for i in range(3000)] + [(None,)], "b string")
-    cut = df.withColumn("c", text_range(df, "b"))
+    cut = with_piece(df, "b").withColumnRenamed(PIECE, "c")
     assert cut.groupBy("c").count().agg(F.max("count")).first()[0] < 300
-    sums = running_sums(df, [], [F.col("b")], text_range(df, "b"), {"n": F.lit(1)})
+    sums = running_sums(with_piece(df, "b"), [], [F.col("b")], F.col(PIECE), {"n": F.lit(1)})
     assert {r.n for r in sums.collect()} == set(range(1, 3002))
 
 
@@ -239,6 +239,29 @@ def test_one_median_for_every_number_of_units(spark):
     assert drawn.count() == 30 and all(0 <= r.v <= 64 for r in drawn.collect())
 
 
+def test_draws_as_vectors_equal_draws_as_rows(spark, monkeypatch):
+    rows = [(g, "p", i, None if i % 7 == 3 else float((i * 37) % 11), float(i), i % 2) for g in (1, None) for i in range(23)]
+    rows += [(5, None, 0, None, 1.0, 0), (6, "k0", 0, 2.0, float("inf"), 0)]
+    df = spark.createDataFrame(rows, "g int, prefix string, u int, v double, k0 double, draw int")
+    slots = resample.block_slots(df, ["g", "prefix"], "u")
+
+    def both():
+        means = resample.bootstrap_means(slots, ["g", "prefix"], ["v", "k0"], 60, "s", deviations=True).collect()
+        mixed = resample.bootstrap_both(slots, ["g", "prefix"], ["v"], ["k0"], 130, "s").collect()
+        labelled = resample.bootstrap_means(slots, ["g", "prefix"], ["v"], 7, "s", label=["prefix"]).collect()
+        named = [[tuple(sorted(r.asDict().items())) for r in part] for part in (means, mixed, labelled)]
+        return [sorted(part, key=repr) for part in named]
+
+    vectors = both()
+    monkeypatch.setattr(resample, "VECTOR_UNITS", 0)
+    for left, right in zip(vectors, both(), strict=True):
+        assert len(left) == len(right)
+        for a, b in zip(left, right, strict=True):
+            assert [n for n, _ in a] == [n for n, _ in b]
+            for (_, x), (_, y) in zip(a, b, strict=True):
+                assert x == y or x == pytest.approx(y, rel=1e-12, nan_ok=True)
+
+
 def test_coverage_is_compared_for_every_seed(spark):
     from evigrid.plans import catalog
 

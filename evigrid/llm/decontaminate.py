@@ -17,8 +17,10 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -152,6 +154,15 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 _RESULT = "n_words bigint, n_hit bigint, items array<string>, spans array<struct<start:int,end:int>>"
 
 
+def _windows(benchmark: DataFrame, width: int, broadcast_windows: int) -> tuple[DataFrame, Broadcast | None]:
+    """The windows of the test items, and their index at the workers where there are few enough."""
+    windows = item_windows(benchmark, width)
+    head = windows.limit(broadcast_windows + 1).collect()
+    if len(head) > broadcast_windows:
+        return windows, None
+    return windows, benchmark.sparkSession.sparkContext.broadcast(build_index([(r.item, r.n, r.window) for r in head]))
+
+
 def contamination(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -166,16 +177,14 @@ def contamination(
     ``with_row`` keeps the whole document beside the result, as the structure ``document``. The number of windows decides the way they reach the documents,
     not the rows.
     """
-    windows = item_windows(benchmark, width)
-    head = windows.limit(broadcast_windows + 1).collect()
+    windows, shared = _windows(benchmark, width, broadcast_windows)
     source = id_and_text(docs, id_col, text_col)
     if with_row:
         source = docs.select(
             F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text"), F.struct("*").alias("document")
         )
-    if len(head) > broadcast_windows:
+    if shared is None:
         return _joined(source, windows, with_row)
-    shared = docs.sparkSession.sparkContext.broadcast(build_index([(r.item, r.n, r.window) for r in head]))
 
     def mark(batch: pa.RecordBatch) -> dict:
         texts = binary_column(batch, "text")
@@ -268,9 +277,26 @@ def is_contaminated(share: int = 20):
     return (F.col("n_hit") > 0) & (F.lit(share) * F.col("n_hit") >= F.col("n_words"))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: int = 20) -> DataFrame:
-    """The documents that are not contaminated, with all their columns."""
-    return contamination(docs, benchmark, width, with_row=True).where(~is_contaminated(share)).select("document.*")
+def clean(
+    docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: int = 20, broadcast_windows: int = BROADCAST_WINDOWS
+) -> DataFrame:
+    """The documents that are not contaminated, with all their columns. Only texts go to the workers, one bit each comes back."""
+    _, shared = _windows(benchmark, width, broadcast_windows)
+    if shared is None:
+        found = contamination(docs, benchmark, width, broadcast_windows, with_row=True)
+        return found.where(~is_contaminated(share)).select("document.*")
+
+    @F.pandas_udf("boolean")
+    def stays(texts: pd.Series) -> pd.Series:
+        kept = []
+        for at in range(0, len(texts), 64):
+            part = [(t or "").encode() for t in texts.iloc[at : at + 64]]
+            for n_words, spans, _ in scan(shared.value, part):
+                n_hit = sum(e - s for s, e in spans)
+                kept.append(not (n_hit > 0 and share * n_hit >= n_words))
+        return pd.Series(kept, dtype="bool")
+
+    return docs.where(stays(whole_text()))
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:

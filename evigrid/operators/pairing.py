@@ -243,6 +243,99 @@ def ancestor_closure(edges: DataFrame, rank: Column, max_depth: int = 32) -> Dat
     )
 
 
+def lineage_states(
+    objects: DataFrame, references: DataFrame, rank: Column, max_depth: int = 32, max_visits: int = 10_000
+) -> DataFrame:
+    """State, depth, visits and strictest rank of every object that may refer to several others.
+
+    ``objects`` has one row per ``node``, ``references`` the pairs ``child``, ``parent``; repeated pairs count once. Per node:
+
+    * ``state``: ``cycle`` if a walk of at most ``max_depth`` references comes back to an object it has met; else ``too_long`` if one goes
+      on beyond that; else ``dangling`` if one ends at an object without a row; else ``too_many`` beyond ``max_visits`` visits; else ``resolved``
+    * of resolved nodes ``depth`` (references of the longest walk), ``visits`` (objects met, on each walk again) and ``strictest``, the
+      highest rank met.
+
+    Levels are peeled from the ends: a round takes the nodes all of whose references are known and hands their values to
+    those who refer to them, so each reference is joined once and a round reads only the last level. What is left after
+    ``max_depth`` rounds lies above a cycle or too deep; only from there walks are followed, to tell the two apart.
+    """
+    node = objects.select("node", rank.cast("bigint").alias("own"))
+    pairs = references.where(F.col("parent").isNotNull()).select("child", "parent").distinct()
+    known = node.select(F.col("node").alias("__seen"))
+    pairs = materialise(
+        pairs.join(known, F.col("child") == F.col("__seen"), "left_semi").join(known, F.col("parent") == F.col("__seen"), "left")
+        .select("child", "parent", F.col("__seen").isNull().alias("missing"))
+    )
+    counts = pairs.groupBy("child").agg(F.count(F.lit(1)).alias("open"), F.bool_or("missing").alias("dangling"))
+    unmet = pairs.where("missing").groupBy("child").agg(F.count(F.lit(1)).alias("gone"))
+    zero = F.lit(0).cast("bigint")
+    waiting = materialise(
+        node.join(counts, F.col("node") == counts["child"], "left").drop("child").join(unmet, F.col("node") == unmet["child"], "left")
+        .select(
+            "node", F.coalesce(F.col("open") - F.coalesce("gone", zero), zero).alias("open"), F.coalesce("dangling", F.lit(False)).alias("dangling"),
+            "own", F.when(F.col("gone") > 0, 1).otherwise(0).cast("bigint").alias("depth"), (1 + F.coalesce("gone", zero)).alias("visits"),
+        )
+    )
+    inner = pairs.where("not missing").select("child", "parent")
+    done: DataFrame | None = None
+    for _ in range(max_depth + 1):
+        level = waiting.where("open = 0")
+        level = materialise(level)
+        if level.isEmpty():
+            break
+        done = level if done is None else done.unionByName(level)
+        told = inner.join(level.withColumnRenamed("node", "parent"), "parent").groupBy("child").agg(
+            F.count(F.lit(1)).alias("__n"), F.bool_or("dangling").alias("__dangling"), F.max("own").alias("__own"),
+            F.max("depth").alias("__depth"), F.sum("visits").alias("__visits"),
+        )
+        waiting = materialise(
+            waiting.where("open > 0").join(told, F.col("node") == F.col("child"), "left").select(
+                "node", (F.col("open") - F.coalesce("__n", zero)).alias("open"),
+                (F.col("dangling") | F.coalesce("__dangling", F.lit(False))).alias("dangling"), F.greatest("own", "__own").alias("own"),
+                F.greatest("depth", F.col("__depth") + 1).alias("depth"),
+                # beyond the bound the number no longer matters
+                F.least(F.col("visits") + F.coalesce("__visits", zero), F.lit(max_visits + 1).cast("bigint")).alias("visits"),
+            )
+        )
+    state = (
+        F.when(F.col("depth") > max_depth, "too_long").when(F.col("dangling"), "dangling").when(F.col("visits") > max_visits, "too_many")
+        .otherwise("resolved")
+    )
+    peeled = waiting.where("false").withColumn("state", F.lit("")) if done is None else done.withColumn("state", state)
+    left = waiting.select("node").where("open > 0") if done is None else waiting.join(done.select("node"), "node", "left_anti").select("node")
+    left = materialise(left)
+    cyclic = _short_cycles(left, inner, max_depth)
+    stuck = left.join(cyclic, "node", "left").select("node", F.when(F.col("cyclic"), "cycle").otherwise("too_long").alias("state"))
+    whole = F.col("state") == "resolved"
+    return peeled.select(
+        "node", "state", F.when(whole, F.col("depth")).alias("depth"), F.when(whole, F.col("visits")).alias("visits"),
+        F.when(whole, F.col("own")).alias("strictest"),
+    ).unionByName(stuck, allowMissingColumns=True)
+
+
+def _short_cycles(nodes: DataFrame, pairs: DataFrame, max_depth: int) -> DataFrame:
+    """The ``node`` s of which a walk of at most ``max_depth`` references meets an object again, with ``cyclic``."""
+    empty = nodes.select("node", F.lit(True).alias("cyclic"))
+    if nodes.isEmpty():
+        return empty
+    inside = materialise(
+        pairs.join(nodes.select(F.col("node").alias("child")), "child", "left_semi")
+        .join(nodes.select(F.col("node").alias("parent")), "parent", "left_semi").select("child", "parent")
+    )
+    # distances between the nodes left; each pair enters once, when it is nearest
+    frontier = materialise(inside.select(F.col("child").alias("start"), F.col("parent").alias("at"), F.lit(1).alias("steps")))
+    met = frontier
+    for steps in range(2, max_depth + 1):
+        if frontier.isEmpty():
+            break
+        further = frontier.join(inside.withColumnRenamed("child", "at"), "at").select("start", F.col("parent").alias("at")).distinct()
+        frontier = materialise(further.join(met.select("start", "at"), ["start", "at"], "left_anti").withColumn("steps", F.lit(steps)))
+        met = met.unionByName(frontier)
+    rings = materialise(met.where("start = at").select(F.col("start").alias("at"), F.col("steps").alias("ring")))
+    near = met.where("start <> at").join(rings, "at").where(F.col("steps") + F.col("ring") <= max_depth).select(F.col("start").alias("node"))
+    return near.union(rings.select("at")).distinct().withColumn("cyclic", F.lit(True))
+
+
 def equal_pair_counts(fingerprints: DataFrame, role: str | None = None, fingerprint: str = "fingerprint") -> DataFrame:
     """Pairs of equal sequences within and across roles from group sizes alone: no pair is ever produced."""
     keys = [role] if role else []

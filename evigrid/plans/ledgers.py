@@ -207,6 +207,42 @@ def jon22_lineage_closure(spark, sf):
     return pairing.ancestor_closure(edges(spark, sf), rank)
 
 
+# a part refers to the half of its key, every third one to the third too; some refer to a key without a row, some back to a part
+# that refers to them, and one block of 500 keys in seven is a chain from key to key
+REFERENCES = """refs as (
+  select distinct * from (
+    select p_partkey as child, case when p_partkey // 500 % 7 = 3 and p_partkey % 500 > 0 then p_partkey - 1 else p_partkey // 2 end as parent
+    from part where p_partkey > 1
+    union all select p_partkey, p_partkey // 3 from part where p_partkey % 3 = 0 and not (p_partkey // 500 % 7 = 3)
+    union all select p_partkey, -p_partkey from part where p_partkey % 101 = 57
+    union all select p_partkey, 2 * p_partkey from part where p_partkey % 211 = 200) where parent <> 0)"""
+
+
+@query(
+    "jon22_lineage_states",
+    f"""with recursive {EDGES}, {REFERENCES}, ranked as (select child as node, case visibility when 'restricted' then 2 when 'shared' then 1 else 0 end as rk from edges where child > 0),
+    walk as (select node as start, node as at, [node] as path, 0 as steps, false as back from ranked
+             union all select w.start, r.parent, list_append(w.path, r.parent), w.steps + 1, list_contains(w.path, r.parent)
+             from walk w join refs r on r.child = w.at where not w.back and w.steps <= 32),
+    s as (select start as node, bool_or(back and steps <= 32) as cyclic, bool_or(steps > 32) as deep, bool_or(rk is null) as dangling,
+          max(steps) as depth, count(*) as visits, max(rk) as strictest from walk left join ranked k on k.node = walk.at group by start),
+    t as (select *, case when cyclic then 'cycle' when deep then 'too_long' when dangling then 'dangling' when visits > 10000 then 'too_many' else 'resolved' end as state from s)
+    select node, state, case when state = 'resolved' then depth end::bigint as depth, case when state = 'resolved' then visits end as visits,
+           case when state = 'resolved' then strictest end::bigint as strictest from t""",
+)
+def jon22_lineage_states(spark, sf):
+    k = F.col("p_partkey")
+    part = table(spark, sf, "part").select("p_partkey", "p_size")
+    chained = (F.floor(k / 500) % 7 == 3)
+    half = F.when(chained & (k % 500 > 0), k - 1).otherwise(F.floor(k / 2))
+    parents = F.array(
+        F.when(k > 1, half), F.when((k % 3 == 0) & ~chained, F.floor(k / 3)), F.when(k % 101 == 57, -k), F.when(k % 211 == 200, 2 * k)
+    )
+    references = part.select(k.alias("child"), F.explode(F.filter(parents, lambda x: x.isNotNull() & (x != 0))).alias("parent"))
+    rank = F.when(F.col("p_size") > 45, 2).when(F.col("p_size") > 25, 1).otherwise(0)
+    return pairing.lineage_states(part.where(k > 0).select(k.alias("node"), "p_size"), references, rank)
+
+
 @query(
     "win1_first_success",
     f"""with {LEDGER}, s as (select cell_id, attempt_id, sequence from ledger where state = 'SUCCEEDED')

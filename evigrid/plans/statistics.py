@@ -204,12 +204,33 @@ def inf14_factor_decision(spark, sf):
     return wide.dropna().select("factor", "loo_state", "lio_state", decision.alias("decision"))
 
 
-@query("inf15_planning_power")
+# the same series, fraction and steps as the columns; both constants and the shifted effect go through them
+_SERIES = "list_reduce(list_prepend(1.0::double, list_transform(range(81, 1, -2), lambda k: k::double)), lambda acc, k: 1 + x * x / k * acc)"
+_FRACTION = "list_reduce(list_prepend(x, list_transform(range(60, 0, -1), lambda k: k::double)), lambda acc, k: x + k / acc)"
+_DENSITY = "(exp(-x * x / 2) / sqrt(2 * pi()))"
+_TAIL = f"(case when x <= 2.5 then 0.5 - {_DENSITY} * x * {_SERIES} else {_DENSITY} / {_FRACTION} end)"
+
+
+def _halley(name: str, source: str) -> str:
+    return f"{name} as (select name, p, x + u / (1 - u * x / 2) as x from (select *, ({_TAIL} - (1 - p)) / {_DENSITY} as u from {source}))"
+
+
+@query(
+    "inf15_planning_power",
+    f"""with {PAIRS}, levels as (select * from (values ('z', 1 - 0.05 / 4), ('target', 0.8)) v(name, p)),
+    roots as (select name, p::double as p, sqrt(-2 * ln((1 - p)::double)) as t from levels),
+    start as (select name, p, t - (2.515517 + 0.802853 * t + 0.010328 * t * t) / (1 + 1.432788 * t + 0.189269 * t * t + 0.001308 * t * t * t) as x from roots),
+    {_halley("once", "start")}, {_halley("twice", "once")}, q as (select max(x) filter (where name = 'z') as z, max(x) filter (where name = 'target') as target from twice),
+    g as (select candidate, horizon, stddev_samp(quantity) as sd, count(*) as n from pairs group by all),
+    e as (select *, 0.3 * sqrt(n) / (case when sd > 0 then sd end) - z as v, abs(0.3 * sqrt(n) / (case when sd > 0 then sd end) - z) as x from g, q)
+    select candidate, horizon, round(sd, 10) as sd, n, round(case when v < 0 then {_TAIL} else 1 - {_TAIL} end, 12) as power,
+           ceil(pow((z + target) * (case when sd > 0 then sd end) / 0.3, 2))::bigint as required_n from e""",
+)
 def inf15_planning_power(spark, sf):
     sd = pairs(spark, sf).groupBy("candidate", "horizon").agg(
         F.stddev_samp("quantity").alias("sd"), F.count(F.lit(1)).alias("n")
     )
-    return inference.planning(sd, "sd", "n", 0.3, 2)
+    return inference.planning(sd, "sd", "n", 0.3, 2).withColumns({"power": F.round("power", 12), "sd": F.round("sd", 10)})
 
 
 def moments(spark, sf, shift=None):

@@ -94,3 +94,19 @@ def test_scalars(spark):
     ).first()
     assert row["a"] == 50 and row["b"] is None and row["c"]
     assert abs(row["d"] - 0.9750021) < 1e-6 and abs(row["e"] - 1.959964) < 1e-6 and row["f"] is None
+
+
+def test_normal_columns_equal_the_distribution(spark):
+    from statistics import NormalDist
+
+    normal = NormalDist()
+    xs = [i / 8 for i in range(-80, 81)] + [-30.0, 30.0, float("inf"), float("-inf"), 2.5, 1e-300]
+    for x, got in spark.createDataFrame([(x,) for x in xs], "x double").select("x", normal_cdf("x")).collect():
+        assert abs(got - normal.cdf(x)) < 1e-13
+        assert x > -2 or x < -30 or got == pytest.approx(math.erfc(-x / math.sqrt(2)) / 2, rel=1e-12)
+    ps = [i / 97 for i in range(1, 97)] + [0.5, 1e-9, 1e-15, 1 - 1e-9, 0.025, 0.975]
+    for p, got in spark.createDataFrame([(p,) for p in ps], "p double").select("p", normal_quantile("p")).collect():
+        assert got == pytest.approx(normal.inv_cdf(p), rel=1e-11, abs=1e-12)
+    edges = spark.createDataFrame([(0.0,), (1.0,), (-1.0,), (None,), (float("nan"),)], "p double")
+    assert [r[0] for r in edges.select(normal_quantile("p")).collect()] == [None] * 5
+    assert [r[0] for r in edges.where("p is null or isnan(p)").select(normal_cdf("p")).collect()] == [None] * 2

@@ -280,3 +280,21 @@ def test_whole_sample_dump_holds_every_slot_and_method(spark):
     assert whole.select("slot", "method").distinct().count() == 8
     one = catalog.queries()["src13_parquet_samples"](spark, sf).collect()
     assert sorted(map(tuple, whole.where("slot = 3 and method = 'raw'").collect())) == sorted(map(tuple, one))
+
+
+def test_lineage_states_with_several_references(spark):
+    # a diamond, a missing reference, a ring of two with something above it, a chain one too long, an object of its own
+    pairs = [(2, 1), (3, 1), (4, 2), (4, 3), (4, 3), (5, 99), (6, 5), (7, 8), (8, 7), (9, 8), (10, 9), (11, 11), (4, None)]
+    pairs += [(100 + i, 99 + i) for i in range(1, 36)]
+    nodes = [(n, 2 if n == 2 else 0) for n in [*range(1, 12), *range(100, 136)]] + [(None, 1)]
+    objects = spark.createDataFrame(nodes, "node int, v int")
+    references = spark.createDataFrame(pairs, "child int, parent int")
+    got = {r.node: tuple(r)[1:] for r in pairing.lineage_states(objects, references, F.col("v"), 32).collect()}
+    assert len(got) == len(nodes)
+    assert got[1] == ("resolved", 0, 1, 0) and got[4] == ("resolved", 2, 5, 2) and got[2] == ("resolved", 1, 2, 2)
+    assert {n: got[n][0] for n in range(5, 12)} == {5: "dangling", 6: "dangling", **dict.fromkeys(range(7, 12), "cycle")}
+    assert got[132] == ("resolved", 32, 33, 0) and got[133] == ("too_long", None, None, None) and got[135][0] == "too_long"
+    assert got[None] == ("resolved", 0, 1, 1)
+    few = {r.node: r.state for r in pairing.lineage_states(objects, references, F.col("v"), 32, max_visits=4).collect()}
+    assert few[4] == "too_many" and few[2] == "resolved"
+    assert pairing.lineage_states(objects.limit(0), references, F.col("v")).count() == 0

@@ -187,11 +187,16 @@ def adjudicate(
     """
     family = contrasts.select("comparison_id", "reference", "candidate").distinct()
     if policy.unregistered():
-        return family.select(
-            "comparison_id", F.lit(0).cast("bigint").alias("independent_n"), F.lit(None).cast("double").alias("effect"),
-            F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"),
-            F.lit("NEEDS_PREREGISTRATION").alias("verdict"),
+        unknown = F.lit(None).cast("double")
+        counts = contrast_counts(policy_blocks(cells, policy, eligible), contrasts, costs) if policy.metric and policy.minimum_seeds else None
+        named = family.select("comparison_id", F.lit(0).cast("bigint").alias("independent_n"), *[
+            unknown.alias(n) for n in ("effect", "low", "high", "candidate_minus_reference", "interval_confidence")
+        ])
+        missing = F.lit(None).cast("bigint")
+        whole = named.join(counts, "comparison_id", "left") if counts is not None else named.select(
+            "*", *[missing.alias(n) for n in ("expected_cells", "eligible_cells", "charged_ms")]
         )
+        return whole.withColumn("verdict", F.lit("NEEDS_PREREGISTRATION"))
     blocks = materialise(policy_blocks(cells, policy, eligible))
     gates = quality_gates(blocks, contrasts, F.col("gates"))
     sign = -1.0 if policy.direction == "minimize" else 1.0

@@ -180,8 +180,12 @@ def charge(events: DataFrame) -> DataFrame:
 
 
 def latest_events(events: DataFrame, order: str | None = None) -> DataFrame:
-    """One event per attempt: the last by ``order``; without one a settlement stands above its reservation."""
-    rank = F.struct(*([F.col(order)] if order else []), F.col("settled"))
+    """One event per attempt: the last by ``order``; without one a settlement stands above its reservation.
+
+    Events that tie are told apart by their cost, the higher one counts, so the charge never depends on the order of arrival.
+    """
+    costs = [F.col(c) for c in ("elapsed_ms", "reserved_ms") if c in events.columns]
+    rank = F.struct(*([F.col(order)] if order else []), F.col("settled"), *costs)
     rest = [c for c in events.columns if c != "attempt_id"]
     return events.groupBy("attempt_id").agg(F.max_by(F.struct(*rest), rank).alias("__e")).select("attempt_id", "__e.*")
 
@@ -272,6 +276,58 @@ def resource_rollup(observations: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
+RESOURCE_SUMS = ("legacy_cells", "unattempted_cells", "observed_attempts", "unavailable_attempts", "memory_unknown_attempts")
+
+
+def resource_states(cells: DataFrame, attempts: DataFrame, cell: str = "cell_id", has_record: str = "has_record") -> DataFrame:
+    """One mergeable state per cell, with the cell's own columns: which kind of unknown it holds, and what was observed.
+
+    A cell is *legacy* where no resource record exists at all (its attempts then do not count), *unattempted* where its record
+    names no attempt. Of its attempts some are recorded, the others unavailable; a recorded one may lack its memory.
+    """
+    recorded = F.col("resource_status").eqNullSafe("RECORDED")
+    counted = attempts.groupBy(F.col(cell).alias("__cell")).agg(
+        F.count_if(recorded).alias("observed_attempts"), F.count_if(~recorded).alias("unavailable_attempts"),
+        F.count_if(recorded & F.col("peak_bytes").isNull()).alias("memory_unknown_attempts"),
+        F.sum(F.when(recorded, F.col("wall_ns"))).alias("observed_wall_ns"), F.sum(F.when(recorded, F.col("cpu_ns"))).alias("observed_cpu_ns"),
+        F.max(F.when(recorded, F.col("peak_bytes"))).alias("maximum_peak_bytes"),
+    )
+    has = F.coalesce(has_record, F.lit(False))
+    none = F.lit(0).cast("bigint")
+    counts = [F.when(has, F.coalesce(n, none)).otherwise(none).alias(n) for n in RESOURCE_SUMS[2:]]
+    values = [F.when(has, F.col(n)).alias(n) for n in ("observed_wall_ns", "observed_cpu_ns", "maximum_peak_bytes")]
+    return cells.join(counted, F.col(cell) == F.col("__cell"), "left").select(
+        *cells.columns, F.when(has, none).otherwise(1).alias("legacy_cells"),
+        F.when(has & F.col("__cell").isNull(), 1).otherwise(0).cast("bigint").alias("unattempted_cells"), *counts, *values,
+    )
+
+
+def merge_resources(states: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """States of larger groups from those of smaller ones: counts and durations add up, peaks only have a maximum."""
+    return states.groupBy(*keys).agg(
+        *[F.sum(n).alias(n) for n in (*RESOURCE_SUMS, "observed_wall_ns", "observed_cpu_ns")],
+        F.max("maximum_peak_bytes").alias("maximum_peak_bytes"),
+    )
+
+
+def resource_summary(states: DataFrame) -> DataFrame:
+    """Completeness and totals of states at any level. A legacy cell or an unavailable attempt leaves the totals unknown."""
+    known = (F.col("legacy_cells") == 0) & (F.col("unavailable_attempts") == 0)
+    duration = known & (F.col("observed_attempts") > 0)
+    memory = known & F.col("maximum_peak_bytes").isNotNull() & (F.col("memory_unknown_attempts") == 0)
+    return states.select(
+        "*", duration.alias("duration_complete"), memory.alias("memory_complete"), F.when(duration, F.col("observed_wall_ns")).alias("wall_ns"),
+        F.when(duration, F.col("observed_cpu_ns")).alias("cpu_ns"),
+    )
+
+
+def resource_unknowns(attempts: DataFrame, attempt: str = "attempt_id") -> DataFrame:
+    """The attempts that leave something unknown, as rows: ``unavailable`` (both), ``memory`` (recorded without a peak)."""
+    recorded = F.col("resource_status").eqNullSafe("RECORDED")
+    reason = F.when(~recorded, "unavailable").when(F.col("peak_bytes").isNull(), "memory")
+    return attempts.select(attempt, reason.alias("unknown")).where(F.col("unknown").isNotNull())
+
+
 def five_numbers(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Minimum, inclusive quartiles, maximum; exact for groups of any size."""
     return exact_quantiles(

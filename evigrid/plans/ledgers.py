@@ -80,6 +80,56 @@ def agg25_resource_rollup(spark, sf):
     return rollup.resource_rollup(observed, ["cell_id"])
 
 
+RESOURCES = """cells as (select c_custkey as cell_id, c_nationkey as arm_id, c_mktsegment as stratum, c_custkey % 37 <> 3 as has_record from customer),
+  a as (select o_custkey as cell_id, o_orderkey as attempt_id, case when o_orderkey % 97 = 5 then 'LOST' else 'RECORDED' end as resource_status,
+        o_orderkey % 1000 * 1000 as wall_ns, o_orderkey % 700 * 900 as cpu_ns, case when o_orderkey % 89 <> 7 then o_orderkey % 4096 end as peak_bytes from orders),
+  counted as (select cell_id, count(*) as n, count(*) filter (where resource_status = 'RECORDED') as obs, count(*) filter (where resource_status <> 'RECORDED') as una,
+        count(*) filter (where resource_status = 'RECORDED' and peak_bytes is null) as mem, sum(wall_ns) filter (where resource_status = 'RECORDED') as wall,
+        sum(cpu_ns) filter (where resource_status = 'RECORDED') as cpu, max(peak_bytes) filter (where resource_status = 'RECORDED') as peak from a group by cell_id)"""
+
+
+def resource_cells(spark, sf):
+    c = table(spark, sf, "customer")
+    return c.select(
+        F.col("c_custkey").alias("cell_id"), F.col("c_nationkey").alias("arm_id"), F.col("c_mktsegment").alias("stratum"),
+        (F.col("c_custkey") % 37 != 3).alias("has_record"),
+    )
+
+
+def resource_attempts(spark, sf):
+    k = F.col("o_orderkey")
+    return table(spark, sf, "orders").select(
+        F.col("o_custkey").alias("cell_id"), k.alias("attempt_id"), F.when(k % 97 == 5, "LOST").otherwise("RECORDED").alias("resource_status"),
+        (k % 1000 * 1000).alias("wall_ns"), (k % 700 * 900).alias("cpu_ns"), F.when(k % 89 != 7, k % 4096).alias("peak_bytes"),
+    )
+
+
+@query(
+    "agg25_resource_completeness",
+    f"""with {RESOURCES}, g as (select arm_id, stratum, sum(case when has_record then 0 else 1 end)::bigint as legacy_cells,
+        sum(case when has_record and n is null then 1 else 0 end)::bigint as unattempted_cells, coalesce(sum(obs) filter (where has_record), 0)::bigint as observed_attempts,
+        coalesce(sum(una) filter (where has_record), 0)::bigint as unavailable_attempts, coalesce(sum(mem) filter (where has_record), 0)::bigint as memory_unknown_attempts,
+        (sum(wall) filter (where has_record))::bigint as observed_wall_ns, (sum(cpu) filter (where has_record))::bigint as observed_cpu_ns,
+        max(peak) filter (where has_record) as maximum_peak_bytes from cells left join counted using (cell_id) group by arm_id, stratum),
+    f as (select *, legacy_cells = 0 and unavailable_attempts = 0 and observed_attempts > 0 as duration_complete,
+        legacy_cells = 0 and unavailable_attempts = 0 and memory_unknown_attempts = 0 and maximum_peak_bytes is not null as memory_complete from g)
+    select *, case when duration_complete then observed_wall_ns end as wall_ns, case when duration_complete then observed_cpu_ns end as cpu_ns from f""",
+)
+def agg25_resource_completeness(spark, sf):
+    """Cells of all four kinds, rolled up by arm and stratum."""
+    states = rollup.resource_states(resource_cells(spark, sf), resource_attempts(spark, sf))
+    return rollup.resource_summary(rollup.merge_resources(states, ["arm_id", "stratum"]))
+
+
+@query(
+    "agg25_resource_unknowns",
+    f"""with {RESOURCES} select attempt_id, case when resource_status <> 'RECORDED' then 'unavailable' else 'memory' end as unknown from a
+        where resource_status <> 'RECORDED' or peak_bytes is null""",
+)
+def agg25_resource_unknowns(spark, sf):
+    return rollup.resource_unknowns(resource_attempts(spark, sf))
+
+
 @query(
     "agg26_shared_source_cost",
     """select o_custkey as source_id, count(*) as uses, count(distinct o_orderstatus) > 1 as conflict,

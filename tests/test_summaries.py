@@ -298,3 +298,52 @@ def test_lineage_states_with_several_references(spark):
     few = {r.node: r.state for r in pairing.lineage_states(objects, references, F.col("v"), 32, max_visits=4).collect()}
     assert few[4] == "too_many" and few[2] == "resolved"
     assert pairing.lineage_states(objects.limit(0), references, F.col("v")).count() == 0
+
+
+def test_resource_states_of_all_four_kinds(spark):
+    cells = spark.createDataFrame(
+        [(1, "a", True), (2, "a", True), (3, "b", False), (4, "b", True), (5, "c", True), (6, "d", None), (7, "e", True)],
+        "cell_id int, g string, has_record boolean",
+    )
+    attempts = spark.createDataFrame(
+        [(1, 1, "RECORDED", 5, 4, 100), (1, 2, "RECORDED", 7, 6, 50), (3, 3, "RECORDED", 9, 9, 900), (4, 4, "RECORDED", 1, 1, 10),
+         (5, 5, "LOST", None, None, None), (5, 6, "RECORDED", 2, 2, None), (7, 7, None, 1, 1, 1)],
+        "cell_id int, attempt_id int, resource_status string, wall_ns bigint, cpu_ns bigint, peak_bytes bigint",
+    )
+    states = rollup.resource_states(cells, attempts)
+    assert states.count() == 7
+    got = {r.g: r for r in rollup.resource_summary(rollup.merge_resources(states, ["g"])).collect()}
+    assert (got["a"].duration_complete, got["a"].wall_ns, got["a"].maximum_peak_bytes, got["a"].unattempted_cells) == (True, 12, 100, 1)
+    # a legacy cell leaves the whole group unknown, and its attempts are not observed
+    assert (got["b"].legacy_cells, got["b"].duration_complete, got["b"].wall_ns, got["b"].observed_wall_ns) == (1, False, None, 1)
+    assert (got["c"].unavailable_attempts, got["c"].memory_unknown_attempts, got["c"].duration_complete) == (1, 1, False)
+    assert (got["d"].legacy_cells, got["e"].unavailable_attempts, got["e"].observed_wall_ns) == (1, 1, None)
+    # the state merges: all at once equals by way of the groups
+    whole = rollup.merge_resources(states, []).collect()
+    assert rollup.merge_resources(rollup.merge_resources(states, ["g"]), []).collect() == whole
+    assert sorted(map(tuple, rollup.resource_unknowns(attempts).collect())) == [(5, "unavailable"), (6, "memory"), (7, "unavailable")]
+
+
+def test_an_unregistered_policy_returns_the_same_record(spark):
+    cells = spark.createDataFrame(
+        [(a, 1, b, s, "SUCCEEDED", float(b + s)) for a in ("A", "B") for b in range(6) for s in (1, 2)],
+        "arm_id string, horizon int, block_id int, seed int, status string, m double",
+    )
+    contrasts = spark.createDataFrame([("c", "A", "B", 1, 1.0)], "comparison_id string, reference string, candidate string, horizon int, weight double")
+    whole = inference.Policy(
+        metric="m", direction="minimize", minimum_seeds=2, minimum_paired_blocks=2, seed_pairing="identical", confidence=0.95, replicates=50, seed="s",
+        multiplicity="bonferroni", practical_threshold=0.1,
+    )
+    known = inference.adjudicate(cells, contrasts, whole)
+    for policy in (inference.Policy(metric="m", minimum_seeds=2), inference.Policy()):
+        unknown = inference.adjudicate(cells, contrasts, policy)
+        assert {f.name: f.dataType for f in unknown.schema} == {f.name: f.dataType for f in known.schema}
+        assert unknown.unionByName(known).count() == 2 and unknown.first().verdict == "NEEDS_PREREGISTRATION"
+
+
+def test_tied_events_have_one_charge(spark):
+    rows = [(1, True, 30, 90), (1, True, 70, 80), (2, False, None, 10), (2, True, None, 20)]
+    schema = "attempt_id int, settled boolean, elapsed_ms bigint, reserved_ms bigint"
+    for order in (rows, rows[::-1]):
+        got = {r.attempt_id: r.elapsed_ms for r in rollup.latest_events(spark.createDataFrame(order, schema)).collect()}
+        assert got == {1: 70, 2: None}

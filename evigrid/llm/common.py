@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import shutil
 import tempfile
 from collections.abc import Callable, Iterator, Sequence
@@ -36,6 +37,30 @@ SLICE = 512
 _SHIPPED: set[str] = set()
 
 
+def release() -> None:
+    """Give freed memory back to the system: workers stay for the next stage, which needs it elsewhere."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def text_function(function: Callable[[list[bytes]], Sequence], kind: str, slice_rows: int = 64) -> Callable[[Column], Column]:
+    """A column function over texts as UTF-8 bytes (null: empty), a few at a time, so a batch is never there as Python texts."""
+
+    @F.arrow_udf(kind)
+    def run(texts: pa.Array) -> pa.Array:
+        out: list = []
+        wide = pa.large_binary() if pa.types.is_large_string(texts.type) else pa.binary()
+        for at in range(0, len(texts), slice_rows):
+            out.extend(function([t or b"" for t in texts.slice(at, slice_rows).cast(wide).to_pylist()]))
+        result = pa.array(out, type={"boolean": pa.bool_(), "double": pa.float64(), "bigint": pa.int64()}[kind])
+        release()
+        return result
+
+    return run
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors through Spark, once per application: workers import it wherever they run."""
     application = spark.sparkContext.applicationId
@@ -70,6 +95,8 @@ def map_batches(
             for start in range(0, batch.num_rows, SLICE):
                 columns = function(batch.slice(start, SLICE))
                 yield pa.RecordBatch.from_arrays([_array(columns[f.name], f.type) for f in arrow], schema=arrow)
+                del columns
+            release()
 
     return df.mapInArrow(run, spark_schema)
 

@@ -17,14 +17,13 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evigrid.llm.common import binary_column, id_and_text, map_batches, whole_text
+from evigrid.llm.common import binary_column, id_and_text, map_batches, ship, text_function, whole_text
 from evigrid.session import materialise
 
 WIDTH = 13
@@ -281,21 +280,20 @@ def clean(
     docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: int = 20, broadcast_windows: int = BROADCAST_WINDOWS
 ) -> DataFrame:
     """The documents that are not contaminated, with all their columns. Only texts go to the workers, one bit each comes back."""
+    ship(docs.sparkSession)
     _, shared = _windows(benchmark, width, broadcast_windows)
     if shared is None:
         found = contamination(docs, benchmark, width, broadcast_windows, with_row=True)
         return found.where(~is_contaminated(share)).select("document.*")
 
-    @F.pandas_udf("boolean")
-    def stays(texts: pd.Series) -> pd.Series:
+    def judge(texts: list[bytes]) -> list[bool]:
         kept = []
-        for at in range(0, len(texts), 64):
-            part = [(t or "").encode() for t in texts.iloc[at : at + 64]]
-            for n_words, spans, _ in scan(shared.value, part):
-                n_hit = sum(e - s for s, e in spans)
-                kept.append(not (n_hit > 0 and share * n_hit >= n_words))
-        return pd.Series(kept, dtype="bool")
+        for n_words, spans, _ in scan(shared.value, texts):
+            n_hit = sum(e - s for s, e in spans)
+            kept.append(not (n_hit > 0 and share * n_hit >= n_words))
+        return kept
 
+    stays = text_function(judge, "boolean")
     return docs.where(stays(whole_text()))
 
 

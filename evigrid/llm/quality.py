@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evigrid.llm.common import id_and_text, map_batches, ship
+from evigrid.llm.common import id_and_text, map_batches, ship, text_function, whole_text
 
 BUCKETS = 1 << 18
 TRAIN_ROWS = 16_000
@@ -184,8 +184,5 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Da
 
     ship(docs.sparkSession)
 
-    @F.pandas_udf("double")
-    def rate(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: score_text(shared.value, t or ""))
-
-    return docs.where(rate(F.col("text")) >= threshold)
+    rate = text_function(lambda texts: [score_text(shared.value, t.decode()) for t in texts], "double")
+    return docs.where(rate(whole_text()) >= threshold)

@@ -23,13 +23,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evigrid.llm.common import binary_column, id_and_text, map_batches, ship
+from evigrid.llm.common import binary_column, id_and_text, map_batches, ship, text_function, whole_text
 from evigrid.llm.components import smallest_labels
 from evigrid.session import materialise
 
@@ -331,13 +330,10 @@ def keep_one(docs: DataFrame, width: int = WIDTH, similarity: float | None = SIM
     """
     ship(docs.sparkSession)
 
-    @F.pandas_udf("bigint")
-    def marks(texts: pd.Series) -> pd.Series:
-        return pd.Series([_signed(fingerprint((t or "").encode(), width)) for t in texts], dtype="int64")
-
+    marks = text_function(lambda texts: [_signed(fingerprint(t, width)) for t in texts], "bigint")
     stored = materialise(
         docs.select(
-            F.struct("*").alias("document"), marks("text").alias("fp"), F.monotonically_increasing_id().alias("row"),
+            F.struct("*").alias("document"), marks(whole_text()).alias("fp"), F.monotonically_increasing_id().alias("row"),
             F.md5(F.coalesce("text", F.lit(""))).alias("content"),
         )
     )

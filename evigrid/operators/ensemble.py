@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -50,40 +50,48 @@ def energy_cyclic(samples: DataFrame, keys: Sequence[str] = KEYS, bounded: bool
 def pair_distance_sums(samples: DataFrame, keys: Sequence[str], vector: Column, width: int) -> DataFrame:
     """Sum of Euclidean distances over all unordered pairs of samples per group.
 
-    Samples are dealt into tiles of about 512 by a hash and every pair of tiles is one row with its own key, so the
-    quadratic work of one huge forecast spreads over the cluster. Distances inside a tile pair are one array
-    operation; no pair of samples ever becomes a row.
+    The square of all pairs of a group of N samples is cut into a grid of blocks with sides of ``sqrt(512 N)`` samples, dealt by a hash.
+    Every pair of blocks is one row with its own key, so the quadratic work of one huge forecast spreads over N/1024 rows, while each
+    sample moves only ``sqrt(N/512)`` times, and a row holds no more than two sides of samples. Inside a row distances are
+    array operations on 512 by 512 tiles; no pair of samples ever becomes a row.
     """
-    sized = samples.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("__tiles"))
+    n = F.count(F.lit(1))
+    sized = samples.groupBy(*keys).agg(F.ceil(F.sqrt(n / F.lit(TILE))).cast("int").alias("__blocks"))
     dealt = samples.select(*keys, vector.alias("__v"), F.xxhash64("sample_idx").alias("__h")).join(sized, list(keys))
-    dealt = dealt.withColumn("__tile", F.pmod("__h", F.col("__tiles").cast("bigint")).cast("int"))
-    # stored, because every tile is read as the left and as the right side
-    tiles = materialise(dealt.groupBy(*keys, "__tiles", "__tile").agg(F.flatten(F.collect_list("__v")).alias("__p")))
-    left = tiles.select(
-        *keys, F.col("__tile").alias("__a"),
-        F.explode(F.sequence(F.col("__tile"), F.col("__tiles") - 1)).alias("__b"), F.col("__p").alias("__pa"),
-    )
-    right = tiles.select(
-        *keys, F.explode(F.sequence(F.lit(0), F.col("__tile"))).alias("__a"), F.col("__tile").alias("__b"),
+    dealt = dealt.withColumn("__block", F.pmod("__h", F.col("__blocks").cast("bigint")).cast("int"))
+    # stored, because every block is read as the left and as the right side
+    blocks = materialise(dealt.groupBy(*keys, "__blocks", "__block").agg(F.flatten(F.collect_list("__v")).alias("__p")))
+    left = blocks.select(
+        *keys, F.col("__block").alias("__a"),
+        F.explode(F.sequence(F.col("__block"), F.col("__blocks") - 1)).alias("__b"), F.col("__p").alias("__pa"),
+    )
+    right = blocks.select(
+        *keys, F.explode(F.sequence(F.lit(0), F.col("__block"))).alias("__a"), F.col("__block").alias("__b"),
         F.col("__p").alias("__pb"),
     )
 
-    def between(a: pd.Series, b: pd.Series) -> pd.Series:
+    def between(a: pa.Array, b: pa.Array) -> pa.Array:
         import numpy as np
 
+        def points(side: pa.ListScalar) -> np.ndarray:
+            return side.values.to_numpy(zero_copy_only=False).astype("float64").reshape(-1, width)
+
         out = []
         for one, two in zip(a, b, strict=True):
-            p = np.asarray(one, dtype="float64").reshape(-1, width)
-            q = np.asarray(two, dtype="float64").reshape(-1, width)
-            squares = np.zeros((len(p), len(q)))
-            for axis in range(width):
-                gap = p[:, axis][:, None] - q[:, axis][None, :]
-                squares += gap * gap
-            out.append(float(np.sqrt(squares).sum()))
-        return pd.Series(out)
-
-    total = F.pandas_udf(between, T.DoubleType())(F.col("__pa"), F.col("__pb"))
-    # a tile against itself holds every pair twice
+            p, q = points(one), points(two)
+            total = 0.0
+            for i in range(0, len(p), TILE):
+                for j in range(0, len(q), TILE):
+                    squares = 0.0
+                    for axis in range(width):
+                        gap = p[i : i + TILE, axis][:, None] - q[j : j + TILE, axis][None, :]
+                        squares = squares + gap * gap
+                    total += float(np.sqrt(squares).sum())
+            out.append(total)
+        return pa.array(out, type=pa.float64())
+
+    total = F.arrow_udf(between, T.DoubleType())(F.col("__pa"), F.col("__pb"))
+    # a block against itself holds every pair twice
     share = F.when(F.col("__a") == F.col("__b"), 0.5).otherwise(1.0)
     pairs = left.join(right, [*keys, "__a", "__b"]).select(*keys, (total * share).alias("__d"))
     return pairs.groupBy(*keys).agg(F.sum("__d").alias("pair_sum"))

@@ -27,14 +27,18 @@ def arms_together(
     """Reference and candidate rows of the same key side by side as structs ``ref`` and ``cand``, from one pass.
 
     A key has one row per arm and arms are registered, so what one aggregate brings together is short; the input is
-    not read a second time as a self-join would.
+    not read a second time as a self-join would. A second row of an arm would be a choice or a product, so it stops the query.
     """
     side = F.struct(F.col(arm).alias("arm"), *[F.col(c) for c in columns])
     here = F.col(arm) == reference
     met = df.groupBy(*keys).agg(
-        F.max(F.when(here, side)).alias("ref"), F.collect_list(F.when(~here, side)).alias("__cands")
+        F.max(F.when(here, side)).alias("ref"), F.count_if(here).alias("__refs"), F.collect_list(F.when(~here, side)).alias("__cands")
     )
-    return met.where(F.col("ref").isNotNull()).select(*keys, "ref", F.explode("__cands").alias("cand"))
+    arms = F.transform("__cands", lambda c: c["arm"])
+    repeated = (F.col("__refs") > 1) | (F.size(F.array_distinct(arms)) < F.size(arms))
+    message = F.concat(F.lit("an arm has several rows at key "), F.to_json(F.struct(*keys)))
+    once = F.when(repeated, F.raise_error(message)).otherwise(F.col("__cands"))
+    return met.where(F.col("ref").isNotNull()).select(*keys, "ref", F.explode(once).alias("cand"))
 
 
 def paired_blocks(

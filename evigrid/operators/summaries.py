@@ -6,8 +6,11 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from evigrid.functions.fingerprint import element_digest, sequence_fingerprint
 from evigrid.functions.quantiles import exact_quantiles
+from evigrid.session import materialise
 
 COMPUTED, UNAVAILABLE = "computed", "unavailable"
 
@@ -186,6 +189,70 @@ def replicate_alignment(rows: DataFrame, keys: Sequence[str], replicate: str, ex
     )
 
 
+def _contract(columns: Sequence[str]) -> Column:
+    return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+
+
+def replicate_matrices(
+    rows: DataFrame, keys: Sequence[str], replicate: str, expected: Sequence[int], contract: Sequence[str]
+) -> DataFrame:
+    """One row per replicate: its executions, and how its matrix compares with that of the first expected replicate.
+
+    ``state`` is the first that holds of ``unregistered``, ``absent``, ``repeated_execution`` (a key twice), ``matrix_differs`` (another set
+    of keys), ``contract_differs`` (the same keys, but another value of a ``contract`` column at some key) and ``aligned``. Key sets and
+    contracts are compared as sums of digests, so no replicate is joined to another and no key set is gathered. Null keys and null contract
+    values count as values. If the first replicate is absent, every other differs from it.
+    """
+    seen = rows.groupBy(replicate, *keys).agg(F.count(F.lit(1)).alias("__n"), F.min(_contract(contract)).alias("__c"))
+    key = _contract(keys)
+    prints = seen.groupBy(replicate).agg(
+        F.sum("__n").alias("executions"), F.max("__n").alias("__most"),
+        sequence_fingerprint(element_digest(F.lit(0), key)).alias("__keys"),
+        sequence_fingerprint(element_digest(F.lit(0), F.concat_ws(":", key, "__c"))).alias("__contracts"),
+    )
+    kind = rows.schema[replicate].dataType
+    registered = rows.sparkSession.createDataFrame([(r,) for r in expected], T.StructType([T.StructField("__r", kind)]))
+    # one row per replicate, stored, because the first one is compared with all
+    both = materialise(
+        prints.join(registered, F.col(replicate).eqNullSafe(F.col("__r")), "full_outer").withColumn("__id", F.coalesce(replicate, "__r"))
+    )
+    first = both.where(F.col("__r") == F.lit(expected[0]))
+    state = (
+        F.when(F.col("__r").isNull(), "unregistered").when(F.col("__most").isNull(), "absent")
+        .when(F.col("__most") > 1, "repeated_execution")
+        .when(~F.col("__keys").eqNullSafe(first.select("__keys").scalar()), "matrix_differs")
+        .when(~F.col("__contracts").eqNullSafe(first.select("__contracts").scalar()), "contract_differs").otherwise("aligned")
+    )
+    return both.select(F.col("__id").alias(replicate), F.coalesce("executions", F.lit(0)).alias("executions"), state.alias("state"))
+
+
+def replicate_contracts(
+    rows: DataFrame, keys: Sequence[str], replicate: str, expected: Sequence[int], contract: Sequence[str], status: str
+) -> DataFrame:
+    """One row per execution key: whether the expected replicates agree on its contract, and the status they share.
+
+    ``state`` is the first that holds of ``repeated_execution``, ``missing_replicate``, ``contract_differs`` and ``aligned``; a key of
+    unregistered replicates alone has none. ``replicate_status`` is the one status of all replicates or ``mixed``. Minima and maxima
+    decide, so everything combines on the map side once the rows of a key and replicate are counted.
+    """
+    wanted = rows.where(F.col(replicate).isin(list(expected)))
+    per = wanted.groupBy(*keys, replicate).agg(
+        F.count(F.lit(1)).alias("__n"), F.min(_contract(contract)).alias("__low"), F.max(_contract(contract)).alias("__high"),
+        F.min(_contract([status])).alias("__first"), F.max(_contract([status])).alias("__last"), F.max(status).alias("__status"),
+    )
+    met = per.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("replicates"), F.max("__n").alias("__most"), F.min("__low").alias("__low"), F.max("__high").alias("__high"),
+        (F.min("__first") == F.max("__last")).alias("__one"), F.max("__status").alias("__status"),
+    )
+    state = (
+        F.when(F.col("__most") > 1, "repeated_execution").when(F.col("replicates") < len(set(expected)), "missing_replicate")
+        .when(F.col("__low") != F.col("__high"), "contract_differs").otherwise("aligned")
+    )
+    return met.select(
+        *keys, "replicates", state.alias("state"), F.when(F.col("__one"), F.col("__status")).otherwise("mixed").alias("replicate_status")
+    )
+
+
 def bootstrap_status(reference: Column, loaded: Column, aligned: Column, energy: Column, applicable: Column | None = None) -> Column:
     """State of a resampled comparison, the first that holds: what cannot be compared comes before what was not."""
     return (

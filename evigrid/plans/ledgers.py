@@ -303,6 +303,22 @@ def win1_first_success(spark, sf):
     return ranking.first_success(ledger(spark, sf), ["cell_id"], "sequence", "attempt_id", F.col("state") == "SUCCEEDED")
 
 
+@query(
+    "win1_selected_attempt",
+    f"""with {LEDGER}, s as (select cell_id, arg_min(attempt_id, sequence) filter (where state = 'SUCCEEDED') as first_success,
+      arg_max(attempt_id, sequence) filter (where state = 'SUCCEEDED') as last_success,
+      count(*) filter (where state = 'SUCCEEDED') as successes, count(*) filter (where event_type = 'signup') as uses,
+      min(attempt_id) filter (where event_type = 'signup') as used from ledger group by cell_id)
+    select cell_id, first_success, last_success, successes, uses, used,
+           coalesce(uses = 1 and used = first_success, false) as only_first_used from s where successes > 0""",
+)
+def win1_selected_attempt(spark, sf):
+    """The attempt a cell was judged by (its sign-up) must be its first success, and the only one used."""
+    return ranking.first_success(
+        ledger(spark, sf), ["cell_id"], "sequence", "attempt_id", F.col("state") == "SUCCEEDED", F.col("event_type") == "signup"
+    )
+
+
 @query(
     "win2_latest_event",
     f"""with {LEDGER} select cell_id, arg_max(attempt_id, sequence) as attempt_id, arg_max(event_kind, sequence) as event_kind,

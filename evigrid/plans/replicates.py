@@ -121,6 +121,67 @@ def jon7_replicate_alignment(spark, sf):
     )
 
 
+# executions of a batch: the matrix of suppliers, with faults planted in some seeds
+EXECUTIONS = """made as (select l_suppkey as block_id, l_linenumber as seed, count(*) as n from lineitem group by all),
+executions as (
+  select unnest(case when block_id = 1 and seed = 2 then [1, -1] when block_id = 1 and seed = 4 then [1, 1]
+                     when block_id = 1 and seed = 6 then [] else [block_id] end) as block_id, seed,
+         case when block_id = 1 and seed = 5 then 'B' else 'A' end as reference_arm,
+         case when block_id % 50 = 2 and seed = 7 then 'data_unavailable' else 'exploratory_point_estimate' end as comparison_status,
+         case when (block_id * 31 + seed * 7) % 41 = 0 then 'FAILED' else 'SUCCEEDED' end as status from made)"""
+
+
+def executions(spark, sf):
+    """Comparison rows of every seed: seed 2 has a key of its own, 4 repeats one, 5 refers to another arm, 6 lacks one, 7 has another state."""
+    block, seed = F.col("block_id"), F.col("seed")
+    made = table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("block_id"), F.col("l_linenumber").alias("seed")).agg(
+        F.count(F.lit(1)).alias("n")
+    )
+    copies = (
+        F.when((block == 1) & (seed == 2), F.array(block, -block)).when((block == 1) & (seed == 4), F.array(block, block))
+        .when((block == 1) & (seed == 6), F.array_except(F.array(block), F.array(block))).otherwise(F.array(block))
+    )
+    return made.select(
+        F.explode(copies).alias("block_id"), "seed", F.when((block == 1) & (seed == 5), "B").otherwise("A").alias("reference_arm"),
+        F.when((block % 50 == 2) & (seed == 7), "data_unavailable").otherwise("exploratory_point_estimate").alias("comparison_status"),
+        F.when((block * 31 + seed * 7) % 41 == 0, "FAILED").otherwise("SUCCEEDED").alias("status"),
+    )
+
+
+@query(
+    "jon7_replicate_matrices",
+    f"""with {EXECUTIONS}, k as (select seed, block_id, count(*) as n, min(reference_arm || comparison_status) as c from executions group by all),
+    s as (select seed, sum(n)::bigint as executions, max(n) as most, string_agg(block_id, ',' order by block_id) as ks,
+                 string_agg(block_id || c, ',' order by block_id) as cs from k group by all),
+    r as (select unnest([1, 2, 3, 4, 5, 7, 8]) as seed), f as (select ks, cs from s where seed = 1)
+    select coalesce(s.seed, r.seed) as seed, coalesce(executions, 0) as executions,
+           case when r.seed is null then 'unregistered' when s.seed is null then 'absent' when most > 1 then 'repeated_execution'
+                when s.ks is distinct from (select ks from f) then 'matrix_differs'
+                when s.cs is distinct from (select cs from f) then 'contract_differs' else 'aligned' end as state
+    from s full join r on r.seed = s.seed""",
+)
+def jon7_replicate_matrices(spark, sf):
+    """Seeds 1 to 5, 7 and 8 are registered: 6 ran without being so, 8 did not run."""
+    return summaries.replicate_matrices(
+        executions(spark, sf), ["block_id"], "seed", [1, 2, 3, 4, 5, 7, 8], ["reference_arm", "comparison_status"]
+    )
+
+
+@query(
+    "jon7_replicate_contracts",
+    f"""with {EXECUTIONS}, p as (select block_id, seed, count(*) as n, min(reference_arm || comparison_status) as c, min(status) as status
+                                 from executions group by all)
+    select block_id, count(*) as replicates,
+           case when max(n) > 1 then 'repeated_execution' when count(*) < 7 then 'missing_replicate'
+                when count(distinct c) > 1 then 'contract_differs' else 'aligned' end as state,
+           case when count(distinct status) = 1 then min(status) else 'mixed' end as replicate_status from p group by block_id""",
+)
+def jon7_replicate_contracts(spark, sf):
+    return summaries.replicate_contracts(
+        executions(spark, sf), ["block_id"], "seed", range(1, 8), ["reference_arm", "comparison_status"], "status"
+    )
+
+
 @query(
     "jon8_contrast_receipts",
     f"with {DELTAS} select candidate, seed, round(delta, 6) as delta, same_protocol from deltas",

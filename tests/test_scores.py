@@ -42,6 +42,17 @@ def test_unbiased_energy_equals_all_pairs(samples, cloud):
         assert math.isclose(got[key], want, rel_tol=1e-10), key
 
 
+def test_pair_term_of_a_forecast_of_several_blocks(spark):
+    """Three blocks a side, an uneven split, and a repeated point."""
+    rng = random.Random(5)
+    points = [(rng.gauss(0, 3), rng.gauss(1, 2)) for _ in range(2_599)]
+    points.append(points[0])
+    df = spark.createDataFrame([("k", i, x, y) for i, (x, y) in enumerate(points)], "g string, sample_idx int, x double, y double")
+    got = ensemble.pair_distance_sums(df, ["g"], F.array("x", "y"), 2).first().pair_sum
+    want = sum(math.dist(a, b) for i, a in enumerate(points) for b in points[:i])
+    assert math.isclose(got, want, rel_tol=1e-10)
+
+
 @pytest.mark.parametrize("bounded", [True, False])
 def test_cyclic_energy(samples, cloud, bounded):
     got = {(r["forecast_id"], r["slot"]): r["energy"] for r in ensemble.energy_cyclic(samples, bounded=bounded).collect()}

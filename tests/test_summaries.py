@@ -347,3 +347,43 @@ def test_tied_events_have_one_charge(spark):
     for order in (rows, rows[::-1]):
         got = {r.attempt_id: r.elapsed_ms for r in rollup.latest_events(spark.createDataFrame(order, schema)).collect()}
         assert got == {1: 70, 2: None}
+
+
+def test_replicate_matrices_name_every_kind_of_difference(spark):
+    base = [(k, "A", "ok", "S") for k in (1, 2, None)]
+    rows = [(1, *r) for r in base] + [(2, *r) for r in base] + [(3, *r) for r in base[:2]] + [(4, *r) for r in [*base, (9, "A", "ok", "S")]]
+    rows += [(5, *r) for r in [*base, base[0]]] + [(6, 1, "B", "ok", "S"), *[(6, *r) for r in base[1:]]]
+    rows += [(7, 1, None, "ok", "S"), *[(7, *r) for r in base[1:]]] + [(8, *r) for r in base]
+    df = spark.createDataFrame(rows, "seed int, k int, reference string, comparison string, status string")
+    got = summaries.replicate_matrices(df, ["k"], "seed", [1, 2, 3, 4, 5, 6, 7, 10], ["reference", "comparison"])
+    assert {r.seed: (r.executions, r.state) for r in got.collect()} == {
+        1: (3, "aligned"), 2: (3, "aligned"), 3: (2, "matrix_differs"), 4: (4, "matrix_differs"), 5: (4, "repeated_execution"),
+        6: (3, "contract_differs"), 7: (3, "contract_differs"), 8: (3, "unregistered"), 10: (0, "absent"),
+    }
+    empty = summaries.replicate_matrices(df.where("seed < 0"), ["k"], "seed", [1, 2], ["reference"])
+    assert {r.seed: r.state for r in empty.collect()} == {1: "absent", 2: "absent"}
+    late = summaries.replicate_matrices(df, ["k"], "seed", [10, 1], ["reference"]).where("seed = 1").first()
+    assert late.state == "matrix_differs"
+
+
+def test_replicate_contracts_per_key(spark):
+    rows = [(k, s, "A", "S") for k in "abcde" for s in (1, 2)]
+    rows = [r for r in rows if r[:2] != ("b", 2)] + [("c", 2, "A", "S")]
+    rows = [(k, s, "B" if (k, s) == ("d", 2) else ref, "F" if (k, s) == ("e", 1) else st) for k, s, ref, st in rows] + [("f", 9, "A", "S")]
+    df = spark.createDataFrame(rows, "k string, seed int, reference string, status string")
+    got = summaries.replicate_contracts(df, ["k"], "seed", [1, 2], ["reference"], "status").collect()
+    assert {r.k: (r.replicates, r.state, r.replicate_status) for r in got} == {
+        "a": (2, "aligned", "S"), "b": (1, "missing_replicate", "S"), "c": (2, "repeated_execution", "S"),
+        "d": (2, "contract_differs", "S"), "e": (2, "aligned", "mixed"),
+    }
+
+
+def test_a_second_row_of_an_arm_stops_the_pairing(spark):
+    df = spark.createDataFrame([(1, "A", 1.0), (1, "B", 2.0), (2, "A", 1.0), (2, "A", 1.0), (2, "B", 2.0)], "k int, arm string, v double")
+    fine = pairing.arms_together(df.where("k = 1"), ["k"], "arm", "A", ["v"]).collect()
+    assert [(r.ref.v, r.cand.v) for r in fine] == [(1.0, 2.0)]
+    with pytest.raises(Exception, match="several rows"):
+        pairing.arms_together(df, ["k"], "arm", "A", ["v"]).collect()
+    twice = spark.createDataFrame([(1, "A", 1.0), (1, "B", 2.0), (1, "B", 3.0)], "k int, arm string, v double")
+    with pytest.raises(Exception, match="several rows"):
+        pairing.arms_together(twice, ["k"], "arm", "A", ["v"]).collect()

@@ -93,7 +93,10 @@ def pair_distance_sums(samples: DataFrame, keys: Sequence[str], vector: Column,
     total = F.arrow_udf(between, T.DoubleType())(F.col("__pa"), F.col("__pb"))
     # a block against itself holds every pair twice
     share = F.when(F.col("__a") == F.col("__b"), 0.5).otherwise(1.0)
-    pairs = left.join(right, [*keys, "__a", "__b"]).select(*keys, (total * share).alias("__d"))
+    # a stated number of partitions: the planner would merge them by their few bytes, and their work is the square of those
+    cell = [*keys, "__a", "__b"]
+    parts = int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = left.repartition(parts, *cell).join(right.repartition(parts, *cell).hint("merge"), cell).select(*keys, (total * share).alias("__d"))
     return pairs.groupBy(*keys).agg(F.sum("__d").alias("pair_sum"))
 
 

@@ -5,9 +5,10 @@ A target model and a background model are counted over the corpus with the same
 words of the corpus, so both models give every token a finite loss. A document's score is its mean loss under the background
 model minus its mean loss under the target model, over all its tokens: higher means closer to the target.
 
-Counting runs over all documents, and the counts are a Spark table with a row per different pair: it grows with the corpus, and
-no task or driver holds it. Documents meet it as rows, one per different pair of a document, so a pair of nearly every
-document has as many rows as there are documents at most; they are joined by sorting, where the planner splits hot keys.
+Counting runs over all documents. They are packed into slices of about a million tokens. A slice sends each range of hashes one row with
+its sorted words or pairs and their counts, the range adds up what all slices sent and returns the corpus counts in the same
+order, and the slice judges its documents by them. A word or pair of every document is one entry a slice, so nothing is hot; the
+number of ranges grows with the tokens, so a range holds about a million entries at every size. No task or driver holds all counts.
 
 ``fit`` and ``score`` hash words and pairs into ``WORDS`` and ``PAIRS`` buckets instead, for corpora of a few MB whose table fits a
 task. The query uses ``differences``.
@@ -29,15 +30,19 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evigrid.llm.common import SLICE, arrow_schema, binary_column, map_batches, ship, whole_text
+from evigrid.llm.common import SLICE, arrow_schema, binary_column, map_batches, release, ship, whole_text
 from evigrid.llm.decontaminate import words
 from evigrid.session import materialise
 
 WORDS = 1 << 18
 PAIRS = 1 << 20
+#: tokens of a slice of documents, and of the corpus for each range of hashes
+SLICE_TOKENS = RANGE_TOKENS = 1 << 20
 #: weight of the pair and of the word model; the rest is uniform
 PAIR_WEIGHT, WORD_WEIGHT = 0.4, 0.55
 _BEGIN = 0x2545F4914F6CDD1D
@@ -59,8 +64,12 @@ def codes(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     found = words(text)
     word = np.fromiter(map(_CODES.__getitem__, found), dtype=np.uint64, count=len(found))
     before = np.concatenate([np.array([_BEGIN], dtype=np.uint64), word[:-1]]) if len(word) else word
+    return word, pair_codes(before, word), before
+
+
+def pair_codes(before: np.ndarray, word: np.ndarray) -> np.ndarray:
     mixed = before * np.uint64(0x9E3779B97F4A7C15) ^ word * np.uint64(0xC2B2AE3D27D4EB4F)
-    return word, mixed ^ (mixed >> np.uint64(32)), before
+    return mixed ^ (mixed >> np.uint64(32))
 
 
 def tokens(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -176,51 +185,207 @@ def score(docs: DataFrame, models: Models, target: Column, id_col: str = "doc_id
     )
 
 
-def pair_counts(texts: DataFrame) -> DataFrame:
-    """``pair``, ``word``, ``before`` and the ``background`` and ``target`` counts of all texts (``text``, ``target``)."""
+def _packed(values: np.ndarray) -> bytes:
+    """An array as compressed bytes, the bytes of equal rank together."""
+    flat = np.ascontiguousarray(values)
+    return zstandard.compress(flat.view(np.uint8).reshape(-1, flat.itemsize).T.tobytes(), 1)
+
+
+def _unpacked(data: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(zstandard.decompress(data), dtype=np.uint8).reshape(size, -1)
+    return np.ascontiguousarray(planes.T).view(kind).reshape(-1)
+
+
+def _packed_sorted(keys: np.ndarray) -> bytes:
+    return _packed(np.diff(keys, prepend=np.uint64(0)))
+
+
+def _unpacked_sorted(data: bytes) -> np.ndarray:
+    return np.cumsum(_unpacked(data, np.uint64), dtype=np.uint64)
+
+
+def slices(texts: DataFrame) -> DataFrame:
+    """Documents in slices of about ``SLICE_TOKENS`` tokens, packed: ids, marks, lengths, the slice's words, and its tokens as
+    positions among them. A slice holds one document at least, so a longer text is a slice of its own.
+    """
     ship(texts.sparkSession)
-    kind, schema = arrow_schema(texts.sparkSession, "pair bigint, word bigint, before bigint, background bigint, target bigint")
+    id_kind = texts.schema["doc_id"].dataType.simpleString()
+    ddl = f"slice bigint, n_tokens bigint, ids array<{id_kind}>, target array<boolean>, lengths binary, vocabulary binary, tokens binary"
+    kind, schema = arrow_schema(texts.sparkSession, ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, marks, found = [], [], []
+        size = number = 0
+
+        def full() -> pa.RecordBatch:
+            nonlocal size, number
+            slot = TaskContext.get().partitionId() * (1 << 32) + number
+            lengths = np.array([len(f) for f in found], dtype=np.int64)
+            vocabulary, place = np.unique(np.concatenate(found), return_inverse=True)
+            row = [slot, size, list(ids), list(marks), _packed(lengths), _packed_sorted(vocabulary), _packed(place.astype(np.uint32))]
+            number, size = number + 1, 0
+            for kept in (ids, marks, found):
+                kept.clear()
+            return pa.RecordBatch.from_arrays([pa.array([v], type=f.type) for v, f in zip(row, schema, strict=True)], schema=schema)
+
         for whole in batches:
             for at in range(0, whole.num_rows, SLICE):
                 batch = whole.slice(at, SLICE)
-                parts = [codes(t) for t in binary_column(batch, "text")]
-                wanted = np.repeat(batch.column("target").to_numpy(zero_copy_only=False), [len(p[0]) for p in parts])
-                word, pair, before = (np.concatenate([p[i] for p in parts]).view(np.int64) for i in range(3))
-                pairs, first, place, times = np.unique(pair, return_index=True, return_inverse=True, return_counts=True)
-                target = np.bincount(place, weights=wanted, minlength=len(pairs)).astype(np.int64)
-                columns = [pairs, word[first], before[first], times, target]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=schema)
-
-    return texts.select("text", "target").mapInArrow(run, kind).groupBy("pair").agg(
-        F.first("word").alias("word"), F.first("before").alias("before"), F.sum("background").alias("background"),
-        F.sum("target").alias("target"),
-    )
-
-
-def _document_pairs(texts: DataFrame) -> DataFrame:
-    """A row per document and different pair: how often the document holds the pair, its context and its word, and its tokens."""
-    ddl = "row bigint, pair bigint, is_target boolean, own_pair int, own_context int, own_word int, n int"
-    kind, schema = arrow_schema(texts.sparkSession, ddl)
+                marked_ids = zip(batch.column("doc_id").to_pylist(), batch.column("target").to_pylist(), strict=True)
+                for text, (name, mark) in zip(binary_column(batch, "text"), marked_ids, strict=True):
+                    ids.append(name)
+                    marks.append(mark)
+                    found.append(codes(text)[0])
+                    size += len(found[-1])
+                    if size >= SLICE_TOKENS:
+                        yield full()
+        if ids:
+            yield full()
+        release()
+
+    return texts.select("doc_id", "text", "target").mapInArrow(run, kind)
+
+
+class _Slice:
+    """A slice's tokens: their documents, words and words before, and the sorted words and pairs they are positions of."""
+
+    def __init__(self, row: dict):
+        self.target = np.array(row["target"], dtype=bool)
+        self.lengths = _unpacked(row["lengths"], np.int64)
+        words_only, place = _unpacked_sorted(row["vocabulary"]), _unpacked(row["tokens"], np.uint32)
+        self.doc = np.repeat(np.arange(len(self.lengths)), self.lengths)
+        self.words = np.union1d(words_only, np.array([_BEGIN], dtype=np.uint64)) if len(place) else words_only
+        self.word = np.searchsorted(self.words, words_only)[place]
+        self.begin = int(np.searchsorted(self.words, np.uint64(_BEGIN)))
+        self.before = np.roll(self.word, 1)
+        # the documents that have tokens; each starts with the begin mark
+        self.filled = np.nonzero(self.lengths)[0]
+        self.before[np.cumsum(self.lengths)[self.filled] - self.lengths[self.filled]] = self.begin
+        self.pairs, self.pair = np.unique(pair_codes(self.words[self.before], self.words[self.word]), return_inverse=True)
+
+    def counts(self) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Keys and their background and target counts, of words (with the begin mark) and of pairs."""
+        begins = [len(self.filled), int(self.target[self.filled].sum())]
+        out = []
+        for keys, place in ((self.words, self.word), (self.pairs, self.pair)):
+            both = [np.bincount(p, minlength=len(keys)) for p in (place, place[self.target[self.doc]])]
+            if keys is self.words and len(keys):
+                for counted, n in zip(both, begins, strict=True):
+                    counted[self.begin] += n
+            out.append((keys, *both))
+        return out
+
+    def own(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """How often its document holds the word, the pair and the context of each token."""
+        size = len(self.words)
+        held = np.concatenate([self.doc * size + self.word, self.filled * size + self.begin])
+        keys, place, times = np.unique(held, return_inverse=True, return_counts=True)
+        context = times[np.searchsorted(keys, self.doc * size + self.before)]
+        _, pair, pair_times = np.unique(self.doc * len(self.pairs) + self.pair, return_inverse=True, return_counts=True)
+        return times[place[: len(self.word)]], pair_times[pair], context
+
+
+def _sent(stored: DataFrame, ranges: int) -> DataFrame:
+    """Per slice, range of hashes and kind (0: words, 1: pairs) one row: the sorted keys and their counts in the slice."""
+    kind, schema = arrow_schema(stored.sparkSession, "range bigint, slice bigint, kind int, keys binary, background binary, target binary")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                for what, (keys, background, target) in enumerate(_Slice(row).counts()):
+                    where = (keys >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
+                    edges = np.flatnonzero(np.diff(where, prepend=np.uint64(ranges)))
+                    for low, high in zip(edges, [*edges[1:], len(keys)], strict=True):
+                        part = [int(where[low]), row["slice"], what, _packed_sorted(keys[low:high])]
+                        part += [_packed(c[low:high].astype(np.uint32)) for c in (background, target)]
+                        yield pa.RecordBatch.from_arrays([pa.array([v], type=f.type) for v, f in zip(part, schema, strict=True)], schema=schema)
+        release()
+
+    return stored.select("slice", "target", "lengths", "vocabulary", "tokens").mapInArrow(run, kind)
+
+
+def _corpus_counts(sent: DataFrame) -> DataFrame:
+    """For every row sent the counts of its keys in the whole corpus, in the order of the keys; ``words`` adds up to the vocabulary's size."""
+    ddl = "slice bigint, range bigint, kind int, background binary, target binary, words bigint"
+    kind, schema = arrow_schema(sent.sparkSession, ddl)
+
+    def run(group: pa.Table) -> pa.Table:
+        out = []
+        for what in (0, 1):
+            rows = [r for r in group.to_pylist() if r["kind"] == what]
+            if not rows:
+                continue
+            parts = [_unpacked_sorted(r["keys"]) for r in rows]
+            keys, place = np.unique(np.concatenate(parts), return_inverse=True)
+            sums = []
+            for name in ("background", "target"):
+                counted = np.concatenate([_unpacked(r[name], np.uint32) for r in rows])
+                sums.append(np.bincount(place, weights=counted, minlength=len(keys)).astype(np.uint64))
+            words = int((keys != np.uint64(_BEGIN)).sum()) if what == 0 else 0
+            at = 0
+            for row, part in zip(rows, parts, strict=True):
+                here = place[at : at + len(part)]
+                out.append([row["slice"], row["range"], what, *[_packed(s[here]) for s in sums], words])
+                at, words = at + len(part), 0
+        release()
+        return pa.Table.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+
+    return sent.groupBy("range").applyInArrow(run, kind)
+
+
+def _judged(stored: DataFrame, counts: DataFrame, totals: dict[str, float], words: int) -> DataFrame:
+    """The documents of each slice with their mean losses, from the corpus counts of the slice's words and pairs."""
+    id_kind = stored.schema["ids"].dataType.elementType.simpleString()
+    ddl = f"doc_id {id_kind}, n_tokens bigint, target_loss double, background_loss double, score double"
+    kind, schema = arrow_schema(stored.sparkSession, ddl)
+    uniform = (1 - PAIR_WEIGHT - WORD_WEIGHT) / (words or 1)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        here = left.to_pylist()[0]
+        rows = sorted(right.to_pylist(), key=lambda r: (r["kind"], r["range"]))
+        part, n = _Slice(here), _unpacked(here["lengths"], np.int64)
+        own = part.own() if len(part.word) else (np.zeros(0),) * 3
+        sums = {}
+        for model in ("background", "target"):
+            word, pair = (
+                np.concatenate([np.zeros(0), *[_unpacked(r[model], np.uint64).astype(np.float64) for r in rows if r["kind"] == what]])
+                for what in (0, 1)
+            )
+            # the document's own counts are left out where they were counted
+            share = np.ones(len(part.doc)) if model == "background" else part.target[part.doc].astype(np.float64)
+            if not len(part.word):
+                sums[model] = np.zeros(len(n))
+                continue
+            rest_word, rest_pair = word[part.word] - share * own[0], pair[part.pair] - share * own[1]
+            rest_context, left_tokens = word[part.before] - share * own[2], totals[model] - share * (n[part.doc] + 1)
+            after = np.divide(rest_pair, rest_context, out=np.zeros(len(own[0])), where=rest_context > 0)
+            single = np.divide(rest_word, left_tokens, out=np.zeros(len(own[0])), where=left_tokens > 0)
+            loss = -np.log(PAIR_WEIGHT * np.minimum(after, 1.0) + WORD_WEIGHT * single + uniform)
+            sums[model] = np.bincount(part.doc, weights=loss, minlength=len(n))
+        means = {m: [float(s) / int(k) if k else None for s, k in zip(sums[m], n, strict=True)] for m in sums}
+        score = [b - t if t is not None else 0.0 for b, t in zip(means["background"], means["target"], strict=True)]
+        columns = [here["ids"], n, means["target"], means["background"], score]
+        release()
+        return pa.Table.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    return stored.groupBy("slice").cogroup(counts.groupBy("slice")).applyInArrow(run, kind)
+
+
+def _totals(stored: DataFrame) -> dict[str, float]:
+    """Tokens and begin marks of each model: both are counted, as contexts are."""
+    kind, schema = arrow_schema(stored.sparkSession, "background double, target double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marks = zip(batch.column("row").to_pylist(), batch.column("target").to_pylist(), strict=True)
-            for text, (row, wanted) in zip(binary_column(batch, "text"), marks, strict=True):
-                word, pair, before = codes(text)
-                own_word, own_pair, own_context = own_counts(word, pair, before)
-                pairs, first = np.unique(pair, return_index=True)
-                size = len(pairs)
-                if not size:
-                    continue
-                columns = [
-                    np.full(size, row), pairs.view(np.int64), np.full(size, wanted), own_pair[first],
-                    own_context[first], own_word[first], np.full(size, len(word)),
-                ]
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
-
-    return texts.select("row", "text", "target").mapInArrow(run, kind)
+            for row in batch.to_pylist():
+                n = _unpacked(row["lengths"], np.int64)
+                counted = n + (n > 0)
+                sums = [float(counted.sum()), float(counted[np.array(row["target"], dtype=bool)].sum())]
+                yield pa.RecordBatch.from_arrays([pa.array([v]) for v in sums], schema=schema)
+
+    row = stored.select("lengths", "target").mapInArrow(run, kind).agg(F.sum("background").alias("b"), F.sum("target").alias("t")).first()
+    return {"background": row.b or 0.0, "target": row.t or 0.0}
 
 
 def differences(docs: DataFrame, target: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -229,43 +394,13 @@ def differences(docs: DataFrame, target: Column, id_col: str = "doc_id", text_co
     A document is judged by models without its own counts, so being part of the target or not is no advantage in itself.
     """
     stored = materialise(
-        docs.select(
-            F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text"),
-            F.coalesce(target, F.lit(False)).alias("target"),
+        slices(
+            docs.select(
+                F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text"), F.coalesce(target, F.lit(False)).alias("target")
+            )
         )
-    )
-    pairs = materialise(pair_counts(stored))
-    # every token is the word of one pair, and the begin mark is the context of a text's first
-    begin = F.lit(_BEGIN)
-    sums = [F.sum("background").alias("background"), F.sum("target").alias("target")]
-    counted = pairs.groupBy("word").agg(*sums)
-    starts = pairs.where(F.col("before") == begin).groupBy(F.col("before").alias("word")).agg(*sums)
-    single = materialise(counted.unionByName(starts))
-    names = [F.sum(n).cast("double").alias(n) for n in ("background", "target")]
-    totals = single.agg(*names, F.sum(F.when(F.col("word") != begin, 1)).alias("words")).first()
-    known = pairs.toDF("pair", "word", "before", "pair_background", "pair_target").join(
-        single.toDF("word", "word_background", "word_target"), "word"
-    )
-    known = known.join(single.toDF("before", "context_background", "context_target"), "before").drop("word", "before")
-    met = _document_pairs(stored).join(known.hint("merge"), "pair")
-
-    def loss(model: str, total: float, left_out: Column) -> Column:
-        def rest(name: str) -> Column:
-            return F.col(f"{name}_{model}") - F.when(left_out, F.col(f"own_{name}")).otherwise(0)
-
-        tokens_left = F.lit(total) - F.when(left_out, F.col("n") + 1).otherwise(0)
-        after = F.when(rest("context") > 0, F.least(rest("pair") / rest("context"), F.lit(1.0))).otherwise(0.0)
-        word = F.when(tokens_left > 0, rest("word") / tokens_left).otherwise(0.0)
-        uniform = (1 - PAIR_WEIGHT - WORD_WEIGHT) / (totals.words or 1)
-        return F.sum(-F.log(PAIR_WEIGHT * after + WORD_WEIGHT * word + uniform) * F.col("own_pair"))
-
-    judged = met.groupBy("row").agg(
-        F.sum("own_pair").alias("n"),
-        loss("target", totals.target or 0.0, F.col("is_target")).alias("t"),
-        loss("background", totals.background or 0.0, F.lit(True)).alias("b"),
-    )
-    return stored.select("row", "doc_id").join(judged, "row", "left").select(
-        "doc_id", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_tokens"), (F.col("t") / F.col("n")).alias("target_loss"),
-        (F.col("b") / F.col("n")).alias("background_loss"),
-        F.coalesce((F.col("b") - F.col("t")) / F.col("n"), F.lit(0.0)).alias("score"),
     )
+    sizes = stored.agg(F.sum("n_tokens").alias("n")).first().n or 0
+    counts = materialise(_corpus_counts(_sent(stored, max(1, -(-sizes // RANGE_TOKENS)))))
+    words = counts.agg(F.sum("words").alias("n")).first().n or 0
+    return _judged(stored, counts, _totals(stored), words)

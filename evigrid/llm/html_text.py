@@ -1,10 +1,10 @@
 """Main text of web pages by tree scoring.
 
-A page is parsed into a tree with the usual implied end tags. Boilerplate elements go first (by tag, by role, by the words of
-their class and id, hidden ones). Each paragraph then scores one point, one for each comma, and one for each hundred
+A page is parsed into a tree with the usual implied end tags. Boilerplate elements go first (by tag, by role, by whole names in
+their class and id, hidden ones); an element that holds most of the page's paragraphs is not dropped for its name. Each paragraph then scores one point, one for each comma, and one for each hundred
 characters up to three; the points pass to its ancestors, in full to the parent, half to the grandparent and less above. A
-container's points are discounted by its link density; the best one is kept together with the siblings that score well
-or read like prose. Lists and boxes inside it that are mostly links are menus and go too.
+container's points are discounted by its link density; the best one, with the article around it, is kept together with the siblings
+that score well or read like prose. Lists and boxes inside it that are mostly links are menus and go too, except lists of references.
 
 Text: character references decoded, white space inside a block turned into one space, blocks in page order joined by two line
 feeds. Nothing is cut off.
@@ -52,9 +52,18 @@ _DROPPED_WORDS = frozenset(
     commentlist consent cookie cookies copyright disqus footer gdpr header login masthead menu menus modal nav navbar
     navigation newsletter notice notices notification outbrain overlay pager pagination popup promo promoted promotion
     recommended related replies reply respond share sharing sidebar signup social sponsor sponsored subscribe subscription
-    taboola toolbar warning widget widgets
+    taboola toolbar widget widgets
     """.split()
 )
+#: words that may stand beside them in one class name (``main-nav``, ``ad-slot-2``, ``comment-list``) without changing what it is
+_NEUTRAL_WORDS = frozenset(
+    """
+    area bar body bottom box button buttons center col column container content cta form global group holder icon icons inline inner
+    item items left link links list main outer page panel post posts primary right row secondary section site slot text top unit
+    wrap wrapper
+    """.split()
+)
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: a start tag of the key closes an open element of the values
 _CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
@@ -169,7 +178,7 @@ def _end(here: Node, tag: str) -> Node:
     return here
 
 
-def _is_boilerplate(node: Node) -> bool:
+def _is_boilerplate(node: Node, carrying: set[int]) -> bool:
     tag = node.tag
     if tag in _DROPPED:
         return True
@@ -189,13 +198,45 @@ def _is_boilerplate(node: Node) -> bool:
             return True
         if name == "role" and value.lower() in _DROPPED_ROLES:
             return True
-        if name in ("class", "id") and tag not in ("main", "h1", "p"):
-            if any(w.lower() in _DROPPED_WORDS for w in _WORD.findall(value)):
-                return True
+        # ids of headings and paragraphs are made from their words, so they say nothing
+        named = name == "class" or name == "id" and tag not in _HEADINGS and tag != "p"
+        if named and tag not in ("main", "h1") and id(node) not in carrying and any(map(_names_boilerplate, value.split())):
+            return True
     return False
 
 
+def _names_boilerplate(token: str) -> bool:
+    """Whether a whole class name or id stands for boilerplate: ``cookie-notice`` does, ``has-sidebar`` and ``social-history`` do not."""
+    if token.lower() in _DROPPED_WORDS:
+        return True
+    parts = [w.lower() for w in _WORD.findall(token)]
+    rest = [w for w in parts if w not in _DROPPED_WORDS]
+    return len(rest) < len(parts) and all(w in _NEUTRAL_WORDS or w.isdigit() or len(w) == 1 for w in rest)
+
+
+def _carrying(root: Node) -> set[int]:
+    """Elements whose names are no reason to drop them: they hold most of the page's paragraph text, and no ``article`` or ``main``
+    with paragraphs stands outside of them.
+    """
+    prose: dict[int, int] = {}
+    tops: dict[int, int] = {}
+    nodes = _ordered(root)
+    for node in reversed(nodes):
+        inner = [c for c in node.children if isinstance(c, Node)]
+        own = len(_own_text(node)) if node.tag == "p" else 0
+        prose[id(node)] = own + sum(prose[id(c)] for c in inner)
+        held = node.tag in ("article", "main") and prose[id(node)] > 0
+        tops[id(node)] = held + sum(tops[id(c)] for c in inner)
+    whole, articles = prose[id(root)], tops[id(root)]
+    above: dict[int, int] = {}
+    for node in nodes:
+        up = node.parent
+        above[id(node)] = 0 if up is None else above[id(up)] + (up.tag in ("article", "main"))
+    return {id(n) for n in nodes if 2 * prose[id(n)] > whole and tops[id(n)] + above[id(n)] >= articles}
+
+
 def _strip(root: Node) -> None:
+    carrying = _carrying(root)
     stack = [root]
     while stack:
         node = stack.pop()
@@ -203,7 +244,7 @@ def _strip(root: Node) -> None:
         for child in node.children:
             if isinstance(child, str):
                 kept.append(child)
-            elif not _is_boilerplate(child):
+            elif not _is_boilerplate(child, carrying):
                 kept.append(child)
                 stack.append(child)
             else:
@@ -287,6 +328,14 @@ def choose(root: Node) -> list[Node]:
         # a list is a part of the container around it
         while best.tag in ("ul", "ol", "dl", "tr", "tbody", "table", "li", "td") and best.parent is not None:
             best = best.parent
+    # a container inside an article, or inside the main part of a page without one, is a part of it: the others are kept with it
+    for wanted in ("article", "main"):
+        whole: Node | None = best
+        while whole is not None and whole.tag != wanted:
+            whole = whole.parent
+        if whole is not None:
+            best = whole
+            break
     if best.parent is None:
         return [best]
     kept = []
@@ -311,10 +360,25 @@ def _drop_menus(top: Node) -> None:
     nodes = _ordered(top)
     sizes = _measure(nodes)
     for node in nodes:
-        node.children = [
-            " " if isinstance(c, Node) and c.tag in _MENUS and sizes[id(c)][2] >= 2 and _density(sizes, c) > 0.8 else c
-            for c in node.children
-        ]
+        kept: list[str | Node] = []
+        before: Node | None = None
+        for child in node.children:
+            menu = isinstance(child, Node) and child.tag in _MENUS and sizes[id(child)][2] >= 2 and _density(sizes, child) > 0.8
+            kept.append(" " if menu and not _is_reference_list(child, before, sizes) else child)
+            before = child if isinstance(child, Node) else before
+        node.children = kept
+
+
+def _is_reference_list(menu: Node, before: Node | None, sizes: dict[int, tuple[int, int, int]]) -> bool:
+    """Links of an article's own: those that a heading or an introducing paragraph announces, or whose texts are as long as titles."""
+    _, linked, links = sizes[id(menu)]
+    if before is not None and (before.tag in _HEADINGS or before.tag == "p"):
+        said = _own_text(before)
+        if any(w.lower() in _DROPPED_WORDS for w in _WORD.findall(said)) and before.tag in _HEADINGS:
+            return False
+        if before.tag in _HEADINGS or said.endswith(":"):
+            return True
+    return linked >= 25 * links
 
 
 def blocks(top: Node) -> list[str]:

@@ -174,3 +174,37 @@ def test_pipeline_without_documents(spark, make_docs, tmp_path):
         table(spark, SF, name).limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     make_docs([]).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+LONG = "A paragraph of the article, with commas, and enough words to be told from a menu or a notice by its length alone."
+
+
+@pytest.mark.parametrize("name", ["post has-sidebar", "post comments-open", "hentry", "sidebar", "layout no-sidebar widget"])
+def test_an_article_is_not_dropped_for_its_class(name):
+    page = f"<body><nav><a href=a>A</a></nav><article class='{name}'><p>{LONG}</p><p>{LONG}</p></article><footer>F</footer></body>"
+    assert html_text.main_text(page) == f"{LONG}\n\n{LONG}"
+    inner = f"<body><div class='{name}'><h1>T</h1><p>{LONG}</p><p>{LONG}</p></div></body>"
+    assert html_text.main_text(inner) == f"T\n\n{LONG}\n\n{LONG}"
+
+
+@pytest.mark.parametrize("box", [
+    "<p class='advert'>Buy now</p>", "<div class='ad-slot-2'>Buy now</div>", "<div class='cookie-notice'><p>We use cookies.</p></div>",
+    "<ul><li><a href=a>Home</a><li><a href=b>News</a></ul>", "<h3>Related posts</h3><ul class='related-posts'><li><a href=a>x</a></ul>",
+    "<article class='comment'><p>Nice article, thank you for it.</p></article>", "<section id='comments'><p>First!</p></section>",
+])
+def test_boxes_inside_an_article_go(box):
+    page = f"<body><main><article><h1>T</h1><p>{LONG}</p>{box}<p>{LONG}</p></article></main></body>"
+    assert html_text.main_text(page).replace("Related posts\n\n", "") == f"T\n\n{LONG}\n\n{LONG}"
+
+
+@pytest.mark.parametrize("part, text", [
+    ("<section><p>Short.</p></section>", "Short."), ("<div>Also short</div>", "Also short"),
+    ("<section><h2>Points</h2><ul><li>one<li>two</ul></section>", "Points\n\none\n\ntwo"),
+    ("<div class='warning'><p>Mind the step.</p></div>", "Mind the step."), ("<div class='social-history'>1848</div>", "1848"),
+    ("<h2>References</h2><ol><li><a href=a>Doe 2001</a><li><a href=b>Roe 2002</a></ol>", "References\n\nDoe 2001\n\nRoe 2002"),
+    ("<p>See also:</p><ul><li><a href=a>One</a><li><a href=b>Two</a></ul>", "See also:\n\nOne\n\nTwo"),
+    ("<h2 id='related'>Kin</h2>", "Kin"),
+])
+def test_parts_of_an_article_stay(part, text):
+    page = f"<body><div id='sidebar'><p>Side.</p></div><article><section><p>{LONG}</p><p>{LONG}</p></section>{part}</article></body>"
+    assert html_text.main_text(page) == f"{LONG}\n\n{LONG}\n\n{text}"

@@ -38,10 +38,11 @@ _ASSIGN = re.compile(
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 #: runs of hexadecimal digits are maximal, so a minimum length may stand in the pattern
 _HEX = re.compile(r"[0-9a-f]{16,}")
-_PEM = re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----([A-Za-z0-9+/=\s]+)-----END [A-Z ]{0,40}PRIVATE KEY-----")
+#: runs are possessive or end at a sign outside of them, so they need no bound to be linear
+_PEM = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----([A-Za-z0-9+/=\s]++)-----END [A-Z ]*PRIVATE KEY-----")
 _BEARER = re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")
 _PREFIXED = re.compile(r"(?<![A-Za-z0-9_])(?:gh[pousr]|glpat|sk_live|rk_live|xox[abprs])[_-][A-Za-z0-9-]{16,}")
-_LOGIN = re.compile(r"://[^\s:/@]{1,64}:([^\s:/@]{6,128})@")
+_LOGIN = re.compile(r"://[^\s:/@]++:([^\s:/@]{6,}+)@")
 
 
 def candidates(text: str) -> list[tuple[int, int, int, int]]:

@@ -215,3 +215,15 @@ def test_two_copies_of_a_key_are_no_example(make_docs):
     out = {r.doc_id: r.text for r in secret_scan.redact(make_docs(texts)).collect()}
     assert out[0] == "a [SECRET] b" and out[1] == "c [SECRET] d"
     assert [out[3 + i] for i in range(3)] == [t for _, t in texts[2:]]
+
+
+def test_long_logins_and_key_labels_are_found():
+    """Runs have no bound, and texts that almost match stay linear."""
+    login = "https://" + "u" * 500 + ":" + "p" * 5_000 + "@host"
+    assert [(k, end - start) for k, start, end, _ in secret_scan.candidates(login)] == [(6, 3 + 500 + 1 + 5_000 + 1)]
+    label = "VERY LONG " * 20
+    key = f"-----BEGIN {label}PRIVATE KEY-----\nMIIE+/=\n-----END {label}PRIVATE KEY-----"
+    assert [(k, start, end) for k, start, end, _ in secret_scan.candidates(key)] == [(3, 0, len(key))]
+    assert secret_scan.candidates("http://u:short@h") == []
+    for almost in ("://" + "u" * 300_000, "://u:" + "p" * 300_000, "-----BEGIN " + "A " * 150_000 + "PRIVATE KEY-----" + "Z" * 300_000):
+        assert [s for s in secret_scan.candidates(almost) if s[0] in (3, 6)] == []

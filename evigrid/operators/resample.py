@@ -39,10 +39,11 @@ def draw_rows(
     Draws are handed out in batches before they are expanded, so the expansion is spread over all tasks even when
     the unit table is small. The unit table is joined by index. Spark does not see that the other side has grown by
     the number of draws and might broadcast that one, so the strategy is stated: the unit table is broadcast when its
-    stored size, which the scan knows without a job, is small; otherwise both sides are sorted by index. The rows are the same.
+    size, added up over the stored units, is small; otherwise both sides are sorted by index. The rows are the same.
     """
     session = slots.sparkSession
-    small = int(slots._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= BROADCAST_BYTES
+    unit = F.to_json(F.struct(*[F.col(c) for c in dict.fromkeys([*keys, "slot", *values])]))
+    small = (slots.agg(F.sum(F.octet_length(unit))).first()[0] or 0) <= BROADCAST_BYTES
     width = int(session.conf.get("spark.sql.shuffle.partitions"))
     batches = slots.select(
         *keys, "size", "slot", F.explode(F.sequence(F.lit(0), F.lit((draws - 1) // BATCH))).alias("__batch")

@@ -284,7 +284,7 @@ def snk3_write_once_package(spark, sf):
     path = fresh(spark)
     rows = stored_blocks(spark, sf).select("arm_id", "horizon", "block_id", "n_eligible")
     first, second = sinks.write_package(rows, path), sinks.write_package(rows, path)
-    return spark.read.parquet(path).withColumn("written", F.lit(first)).withColumn("rewritten", F.lit(second))
+    return sinks.read_package(spark, path).withColumn("written", F.lit(first)).withColumn("rewritten", F.lit(second))
 
 
 @query(

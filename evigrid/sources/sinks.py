@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException, StreamingQueryException
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evigrid.operators.pairing import two_way_difference
+from evigrid.functions.fingerprint import element_digest, sequence_fingerprint
 from evigrid.operators.rollup import SUCCEEDED, arm_means
 
 
@@ -36,27 +38,96 @@ def write_nested_csv(df: DataFrame, path: str, keys: Sequence[str]) -> None:
     ).option("escape", '"').mode("errorifexists").csv(path)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+#: what publication writes: where the rows lie, what they are, and how many
+RECORD = "folder string, fingerprint string, columns string, rows bigint, writer string"
 
 
-def write_package(df: DataFrame, path: str) -> bool:
-    """Write once. The same rows again are accepted without writing; different rows are refused.
+def package_record(spark: SparkSession, path: str) -> Row | None:
+    """The published record of the package at ``path``; None before publication, whatever is staged there."""
+    try:
+        return spark.read.schema(RECORD).parquet(f"{path.rstrip('/')}/record").first()
+    except AnalysisException as missing:
+        if missing.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
+def _content(df: DataFrame) -> tuple[str, str, int]:
+    """Fingerprint of the rows as a multiset, names and types in the order of names, and the number of rows."""
+    fields = sorted(df.schema.fields, key=lambda f: f.name)
+    columns = ",".join(f"{f.name} {f.dataType.simpleString()}" for f in fields)
+    row = F.to_json(F.struct(*[F.col(f"`{f.name}`") for f in fields]), {"ignoreNullFields": "false"})
+    found = df.select(element_digest(F.lit(0), row).alias("digest")).agg(
+        F.sha2(F.coalesce(sequence_fingerprint("digest"), F.lit("0")), 256).alias("fingerprint"), F.count(F.lit(1)).alias("rows")
+    ).first()
+    return found.fingerprint, columns, found.rows
+
+
+def stage_package(df: DataFrame, path: str) -> Row:
+    """Write the rows under a name of their own, and a claim that carries their fingerprint. Nobody sees them before ``publish_package``."""
+    spark, writer = df.sparkSession, uuid.uuid4().hex
+    root = path.rstrip("/")
+    folder = f"rows/{writer}"
+    df.write.mode("errorifexists").parquet(f"{root}/{folder}")
+    # the fingerprint is that of the stored rows: an input that is not repeatable cannot differ from it
+    fingerprint, columns, rows = _content(spark.read.schema(df.schema).parquet(f"{root}/{folder}"))
+    claim = spark.createDataFrame([(folder, fingerprint, columns, rows, writer)], RECORD)
+    claim.coalesce(1).write.parquet(f"{root}/claims/{writer}")
+    return claim.first()
 
-    Returns whether anything was written.
+
+def publish_package(spark: SparkSession, path: str, claim: Row) -> bool:
+    """Publish a staged package. One writer wins; the others are accepted if their content equals the winner's, else refused.
+
+    The record goes through the streaming file sink, whose manifest of batch 0 is created in one atomic step and never replaced.
+    A writer that comes second finds the manifest, or loses the race for it, and compares its content with the record. A
+    writer lost before that step leaves staged rows that no reader sees. Returns whether this writer's rows are the package.
     """
-    spark = df.sparkSession
-    if not _exists(spark, path):
-        df.write.mode("errorifexists").parquet(path)
+    root = path.rstrip("/")
+    lost = None
+    stream = spark.readStream.schema(RECORD).parquet(f"{root}/claims/{claim.writer}").writeStream.format("parquet")
+    try:
+        stream.option("checkpointLocation", f"{root}/commits/{claim.writer}").trigger(availableNow=True).start(
+            f"{root}/record"
+        ).awaitTermination()
+    except StreamingQueryException as race:
+        lost = race
+    record = package_record(spark, path)
+    if record is None:
+        raise lost or RuntimeError(f"package {path} was not published")
+    if record.writer == claim.writer:
         return True
-    stored = spark.read.parquet(path)
-    if sorted(stored.columns) != sorted(df.columns) or not two_way_difference(df, stored.select(*df.columns)).isEmpty():
+    _same_content(path, record, claim.fingerprint, claim.columns)
+    return False
+
+
+def _same_content(path: str, record: Row, fingerprint: str, columns: str) -> None:
+    if (record.fingerprint, record.columns) != (fingerprint, columns):
         raise ValueError(f"package {path} holds different rows; choose a new output version")
+
+
+def write_package(df: DataFrame, path: str) -> bool:
+    """Write once. The same rows again, in any order, are accepted without writing; different rows are refused.
+
+    Two writers at once are told apart by ``publish_package``. Names and types of columns are content, their order is not. Map
+    columns count by the order of their entries. Returns whether this call's rows are the package.
+    """
+    record = package_record(df.sparkSession, path)
+    if record is None:
+        return publish_package(df.sparkSession, path, stage_package(df, path))
+    fingerprint, columns, _ = _content(df)
+    _same_content(path, record, fingerprint, columns)
     return False
 
 
+def read_package(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of a published package."""
+    record = package_record(spark, path)
+    if record is None:
+        raise ValueError(f"no package is published at {path}")
+    return spark.read.parquet(f"{path.rstrip('/')}/{record.folder}")
+
+
 def file_manifest(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     """Name relative to ``root``, size and content hash of every written file, read back in parallel."""
     files = (

@@ -3,6 +3,8 @@
 import gzip
 import hashlib
 import json
+import threading
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
@@ -89,6 +91,44 @@ def test_package_is_written_once(spark, tmp_path):
         sinks.write_package(rows.distinct(), path)
 
 
+def test_package_content_is_names_types_and_rows(spark, tmp_path):
+    path = str(tmp_path / "package")
+    empty = spark.createDataFrame([], "k int, v string")
+    assert sinks.package_record(spark, path) is None
+    with pytest.raises(ValueError):
+        sinks.read_package(spark, path)
+    assert sinks.write_package(empty, path) and not sinks.write_package(empty.select("v", "k"), path)
+    assert sinks.read_package(spark, path).count() == 0
+    for other in (spark.createDataFrame([], "k bigint, v string"), spark.createDataFrame([(None, None)], "k int, v string")):
+        with pytest.raises(ValueError):
+            sinks.write_package(other, path)
+
+
+@pytest.mark.parametrize("same", [True, False])
+def test_one_of_two_writers_at_once_wins(spark, tmp_path, same):
+    path = str(tmp_path / "package")
+    contents = [spark.createDataFrame([(i if same else i + n,) for i in range(3)], "k int") for n in (0, 1)]
+    claims = [sinks.stage_package(df, path) for df in contents]
+    assert sinks.package_record(spark, path) is None
+    start = threading.Barrier(2)
+
+    def publish(claim):
+        start.wait()
+        try:
+            return sinks.publish_package(spark, path, claim)
+        except ValueError:
+            return "refused"
+
+    with ThreadPoolExecutor(2) as pool:
+        states = list(pool.map(publish, claims))
+    assert sorted(map(str, states)) == (["False", "True"] if same else ["True", "refused"])
+    won = contents[states.index(True)]
+    assert sorted(sinks.read_package(spark, path).collect()) == sorted(won.collect())
+    # a third writer that staged before and comes late
+    late = sinks.stage_package(won, path)
+    assert sinks.publish_package(spark, path, late) is False
+
+
 def test_ordered_and_nested_csv(spark, tmp_path):
     rows = spark.createDataFrame([(i, {"b": "1", "a": "2"} if i else None) for i in (3, 0, 2, 1)], "k int, m map<string,string>")
     path = str(tmp_path / "nested")

@@ -15,12 +15,12 @@ from evigrid.operators import pairing, project, rollup
 from evigrid.plans.bindings import CAPTURES, CELLS, RECEIPTS, TRIALS, captures, cells, receipts, table, trials
 from evigrid.plans.evidence import BLOCKS, stored_blocks
 from evigrid.plans.registry import query
-from evigrid.session import materialise, shared_folder
+from evigrid.session import job_folder, materialise
 from evigrid.sources import readers, sinks
 
 
 def fresh(spark):
-    return f"{shared_folder(spark).rstrip('/')}/evigrid-{uuid.uuid4().hex}"
+    return f"{job_folder(spark)}/{uuid.uuid4().hex}"
 
 
 def records(spark, sf):

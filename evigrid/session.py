@@ -48,12 +48,27 @@ def shared_folder(spark: SparkSession) -> str:
     return _LOCAL[key]
 
 
+def job_folder(spark: SparkSession) -> str:
+    """The folder of this application's intermediates: one per job, so whoever owns the shared folder sees whose they are."""
+    return f"{shared_folder(spark).rstrip('/')}/evigrid-{spark.conf.get('spark.app.id')}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the intermediates of this application, for the end of a job.
+
+    Results that were not written or collected yet read them, so nothing of this application may be used after this call but
+    what it stored itself. Other applications' intermediates stay. The folder is overwritten with an empty table,
+    which every file system that Spark writes to can do.
+    """
+    spark.range(0).coalesce(1).write.mode("overwrite").parquet(job_folder(spark))
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write an intermediate which several branches read into the shared folder and read it back.
 
     Without this every branch would scan and shuffle the base table again, because column pruning makes the branches
     differ and their exchanges are then not reused. A lost executor costs nothing: the files are on shared storage.
     """
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/evigrid-{uuid.uuid4().hex}"
+    path = f"{job_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -33,6 +33,24 @@ def close_to(left: ColumnLike, right: ColumnLike, rtol: float = 1e-10, atol: flo
     return F.abs(a - b) <= F.greatest(F.lit(rtol) * F.greatest(F.abs(a), F.abs(b)), F.lit(atol))
 
 
+def exact_part(value: ColumnLike) -> Column:
+    """The value as a decimal, whose sums do not depend on the order of addition; null beyond a billion and for NaN (``plain_part``)."""
+    v = col(value)
+    return F.when(F.abs(v) < 1e9, v).cast("decimal(28,18)")
+
+
+def plain_part(value: ColumnLike) -> Column:
+    """What ``exact_part`` leaves out, as a double: null, or the value where it is no decimal."""
+    v = col(value)
+    return F.when(~(F.abs(v) < 1e9), v)
+
+
+def exact_mean(value: ColumnLike) -> Column:
+    """Mean of an aggregate, the same in whatever order the rows are added; plain where a value is no decimal."""
+    total = (F.sum(exact_part(value)) / F.count(col(value))).cast("double")
+    return F.when(F.count(plain_part(value)) > 0, F.avg(col(value))).otherwise(total)
+
+
 def relative_delta_pct(value: ColumnLike, reference: ColumnLike) -> Column:
     """100*(v-r)/|r|; null when the reference is zero or absent."""
     v, r = col(value), col(reference)

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evigrid.functions.ordered import piece_width
-from evigrid.functions.scalars import micros, seal
+from evigrid.functions.scalars import exact_part, micros, plain_part, seal
 from evigrid.session import materialise
 
 DAY = 86400
@@ -184,8 +184,13 @@ def points(spark: SparkSession, sf: str) -> DataFrame:
     width = piece_width(tracks, ["user_id"], F.col("t_us"), widths)
     walked = segment_points(
         tracks, "user_id", [F.col("t_us"), F.col("event_id")], F.floor(F.col("t_us") / F.lit(width)), "t_us",
-        DAY * 1000000, {"x": F.col("dx"), "y": F.col("dy")},
+        DAY * 1000000, {f"{c}_{part.__name__}": part(f"d{c}") for c in "xy" for part in (exact_part, plain_part)},
     )
+
+    # positions are rounded, so they are added up as decimals: in doubles the sum depends on where the track is cut
+    def position(name: str) -> Column:
+        return F.col(f"{name}_exact_part").cast("double") + F.col(f"{name}_plain_part")
+
     # every trajectory operator reads this table more than once, so it is stored like any refined corpus
     return materialise(
         walked.select(
@@ -194,8 +199,8 @@ def points(spark: SparkSession, sf: str) -> DataFrame:
             "event_id",
             "t_us",
             "speed",
-            F.round("x", 6).alias("x"),
-            F.round("y", 6).alias("y"),
+            F.round(position("x"), 6).alias("x"),
+            F.round(position("y"), 6).alias("y"),
             "idx",
             "n",
         )

@@ -326,18 +326,75 @@ def _short_cycles(nodes: DataFrame, pairs: DataFrame, max_depth: int) -> DataFra
         pairs.join(nodes.select(F.col("node").alias("child")), "child", "left_semi")
         .join(nodes.select(F.col("node").alias("parent")), "parent", "left_semi").select("child", "parent")
     )
-    # distances between the nodes left; each pair enters once, when it is nearest
-    frontier = materialise(inside.select(F.col("child").alias("start"), F.col("parent").alias("at"), F.lit(1).alias("steps")))
+    rings = _rings(inside, max_depth)
+    if rings is None:
+        return empty.where("false")
+    # from the rings against the references: a node enters once, with the most references that its walks may still have
+    active: DataFrame | None = None
+    met: DataFrame | None = None
+    shortest = rings.agg(F.min("ring")).first()[0]
+    for left in range(max_depth - shortest, -1, -1):
+        entering = rings.where(F.col("ring") == max_depth - left).select("node")
+        if active is not None:
+            entering = entering.union(inside.join(active.withColumnRenamed("node", "parent"), "parent").select("child")).distinct()
+        if met is not None:
+            entering = entering.join(met, "node", "left_anti")
+        active = materialise(entering)
+        met = active if met is None else met.unionByName(active)
+    return met.withColumn("cyclic", F.lit(True))
+
+
+def _rings(pairs: DataFrame, max_depth: int) -> DataFrame | None:
+    """``node`` and ``ring``, the references of the shortest way from the node back to it, up to ``max_depth``; None without any.
+
+    Each ring has one highest node, and a reference from a lower node enters it there. Ways are followed only from nodes which such a
+    reference enters, over lower ones: forward first, then back over what was met. If most references go upwards, the order
+    is turned round. So objects that merely lead to a ring, or lie in long chains, start no way.
+    """
+    loops = pairs.where("child = parent").select(F.col("child").alias("node"), F.lit(1).alias("ring"))
+    edges = pairs.where("child <> parent")
+    ups, all_edges = edges.agg(F.count_if(F.col("parent") > F.col("child")), F.count(F.lit(1))).first()
+    turned = 2 * ups > all_edges
+
+    def lower(a: str, b: str) -> Column:
+        return F.col(a) > F.col(b) if turned else F.col(a) < F.col(b)
+
+    heads = edges.where(lower("child", "parent")).select(F.col("parent").alias("head")).distinct()
+    frontier = materialise(
+        edges.join(heads, F.col("child") == F.col("head")).where(lower("parent", "head"))
+        .select("head", F.col("parent").alias("at"), F.lit(1).alias("there"))
+    )
     met = frontier
-    for steps in range(2, max_depth + 1):
+    for steps in range(2, max_depth):
         if frontier.isEmpty():
             break
-        further = frontier.join(inside.withColumnRenamed("child", "at"), "at").select("start", F.col("parent").alias("at")).distinct()
-        frontier = materialise(further.join(met.select("start", "at"), ["start", "at"], "left_anti").withColumn("steps", F.lit(steps)))
+        further = (
+            frontier.select("head", "at").join(edges.withColumnRenamed("child", "at"), "at").where(lower("parent", "head"))
+            .select("head", F.col("parent").alias("at")).distinct()
+        )
+        frontier = materialise(further.join(met.select("head", "at"), ["head", "at"], "left_anti").withColumn("there", F.lit(steps)))
         met = met.unionByName(frontier)
-    rings = materialise(met.where("start = at").select(F.col("start").alias("at"), F.col("steps").alias("ring")))
-    near = met.where("start <> at").join(rings, "at").where(F.col("steps") + F.col("ring") <= max_depth).select(F.col("start").alias("node"))
-    return near.union(rings.select("at")).distinct().withColumn("cyclic", F.lit(True))
+    met = materialise(met)
+    frontier = materialise(
+        edges.withColumnsRenamed({"parent": "head", "child": "at"}).join(met, ["head", "at"]).where(F.col("there") < max_depth)
+        .select("head", "at", "there", F.lit(1).alias("back"))
+    )
+    closed = frontier
+    for steps in range(2, max_depth):
+        if frontier.isEmpty():
+            break
+        further = (
+            frontier.select("head", F.col("at").alias("parent")).join(edges, "parent").select("head", F.col("child").alias("at")).distinct()
+            .join(met, ["head", "at"]).where(F.col("there") + steps <= max_depth)
+        )
+        frontier = materialise(
+            further.join(closed.select("head", "at"), ["head", "at"], "left_anti").select("head", "at", "there", F.lit(steps).alias("back"))
+        )
+        closed = closed.unionByName(frontier)
+    ways = closed.select(F.col("at").alias("node"), (F.col("there") + F.col("back")).alias("ring"))
+    tops = closed.where("back = 1").select(F.col("head").alias("node"), (F.col("there") + 1).alias("ring"))
+    found = materialise(loops.union(ways).union(tops).groupBy("node").agg(F.min("ring").alias("ring")))
+    return None if found.isEmpty() else found
 
 
 def equal_pair_counts(fingerprints: DataFrame, role: str | None = None, fingerprint: str = "fingerprint") -> DataFrame:

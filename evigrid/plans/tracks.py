@@ -513,8 +513,11 @@ def trj16_ridge_fit(spark, sf):
     f"""with {FIT} select configuration, role, count(*) as rows, round(avg(pow(y - ta * a - tb * b, 2)), 8) as mse from rows join th using (configuration) group by all""",
 )
 def trj15_fit_error(spark, sf):
-    theta = fitted(spark, sf).groupBy("configuration").pivot("feature", ["a", "b"]).agg(F.max("theta")).select(
-        "configuration", F.col("a").alias("ta"), F.col("b").alias("tb")
+    # stored, so that the planner sees its size: else every row is shuffled to its configuration, of which there are few
+    theta = materialise(
+        fitted(spark, sf).groupBy("configuration").pivot("feature", ["a", "b"]).agg(F.max("theta")).select(
+            "configuration", F.col("a").alias("ta"), F.col("b").alias("tb")
+        )
     )
     joined = fit_rows(spark, sf).join(theta, "configuration")
     residual = F.col("y") - F.col("ta") * F.col("a") - F.col("tb") * F.col("b")

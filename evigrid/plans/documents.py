@@ -23,6 +23,11 @@ def fresh(spark):
     return f"{job_folder(spark)}/{uuid.uuid4().hex}"
 
 
+def write_documents(df, path):
+    """One JSON document per line, compressed; a file is read by one task, so it holds a bounded number of them."""
+    df.write.option("compression", "gzip").option("maxRecordsPerFile", 200_000).json(path)
+
+
 def records(spark, sf):
     """One run record per order; every nested value comes from the order's own row."""
     o = table(spark, sf, "orders")
@@ -72,7 +77,7 @@ def prj1_process_rows(spark, sf):
 @query("src1_run_records", FLAT)
 def src1_run_records(spark, sf):
     path = fresh(spark)
-    records(spark, sf).write.json(path)
+    write_documents(records(spark, sf), path)
     return project.process_rows(readers.read_records(spark, path, multi_line=False))
 
 
@@ -87,7 +92,7 @@ def src2_prediction_samples(spark, sf):
     document = F.array(
         F.struct(F.concat(F.lit("seg"), "label").alias("segment_id"), sample[0].alias("target"), F.array(*sample).alias("samples"))
     )
-    table(spark, sf, "embeddings").select("vec_id", document.alias("predictions")).write.json(path)
+    write_documents(table(spark, sf, "embeddings").select("vec_id", document.alias("predictions")), path)
     read = spark.read.schema(f"vec_id bigint, {readers.PREDICTIONS}").json(path)
     return readers.explode_predictions(read, ["vec_id"]).select(
         "vec_id", "segment_id", "sample_idx", F.round("x", 6).alias("x"), F.round("y", 6).alias("y")
@@ -104,9 +109,10 @@ def src3_evidence_bundle(spark, sf):
     key = F.concat(F.lit("c"), "s_suppkey")
     ident = [key.alias("cell_hash"), F.lit("A").alias("arm_id"), F.col("s_nationkey").cast("string").alias("block_id"), F.lit(1).alias("seed")]
     cell = F.struct(*ident, F.lit("SUCCEEDED").alias("status"), F.create_map(F.lit("loss"), F.col("s_acctbal")).alias("metrics"))
-    table(spark, sf, "supplier").select(
+    documents = table(spark, sf, "supplier").select(
         F.col("s_suppkey").cast("string").alias("study_id"), F.array(F.struct(*ident)).alias("expected_cells"), F.array(cell).alias("cells")
-    ).write.json(path)
+    )
+    write_documents(documents, path)
     _, expected, observed = readers.read_bundle(spark, path, multi_line=False)
     return expected.join(observed.select("study_id", "cell_hash", "metrics"), ["study_id", "cell_hash"]).select(
         "study_id", "cell_hash", "arm_id", "block_id", F.round(F.col("metrics")["loss"], 6).alias("loss")
@@ -140,7 +146,7 @@ def src4_sharded_scan(spark, sf):
 def src5_unique_versions(spark, sf):
     items = table(spark, sf, "orders").where(F.col("o_orderstatus") == "F").select(F.col("o_custkey").alias("work_id"), F.md5(F.lit("v1")).alias("digest"))
     path = fresh(spark)
-    items.write.json(path)
+    write_documents(items, path)
     bound = table(spark, sf, "customer").select(F.col("c_custkey").alias("work_id"), F.md5(F.lit("v1")).alias("digest"))
     return readers.unique_versions(readers.read_work_items(spark, path), bound, "work_id", "digest").drop("digest")
 

@@ -20,6 +20,8 @@ class of nulls only has a null component_id); an empty table gives no rows.
 
 from __future__ import annotations
 
+import bisect
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -40,7 +42,7 @@ BITS = 64
 #: a pair of similarity s shares a band with probability 1 - (1 - s**BAND_ROWS)**BANDS, 0.9996 at 0.8
 BANDS = 20
 BAND_ROWS = 5
-#: rounds in which each unresolved bucket compares all its members with one of them, before all that is left is compared
+#: rounds in which each unresolved bucket compares all its members with one of them, before all that is left is searched exactly
 STAR_ROUNDS = 2
 FAMILIES = 4
 VERIFIED_WIDTH = 5
@@ -215,8 +217,8 @@ def verified_links(texts: DataFrame, firsts: DataFrame, similarity: float = SIMI
 
     Not every link is a row, but the components are those of all candidates that reach the similarity. In a star round each
     bucket compares its members with one of them: first the one with the most neighbours in its buckets, then the one with
-    the most links, which is the original among its copies. Buckets within one component are settled; in the others all
-    pairs between different components follow, so an outlier in the middle of a star loses nothing.
+    the most links, which is the original among its copies. Buckets within one component are settled. The members of the others
+    are searched by ``across_components``, which loses no link between two components and compares no bucket with itself.
     """
 
     def cut(batch: pa.RecordBatch) -> dict:
@@ -235,7 +237,7 @@ def verified_links(texts: DataFrame, firsts: DataFrame, similarity: float = SIMI
     used: DataFrame | None = None
     for last in [False] * STAR_ROUNDS + [True]:
         if last:
-            pairs = live.toDF("bucket", "x", "lx").join(live.toDF("bucket", "y", "ly"), "bucket").where("lx < ly")
+            pairs = across_components(live.select("row", "label").distinct(), sets, similarity)
         else:
             free = live if used is None else live.join(used, ["bucket", "row"], "left_anti")
             rank = F.struct(F.coalesce("weight", F.lit(0)).alias("weight"), F.xxhash64("row", "bucket").alias("h"), "row", "label")
@@ -267,6 +269,94 @@ def verified_links(texts: DataFrame, firsts: DataFrame, similarity: float = SIMI
     return found
 
 
+def _size_parts(longest: int = 1 << 40) -> list[int]:
+    """The smallest set size of each part: single sizes, then steps of a twentieth."""
+    lows = [1]
+    while lows[-1] < longest:
+        lows.append(max(lows[-1] + 1, lows[-1] * 21 // 20))
+    return lows
+
+
+_PARTS = _size_parts()
+
+
+def least_common(one: int, two: int, similarity: float) -> int:
+    """How many elements two sets of these sizes must share to reach the similarity; rounding never asks for more."""
+    return math.ceil(similarity / (1 + similarity) * (one + two) - 1e-6)
+
+
+def prefix_parts(n: int, similarity: float) -> tuple[int, list[tuple[int, int]]]:
+    """How many first elements a set of ``n`` shows to sets as large or larger, and to each part of smaller or equal ones."""
+    lowest = max(1, math.ceil(similarity * n - 1e-6))
+    parts = range(bisect.bisect_right(_PARTS, lowest) - 1, bisect.bisect_right(_PARTS, n))
+    shown = [(part, n - least_common(n, max(lowest, _PARTS[part]), similarity) + 1) for part in parts]
+    return n - least_common(n, n, similarity) + 1, shown
+
+
+def across_components(rows: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs ``x``, ``y`` of ``rows`` (``row``, ``label``) with different labels, among them all that reach the similarity.
+
+    Prefix filtering: all sets are sorted alike, rarest shingles first. Two sets that share ``o`` shingles share one among the first
+    ``n - o + 1`` of each, so only these are keys, with the part of sizes in which the smaller set lies; the place of a common
+    shingle also bounds how many can follow. What all copies of a text have in common comes last and is no key, so a group of
+    near copies under the similarity makes few pairs. Of each key the label with the most rows is set against the others only.
+    """
+    chosen = sets.select("row", "n", "shingles").join(rows, "row")
+
+    def spell(batch: pa.RecordBatch) -> dict:
+        parts = [np.frombuffer(x, dtype=np.int64) for x in batch.column("shingles").to_pylist()]
+        taken = pa.array(np.repeat(np.arange(len(parts)), [len(x) for x in parts]))
+        out = {name: batch.column(name).take(taken) for name in ("row", "label", "n")}
+        return out | {"shingle": np.concatenate(parts)}
+
+    spelled = map_batches(chosen, spell, "row bigint, label bigint, n bigint, shingle bigint")
+    again = spelled.groupBy("shingle").agg(F.count("*").alias("sets")).where("sets > 1")
+    # a list is bounded by its document; shingles of one set alone come before it and are no keys
+    ordered = spelled.join(again, "shingle").groupBy("row", "label", "n").agg(
+        F.array_sort(F.collect_list(F.struct("sets", "shingle"))).getField("shingle").alias("shared")
+    )
+
+    def cut(batch: pa.RecordBatch) -> dict:
+        sizes, origin, part, place, shingle, larger = batch.column("n").to_pylist(), [], [], [], [], []
+        for i, (n, shared) in enumerate(zip(sizes, batch.column("shared"), strict=True)):
+            values = shared.values.to_numpy()
+            alone = n - len(values)
+            own, others = prefix_parts(n, similarity)
+            for is_larger, at, count in [(False, others[-1][0], own), *((True, *x) for x in others)]:
+                count = max(0, count - alone)
+                origin.append(np.full(count, i))
+                part.append(np.full(count, at))
+                place.append(np.arange(alone, alone + count))
+                shingle.append(values[:count])
+                larger.append(np.full(count, is_larger))
+        taken = pa.array(np.concatenate(origin))
+        out = {name: batch.column(name).take(taken) for name in ("row", "label", "n")}
+        names = {"part": part, "place": place, "shingle": shingle, "larger": larger}
+        return out | {name: np.concatenate(x) for name, x in names.items()}
+
+    keys = materialise(
+        map_batches(ordered, cut, "row bigint, label bigint, n bigint, part int, place bigint, shingle bigint, larger boolean")
+    )
+    counts = keys.groupBy("shingle", "part", "label").agg(F.count("*").alias("rows"))
+    mixed = counts.groupBy("shingle", "part").agg(
+        F.max(F.struct("rows", "label"))["label"].alias("main"), F.min("label").alias("low"), F.max("label").alias("high")
+    ).where("low < high").select("shingle", "part", "main")
+    met = materialise(keys.join(mixed, ["shingle", "part"]))
+    columns = ["shingle", "part", "label", "row", "n", "place"]
+    small, large = (
+        met.where(side).select(*columns, (F.col("label") == F.col("main")).alias("main")) for side in ("not larger", "larger")
+    )
+    small, large = small.toDF("shingle", "part", "lx", "x", "nx", "px", "mx"), large.toDF("shingle", "part", "ly", "y", "ny", "py", "my")
+    least = F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("nx") + F.col("ny")) - F.lit(1e-6))
+    may_link = (
+        (F.col("lx") != F.col("ly")) & (F.struct("nx", "x") < F.struct(F.col("ny").alias("nx"), F.col("y").alias("x")))
+        & (F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py")) >= least)
+    )
+    beside = small.where("not mx").join(large, ["shingle", "part"]).where(may_link)
+    within = small.where("mx").join(large.where("not my"), ["shingle", "part"]).where(may_link)
+    return beside.select("x", "y").unionByName(within.select("x", "y"))
+
+
 def _candidate_sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """``row``, ``n``, ``sketch`` and ``shingles`` of the wanted rows, stored."""
     # at most SLOTS numbers, whatever the input

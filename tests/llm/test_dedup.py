@@ -6,6 +6,7 @@ import itertools
 import random
 import re
 
+import numpy as np
 import pytest
 import xxhash
 
@@ -256,3 +257,55 @@ def test_an_outlying_smallest_row_loses_no_component(spark):
     assert wanted == {(i // 12 * 12 + 11, i) for i in range(len(texts)) if i % 12 != 11}
     got = {(r.a, r.b) for r in simhash.verified_links(frame, frame.select("row")).collect()}
     assert got == wanted
+
+
+def copies_under_the_similarity(count, rng, changes=8):
+    """An original of 300 words, and copies with that many changed words at places of their own: no two reach 0.8."""
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(2000)]
+    base = [rng.choice(words) for _ in range(300)]
+    texts = [" ".join(base)]
+    for k in range(count):
+        copy = list(base)
+        for at in rng.sample(range(0, 300, 6), changes):
+            copy[at] += f"{k}x"
+        texts.append(" ".join(copy))
+    return texts
+
+
+@pytest.mark.parametrize("count", [100, 400])
+def test_copies_under_the_similarity_are_not_compared_in_pairs(spark, monkeypatch, count):
+    texts = copies_under_the_similarity(count, random.Random(12))
+    assert similar_pairs(texts) == set()
+    frame = spark.createDataFrame(list(enumerate(texts)), "row bigint, text string")
+    compared, plain = [], simhash._similar
+    monkeypatch.setattr(simhash, "_similar", lambda pairs, *more: compared.append(pairs.count()) or plain(pairs, *more))
+    assert simhash.verified_links(frame, frame.select("row")).count() == 0
+    # before, all pairs that share a band: 3,374 and 62,141
+    assert len(compared) == simhash.STAR_ROUNDS + 1 and compared[-1] <= count
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_across_components_loses_no_pair(spark, seed):
+    """Sets of many sizes, the similarity met exactly too, with labels of a few large and many small components."""
+    rng = random.Random(seed)
+    numbers = [rng.getrandbits(63) for _ in range(400)]
+    sets = [set(numbers[:5]), set(numbers[:4])]
+    for _ in range(40):
+        one = set(rng.sample(numbers, rng.choice([1, 2, 5, 10, 40, 150])))
+        sets.append(one)
+        for _ in range(4):
+            dropped = rng.sample(sorted(one), rng.randint(0, len(one) // 5))
+            sets.append((one - set(dropped)) | set(rng.sample(numbers, rng.randint(0, max(1, len(one) // 8)))))
+    labels = [-i if i < 2 or rng.random() < 0.5 else rng.choice([1, 2, 3]) for i in range(len(sets))]
+    stored = [(i, len(s), bytearray(np.array(sorted(s), dtype=np.uint64).tobytes())) for i, s in enumerate(sets)]
+    found = simhash.across_components(
+        spark.createDataFrame(list(enumerate(labels)), "row bigint, label bigint"),
+        spark.createDataFrame(stored, "row bigint, n bigint, shingles binary"), 0.8,
+    )
+    got = {(max(r.x, r.y), min(r.x, r.y)) for r in found.collect()}
+    wanted = {
+        (b, a) for a, b in itertools.combinations(range(len(sets)), 2)
+        if labels[a] != labels[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    }
+    assert len(wanted) > 50 and (1, 0) in wanted and wanted <= got
+    assert all(labels[a] != labels[b] for a, b in got)

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from evigrid.llm import components, simhash, spotsigs, substrings, suffixes
+from evigrid.llm import components, queries, simhash, spotsigs, substrings, suffixes
 
 
 def plain_fingerprint(text, width=3):
@@ -145,6 +145,18 @@ def test_repeats_of_small_alphabets(make_docs, length, gram, limit):
     assert sorted(got) == sorted(plain_removal([t.encode() for t in texts], length))
 
 
+def test_query_returns_what_is_left_of_each_text(spark, make_docs, tmp_path):
+    """A shared passage of 400 bytes goes, one of 399 stays with its 57 words; a character cut in two leaves its mark."""
+    rng = random.Random(8)
+    long, short = (" ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(58))[:n].ljust(n, ".") for n in (400, 399))
+    texts = {1: f"A {long} B", 2: f"C {long} D", 3: f"E\n{short}\tF", 4: f"G\t{short}\nH", 5: f"I_{long}é", 6: f"J-{long}è", 7: None, 8: long}
+    make_docs(list(texts.items())).write.parquet(str(tmp_path / "documents.parquet"))
+    found = queries.QUERIES["op3_suffix_array_dedup"](spark, str(tmp_path))
+    assert found.columns[:5] == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    left = {1: "AB", 2: "CD", 3: texts[3], 4: texts[4], 5: "I_\ufffd", 6: "J-\ufffd", 7: "", 8: ""}
+    assert {r.doc_id: r.text for r in found.collect()} == left
+
+
 def test_next_document_and_edited_text(docs, rows):
     ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
     texts = [t or "" for _, t in ordered]
